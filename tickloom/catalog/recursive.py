@@ -19,9 +19,7 @@ NB = {"nb": O.numbered()}
        sql=O.joined("nb", "ema_8", "ema_20", "ema_50"))
 def r01_ema(view):
     df, p = segmented(view("bars_1h"), C.ema_memory(50))
-    for n in (8, 20, 50):
-        df = C.ema(df, p, f"ema_{n}", "close", n)
-    return own_rows(df)
+    return own_rows(C.averages(df, p, *[C.ema_of(f"ema_{n}", "close", n) for n in (8, 20, 50)]))
 
 
 @query("r01_ema_daily", K + "ema_20:5", "bars_1d",

@@ -114,7 +114,7 @@ def run_age(df, decay: int = 50, floor: float = 0.2):
 @query("w11_rolling_slope", K + "slope:7 slope_partial:7 slope_weighted:7", "bars_1h",
        ctes={"nb": O.numbered()},
        sql=f"""SELECT *, CASE WHEN count(*) OVER {O.w(20)} >= 20 THEN regr_slope(close, i) OVER {O.w(20)} END AS slope,
-coalesce(regr_slope(close, i) OVER {O.w(50)}, 0) AS slope_partial,
+CASE WHEN count(*) OVER {O.w(50)} > 1 THEN regr_slope(close, i) OVER {O.w(50)} ELSE 0 END AS slope_partial,
 CASE WHEN count(*) OVER {O.w(20)} >= 20 THEN (sum(v) OVER {O.w(20)} * sum(v * i * close) OVER {O.w(20)}
  - sum(v * i) OVER {O.w(20)} * sum(v * close) OVER {O.w(20)})
  / nullif(sum(v) OVER {O.w(20)} * sum(v * i * i) OVER {O.w(20)} - (sum(v * i) OVER {O.w(20)}) * (sum(v * i) OVER {O.w(20)}), 0)

@@ -117,6 +117,7 @@ class Pieces:
     keys: tuple[str, ...]
     rows: int
     halo: int
+    ahead: int = 0
 
     @property
     def whole(self) -> WindowSpec:
@@ -159,7 +160,7 @@ def segmented(
     else:
         out = out.withColumn(PIECE, F.col("_home"))
     out = out.withColumn(OWN, F.col("_home") == F.col(PIECE)).drop("_home")
-    return out, Pieces(tuple(keys), rows, halo)
+    return out, Pieces(tuple(keys), rows, halo, ahead)
 
 
 def own_rows(df: DataFrame, *keep: str) -> DataFrame:

@@ -11,6 +11,8 @@ Indicator inputs are non-NULL once warm (``start`` = number of leading NULL rows
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -34,49 +36,78 @@ def rma_memory(n: int) -> int:
     return memory(1 - 1 / n) + n + 1 if n > 1 else 2
 
 
-def _scan(df: DataFrame, p: Pieces, a: float, sums: dict[str, tuple[Column, Column]], out: str,
-          read: tuple) -> DataFrame:
-    """Shared machinery: scaled running sums per block of a piece, plus the previous block's total.
+@dataclass(frozen=True)
+class Filter:
+    """One decayed-sum filter: ``sums`` maps a name to (term, modulation by local offset);
+    ``read(offset, values)`` turns the running sums into the value at the current row."""
+    out: str
+    rate: float
+    sums: dict[str, tuple[Column, Column]]
+    read: Callable[[Column, dict[str, Column]], Column]
 
-    ``sums``: name -> (term, modulation by local offset); ``read(offset, values, shifted)`` turns
-    the sums into the contribution at the current row.
+
+def _share_blocks(filters: list[Filter]) -> list[list[Filter]]:
+    """Filters whose rates lie within SAFE_EXPONENT / FADE of each other can use one block length."""
+    groups: list[list[Filter]] = []
+    for f in sorted(filters, key=lambda f: f.rate):
+        if groups and f.rate * FADE <= groups[-1][0].rate * SAFE_EXPONENT * 0.95:
+            groups[-1].append(f)
+        else:
+            groups.append([f])
+    return groups
+
+
+def apply_filters(df: DataFrame, p: Pieces, filters: list[Filter]) -> DataFrame:
+    """Scaled running sums per block of a piece, plus what the previous block left.
+
+    All filters of a group share one window per step, so a feature set with a dozen averages needs
+    no more sorts than one average.
     """
-    rate = -math.log(a)
-    offset = F.col(POS) - (F.col(PIECE) * p.rows - p.halo)
-    block = max(1, min(int(SAFE_EXPONENT / rate), p.rows + p.halo + 1))
-    single = block > p.rows + p.halo
-    df = df.withColumn("_o", (offset if single else offset % block).cast("double"))
-    w = p.so_far
-    if not single:
-        df = df.withColumn("_b", F.floor(offset / block))
-        w = Window.partitionBy(*p.keys, PIECE, "_b").orderBy(POS).rowsBetween(
-            Window.unboundedPreceding, 0
-        )
-    scale = F.exp(F.col("_o") * rate)
-    for name, (term, modulation) in sums.items():
-        df = df.withColumn(f"_s_{name}", F.sum(term * modulation * scale).over(w))
-    o, fade = F.col("_o"), F.exp(-F.col("_o") * rate)
-    value = fade * read(o, {n: F.col(f"_s_{n}") for n in sums})
-    drop = ["_o", *[f"_s_{n}" for n in sums]]
-    if not single:
-        prior = p.whole.rowsBetween(Window.unboundedPreceding, -1)
-        at_end = F.col("_o") == block - 1
-        for name in sums:
-            df = df.withColumn(
-                f"_p_{name}",
-                F.coalesce(F.last(F.when(at_end, F.col(f"_s_{name}")), ignorenulls=True).over(prior),
-                           F.lit(0.0)) * math.exp(-rate * block),
-            )
-        value = value + fade * read(o + block, {n: F.col(f"_p_{n}") for n in sums})
-        drop += ["_b", *[f"_p_{n}" for n in sums]]
-    return df.withColumn(out, value).drop(*drop)
+    for group in _share_blocks(filters):
+        offset = F.col(POS) - (F.col(PIECE) * p.rows - p.halo)
+        length = p.rows + p.halo + p.ahead
+        block = max(1, min(int(SAFE_EXPONENT / group[-1].rate), length + 1))
+        single = block > length
+        df = df.withColumn("_o", (offset if single else offset % block).cast("double"))
+        w = p.so_far
+        if not single:
+            df = df.withColumn("_b", F.floor(offset / block))
+            w = Window.partitionBy(*p.keys, PIECE, "_b").orderBy(POS).rowsBetween(
+                Window.unboundedPreceding, 0)
+        o = F.col("_o")
+        sums = {
+            f"_s_{f.out}_{n}": F.sum(term * wave * F.exp(o * f.rate)).over(w)
+            for f in group for n, (term, wave) in f.sums.items()
+        }
+        df = df.withColumns(sums)
+        before = {}
+        if not single:
+            prior = p.whole.rowsBetween(Window.unboundedPreceding, -1)
+            at_end = o == block - 1
+            for f in group:
+                for n in f.sums:
+                    held = F.last(F.when(at_end, F.col(f"_s_{f.out}_{n}")), ignorenulls=True).over(prior)
+                    before[f"_p_{f.out}_{n}"] = F.coalesce(held, F.lit(0.0)) * math.exp(-f.rate * block)
+            df = df.withColumns(before)
+        values = {}
+        for f in group:
+            v = f.read(o, {n: F.col(f"_s_{f.out}_{n}") for n in f.sums})
+            if not single:
+                v = v + f.read(o + block, {n: F.col(f"_p_{f.out}_{n}") for n in f.sums})
+            values[f.out] = F.exp(-o * f.rate) * v
+        df = df.withColumns(values).drop("_o", "_b", *sums, *before)
+    return df
+
+
+def decay_filter(out: str, term: Column, a: float) -> Filter:
+    """out_i = sum over j <= i of a^(i-j) * term_j."""
+    return Filter(out, -math.log(a), {"x": (term, F.lit(1.0))}, lambda o, s: s["x"])
 
 
 def decayed_sum(df: DataFrame, p: Pieces, out: str, term: Column, a: float) -> DataFrame:
-    """out_i = sum over j <= i of a^(i-j) * term_j."""
     if a <= 0:
         return df.withColumn(out, term)
-    return _scan(df, p, a, {"x": (term, F.lit(1.0))}, out, lambda o, s: s["x"])
+    return apply_filters(df, p, [decay_filter(out, term, a)])
 
 
 def two_pole(df: DataFrame, p: Pieces, out: str, term: Column, c2: float, c3: float) -> DataFrame:
@@ -88,17 +119,14 @@ def two_pole(df: DataFrame, p: Pieces, out: str, term: Column, c2: float, c3: fl
     if disc < -1e-12:
         r = math.sqrt(-c3)
         angle = math.acos(c2 / (2 * r))
-        return _scan(
-            df, p, r,
-            {"c": (term, F.cos(o * angle)), "s": (term, F.sin(o * angle))}, out,
+        return apply_filters(df, p, [Filter(
+            out, -math.log(r), {"c": (term, F.cos(o * angle)), "s": (term, F.sin(o * angle))},
             lambda at, s: (F.sin((at + 1) * angle) * s["c"] - F.cos((at + 1) * angle) * s["s"])
-            / math.sin(angle),
-        )
+            / math.sin(angle))])
     if disc <= 1e-12:
-        return _scan(
-            df, p, c2 / 2, {"u": (term, F.lit(1.0)), "k": (term, o)}, out,
-            lambda at, s: (at + 1) * s["u"] - s["k"],
-        )
+        return apply_filters(df, p, [Filter(
+            out, -math.log(c2 / 2), {"u": (term, F.lit(1.0)), "k": (term, o)},
+            lambda at, s: (at + 1) * s["u"] - s["k"])])
     big, small = (c2 + math.sqrt(disc)) / 2, (c2 - math.sqrt(disc)) / 2
     df = decayed_sum(df, p, "_big", term, big)
     df = decayed_sum(df, p, "_small", term, small)
@@ -113,25 +141,47 @@ def two_pole_memory(c2: float, c3: float) -> int:
     return 2 * memory(r) if abs(disc) <= 1e-12 else memory(r)
 
 
-def smoothed(df: DataFrame, p: Pieces, out: str, x, n: int, alpha: float, start: int = 0) -> DataFrame:
+@dataclass(frozen=True)
+class Average:
     """Exponential average seeded by the mean of the first n inputs; NULL before."""
-    x, warm = col(x), start + n - 1
-    seed = F.avg(x).over(p.last(n))
-    df = df.withColumn(
-        "_term",
-        F.when(F.col(POS) < warm, 0.0).when(F.col(POS) == warm, seed)
-        .otherwise(F.coalesce(x * alpha, F.lit(0.0))),
-    )
-    df = decayed_sum(df, p, out, F.col("_term"), 1 - alpha)
-    return df.withColumn(out, F.when(F.col(POS) >= warm, F.col(out))).drop("_term")
+    out: str
+    x: str
+    n: int
+    alpha: float
+    start: int = 0
 
 
-def ema(df: DataFrame, p: Pieces, out: str, x="close", n: int = 20, start: int = 0) -> DataFrame:
-    return smoothed(df, p, out, x, n, 2 / (n + 1), start)
+def ema_of(out: str, x: str = "close", n: int = 20, start: int = 0) -> Average:
+    return Average(out, x, n, 2 / (n + 1), start)
 
 
-def rma(df: DataFrame, p: Pieces, out: str, x, n: int, start: int = 0) -> DataFrame:
-    return smoothed(df, p, out, x, n, 1 / n, start)
+def rma_of(out: str, x: str, n: int, start: int = 0) -> Average:
+    return Average(out, x, n, 1 / n, start)
+
+
+def averages(df: DataFrame, p: Pieces, *wanted: Average) -> DataFrame:
+    """Several exponential averages of existing columns in one go."""
+    terms = {}
+    for a in wanted:
+        warm, x = a.start + a.n - 1, F.col(a.x)
+        seed = F.avg(x).over(p.last(a.n))
+        terms[f"_term_{a.out}"] = (
+            F.when(F.col(POS) < warm, 0.0).when(F.col(POS) == warm, seed)
+            .otherwise(F.coalesce(x * a.alpha, F.lit(0.0))))
+    df = df.withColumns(terms)
+    df = apply_filters(df, p, [decay_filter(a.out, F.col(f"_term_{a.out}"), 1 - a.alpha)
+                               for a in wanted if a.alpha < 1])
+    df = df.withColumns({a.out: F.col(f"_term_{a.out}") for a in wanted if a.alpha >= 1})
+    return df.withColumns({
+        a.out: F.when(F.col(POS) >= a.start + a.n - 1, F.col(a.out)) for a in wanted}).drop(*terms)
+
+
+def ema(df: DataFrame, p: Pieces, out: str, x: str = "close", n: int = 20, start: int = 0) -> DataFrame:
+    return averages(df, p, ema_of(out, x, n, start))
+
+
+def rma(df: DataFrame, p: Pieces, out: str, x: str, n: int, start: int = 0) -> DataFrame:
+    return averages(df, p, rma_of(out, x, n, start))
 
 
 def ewm(df: DataFrame, p: Pieces, out: str, x, span: int) -> DataFrame:
@@ -151,14 +201,96 @@ def natr(df: DataFrame, p: Pieces, out: str, n: int) -> DataFrame:
     return df.withColumn(out, ratio(100 * F.col(out), "close"))
 
 
+@dataclass(frozen=True)
+class Macd:
+    fast: int = 21
+    slow: int = 42
+    signal: int = 9
+    x: str = "close"
+    names: tuple[str, str, str] = ("macd", "macd_signal", "macd_hist")
+
+    def first(self) -> list[Average]:
+        line = self.names[0]
+        return [ema_of(f"_fast_{line}", self.x, self.fast), ema_of(f"_slow_{line}", self.x, self.slow)]
+
+    def between(self) -> dict[str, Column]:
+        line = self.names[0]
+        return {line: F.col(f"_fast_{line}") - F.col(f"_slow_{line}")}
+
+    def second(self) -> list[Average]:
+        return [ema_of(self.names[1], self.names[0], self.signal, max(self.fast, self.slow) - 1)]
+
+    def finish(self) -> dict[str, Column]:
+        return {self.names[2]: F.col(self.names[0]) - F.col(self.names[1])}
+
+
+@dataclass(frozen=True)
+class Rsi:
+    out: str = "rsi"
+    n: int = 14
+
+    def first(self) -> list[Average]:
+        return [rma_of(f"_g_{self.out}", "_gain", self.n, 1), rma_of(f"_l_{self.out}", "_loss", self.n, 1)]
+
+    def between(self) -> dict[str, Column]:
+        g, l = F.col(f"_g_{self.out}"), F.col(f"_l_{self.out}")
+        return {self.out: ratio(100 * g, g + l)}
+
+    def second(self) -> list[Average]:
+        return []
+
+    def finish(self) -> dict[str, Column]:
+        return {}
+
+
+@dataclass(frozen=True)
+class Adx:
+    """ADX with both directional indicators; a bar without movement counts as DX 0."""
+    n: int = 14
+    names: tuple[str, str, str] = ("adx", "di_plus", "di_minus")
+
+    def first(self) -> list[Average]:
+        return [rma_of("_atr_adx", "_tr", self.n, 1), rma_of("_p_adx", "_pdm", self.n, 1),
+                rma_of("_m_adx", "_mdm", self.n, 1)]
+
+    def between(self) -> dict[str, Column]:
+        plus = ratio(100 * F.col("_p_adx"), "_atr_adx")
+        minus = ratio(100 * F.col("_m_adx"), "_atr_adx")
+        dx = F.coalesce(ratio(100 * F.abs(plus - minus), plus + minus), F.lit(0.0))
+        return {self.names[1]: plus, self.names[2]: minus, "_dx": F.when(F.col(POS) >= self.n, dx)}
+
+    def second(self) -> list[Average]:
+        return [rma_of(self.names[0], "_dx", self.n, self.n)]
+
+    def finish(self) -> dict[str, Column]:
+        return {}
+
+
+def indicators(df: DataFrame, p: Pieces, *wanted, extra: tuple[Average, ...] = (), x: str = "close") -> DataFrame:
+    """Several two-step indicators together: one batch of averages, then one over their results."""
+    start = df.columns
+    inputs = {}
+    if any(isinstance(i, Rsi) for i in wanted):
+        change = R.diff(x, 1, p)
+        inputs |= {"_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0))}
+    if any(isinstance(i, Adx) for i in wanted) or any(a.x == "_tr" for a in extra):
+        up = F.col("high") - R.shift("high", 1, p)
+        down = R.shift("low", 1, p) - F.col("low")
+        inputs |= {"_tr": R.true_range(p), "_pdm": F.when((up > down) & (up > 0), up).otherwise(0.0),
+                   "_mdm": F.when((down > up) & (down > 0), down).otherwise(0.0)}
+    df = df.withColumns({k: F.when(F.col(POS) > 0, v) for k, v in inputs.items()})
+    df = averages(df, p, *[a for i in wanted for a in i.first()], *extra)
+    df = df.withColumns({k: v for i in wanted for k, v in i.between().items()})
+    second = [a for i in wanted for a in i.second()]
+    if second:
+        df = averages(df, p, *second)
+    df = df.withColumns({k: v for i in wanted for k, v in i.finish().items()})
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in start])
+
+
 def macd(df: DataFrame, p: Pieces, fast=21, slow=42, signal=9, x="close",
          names=("macd", "macd_signal", "macd_hist")) -> DataFrame:
-    line, sig, hist = names
-    df = ema(df, p, "_fast", x, fast)
-    df = ema(df, p, "_slow", x, slow)
-    df = df.withColumn(line, F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    df = ema(df, p, sig, line, signal, start=max(fast, slow) - 1)
-    return df.withColumn(hist, F.col(line) - F.col(sig))
+    return indicators(df, p, Macd(fast, slow, signal, x, names))
 
 
 def macd_memory(fast=21, slow=42, signal=9) -> int:
@@ -166,18 +298,7 @@ def macd_memory(fast=21, slow=42, signal=9) -> int:
 
 
 def rsi(df: DataFrame, p: Pieces, out: str, n: int = 14, x="close") -> DataFrame:
-    change = R.diff(x, 1, p)
-    df = df.withColumn("_gain", F.greatest(change, F.lit(0.0))).withColumn(
-        "_loss", F.greatest(-change, F.lit(0.0))
-    )
-    df = df.withColumns({
-        c: F.when(F.col(POS) > 0, F.col(c)) for c in ("_gain", "_loss")
-    })
-    df = rma(df, p, "_g", "_gain", n, start=1)
-    df = rma(df, p, "_l", "_loss", n, start=1)
-    return df.withColumn(out, ratio(100 * F.col("_g"), F.col("_g") + F.col("_l"))).drop(
-        "_gain", "_loss", "_g", "_l"
-    )
+    return indicators(df, p, Rsi(out, n), x=x)
 
 
 def stochastic(df: DataFrame, p: Pieces, k: int = 14, d: int = 3, smooth: int = 3,
@@ -189,25 +310,7 @@ def stochastic(df: DataFrame, p: Pieces, k: int = 14, d: int = 3, smooth: int =
 
 
 def adx(df: DataFrame, p: Pieces, n: int = 14, names=("adx", "di_plus", "di_minus")) -> DataFrame:
-    """ADX with both directional indicators; a bar without movement counts as DX 0."""
-    up = F.col("high") - R.shift("high", 1, p)
-    down = R.shift("low", 1, p) - F.col("low")
-    df = df.withColumns({"_up": up, "_down": down})
-    u, d = F.col("_up"), F.col("_down")
-    df = df.withColumns({
-        "_pdm": F.when(F.col(POS) > 0, F.when((u > d) & (u > 0), u).otherwise(0.0)),
-        "_mdm": F.when(F.col(POS) > 0, F.when((d > u) & (d > 0), d).otherwise(0.0)),
-    })
-    df = atr(df, p, "_atr", n)
-    df = rma(df, p, "_p", "_pdm", n, start=1)
-    df = rma(df, p, "_m", "_mdm", n, start=1)
-    plus, minus = ratio(100 * F.col("_p"), "_atr"), ratio(100 * F.col("_m"), "_atr")
-    df = df.withColumns({names[1]: plus, names[2]: minus})
-    dx = ratio(100 * F.abs(F.col(names[1]) - F.col(names[2])), F.col(names[1]) + F.col(names[2]))
-    df = df.withColumn("_dx", F.when(F.col(POS) >= n, F.coalesce(dx, F.lit(0.0))))
-    return rma(df, p, names[0], "_dx", n, start=n).drop(
-        "_up", "_down", "_pdm", "_mdm", "_atr", "_p", "_m", "_dx"
-    )
+    return indicators(df, p, Adx(n, names))
 
 
 def adx_memory(n: int = 14) -> int:
@@ -231,7 +334,8 @@ def supersmoother(df: DataFrame, p: Pieces, out: str, x, n: int, start: int = 0)
         .when(F.col(POS) == start + 1, x - c2 * F.lag(x).over(p.whole)).otherwise(c1 * x),
     )
     df = two_pole(df, p, out, F.col("_term"), c2, c3)
-    return df.withColumn(out, F.when(F.col(POS) >= start, F.col(out))).drop("_term")
+    at = F.col(POS) - start
+    return df.withColumn(out, F.when(at > 1, F.col(out)).when(at >= 0, x)).drop("_term")
 
 
 def smoothing_coefficients(kind: str, n: int) -> dict[str, float]:

@@ -58,7 +58,7 @@ def main() -> int:
             want = con.execute(q.sql).df()
             t2 = time.time()
             a, b = canonical(got), canonical(want)
-            if list(a.columns) == list(b.columns) and a.equals(b):
+            if list(a.columns) == list(b.columns) and (a.equals(b) or len(a) == len(b) == 0):
                 print(f"OK    {name}: {len(got)} rows spark {t1 - t0:.2f}s duck {t2 - t1:.2f}s{note}", flush=True)
                 continue
             bad.append(name)
@@ -66,7 +66,10 @@ def main() -> int:
             if len(a) == len(b) and list(a.columns) == list(b.columns):
                 keep = (a != b).any(axis=1)
                 print(int(keep.sum()), "rows differ")
-                print(pd.concat([a[keep].head(4), b[keep].head(4)]).to_string())
+                m = a.merge(b, how="outer", indicator=True)
+                m = m[m._merge != "both"]
+                keys = [c for c in ("trading_pair", "symbol", "ts") if c in m]
+                print(m.sort_values(keys).head(8).to_string())
             else:
                 m = a.merge(b, how="outer", indicator=True) if list(a.columns) == list(b.columns) else a
                 if "_merge" in m:
