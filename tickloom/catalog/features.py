@@ -116,11 +116,11 @@ def f02(view):
     return CHANNEL.calculate(view("bars_1h"))
 
 
-@query("f11_channel_signal", SIGNAL_COLS, "bars_1h", ctes={**NB, **channel_ctes()},
+@query("f11_channel_signal", SIGNAL_COLS, "bars_1d", ctes={"nb": O.numbered("bars_1d"), **channel_ctes()},
        sql="SELECT *, 'mean_reversion_40_SuperSmoother' AS signal_name, 'mr' AS category, -condition / 3.0 AS value FROM (SELECT * "
            + LAST.format("SELECT * FROM channel") + ") WHERE abs(condition) BETWEEN 1 AND 3")
 def f11_channel(view):
-    return P.signal_rows(CHANNEL.calculate(view("bars_1h")), CHANNEL)
+    return P.signal_rows(CHANNEL.calculate(view("bars_1d")), CHANNEL)
 
 
 def trend_ctes(src="nb", s=10, l=50) -> dict[str, str]:

@@ -120,8 +120,8 @@ class RsiTwoFrames:
         f, pf = segmented(fast_bars, C.rma_memory(self.length))
         fast = own_rows(C.rsi(f, pf, "rsi_fast", self.length))
         s, ps = segmented(slow_bars, C.rma_memory(self.length) + 1)
-        s = C.rsi(s, ps, "_rsi", self.length)
-        slow = own_rows(s.withColumn("rsi_slow", R.shift("_rsi", 1, ps)))
+        s = C.rsi(s, ps, "rsi_now", self.length)
+        slow = own_rows(s.withColumn("rsi_slow", R.shift("rsi_now", 1, ps)))
         out = asof_join(fast, slow, ["rsi_slow"]).na.drop(subset=["rsi_fast", "rsi_slow"])
         a, b = F.col("rsi_fast"), F.col("rsi_slow")
         return out.withColumn("signal", direction((a < self.oversold) & (b < self.oversold),
