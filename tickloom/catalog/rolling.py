@@ -189,10 +189,9 @@ FILL_W = f"(PARTITION BY {FILL_KEY} ORDER BY {', '.join(FILL_ORDER)} ROWS UNBOUN
 trade_fee_in_quote - lag(trade_fee_in_quote) OVER (PARTITION BY {FILL_KEY} ORDER BY {', '.join(FILL_ORDER)}) AS fee_diff FROM fills""")
 def w17_w18(view):
     keys = FILL_KEY.split(", ")
-    df = prefix_scan(view("fills"), {"cum_fees": ("sum", "trade_fee_in_quote"), "cum_amount": ("sum", "amount")},
-                     keys, FILL_ORDER, segment_seconds=90 * 86400)
-    df = prefix_scan(df, {"_prev": ("last", "trade_fee_in_quote")}, keys, FILL_ORDER,
-                     segment_seconds=90 * 86400, inclusive=False)
+    df = prefix_scan(view("fills"), {"cum_fees": ("sum", "trade_fee_in_quote"), "cum_amount": ("sum", "amount"),
+                                     "_prev": ("prev", "trade_fee_in_quote")}, keys, FILL_ORDER,
+                     segment_seconds=90 * 86400)
     return df.withColumn("fee_diff", F.col("trade_fee_in_quote") - F.col("_prev"))
 
 

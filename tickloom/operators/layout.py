@@ -44,8 +44,8 @@ def prefix_scan(
 ) -> DataFrame:
     """Running aggregates per ``keys`` in ``order``, without one task per key.
 
-    ``specs`` maps the output name to (kind, column), kind in sum, count, min, max, first, last;
-    NULLs are skipped. ``segment`` overrides the time slice: any expression that grows with the
+    ``specs`` maps the output name to (kind, column), kind in sum, count, min, max, first, last
+    (these skip NULLs) and prev (the previous row's value, NULL or not). ``segment`` overrides the time slice: any expression that grows with the
     order. With ``inclusive=False`` the current row is left out.
     """
     keys = list(keys)
@@ -82,6 +82,12 @@ def prefix_scan(
             totals.append(F.max_by(x, known).alias(tot))
             carries.append(F.last(tot, ignorenulls=True).over(before).alias(car))
             merged[out] = F.coalesce(F.col(loc), F.col(car))
+        elif kind == "prev":
+            box = F.struct(x.alias("v"))
+            running[loc] = F.lag(box).over(Window.partitionBy(*keys, "_seg").orderBy(*order))
+            totals.append(F.max_by(box, F.struct(*order)).alias(tot))
+            carries.append(F.last(tot, ignorenulls=True).over(before).alias(car))
+            merged[out] = F.coalesce(F.col(loc), F.col(car))["v"]
         elif kind == "first":
             running[loc] = F.first(x, ignorenulls=True).over(local)
             totals.append(F.min_by(x, known).alias(tot))

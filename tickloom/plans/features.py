@@ -231,8 +231,8 @@ class TrendFury:
         df = df.withColumn("slope_diff", R.diff("slope", 1, p))
         kernel, state, out = reset_cumsum("cumulative_slope_diff", "slope_diff", self.reversal_sensitivity)
         df = own_rows(fold_series(df, p, kernel, state, out))
-        df = prefix_scan(df, {"cum_volume": ("sum", quote), "cum_volume_price": ("sum", paid)})
-        df = prefix_scan(df, {"_prev_cum": ("last", F.struct("cumulative_slope_diff"))}, inclusive=False)
+        df = prefix_scan(df, {"cum_volume": ("sum", quote), "cum_volume_price": ("sum", paid),
+                              "_prev_cum": ("prev", "cumulative_slope_diff")})
         df = df.withColumns({
             "taker_buy_volume_ratio": ratio("taker_buy_quote_volume", quote),
             "vwap": ratio("cum_volume_price", "cum_volume"),
@@ -246,7 +246,7 @@ class TrendFury:
             "_cum_down": (F.when(total < 0, total), 1 - self.cum_diff_quantile_threshold),
         })
         df = df.join(cuts, [*SERIES], "left")
-        jump = total - F.col("_prev_cum.cumulative_slope_diff")
+        jump = total - F.col("_prev_cum")
         yes = F.lit(True)
         long_rule = (total == 0) & (jump > F.col("_cum_up")) & (
             F.col("close") < F.col("rolling_vwap") if self.use_vwap_filter else yes) & (
