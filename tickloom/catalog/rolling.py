@@ -99,7 +99,7 @@ def w09_w10(view):
     df, p = bars(view, 10)
     df = df.withColumn("sig", F.when(F.col("close") > R.mean("close", 10, p, partial=True), 1).otherwise(-1))
     df = df.withColumn("changed", (~F.col("sig").eqNullSafe(R.shift("sig", 1, p))).cast("int"))
-    return run_age(own_rows(df, POS))
+    return run_age(own_rows(df))
 
 
 def run_age(df, decay: int = 50, floor: float = 0.2):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.columns import bucket, epoch_micros, interval_seconds
-from tickloom.operators.layout import SERIES, own_rows, prefix_scan, segmented
+from tickloom.operators.layout import SERIES, own_rows, prefix_scan, renumber, segmented
 from tickloom.operators.rolling import shift
 
 GRID_SLICE = 4096
@@ -107,12 +107,12 @@ def daily_volume(bars: DataFrame) -> DataFrame:
 
 def between(df: DataFrame, start, end, ts: str = "ts") -> DataFrame:
     """Both ends inclusive."""
-    return df.filter(F.col(ts).between(start, end))
+    return renumber(df.filter(F.col(ts).between(start, end)))
 
 
 def recent(df: DataFrame, as_of, days: float, ts: str = "ts") -> DataFrame:
     """Rows of the last ``days`` days before ``as_of``."""
-    return df.filter(F.col(ts) >= as_of - F.make_dt_interval(secs=F.lit(days * 86400.0)))
+    return renumber(df).filter(F.col(ts) >= as_of - F.make_dt_interval(secs=F.lit(days * 86400.0)))
 
 
 def missing_ranges(requests: DataFrame, bars: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def interior_gaps(bars: DataFrame, interval: str) -> DataFrame:
     """Holes between consecutive bars that are further apart than the interval."""
     step = interval_seconds(interval)
     df, p = segmented(bars.select(*SERIES, "ts"), 1)
-    df = own_rows(df.withColumn("prev_ts", shift("ts", 1, p)))
+    df = renumber(own_rows(df.withColumn("prev_ts", shift("ts", 1, p))))
     apart = epoch_micros("ts") - epoch_micros("prev_ts")
     return df.filter(apart > step * 1_000_000).withColumn(
         "missing_bars", (apart / (step * 1_000_000)).cast("bigint") - 1)

@@ -27,21 +27,18 @@ def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], keys: Se
 
 
 def band_join(events: DataFrame, bars: DataFrame, start: str, end: str, width_seconds: int,
-              keys: Sequence[str] = SERIES, ts: str = "ts", how: str = "inner") -> DataFrame:
+              keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
     """Bars with start <= ts <= end of the event, through an equi-join on time buckets.
 
     An event is copied to the buckets its band touches (two when the width is the band length), so
-    tasks are bounded by bucket, not by symbol. ``bars`` keeps its ``ts`` column; event columns must
-    have other names, keys apart.
+    tasks are bounded by bucket, not by symbol. Apart from ``keys`` the two sides share no names.
     """
     unit = width_seconds * 1_000_000
     first = F.floor(epoch_micros(start) / unit)
     last = F.floor(epoch_micros(end) / unit)
     e = events.withColumn("_bucket", F.explode(F.sequence(first, last)))
     b = bars.withColumn("_bucket", F.floor(epoch_micros(ts) / unit))
-    cond = [e[k] == b[k] for k in keys] + [e["_bucket"] == b["_bucket"], b[ts] >= e[start], b[ts] <= e[end]]
-    joined = e.join(b, cond, how)
-    return joined.select(*[e[c] for c in events.columns], *[b[c] for c in bars.columns if c not in keys])
+    return e.join(b, [*keys, "_bucket"]).filter(F.col(ts).between(F.col(start), F.col(end))).drop("_bucket")
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str] = SERIES, order: Column | None = None) -> DataFrame:

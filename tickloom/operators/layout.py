@@ -45,7 +45,9 @@ def prefix_scan(
     """Running aggregates per ``keys`` in ``order``, without one task per key.
 
     ``specs`` maps the output name to (kind, column), kind in sum, count, min, max, first, last
-    (these skip NULLs) and prev (the previous row's value, NULL or not). ``segment`` overrides the time slice: any expression that grows with the
+    (these skip NULLs), prev (the previous row's value, NULL or not), sum_peak (the highest running
+    sum so far) and series_sum (the sum over the whole series). The input is read twice, the second
+    time for one row per segment, so related aggregates belong in one call. ``segment`` overrides the time slice: any expression that grows with the
     order. With ``inclusive=False`` the current row is left out.
     """
     keys = list(keys)
@@ -58,6 +60,8 @@ def prefix_scan(
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
 
     running, totals, carries, merged = {}, [], [], {}
+    whole = Window.partitionBy(*keys)
+    steps, extra = {}, {}
     for out, (kind, source) in specs.items():
         x = col(source)
         loc, car, tot = f"_l_{out}", f"_c_{out}", f"_t_{out}"
@@ -71,6 +75,20 @@ def prefix_scan(
             merged[out] = both if kind == "count" else F.when(
                 F.col(loc).isNotNull() | F.col(car).isNotNull(), both
             )
+        elif kind == "sum_peak":
+            # highest running sum so far: the best of each earlier segment, lifted by what came before it
+            df = df.withColumn(f"_r_{out}", F.sum(x).over(local))
+            running[loc] = F.max(f"_r_{out}").over(local)
+            totals += [F.sum(x).alias(tot), F.max(f"_r_{out}").alias(f"{tot}_p")]
+            steps[f"_b_{out}"] = F.coalesce(F.sum(tot).over(before), F.lit(0.0))
+            carries.append(F.col(f"_b_{out}").alias(car))
+            carries.append(F.max(F.col(f"_b_{out}") + F.col(f"{tot}_p")).over(before).alias(f"{car}_p"))
+            merged[out] = F.greatest(F.col(loc) + F.col(car), F.col(f"{car}_p"))
+            extra[f"{car}_p"] = extra[f"_r_{out}"] = None
+        elif kind == "series_sum":
+            totals.append(F.sum(x).alias(tot))
+            carries.append(F.sum(tot).over(whole).alias(car))
+            merged[out] = F.col(car)
         elif kind in ("min", "max"):
             fn = F.min if kind == "min" else F.max
             running[loc] = fn(x).over(local)
@@ -96,12 +114,12 @@ def prefix_scan(
         else:
             raise ValueError(f"unknown running aggregate {kind!r}")
 
-    carry = df.groupBy(*keys, "_seg").agg(*totals).select(*keys, "_seg", *carries)
+    carry = df.groupBy(*keys, "_seg").agg(*totals).withColumns(steps).select(*keys, "_seg", *carries)
     return (
         df.withColumns(running)
         .join(carry, [*keys, "_seg"])
         .withColumns(merged)
-        .drop("_seg", *running, *[f"_c_{o}" for o in specs])
+        .drop("_seg", *running, *extra, *[f"_c_{o}" for o in specs])
     )
 
 
@@ -169,6 +187,11 @@ def segmented(
     return out, Pieces(tuple(keys), rows, halo, ahead)
 
 
-def own_rows(df: DataFrame, *keep: str) -> DataFrame:
-    """Drop the halo copies and the layout columns (except those named in ``keep``)."""
-    return df.filter(F.col(OWN)).drop(*[c for c in (OWN, PIECE, POS) if c not in keep])
+def own_rows(df: DataFrame) -> DataFrame:
+    """Drop the halo copies. The position stays as ``_pos``: the next feature on the same rows uses
+    it instead of numbering again. Drop it (``renumber``) after removing or adding rows."""
+    return df.filter(F.col(OWN)).drop(OWN, PIECE)
+
+
+def renumber(df: DataFrame) -> DataFrame:
+    return df.drop(POS)

@@ -72,7 +72,7 @@ class EmaTrend:
         df = R.rolling_rank(df, p, {"ema_divergence_pct": "ema_divergence",
                                     "momentum_normalized": "divergence_momentum",
                                     "acceleration_normalized": "divergence_acceleration"}, n)
-        df = run_age(own_rows(df, POS), "signal_changed", self.decay_periods).drop(POS)
+        df = run_age(own_rows(df), "signal_changed", self.decay_periods)
         mag, mom, acc, fresh = (F.col(c) for c in ("ema_divergence_pct", "momentum_normalized",
                                                    "acceleration_normalized", "freshness_factor"))
         strength = lambda x, y, z: 0.20 * x + 0.30 * y + 0.10 * z + 0.40 * fresh
