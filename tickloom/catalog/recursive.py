@@ -25,7 +25,7 @@ def r01_ema(view):
 @query("r01_ema_daily", K + "ema_20:5", "bars_1d",
        ctes={"nb": O.numbered("bars_1d"), **O.ema("ema_20", 20)}, sql=O.joined("nb", "ema_20"))
 def r01_ema_daily(view):
-    df, p = segmented(view("bars_1d"), C.ema_memory(20), segment_seconds=365 * 86400)
+    df, p = segmented(view("bars_1d"), C.ema_memory(20))
     return own_rows(C.ema(df, p, "ema_20", "close", 20))
 
 

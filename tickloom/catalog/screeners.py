@@ -132,7 +132,7 @@ def a08(view):
 def a09(view):
     from tickloom.operators.rolling import pct_change
     from tickloom.operators.layout import own_rows, segmented
-    df, p = segmented(view("bars_1d"), 1, segment_seconds=365 * 86400)
+    df, p = segmented(view("bars_1d"), 1)
     return Sc.histogram(own_rows(df.withColumn("ret", pct_change("close", p))), "ret")
 
 

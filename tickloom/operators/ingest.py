@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.columns import bucket, epoch_micros, interval_seconds
-from tickloom.operators.layout import SERIES, own_rows, prefix_scan, renumber, segmented
+from tickloom.operators.layout import BAR_SECONDS, SERIES, mark_bars, own_rows, prefix_scan, renumber, segmented
 from tickloom.operators.rolling import shift
 
 GRID_SLICE = 4096
@@ -32,7 +32,7 @@ def trades_to_bars(trades: DataFrame, interval: str) -> DataFrame:
     """Bars of the buckets that hold trades (T02); every aggregate combines map-side, so a hot
     symbol is reduced before the shuffle."""
     return trades.groupBy(*SERIES, bucket("ts", interval).alias("bar")).agg(*bar_aggregates()).select(
-        *SERIES, F.col("bar").alias("ts"), "open", "high", "low", "close", "volume",
+        *SERIES, F.col("bar").alias("ts", metadata={BAR_SECONDS: interval_seconds(interval)}), "open", "high", "low", "close", "volume",
         "quote_asset_volume", "n_trades", "taker_buy_base_volume", "taker_buy_quote_volume",
     )
 
@@ -67,13 +67,12 @@ def resample_ohlcv(trades: DataFrame, interval: str) -> DataFrame:
     own previous value (open from open, close from close)."""
     bars = trades_to_bars(trades, interval).select(*SERIES, "ts", "open", "high", "low", "close", "volume")
     dense = time_grid(bars, interval).join(bars, [*SERIES, "ts"], "left").fillna(0.0, ["volume"])
-    return fill_forward(dense, ["open", "high", "low", "close"],
-                        segment_seconds=interval_seconds(interval) * GRID_SLICE)
+    return fill_forward(mark_bars(dense, interval_seconds(interval)), ["open", "high", "low", "close"])
 
 
 def coarser_bars(bars: DataFrame, interval: str) -> DataFrame:
     """Roll bars up to a longer interval."""
-    return bars.groupBy(*SERIES, bucket("ts", interval).alias("bar")).agg(
+    rolled = bars.groupBy(*SERIES, bucket("ts", interval).alias("bar")).agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"),
         F.min("low").alias("low"), F.max_by("close", "ts").alias("close"),
         F.sum("volume").alias("volume"), F.sum("quote_asset_volume").alias("quote_asset_volume"),
@@ -81,6 +80,7 @@ def coarser_bars(bars: DataFrame, interval: str) -> DataFrame:
         F.sum("taker_buy_base_volume").alias("taker_buy_base_volume"),
         F.sum("taker_buy_quote_volume").alias("taker_buy_quote_volume"),
     ).withColumnRenamed("bar", "ts")
+    return mark_bars(rolled, interval_seconds(interval))
 
 
 def multi_interval_bars(trades: DataFrame, intervals: list[str]) -> DataFrame:

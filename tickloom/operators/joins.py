@@ -11,7 +11,7 @@ from tickloom.operators.layout import SERIES, prefix_scan
 
 
 def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], keys: Sequence[str] = SERIES,
-              ts: str = "ts", tie: str | None = None, segment_seconds: int = 7 * 86400) -> DataFrame:
+              ts: str = "ts", tie: str | None = None, segment_seconds: int | None = None) -> DataFrame:
     """The latest right row at or before each left row.
 
     Both sides are stacked and the last right row is carried forward by a two-level scan: one

@@ -23,6 +23,7 @@ from tickloom.functions.columns import col, epoch_micros
 
 SERIES = ("connector", "trading_pair")
 SEGMENT_ROWS = 8192
+BAR_SECONDS = "bar_seconds"  # metadata of the ts column: length of a bar
 PIECE = "_piece"
 POS = "_pos"
 OWN = "_own"
@@ -33,12 +34,26 @@ def time_segment(ts: str | Column, seconds: int) -> Column:
     return F.floor(epoch_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def mark_bars(df: DataFrame, seconds: int, ts: str = "ts") -> DataFrame:
+    """Note the bar length on the time column; it travels with the column through transforms."""
+    return df.withMetadata(ts, {BAR_SECONDS: seconds})
+
+
+def segment_width(df: DataFrame, ts: str | Column) -> int:
+    """Time slice that holds about SEGMENT_ROWS bars; 30 days where the bar length is unknown."""
+    if isinstance(ts, str) and ts in df.columns:
+        seconds = df.schema[ts].metadata.get(BAR_SECONDS)
+        if seconds:
+            return int(seconds) * SEGMENT_ROWS
+    return 30 * 86400
+
+
 def prefix_scan(
     df: DataFrame,
     specs: dict[str, tuple[str, str | Column]],
     keys: Sequence[str] = SERIES,
     order: Sequence[str | Column] = ("ts",),
-    segment_seconds: int = 7 * 86400,
+    segment_seconds: int | None = None,
     segment: Column | None = None,
     inclusive: bool = True,
 ) -> DataFrame:
@@ -51,8 +66,10 @@ def prefix_scan(
     order. With ``inclusive=False`` the current row is left out.
     """
     keys = list(keys)
+    seg = segment
+    if seg is None:
+        seg = time_segment(order[0], segment_seconds or segment_width(df, order[0]))
     order = [col(o) for o in order]
-    seg = segment if segment is not None else time_segment(order[0], segment_seconds)
     df = df.withColumn("_seg", seg)
     local = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
@@ -115,9 +132,11 @@ def prefix_scan(
             raise ValueError(f"unknown running aggregate {kind!r}")
 
     carry = df.groupBy(*keys, "_seg").agg(*totals).withColumns(steps).select(*keys, "_seg", *carries)
+    # a merge join keeps the rows partitioned and sorted by (key, segment) as the window left them;
+    # left alone, adaptive execution may broadcast the rows and leave the carry's few partitions
     return (
         df.withColumns(running)
-        .join(carry, [*keys, "_seg"])
+        .join(carry.hint("merge"), [*keys, "_seg"])
         .withColumns(merged)
         .drop("_seg", *running, *extra, *[f"_c_{o}" for o in specs])
     )
@@ -127,7 +146,7 @@ def number_rows(
     df: DataFrame,
     keys: Sequence[str] = SERIES,
     order: Sequence[str | Column] = ("ts",),
-    segment_seconds: int = 7 * 86400,
+    segment_seconds: int | None = None,
 ) -> DataFrame:
     """Adds ``_pos``: 0-based position of the row in its series."""
     out = prefix_scan(df, {POS: ("count", F.lit(1))}, keys, order, segment_seconds)
@@ -165,7 +184,7 @@ def segmented(
     order: Sequence[str | Column] = ("ts",),
     rows: int | None = None,
     ahead: int = 0,
-    segment_seconds: int = 7 * 86400,
+    segment_seconds: int | None = None,
 ) -> tuple[DataFrame, Pieces]:
     """Number the series and lay it out in pieces with ``halo`` earlier and ``ahead`` later rows.
 

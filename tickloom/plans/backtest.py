@@ -19,7 +19,7 @@ CLOSE_TYPES = {1: "TAKE_PROFIT", -1: "STOP_LOSS", 0: "TIME_LIMIT"}
 
 
 def equity_curve(trades: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts_close", "trade_id"),
-                 segment_seconds: int = 7 * 86400) -> DataFrame:
+                 segment_seconds: int | None = None) -> DataFrame:
     """Running PnL of each run by close time, its running maximum and the drawdown."""
     d = prefix_scan(trades, {"equity": ("sum", "pnl_quote"), "peak": ("sum_peak", "pnl_quote"),
                              "total_volume": ("series_sum", "amount")}, keys, order, segment_seconds)

@@ -218,7 +218,7 @@ def range_today_and_week(bars: DataFrame, as_of: Column) -> DataFrame:
 def daily_net_volume(daily: DataFrame) -> DataFrame:
     """Net volume, running net and buy share of each day."""
     d = daily.withColumn("net_volume", F.col("buy_volume") - F.col("sell_volume"))
-    d = prefix_scan(d, {"cumulative_net": ("sum", "net_volume")}, segment_seconds=365 * 86400)
+    d = prefix_scan(d, {"cumulative_net": ("sum", "net_volume")})
     return d.withColumn("buy_pressure_pct", ratio(100 * F.col("buy_volume"), F.col("buy_volume") + F.col("sell_volume")))
 
 
@@ -244,7 +244,7 @@ def cluster_metrics(clusters: DataFrame, bars: DataFrame, top: int = 3) -> DataF
 def representative_markets(clusters: DataFrame, bars: DataFrame, top: int = 1) -> DataFrame:
     """Volume, volatility and liquidity normalised over all markets, weighted 0.6/0.2/0.2, best
     markets per cluster."""
-    b = prefix_scan(bars, {"_p": ("prev", "close")}, segment_seconds=365 * 86400)
+    b = prefix_scan(bars, {"_p": ("prev", "close")})
     usd = F.col("volume") * F.col("close")
     m = b.groupBy("trading_pair").agg(
         F.avg(usd).alias("avg_usd_volume"), ratio(F.stddev_samp(usd), F.avg(usd)).alias("volume_stability"),
@@ -264,7 +264,7 @@ def representative_markets(clusters: DataFrame, bars: DataFrame, top: int = 1) -
 
 def cluster_return_stats(clusters: DataFrame, bars: DataFrame) -> DataFrame:
     """Normalised price (close / first close) statistics per cluster."""
-    b = prefix_scan(bars.select(*SERIES, "ts", "close"), {"_f": ("first", "close")}, segment_seconds=365 * 86400)
+    b = prefix_scan(bars.select(*SERIES, "ts", "close"), {"_f": ("first", "close")})
     b = b.withColumn("normalised", ratio("close", "_f")).join(clusters, "trading_pair")
     return b.groupBy("cluster").agg(
         F.avg("normalised").alias("mean"), F.stddev_samp("normalised").alias("std"),

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.operators.layout import mark_bars
 from tickloom.session import use_utc
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -94,6 +95,8 @@ SELECT o_orderpriority AS bot_name, o_orderkey AS controller_id, o_orderstatus A
 FROM {orders}""",
 }
 
+_BARS = {"bars_1h": 3600, "bars_1d": 86400, "open_interest": 3600}
+
 _SPARK = {"@json": "get_json_object(props, '$.k')", "@row": "struct", "@string": "STRING"}
 _DUCK = {"@json": "json_extract_string(props, '$.k')", "@row": "row", "@string": "VARCHAR"}
 
@@ -119,7 +122,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return table(spark, sf_dir, name)
     text = VIEWS[name]
     inputs = {n: view(spark, sf_dir, n) for n in needs(text)}
-    return spark.sql(_dialect(text, _SPARK), **inputs)
+    out = spark.sql(_dialect(text, _SPARK), **inputs)
+    return mark_bars(out, _BARS[name]) if name in _BARS else out
 
 
 def duck_views(*names: str) -> list[tuple[str, str]]:
