@@ -1,10 +1,31 @@
-"""Pair statistics."""
+"""Pair statistics over many series (Q-A to Q-M).
+
+Two layouts, both without joining all rows of all series:
+
+* Second moments over any history (``pair_correlations``): rows are grouped by time slice and by a
+  pair of symbol blocks; a group is a dense matrix whose product gives the partial sums of all its
+  pairs, and the partial sums are added per pair.
+* Tests over a bounded look-back (``analyse_pairs``): each series is cut to its last N rows, symbols
+  are hashed to blocks of about ``per_block``, and a group holds the rows of two blocks, so a task
+  sees at most 2 * per_block * N rows however many symbols there are. A row is copied once per block.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from tickloom.operators.joins import group_pairs
+from tickloom.functions import kernels as N
+from tickloom.functions.columns import epoch_micros, ratio
+from tickloom.functions.stats import normal_tail
+from tickloom.operators.joins import group_pairs, latest_rows
+from tickloom.operators.layout import SERIES, prefix_scan
+from tickloom.plans.screeners import top_per_group
+from tickloom.session import ensure_checkpoint_dir
 
 
 def funding_differences(funding: DataFrame, blocks: int = 16) -> DataFrame:
@@ -13,3 +34,290 @@ def funding_differences(funding: DataFrame, blocks: int = 16) -> DataFrame:
     gap = F.col("rate1") - F.col("rate2")
     return d.withColumnsRenamed({"item1": "pair1", "item2": "pair2"}).withColumns(
         {"rate_difference": gap, "abs_rate_difference": F.abs(gap)})
+
+
+def top_funding_differences(funding: DataFrame, n: int) -> DataFrame:
+    """Q-M: the n largest differences per venue.
+
+    A pair among the n largest has its low side among the n lowest rates and its high side among the
+    n highest, so only 2n symbols per venue are paired.
+    """
+    low = top_per_group(funding.select("connector", "trading_pair", "rate"), ["connector"], [F.asc("rate"), F.asc("trading_pair")], n).drop("rank")
+    high = top_per_group(funding.select("connector", "trading_pair", "rate"), ["connector"], [F.desc("rate"), F.asc("trading_pair")], n).drop("rank")
+    pairs = funding_differences(low.unionByName(high).distinct(), 4)
+    return top_per_group(pairs, ["connector"], [F.desc("abs_rate_difference"), F.asc("pair1"), F.asc("pair2")], n)
+
+
+def returns(bars: DataFrame) -> DataFrame:
+    b = prefix_scan(bars.select(*SERIES, "ts", "close"), {"_p": ("prev", "close")})
+    return b.withColumn("ret", ratio("close", "_p") - 1).drop("_p")
+
+
+def tail(df: DataFrame, n: int) -> DataFrame:
+    """The last n rows per series with ``rank`` 1 for the newest."""
+    return top_per_group(df, [*SERIES], [F.desc("ts")], n)
+
+
+def symbol_blocks(df: DataFrame, per_block: int) -> int:
+    """How many blocks keep about ``per_block`` symbols each (one scalar from the cluster)."""
+    m = df.select("trading_pair").distinct().count()
+    return max(1, -(-m // per_block))
+
+
+def _cells(df: DataFrame, blocks: int) -> DataFrame:
+    b = F.pmod(F.hash("trading_pair"), F.lit(blocks))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    return df.withColumn("_b", b).withColumn("_o", other).withColumns(
+        {"_lo": F.least("_b", "_o"), "_hi": F.greatest("_b", "_o")}).drop("_o")
+
+
+def _pairs_in(blocks: dict[str, int], lo: int, hi: int) -> Iterable[tuple[str, str]]:
+    names = sorted(blocks)
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            if {blocks[a], blocks[b]} == {lo, hi} if lo != hi else blocks[a] == blocks[b] == lo:
+                yield a, b
+
+
+def pair_correlations(values: DataFrame, x: str, min_points: int = 100, slice_seconds: int = 30 * 86400,
+                      per_block: int = 128) -> DataFrame:
+    """Q-J: correlation of every pair over the times both have a value, in long form.
+
+    Values are centred per series first, so the partial sums keep their digits.
+    """
+    v = values.select("trading_pair", "ts", F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    mean = v.groupBy("trading_pair").agg(F.avg("x").alias("_m"))
+    v = v.join(mean, "trading_pair").withColumn("x", F.col("x") - F.col("_m")).drop("_m")
+    v = v.withColumns({"t": epoch_micros("ts"), "_slice": F.floor(epoch_micros("ts") / (slice_seconds * 1_000_000))}).drop("ts")
+
+    def moments(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, lo, hi = key
+        blocks = dict(zip(pdf["trading_pair"], pdf["_b"]))
+        wide = pdf.pivot_table(index="t", columns="trading_pair", values="x", aggfunc="last")
+        names = list(wide.columns)
+        at = {n: i for i, n in enumerate(names)}
+        raw = wide.to_numpy(dtype=float)
+        has = (~np.isnan(raw)).astype(float)
+        z = np.nan_to_num(raw)
+        n, sx, sxx, sxy = has.T @ has, z.T @ has, (z * z).T @ has, z.T @ z
+        out = [(a, b, n[at[a], at[b]], sx[at[a], at[b]], sx[at[b], at[a]], sxx[at[a], at[b]], sxx[at[b], at[a]], sxy[at[a], at[b]])
+               for a, b in _pairs_in(blocks, lo, hi) if n[at[a], at[b]] > 0]
+        return pd.DataFrame(out, columns=["pair1", "pair2", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    part = _cells(v, symbol_blocks(v, per_block)).groupBy("_slice", "_lo", "_hi").applyInPandas(
+        moments, "pair1 string, pair2 string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    s = part.groupBy("pair1", "pair2").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    var = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
+    return s.filter(n >= min_points).select("pair1", "pair2", n.cast("bigint").alias("points"),
+                                            ratio(cov, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("correlation"))
+
+
+# f(name1, name2, x1, x2, times) -> rows
+PairFunction = Callable[[str, str, np.ndarray, np.ndarray, np.ndarray], list[tuple]]
+
+
+def analyse_pairs(values: DataFrame, x: str, lookback: int, fn: PairFunction, schema: str, align: str = "ts",
+                  min_points: int = 30, cuts: tuple[int, ...] = (0,), per_block: int = 16) -> DataFrame:
+    """Runs ``fn`` on every pair (name1 < name2) over the last ``lookback`` rows of each series.
+
+    ``align``: by time, or by position from the end ("tail"). ``cuts`` repeats the analysis after
+    dropping the first c common rows (Q-I) and adds the column ``cut``.
+    """
+    v = tail(values.select(*SERIES, "ts", F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull()), lookback)
+    v = v.withColumn("t", epoch_micros("ts") if align == "ts" else -F.col("rank").cast("bigint"))
+    v = v.select("connector", "trading_pair", "t", "x")
+    names = StructType.fromDDL(schema).fieldNames()
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, lo, hi = key
+        blocks = dict(zip(pdf["trading_pair"], pdf["_b"]))
+        series = {n: g.sort_values("t") for n, g in pdf.groupby("trading_pair")}
+        series = {n: (g["t"].to_numpy(), g["x"].to_numpy(dtype=float)) for n, g in series.items()}
+        rows = []
+        for a, b in _pairs_in(blocks, lo, hi):
+            (ta, xa), (tb, xb) = series[a], series[b]
+            t, ia, ib = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
+            for cut in cuts:
+                if len(t) - cut >= min_points:
+                    rows += [(key[0], cut, *r) for r in fn(a, b, xa[ia][cut:], xb[ib][cut:], t[cut:])]
+        return pd.DataFrame(rows, columns=["connector", "cut", *names])
+
+    cells = _cells(v, symbol_blocks(v, per_block))
+    return cells.groupBy("connector", "_lo", "_hi").applyInPandas(run, f"connector string, cut int, {schema}")
+
+
+COINTEGRATION = ("base string, quote string, p_value double, alpha double, beta double, z_mean double, z_std double, "
+                 "current_z_score double, median_error double, last_t bigint, points int")
+
+
+def cointegration(bars: DataFrame, lookback: int, signal_rows: int, z_threshold: float = 2.0, align: str = "ts", **kw) -> DataFrame:
+    """Q-A/Q-B: Engle-Granger p-value, hedge regression and spread signal for both directions."""
+
+    def one(a, b, x1, x2, t):
+        out = []
+        for base, quote, y, x in ((a, b, x1, x2), (b, a, x2, x1)):
+            alpha, beta = N.hedge(y, x)
+            z = y - (alpha + beta * x)
+            sd = float(z.std())
+            recent = slice(max(0, len(y) - signal_rows), None)
+            error = (alpha + beta * x[recent] - y[recent]) / np.abs(y[recent]) * 100
+            out.append((base, quote, N.cointegration_p(y, x), alpha, beta, float(z.mean()), sd,
+                        float((z[-1] - z.mean()) / sd) if sd > 0 else None, float(np.median(error)), int(t[-1]), len(y)))
+        return out
+
+    d = analyse_pairs(bars, "close", lookback, one, COINTEGRATION, align, **kw)
+    z = F.abs("current_z_score")
+    return d.withColumns({
+        "side": F.when(z < z_threshold, "both").when(F.col("current_z_score") > z_threshold, "short").otherwise("long"),
+        "signal_strength": z / z_threshold, "mean_reversion_probability": _normal_tail(z),
+        "stop_loss_z_score": F.col("current_z_score") * 1.5, "position_ratio": F.col("beta")})
+
+
+def _normal_tail(z: Column) -> Column:
+    @F.pandas_udf("double")
+    def udf(s: pd.Series) -> pd.Series:
+        return pd.Series(normal_tail(s.to_numpy(dtype=float)), index=s.index)
+    return udf(z)
+
+
+def grid_levels(analysis: DataFrame, prices: DataFrame, entry: float = 1.5, stop: float = 1.0, levels: int = 5,
+                limit_hours: int = 24) -> DataFrame:
+    """Q-C: entry, end and limit price, equal steps and z-score targets from the spread signal.
+
+    ``prices``: trading_pair, price of the base leg.
+    """
+    d = analysis.join(prices.select(F.col("trading_pair").alias("base"), "price"), "base")
+    z, move = F.col("current_z_score"), F.col("z_std") * F.col("beta")
+    live, short = F.abs(z) > entry, z > 0
+    way = F.when(short, -1).otherwise(1)
+    price = F.col("price")
+    end = price * (1 + way * F.abs(z) * move)
+    d = d.withColumns({
+        "grid_side": F.when(live, F.when(short, "short").otherwise("long")).otherwise("both"),
+        "entry_price": F.when(live, price), "end_price": F.when(live, end),
+        "limit_price": F.when(live, price * (1 - way * stop * move)),
+        "stop_z_score": F.when(live, z + F.when(short, stop).otherwise(-stop)), "target_z_score": F.when(live, F.lit(0.0)),
+        "grid_step": F.when(live, F.abs(end - price) / (levels + 1)),
+        "time_limit": F.when(live, F.timestamp_micros("last_t") + F.make_dt_interval(hours=F.lit(limit_hours)))})
+    steps = F.sequence(F.lit(1), F.lit(levels))
+    return d.withColumn("grid_prices", F.when(live, F.transform(steps, lambda i: F.col("entry_price") + i * F.col("grid_step") * way)))
+
+
+def pair_ratings(grids: DataFrame, p_threshold: float = 0.05) -> DataFrame:
+    """Q-D: cointegrated flag, potential profit and risk ratio, strongest signals first."""
+    gain = F.abs(F.col("end_price") - F.col("entry_price"))
+    off = F.col("grid_side") == "both"
+    return grids.withColumns({
+        "cointegrated": F.col("p_value") < p_threshold,
+        "potential_profit": F.when(off, 0.0).otherwise(ratio(gain, "entry_price")),
+        "risk_ratio": F.when(off, 0.0).otherwise(ratio(gain, F.abs(F.col("limit_price") - F.col("entry_price"))))})
+
+
+def lead_lag(values: DataFrame, x: str, lookback: int, max_lag: int = 6, **kw) -> DataFrame:
+    """Q-E: correlation per lag; a positive best lag means the second symbol is shifted forward, so
+    the first one leads."""
+
+    def one(a, b, x1, x2, t):
+        c = N.lagged_correlations(x1, x2, max_lag)
+        best = int(np.nanargmax(c)) if not np.all(np.isnan(c)) else max_lag
+        lag = best - max_lag
+        lead, follow = (None, None) if lag == 0 else (b, a) if lag < 0 else (a, b)
+        return [(a, b, lag, c[best], lead, follow, c)]
+
+    return analyse_pairs(values, x, lookback, one,
+                         "pair1 string, pair2 string, best_lag int, best_lag_corr double, dominant string, follower string, correlations array<double>", **kw)
+
+
+def granger(values: DataFrame, x: str, lookback: int, max_lag: int = 6, significance: float = 0.05, **kw) -> DataFrame:
+    """Q-F: F-test p-values per lag for both directions, rounded to 4 digits."""
+
+    def one(a, b, x1, x2, t):
+        out = []
+        for predictor, response, px, py in ((a, b, x1, x2), (b, a, x2, x1)):
+            p = [round(v, 4) for v in N.granger_p(py, px, max_lag)]
+            ok = {i + 1: v for i, v in enumerate(p) if v < significance}
+            best = min(ok, key=ok.get) if ok else None
+            out.append((predictor, response, p, sorted(ok), bool(ok), best, ok.get(best),
+                        predictor if ok else None, response if ok else None))
+        return out
+
+    return analyse_pairs(values, x, lookback, one,
+                         "predictor string, response string, p_values array<double>, significant_lags array<int>, causal boolean, "
+                         "best_lag int, best_p_value double, dominant string, follower string", **kw)
+
+
+def time_warping(values: DataFrame, x: str, lookback: int, band: int | None = None, **kw) -> DataFrame:
+    """Q-G: warped distance; the calmer series counts as the leader."""
+
+    def one(a, b, x1, x2, t):
+        s1, s2 = x1.std(ddof=1), x2.std(ddof=1)
+        lead, follow = (a, b) if s1 < s2 else (b, a) if s2 < s1 else (None, None)
+        return [(a, b, round(N.dtw_distance(x1, x2, band), 6), lead, follow)]
+
+    return analyse_pairs(values, x, lookback, one, "pair1 string, pair2 string, dtw_distance double, dominant string, follower string", **kw)
+
+
+def information_flow(values: DataFrame, x: str, lookback: int, bins: int = 3, **kw) -> DataFrame:
+    """Q-H: transfer entropy in both directions, rounded to 6 digits."""
+
+    def one(a, b, x1, x2, t):
+        out = []
+        for p, r, px, py in ((a, b, x1, x2), (b, a, x2, x1)):
+            te = round(N.transfer_entropy(px, py, bins), 6)
+            out.append((p, r, te, p if te > 0 else None, r if te > 0 else None))
+        return out
+
+    return analyse_pairs(values, x, lookback, one,
+                         "predictor string, response string, transfer_entropy double, dominant string, follower string", **kw)
+
+
+def distances(p_values: DataFrame, similarity: bool = False) -> DataFrame:
+    """Q-K: distance 1 - p (p itself with ``similarity``), averaged over both directions."""
+    d = F.col("p_value") if similarity else 1 - F.col("p_value")
+    return p_values.groupBy("connector", F.least("base", "quote").alias("pair1"), F.greatest("base", "quote").alias("pair2")).agg(
+        F.greatest(F.avg(d), F.lit(0.0)).alias("distance"))
+
+
+def clusters_at(edges: DataFrame, height: float) -> DataFrame:
+    """Q-K: connected components of the pairs closer than ``height``: smallest label by repeated
+    joins, with jumps over labels of labels; each round is cut by a checkpoint."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    near = edges.filter(F.col("distance") < height).select("connector", F.col("pair1").alias("a"), F.col("pair2").alias("b"))
+    both = near.unionByName(near.select("connector", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    nodes = edges.select("connector", F.col("pair1").alias("a")).union(edges.select("connector", "pair2")).distinct()
+    labels = nodes.withColumn("label", F.col("a")).checkpoint()
+    while True:
+        seen = both.join(labels.select("connector", F.col("a").alias("b"), F.col("label").alias("_l")), ["connector", "b"])
+        best = seen.groupBy("connector", "a").agg(F.min("_l").alias("_l"))
+        new = labels.join(best, ["connector", "a"], "left").select("connector", "a", F.least("label", F.coalesce("_l", "label")).alias("label"))
+        jump = new.select("connector", F.col("a").alias("label"), F.col("label").alias("_j"))
+        new = new.join(jump, ["connector", "label"], "left").select("connector", "a", F.least("label", F.coalesce("_j", "label")).alias("label"))
+        new = new.checkpoint()
+        moved = new.join(labels.withColumnRenamed("label", "_old"), ["connector", "a"]).filter(F.col("label") != F.col("_old"))
+        labels = new
+        if moved.isEmpty():
+            return labels.withColumnRenamed("a", "trading_pair")
+
+
+def ward_clusters(edges: DataFrame, k: int, max_symbols: int = 2000) -> DataFrame:
+    """Q-K: Ward clusters per connector. The distance table of one connector is one group; its symbol
+    count is bounded and checked, beyond it use ``clusters_at``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["pair1"]) | set(pdf["pair2"]))
+        if len(names) > max_symbols:
+            raise ValueError(f"{len(names)} symbols exceed the bound of {max_symbols}; use clusters_at")
+        at = {n: i for i, n in enumerate(names)}
+        d = np.ones((len(names), len(names)))
+        i, j = pdf["pair1"].map(at).to_numpy(), pdf["pair2"].map(at).to_numpy()
+        d[i, j] = d[j, i] = pdf["distance"].to_numpy()
+        np.fill_diagonal(d, 0.0)
+        return pd.DataFrame({"connector": pdf["connector"].iloc[0], "trading_pair": names, "cluster": N.ward_labels(d, k)})
+
+    return edges.groupBy("connector").applyInPandas(run, "connector string, trading_pair string, cluster int")
+
+
+def last_prices(bars: DataFrame) -> DataFrame:
+    return latest_rows(bars.select(*SERIES, "ts", F.col("close").alias("price"))).select("trading_pair", "price")
