@@ -9,6 +9,7 @@ from tickloom.catalog.registry import query
 from tickloom.operators.layout import SERIES
 from tickloom.plans import learning as M
 from tickloom.plans.features import LearningSet
+from tickloom.session import ensure_checkpoint_dir
 
 
 @query("m01_scaled", "l_orderkey:i l_linenumber:i l_partkey:i q:6 p:6", sql="""SELECT *, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS q,
@@ -52,6 +53,8 @@ def m04(view):
     features = LearningSet().calculate(view("bars_1h"))
     labels = barriers(view).select(*SERIES, "ts", F.col("close_type").alias("label"))
     d = features.join(labels, [*SERIES, "ts"]).na.drop(subset=LearningSet.columns()).select(*SERIES, "ts", "label", *LearningSet.columns())
+    ensure_checkpoint_dir(d.sparkSession)
+    d = d.checkpoint()
     train, test = M.split(d, ["trading_pair", "ts"])
     model = M.train_forest(train, LearningSet.columns(), trees=20)
     return M.classification_report(M.score(model, test))

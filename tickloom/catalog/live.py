@@ -86,4 +86,4 @@ def st5(view):
     f = work_folder(spark)
     stream = as_stream(bars.repartition(12, "ts"), f"{f}/bars")
     L.refresh_lake(stream, f"{f}/lake", f"{f}/state").awaitTermination()
-    return spark.read.parquet(L.lake_version(spark, f"{f}/lake"))
+    return spark.read.parquet(f"{f}/lake")

@@ -275,3 +275,46 @@ def g17(view):
         ((F.max("high") - F.min("low")) / F.max_by("close", "ts")).alias("range_pct"))
     s = f.select("trading_pair", F.when(F.col("price") > F.col("_avg"), 0.8).otherwise(-0.8).alias("value"))
     return Gr.trend_grids(s, f, F.lit("20011201_0000"))
+
+
+@query("f03_level_windows", "trading_pair window:i start_time end_time close:4 resistance:5 support:5 levels:i", "bars_1h")
+def f03(view):
+    from tickloom.operators.peaks import level_windows
+    w = level_windows(view("bars_1h"))
+    return w.select("trading_pair", "window", "start_time", "end_time", "close", F.array_min("high_clusters").alias("resistance"),
+                    F.array_max("low_clusters").alias("support"), (F.size("high_clusters") + F.size("low_clusters")).alias("levels"))
+
+
+@query("f11_level_signal", "ts signal_name trading_pair category value:5", "bars_1h")
+def f11_levels(view):
+    from tickloom.operators.peaks import level_signal, level_windows, nearest_levels
+    b = view("bars_1h")
+    return level_signal(nearest_levels(level_windows(b), b), 0.5)
+
+
+@query("f04_series_peaks", "trading_pair kind ts price:4", "bars_1h")
+def f04(view):
+    from tickloom.operators.peaks import series_peaks
+    return series_peaks(view("bars_1h"), 0.05, 20)
+
+
+@query("j09_earlier_peak", K + "target:4", "bars_1h", ctes={
+    "nb": O.numbered(),
+    "pk": f"""SELECT connector, trading_pair, i, close AS price FROM (SELECT *, max(close) OVER f AS m FROM nb
+WINDOW f AS (PARTITION BY connector, trading_pair ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)) WHERE close = m""",
+    "hit": """SELECT a.connector, a.trading_pair, a.i, arg_max(p.price, p.i) AS price FROM nb a JOIN pk p ON p.connector = a.connector
+AND p.trading_pair = a.trading_pair AND p.i < a.i AND p.price > a.close GROUP BY ALL"""},
+       sql="SELECT a.*, coalesce(h.price, a.close * 1.05) AS target FROM nb a LEFT JOIN hit h ON h.connector = a.connector AND h.trading_pair = a.trading_pair AND h.i = a.i")
+def j09(view):
+    from tickloom.operators import rolling as R
+    from tickloom.operators.layout import POS, own_rows, segmented
+    from tickloom.operators.peaks import earlier_peak
+    df, p = segmented(view("bars_1h"), 7, ahead=7)
+    df = own_rows(df.withColumn("_top", R.pivot_flags("close", 7, 7, p)[0]))
+    peaks = df.filter("_top").select(*SERIES, POS, F.col("close").alias("price"))
+    return earlier_peak(df, peaks, "target", True, F.col("close") * 1.05)
+
+
+@query("g11_xgrid", K + "signal:i tp_long:4 tp_short:4 sl_long:4 sl_short:4 limit_long:4 tp_pct:6 sl_pct:6 trailing_delta:6", "bars_1h")
+def g11(view):
+    return G.xgrid_targets(G.XGrid(distance=20).calculate(view("bars_1h")))

@@ -286,3 +286,45 @@ def dca_ladder(signals: DataFrame, amount_quote: float, spreads=SPREADS, weights
         (F.col("_l.share") * amount_quote).alias("amount_quote"),
         stop.alias("stop_loss"), act.alias("activation_price"), trail.alias("trailing_delta"))
 
+
+
+@dataclass(frozen=True)
+class XGrid:
+    """Triple EMA; take profit from the last peak beyond the bar, else an earlier one beyond the
+    close, else the default; stop and limit from Donchian and NATR."""
+    emas: tuple[int, int, int] = (8, 29, 31)
+    donchian: int = 50
+    natr_length: int = 100
+    natr_multiplier: float = 2.0
+    tp_default: float = 0.05
+    prominence: float = 0.05
+    distance: int = 100
+
+    def calculate(self, bars: DataFrame) -> DataFrame:
+        from tickloom.operators.peaks import earlier_peak, series_peaks
+        df, p = segmented(bars, max(C.ema_memory(max(self.emas)), C.rma_memory(self.natr_length), self.donchian))
+        df = df.withColumns({"sl_long": R.lowest("low", self.donchian, p), "sl_short": R.highest("high", self.donchian, p)})
+        df = own_rows(C.indicators(df, p, extra=(C.rma_of("natr", "_tr", self.natr_length, 1),
+                                                 *[C.ema_of(f"ema_{n}", "close", n) for n in self.emas])))
+        df = df.withColumn("natr", ratio(100 * F.col("natr"), "close"))
+        a, b, c = (F.col(f"ema_{n}") for n in self.emas)
+        df = df.withColumn("signal", direction((a > b) & (b > c) & (a > c), (a < b) & (b < c) & (a < c)))
+        df = df.withColumns({"limit_long": F.col("sl_long") * (1 + self.natr_multiplier * F.col("natr")),
+                             "limit_short": F.col("sl_short") * (1 - self.natr_multiplier * F.col("natr"))})
+        peaks = series_peaks(bars, self.prominence, self.distance)
+        for kind, side, edge, way in (("high", "long", "high", 1), ("low", "short", "low", -1)):
+            mine = peaks.filter(F.col("kind") == kind)
+            df = earlier_peak(df, mine, "_open", way > 0, F.col("close") * (1 + way * self.tp_default))
+            df = df.join(mine.select(*SERIES, POS, F.col("price").alias("_peak")), [*SERIES, POS], "left")
+            df = prefix_scan(df, {"_last": ("last", "_peak")})
+            beyond = F.col("_last") > F.col(edge) if way > 0 else F.col("_last") < F.col(edge)
+            df = df.withColumn(f"tp_{side}", F.when(beyond, F.col("_last")).otherwise(F.col("_open"))).drop("_peak", "_last", "_open")
+        return df
+
+
+def xgrid_targets(df: DataFrame) -> DataFrame:
+    """Take-profit and stop fractions and the trailing stop of the newest bar's side."""
+    long = F.col("signal") > 0
+    tp = ratio(F.abs(F.when(long, F.col("tp_long")).otherwise(F.col("tp_short")) - F.col("close")), "close")
+    sl = ratio(F.abs(F.when(long, F.col("sl_long")).otherwise(F.col("sl_short")) - F.col("close")), "close")
+    return df.withColumns({"tp_pct": tp, "sl_pct": sl, "trailing_activation": tp * 0.5, "trailing_delta": tp * 0.5 * 0.2})

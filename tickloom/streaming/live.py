@@ -67,33 +67,24 @@ def live_stops(updates: DataFrame, started: DataFrame, as_of, **limits) -> DataF
 
 
 def refresh_lake(bars_stream: DataFrame, folder: str, checkpoint: str):
-    """ST5: process what is new, then stop. Each batch merges with what the lake held and is written
-    as the next version folder; the newest complete version is the table, so a lost executor or a
-    repeated batch leaves the previous one intact."""
+    """ST5: process what is new, then stop. Only the days a batch touches are read, merged by key
+    and replaced (dynamic partition overwrite), so the cost follows the batch, not the lake. A
+    repeated batch merges to the same rows."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        previous = lake_version(spark, folder, before=batch_id)
-        merged = batch if previous is None else merge_bars(spark.read.parquet(previous).select(*batch.columns), batch, mode="key")
-        merged.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        fresh = batch.withColumn("day", F.to_date("ts"))
+        if path_exists(spark, folder):
+            held = spark.read.parquet(folder).join(fresh.select("day").distinct(), "day", "left_semi").select(*fresh.columns)
+            fresh = merge_bars(held, fresh, mode="key", keys=(*SERIES, "ts", "day"))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
 
     return bars_stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def lake_version(spark, folder: str, before: int | None = None) -> str | None:
-    """Newest completely written version folder (one with a success marker)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = []
-    for s in fs.listStatus(path):
-        name = s.getPath().getName()
-        done = fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-        if name.startswith("version=") and done and (before is None or int(name[8:]) < before):
-            found.append(int(name[8:]))
-    return f"{folder}/version={max(found)}" if found else None
+def path_exists(spark, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def live_scores(bars_stream: DataFrame, model: PipelineModel, history, sink, checkpoint: str):
