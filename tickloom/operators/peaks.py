@@ -147,11 +147,12 @@ def prominent(peaks: DataFrame, sides: DataFrame, prominence: DataFrame) -> Data
     piece to find the piece that decides, and then only at that piece.
     """
     rows = sides.withColumnRenamed(POS, "p").withColumn(PIECE, F.floor(F.col("p") / ROWS))
+    peaks = peaks.checkpoint()
     cand = peaks.join(prominence.select(*SERIES, "_prominence"), [*SERIES]).withColumn(PIECE, F.floor(F.col("p") / ROWS))
     shape = rows.groupBy(*KEYS, PIECE).agg(F.max("x").alias("hi"), F.min("x").alias("lo"))
     out = None
     for side in ("left", "right"):
-        first = _search(rows, cand.withColumn("at", F.col(PIECE)), side)
+        first = _search(rows, cand.withColumn("at", F.col(PIECE)), side).checkpoint()
         open_ = first.filter(F.col("passed").isNull())
         later = _deciding_piece(shape, open_, side)
         second = _search(rows, later.filter(F.col("at").isNotNull()), side)
@@ -211,11 +212,13 @@ def _deciding_piece(shape: DataFrame, open_: DataFrame, side: str) -> DataFrame:
 def series_peaks(bars: DataFrame, share: float = 0.01, distance: int = 5) -> DataFrame:
     """all peak highs and lows with time, price and kind ("high", "low")."""
     bars = _named(bars)
+    ensure_checkpoint_dir(bars.sparkSession)
+    bars = bars.select(*SERIES, POS, "ts", "high", "low").checkpoint()  # read by every step below
     sides = two_sided(bars)
     found = prominent(thin(local_maxima(sides), distance), sides, series_shape(bars, share))
     price = F.when(F.col("kind") == "low", -F.col("x")).otherwise(F.col("x"))
     out = found.select(*SERIES, F.col("p").alias(POS), price.alias("price"), "kind")
-    return out.join(bars.select(*SERIES, POS, "ts"), [*SERIES, POS])
+    return out.join(bars.select(*SERIES, POS, "ts"), [*SERIES, POS]).checkpoint()
 
 
 # --- J09: latest earlier peak beyond the price ---------------------------------------------------

@@ -17,6 +17,7 @@ from tickloom.operators.fold import fold_series, supertrend
 from tickloom.operators.joins import asof_join, latest_rows
 from tickloom.operators.layout import POS, SERIES, own_rows, prefix_scan, segmented
 from tickloom.plans.features import MeanReversionChannel
+from tickloom.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -312,10 +313,12 @@ class XGrid:
         df = df.withColumns({"limit_long": F.col("sl_long") * (1 + self.natr_multiplier * F.col("natr")),
                              "limit_short": F.col("sl_short") * (1 - self.natr_multiplier * F.col("natr"))})
         peaks = series_peaks(bars, self.prominence, self.distance)
+        ensure_checkpoint_dir(df.sparkSession)
         for kind, side, edge, way in (("high", "long", "high", 1), ("low", "short", "low", -1)):
             mine = peaks.filter(F.col("kind") == kind)
+            df = df.checkpoint()  # the steps below read the bars several times
             df = earlier_peak(df, mine, "_open", way > 0, F.col("close") * (1 + way * self.tp_default))
-            df = df.join(mine.select(*SERIES, POS, F.col("price").alias("_peak")), [*SERIES, POS], "left")
+            df = df.join(mine.select(*SERIES, POS, F.col("price").alias("_peak")), [*SERIES, POS], "left").checkpoint()
             df = prefix_scan(df, {"_last": ("last", "_peak")})
             beyond = F.col("_last") > F.col(edge) if way > 0 else F.col("_last") < F.col(edge)
             df = df.withColumn(f"tp_{side}", F.when(beyond, F.col("_last")).otherwise(F.col("_open"))).drop("_peak", "_last", "_open")
