@@ -193,5 +193,5 @@ def swap_amounts(raw: DataFrame) -> DataFrame:
     out = raw.withColumns({"from_amount": scale("from_units", "from_decimals"), "to_amount": scale("to_units", "to_decimals")})
     return out.withColumns({
         "execution_price": F.when(F.col("to_amount") == 0, F.lit(0).cast(d)).otherwise(
-            F.try_divide(F.col("from_amount").cast("decimal(26,12)"), F.col("to_amount").cast("decimal(26,12)")).cast(d)),
+            ratio("from_amount", "to_amount").cast(d)),
         "value_in_usd": (F.col("from_amount") * F.col("from_price").cast("decimal(18,6)")).cast(d)})
