@@ -189,7 +189,13 @@ def compare_quotes(quotes: DataFrame) -> DataFrame:
 def swap_amounts(raw: DataFrame) -> DataFrame:
     """Base-unit amounts to token units, execution price and USD value, as decimals."""
     d = "decimal(38,18)"
-    scale = lambda a, n: (F.col(a).cast("decimal(38,0)") / F.pow(F.lit(10.0), F.col(n)).cast("decimal(20,0)")).cast(d)
+
+    def scale(a: str, n: str) -> Column:
+        """Whole tokens and remainder apart: one decimal division would keep six digits only."""
+        units, one = F.col(a).cast("decimal(38,0)"), F.pow(F.lit(10.0), F.col(n)).cast("decimal(19,0)")
+        rest = (units % one).cast("decimal(18,0)")
+        return (((units - rest) / one).cast("decimal(20,0)").cast(d) + (rest / one).cast(d)).cast(d)
+
     out = raw.withColumns({"from_amount": scale("from_units", "from_decimals"), "to_amount": scale("to_units", "to_decimals")})
     return out.withColumns({
         "execution_price": F.when(F.col("to_amount") == 0, F.lit(0).cast(d)).otherwise(
