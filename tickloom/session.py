@@ -33,9 +33,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Lineage is cut in the shared folder the cluster names; a private one only where none is set."""
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
+    """Lineage is cut in the shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a local session, where driver and executors share one disk, gets a private folder if none is named."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="tickloom-checkpoint-")
+    sc.setCheckpointDir(configured)
