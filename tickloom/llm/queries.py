@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import table
+from tickloom.llm.langid import language_id
 from tickloom.llm.licences import licence_scan
 from tickloom.llm.sharding import stratified_shards
+from tickloom.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +20,19 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stratified_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "source", "frac_rank")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op8_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op3_simhash, op7_language, op8_shards)}
 ORACLE_SQL: dict[str, str] = {}
