@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import mixing
 from tickloom.llm.common import table
 from tickloom.llm.langid import language_id
 from tickloom.llm.licences import licence_scan
+from tickloom.llm.packing import pack
 from tickloom.llm.sharding import stratified_shards
 from tickloom.llm.simhash import simhash_components
 
+#: The ranks of the vocabulary in byte_bpe_50k.json.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +30,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "source", "lang", "topic", "tokens",
+                      F.round("probability", 6).alias("probability"), "kept")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -34,5 +50,5 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "source", "frac_rank")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op3_simhash, op7_language, op8_shards)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op3_simhash, op4_packing, op6_mixing, op7_language, op8_shards)}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
