@@ -13,6 +13,7 @@ from tickloom.llm.common import table
 from tickloom.llm.langid import language_id
 from tickloom.llm.licences import licence_scan
 from tickloom.llm.packing import pack
+from tickloom.llm.secrets import secret_scan
 from tickloom.llm.sharding import stratified_shards
 from tickloom.llm.simhash import simhash_components
 
@@ -50,5 +51,9 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "source", "frac_rank")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op3_simhash, op4_packing, op6_mixing, op7_language, op8_shards)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op3_simhash, op4_packing, op6_mixing, op7_language, op8_shards, op9_secrets)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
