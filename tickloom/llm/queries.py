@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import mixing
 from tickloom.llm.common import table
+from tickloom.llm.forest import nearest
 from tickloom.llm.langid import language_id
 from tickloom.llm.licences import licence_scan
 from tickloom.llm.packing import pack
 from tickloom.llm.secrets import secret_scan
 from tickloom.llm.sharding import stratified_shards
 from tickloom.llm.simhash import simhash_components
+from tickloom.llm.tiles import cosine_links
 
 #: The ranks of the vocabulary in byte_bpe_50k.json.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,6 +37,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "source", "lang", "topic", "tokens",
@@ -55,5 +61,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_licences, op3_simhash, op4_packing, op6_mixing, op7_language, op8_shards, op9_secrets)}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_links(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_licences, op3_simhash, op4_packing, op5_neighbours, op6_mixing, op7_language, op8_shards, op9_secrets,
+    op10_embeddings)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
