@@ -155,6 +155,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, end: int = END, length:
     begins = parts.withColumn("queue", number).select(
         F.col("source").alias("own"), F.col("part").alias("own_part"), "queue",
         (F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("begin"))
+    begins = written(begins, "begins")  # its size is known then, and Spark joins it without a shuffle if it is small
     placed = tokens.join(begins, (tokens["part"] == begins["own_part"]) & tokens["source"].eqNullSafe(begins["own"]))
     placed = placed.select("doc_id", "source", "n_tokens", "queue", (F.col("begin") + F.col("ahead")).alias("at"), "ids")
 

@@ -14,6 +14,7 @@ from tickloom.llm.forest import nearest
 from tickloom.llm.langid import language_id
 from tickloom.llm.licences import licence_scan
 from tickloom.llm.packing import pack
+from tickloom.llm.paragraphs import removals
 from tickloom.llm.secrets import secret_scan
 from tickloom.llm.sharding import stratified_shards
 from tickloom.llm.simhash import simhash_components
@@ -25,6 +26,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removals(table(spark, sf_dir, "documents"))
+
+
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,6 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_licences, op3_simhash, op4_packing, op5_neighbours, op6_mixing, op7_language, op8_shards, op9_secrets,
-    op10_embeddings)}
+    op1_paragraphs, op2_licences, op3_simhash, op4_packing, op5_neighbours, op6_mixing, op7_language, op8_shards,
+    op9_secrets, op10_embeddings)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
