@@ -4,7 +4,7 @@ Every source has a queue of its documents' tokens. Rounds of about one window ea
 r rounds a queue of T tokens has been owed r * T / R tokens (R rounds in all) and has been served the whole
 part of that, so its deficit is the fraction below one token that is carried on. The served tokens, round by
 round, are one stream that is cut into windows of 2048. Each window therefore holds every source within a
-token or two of its share, all queues run dry together, and the deficit before any round is known in closed
+few tokens of its share (the rounding of its two rounds, and 2048 / R tokens by which a round is short of a window), all queues run dry together, and the deficit before any round is known in closed
 form: partitions of the data need no state from each other.
 
 Sources with less than ``min_share`` of all tokens share one queue, so there are at most 1 / min_share + 1
