@@ -89,11 +89,11 @@ def j11(view):
 
 
 @query("j12_semi_liquid", "connector trading_pair ts close:4", "bars_1d",
-       sql="""SELECT * FROM bars_1d WHERE trading_pair IN (SELECT trading_pair FROM (SELECT trading_pair, sum(quote_asset_volume) AS q FROM bars_1d GROUP BY 1)
+       sql="""SELECT * FROM bars_1d WHERE (connector, trading_pair) IN (SELECT (connector, trading_pair) FROM (SELECT connector, trading_pair, sum(quote_asset_volume) AS q FROM bars_1d GROUP BY 1, 2)
 QUALIFY q >= quantile_cont(q, 0.75) OVER ())""")
 def j12(view):
     b = view("bars_1d")
-    return b.join(liquid_pairs(b).select("trading_pair"), "trading_pair", "left_semi")
+    return b.join(liquid_pairs(b).select(*SERIES), [*SERIES], "left_semi")
 
 
 CONFIGS = "SELECT o_orderkey AS config_id, concat('P', o_custkey % 400) AS base_trading_pair, concat('P', o_custkey % 300 + 50) AS quote_trading_pair FROM orders"

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from tickloom.catalog import oracle as O
 from tickloom.catalog.recursive import NB
 from tickloom.catalog.registry import query
+from tickloom.functions.columns import bars_per_day
 from tickloom.operators import pairs as Q
+from tickloom.operators.layout import SERIES
 from tickloom.plans.grids import pair_grid_configs
 from tickloom.plans.screeners import accepted_pairs, liquid_pairs, relationship_counts
 
-LOOK = 999
+LOOKBACK_DAYS, SIGNAL_DAYS = 14, 3
+LOOK, SIGNAL = LOOKBACK_DAYS * bars_per_day("1h"), SIGNAL_DAYS * bars_per_day("1h")
 RET = {**NB, "r": "SELECT *, close / nullif(prev_close, 0) - 1 AS ret FROM nb WHERE prev_close IS NOT NULL"}
 
 
@@ -30,8 +33,8 @@ def qm(view):
 ON a.ts = b.ts AND a.trading_pair < b.trading_pair GROUP BY 1, 2 HAVING count(*) >= 50""")
 def qj(view):
     b = view("bars_1d")
-    b = b.join(liquid_pairs(b).select("trading_pair"), "trading_pair", "left_semi")
-    return Q.pair_correlations(Q.returns(b), "ret", 50, 3 * 365 * 86400)
+    b = b.join(liquid_pairs(b).select(*SERIES), [*SERIES], "left_semi")
+    return Q.pair_correlations(Q.returns(b), "ret", 50)
 
 
 AL = """SELECT a.trading_pair AS pair1, b.trading_pair AS pair2, a.ts, a.{x} AS x1, b.{x} AS x2,
@@ -45,7 +48,7 @@ JOIN al b ON a.pair1 = b.pair1 AND a.pair2 = b.pair2 AND b.k = a.k - l.lag GROUP
              "b": "SELECT pair1, pair2, arg_max(lag, c) AS best_lag, max(c) AS best_lag_corr FROM c GROUP BY 1, 2"},
        sql="""SELECT *, CASE WHEN best_lag < 0 THEN pair2 WHEN best_lag > 0 THEN pair1 END AS dominant, CASE WHEN best_lag < 0 THEN pair1 WHEN best_lag > 0 THEN pair2 END AS follower FROM b""")
 def qe(view):
-    return Q.lead_lag(Q.returns(view("bars_1h")), "ret", LOOK)
+    return Q.lead_lag(Q.returns(view("bars_1h")), "ret")
 
 
 @query("qe_lead_lag_tail", "pair1 pair2 best_lag:i best_lag_corr:6", "bars_1h",
@@ -55,7 +58,7 @@ def qe(view):
 JOIN al b ON a.pair1 = b.pair1 AND a.pair2 = b.pair2 AND b.k = a.k - l.lag GROUP BY ALL"""},
        sql="SELECT pair1, pair2, arg_max(lag, c) AS best_lag, max(c) AS best_lag_corr FROM c GROUP BY 1, 2")
 def qe_tail(view):
-    return Q.lead_lag(Q.returns(view("bars_1h")), "ret", LOOK, align="tail")
+    return Q.lead_lag(Q.returns(view("bars_1h")), "ret", align="tail")
 
 
 @query("qh_transfer_entropy", "predictor response transfer_entropy:6", "bars_1h",
@@ -70,11 +73,12 @@ CASE WHEN y >= yb THEN 3 WHEN y >= ya + (yb - ya) / 3 * 2 THEN 2 WHEN y >= ya +
 sum(n) OVER (PARTITION BY predictor, response, sn, sy) AS moves, sum(n) OVER (PARTITION BY predictor, response, sy) AS here FROM j"""},
        sql="SELECT predictor, response, round(sum(n / tot * log2((n / past) / (moves / here))), 6) AS transfer_entropy FROM w GROUP BY 1, 2")
 def qh(view):
-    return Q.information_flow(Q.returns(view("bars_1h")), "ret", LOOK)
+    return Q.information_flow(Q.returns(view("bars_1h")), "ret")
 
 
 SPREAD = {
-    **NB, "al0": AL.format(x="close", src="nb"),
+    **NB, "recent": f"SELECT * FROM nb QUALIFY row_number() OVER (PARTITION BY connector, trading_pair ORDER BY ts DESC) <= {LOOK}",
+    "al0": AL.format(x="close", src="recent"),
     "al": "SELECT pair1 AS base, pair2 AS quote, k, ts, x1 AS y, x2 AS x FROM al0 UNION ALL SELECT pair2, pair1, k, ts, x2, x1 FROM al0",
     "g": "SELECT base, quote, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha, count(*) AS n FROM al GROUP BY ALL",
     "z": "SELECT al.*, alpha, beta, n, y - (alpha + beta * x) AS z FROM al JOIN g USING (base, quote)",
@@ -84,7 +88,7 @@ SPREAD = {
 
 
 def coint(view):
-    return Q.cointegration(view("bars_1h"), LOOK, 72, 0.5)
+    return Q.cointegration(view("bars_1h"), LOOK, SIGNAL, 0.5)
 
 
 @query("qb_spread", "base quote alpha:5 beta:7 z_std:5 current_z_score:5 side signal_strength:5 median_error:4", "bars_1h", ctes=SPREAD,
@@ -94,7 +98,7 @@ def qb(view):
     return coint(view)
 
 
-GRID = {**SPREAD, "pr": "SELECT trading_pair AS base, arg_max(close, ts) AS price FROM bars_1h GROUP BY 1",
+GRID = {**SPREAD, "pr": "SELECT connector, trading_pair AS base, arg_max(close, ts) AS price FROM bars_1h GROUP BY 1, 2",
         "gr": """SELECT *, abs(current_z_score) > 0.4 AS live, CASE WHEN current_z_score > 0 THEN -1 ELSE 1 END AS way FROM spread JOIN pr USING (base)""",
         "gl": """SELECT *, CASE WHEN live THEN CASE WHEN way < 0 THEN 'short' ELSE 'long' END ELSE 'both' END AS grid_side, CASE WHEN live THEN price END AS entry_price,
 CASE WHEN live THEN price * (1 + way * abs(current_z_score) * z_std * beta) END AS end_price, CASE WHEN live THEN price * (1 - way * z_std * beta) END AS limit_price FROM gr"""}
@@ -124,7 +128,7 @@ def qa(view):
 
 @query("qi_rolling_cuts", "base quote cut:i p_value:6 beta:6 points:i", "bars_1h")
 def qi(view):
-    return Q.cointegration(view("bars_1h"), LOOK, 72, cuts=(0, 100, 200))
+    return Q.cointegration(view("bars_1h"), LOOK, SIGNAL, cuts=(0, 100, 200))
 
 
 @query("a26_accepted_pairs", "pair1 pair2 coint_value:6", "bars_1h")
@@ -134,25 +138,20 @@ def a26(view):
 
 @query("qf_granger", "predictor response causal best_lag:i best_p_value:4", "bars_1h")
 def qf(view):
-    return Q.granger(Q.returns(view("bars_1h")), "ret", LOOK)
+    return Q.granger(Q.returns(view("bars_1h")), "ret")
 
 
 @query("qg_dtw", "pair1 pair2 dtw_distance:5 dominant follower", "bars_1h")
 def qg(view):
-    return Q.time_warping(Q.returns(view("bars_1h")), "ret", LOOK)
+    return Q.time_warping(Q.returns(view("bars_1h")), "ret")
 
 
 def distance_table(view):
     """Distances of the liquid daily markets from correlations, which SQL can state as well."""
     b = view("bars_1d")
-    b = b.join(liquid_pairs(b).select("trading_pair"), "trading_pair", "left_semi")
-    c = Q.pair_correlations(Q.returns(b), "ret", 50, 3 * 365 * 86400)
-    return c.select(F.lit("sim").alias("connector"), "pair1", "pair2", (1 - F.col("correlation")).alias("distance"))
-
-
-@query("qk_ward_clusters", "connector trading_pair cluster:i", "bars_1d")
-def qk(view):
-    return Q.ward_clusters(distance_table(view), 5)
+    b = b.join(liquid_pairs(b).select(*SERIES), [*SERIES], "left_semi")
+    c = Q.pair_correlations(Q.returns(b), "ret", 50)
+    return c.select("connector", "pair1", "pair2", (1 - F.col("correlation")).alias("distance"))
 
 
 @query("qk_clusters_at_height", "trading_pair label", "bars_1d")
@@ -163,9 +162,9 @@ def qk_height(view):
 @query("a25_relationships", "p_below_005:i p_below_010:i corr_above_07:i corr_above_03:i both:i corr_only:i coint_only:i neither:i", "bars_1h")
 def a25(view):
     b = view("bars_1h")
-    p = Q.distances(coint(view)).select("pair1", "pair2", (1 - F.col("distance")).alias("p_value"))
+    p = Q.distances(coint(view)).select("connector", "pair1", "pair2", (1 - F.col("distance")).alias("p_value"))
     c = Q.pair_correlations(b, "close", 100)
-    return relationship_counts(p.join(c, ["pair1", "pair2"]))
+    return relationship_counts(p.join(c, ["connector", "pair1", "pair2"]))
 
 
 @query("g18_pair_grids", "config_id leg trading_pair side start_price:4 end_price:4 limit_price:4 amount_quote:2", "bars_1h", ctes=GRID,

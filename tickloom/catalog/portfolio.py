@@ -118,7 +118,7 @@ def a16(view):
 
 @query("a17_winners_losers", "controller_id:i outcome global_pnl_quote:5 rank:i", "bot_performance",
        sql="""SELECT *, CASE WHEN global_pnl_quote > 0 THEN 'winner' ELSE 'loser' END AS outcome,
-row_number() OVER (PARTITION BY global_pnl_quote > 0 ORDER BY abs(global_pnl_quote) DESC, controller_id) AS rank FROM bot_performance WHERE global_pnl_quote <> 0 QUALIFY rank <= 10""")
+row_number() OVER (PARTITION BY global_pnl_quote > 0 ORDER BY abs(global_pnl_quote) DESC, controller_id) AS rank FROM bot_performance WHERE global_pnl_quote <> 0""")
 def a17(view):
     return Po.winners_and_losers(view("bot_performance"))
 

@@ -10,6 +10,7 @@ from tickloom.catalog.ingest import as_of
 from tickloom.catalog.registry import query
 from tickloom.catalog.signals import BB
 from tickloom.operators.ingest import daily_volume
+from tickloom.operators.layout import SERIES
 from tickloom.plans import screeners as Sc
 from tickloom.plans.features import Volatility, Volume
 from tickloom.plans.signals import Bollinger
@@ -218,25 +219,25 @@ def a21(view):
     return Sc.funding_metrics(view("funding_history"), as_of())
 
 
-CLUSTERS = "SELECT DISTINCT trading_pair, CAST(substr(trading_pair, 2) AS INT) % 5 AS cluster FROM bars_1d"
+CLUSTERS = "SELECT DISTINCT connector, trading_pair, CAST(substr(trading_pair, 2) AS INT) % 5 AS cluster FROM bars_1d"
 
 
 def clusters(view):
-    return view("bars_1d").select("trading_pair").distinct().withColumn("cluster", F.substring("trading_pair", 2, 9).cast("int") % 5)
+    return view("bars_1d").select(*SERIES).distinct().withColumn("cluster", F.substring("trading_pair", 2, 9).cast("int") % 5)
 
 
 @query("a22_cluster_metrics", "cluster:i trading_pair avg_volume:5 volume_stability:6 rank:i", "bars_1d", ctes={"cl": CLUSTERS,
-       "m": "SELECT trading_pair, avg(volume) AS avg_volume, stddev_samp(volume) / avg(volume) AS volume_stability FROM bars_1d GROUP BY 1"},
-       sql="""SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY avg_volume DESC, trading_pair) AS rank FROM cl LEFT JOIN m USING (trading_pair) QUALIFY rank <= 3""")
+       "m": "SELECT connector, trading_pair, avg(volume) AS avg_volume, stddev_samp(volume) / avg(volume) AS volume_stability FROM bars_1d GROUP BY 1, 2"},
+       sql="""SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY avg_volume DESC, trading_pair) AS rank FROM cl LEFT JOIN m USING (connector, trading_pair) QUALIFY rank <= 3""")
 def a22(view):
     return Sc.cluster_metrics(clusters(view), view("bars_1d"))
 
 
 @query("a23_representatives", "cluster:i trading_pair avg_usd_volume:3 volatility:6 price_range:6 liquidity_score:2 composite_score:6 rank:i", "bars_1d",
        ctes={"nb": O.numbered("bars_1d"), "cl": CLUSTERS,
-             "m": """SELECT trading_pair, avg(volume * close) AS avg_usd_volume, stddev_samp(close / nullif(prev_close, 0) - 1) AS volatility,
-(max(high) - min(low)) / avg(close) AS price_range FROM nb GROUP BY 1""",
-             "j": "SELECT *, avg_usd_volume / (volatility + 1e-10) AS liquidity_score FROM cl LEFT JOIN m USING (trading_pair)",
+             "m": """SELECT connector, trading_pair, avg(volume * close) AS avg_usd_volume, stddev_samp(close / nullif(prev_close, 0) - 1) AS volatility,
+(max(high) - min(low)) / avg(close) AS price_range FROM nb GROUP BY 1, 2""",
+             "j": "SELECT *, avg_usd_volume / (volatility + 1e-10) AS liquidity_score FROM cl LEFT JOIN m USING (connector, trading_pair)",
              "n": """SELECT *, (avg_usd_volume - min(avg_usd_volume) OVER ()) / (max(avg_usd_volume) OVER () - min(avg_usd_volume) OVER ()) AS a,
 (volatility - min(volatility) OVER ()) / (max(volatility) OVER () - min(volatility) OVER ()) AS b,
 (liquidity_score - min(liquidity_score) OVER ()) / (max(liquidity_score) OVER () - min(liquidity_score) OVER ()) AS c FROM j"""},
@@ -248,7 +249,7 @@ def a23(view):
 
 @query("a24_cluster_returns", "cluster:i mean:6 std:6 count:i pairs:i", "bars_1d", ctes={"cl": CLUSTERS,
        "n": f"SELECT *, close / nullif(first_value(close) OVER {O.SERIES_W}, 0) AS v FROM bars_1d"},
-       sql="SELECT cluster, avg(v) AS mean, stddev_samp(v) AS std, count(*) AS count, count(DISTINCT trading_pair) AS pairs FROM n JOIN cl USING (trading_pair) GROUP BY cluster")
+       sql="SELECT cluster, avg(v) AS mean, stddev_samp(v) AS std, count(*) AS count, count(DISTINCT trading_pair) AS pairs FROM n JOIN cl USING (connector, trading_pair) GROUP BY cluster")
 def a24(view):
     return Sc.cluster_return_stats(clusters(view), view("bars_1d"))
 

@@ -112,6 +112,43 @@ def dtw_distance(a: np.ndarray, b: np.ndarray, band: int | None = None) -> float
     return float(math.sqrt(last[n]))
 
 
+def lagged_products(x1: np.ndarray, x2: np.ndarray, pos: np.ndarray, own: np.ndarray, lags: int) -> tuple[np.ndarray, list[float]]:
+    """Sums of products of [1, x1 and its lags, x2 and its lags] over the own rows at position ``lags`` or later,
+    and, from the piece that begins the series, its first ``lags`` values of x1 and of x2."""
+    rows = np.flatnonzero(own & (pos >= lags))
+    z = np.column_stack([np.ones(len(rows))] + [x[rows - k] for x in (x1, x2) for k in range(lags + 1)])
+    head = [*x1[:lags].tolist(), *x2[:lags].tolist()] if len(pos) and pos[0] == 0 else []
+    return z.T @ z, head
+
+
+def granger_from_products(products: np.ndarray, head: np.ndarray, max_lag: int) -> list[list[float]]:
+    """``granger_p`` of x1 on x2 and of x2 on x1 from the sums of ``lagged_products``."""
+    w = max_lag + 1
+    total = products.reshape(2 * w + 1, 2 * w + 1)
+    first = head[:max_lag], head[max_lag:]
+    out = []
+    for x, y in ((0, 1), (1, 0)):
+        values = []
+        for p in range(1, max_lag + 1):
+            own = [0] + [1 + y * w + k for k in range(1, p + 1)]
+            both = own + [1 + x * w + k for k in range(1, p + 1)]
+            use = [1 + y * w, *both]
+            g = total[np.ix_(use, use)].copy()
+            for k in range(p, max_lag):  # rows that have p lags but not max_lag
+                z = np.array([first[y][k], 1.0, *(first[y][k - i] for i in range(1, p + 1)), *(first[x][k - i] for i in range(1, p + 1))])
+                g += np.outer(z, z)
+            scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
+            g = g / np.outer(scale, scale)
+            ssr = []
+            for m in (len(own), len(both)):
+                coef, *_ = np.linalg.lstsq(g[1:m + 1, 1:m + 1], g[1:m + 1, 0], rcond=None)
+                ssr.append(g[0, 0] - coef @ g[1:m + 1, 0])
+            dof = int(round(g[1, 1] * scale[1] ** 2)) - 2 * p - 1
+            values.append(float(f_tail((ssr[0] - ssr[1]) / p / (ssr[1] / dof), p, dof)) if dof > 0 and ssr[1] > 1e-14 else float("nan"))
+        out.append(values)
+    return out
+
+
 def symbols(x: np.ndarray, bins: int) -> np.ndarray:
     """Equal-width bin index by lower edges; the maximum gets a symbol of its own."""
     edges = np.histogram_bin_edges(x, bins=bins)

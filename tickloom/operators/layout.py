@@ -39,13 +39,21 @@ def mark_bars(df: DataFrame, seconds: int, ts: str = "ts") -> DataFrame:
     return df.withMetadata(ts, {BAR_SECONDS: seconds})
 
 
+def magnitude_slice(x: str | Column, per_fold: int = 64) -> Column:
+    """A slice number that grows with ``x`` and is as fine for small numbers as for large ones: about 1.6% of
+    the value wide. 0 has a slice of its own."""
+    x = col(x).cast("double")
+    size = F.floor(F.log(F.abs(x)) * per_fold) + 1000 * per_fold  # above 0 for every double
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("bigint") * size)
+
+
 def segment_width(df: DataFrame, ts: str | Column) -> int:
-    """Time slice that holds about SEGMENT_ROWS bars; 30 days where the bar length is unknown."""
+    """Time slice that holds about SEGMENT_ROWS bars; 6 hours where the bar length is unknown (ticks)."""
     if isinstance(ts, str) and ts in df.columns:
         seconds = df.schema[ts].metadata.get(BAR_SECONDS)
         if seconds:
             return int(seconds) * SEGMENT_ROWS
-    return 30 * 86400
+    return 6 * 3600
 
 
 def prefix_scan(
@@ -70,14 +78,17 @@ def prefix_scan(
     if seg is None:
         seg = time_segment(order[0], segment_seconds or segment_width(df, order[0]))
     order = [col(o) for o in order]
-    df = df.withColumn("_seg", seg)
-    local = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(
+    # key and slice in one struct: it is never NULL and its NULL fields are equal, so the join below keeps rows
+    # with a NULL key or time (a slice of their own) and reuses the window's partitioning
+    df = df.withColumn("_cell", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], seg.alias("seg")))
+    local = Window.partitionBy("_cell").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    fields = [F.col(f"_cell.k{i}") for i in range(len(keys))]
+    before = Window.partitionBy(*fields).orderBy("_cell.seg").rowsBetween(Window.unboundedPreceding, -1)
 
     running, totals, carries, merged = {}, [], [], {}
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*fields)
     steps, extra = {}, {}
     for out, (kind, source) in specs.items():
         x = col(source)
@@ -119,7 +130,7 @@ def prefix_scan(
             merged[out] = F.coalesce(F.col(loc), F.col(car))
         elif kind == "prev":
             box = F.struct(x.alias("v"))
-            running[loc] = F.lag(box).over(Window.partitionBy(*keys, "_seg").orderBy(*order))
+            running[loc] = F.lag(box).over(Window.partitionBy("_cell").orderBy(*order))
             totals.append(F.max_by(box, F.struct(*order)).alias(tot))
             carries.append(F.last(tot, ignorenulls=True).over(before).alias(car))
             merged[out] = F.coalesce(F.col(loc), F.col(car))["v"]
@@ -131,14 +142,14 @@ def prefix_scan(
         else:
             raise ValueError(f"unknown running aggregate {kind!r}")
 
-    carry = df.groupBy(*keys, "_seg").agg(*totals).withColumns(steps).select(*keys, "_seg", *carries)
+    carry = df.groupBy("_cell").agg(*totals).withColumns(steps).select("_cell", *carries)
     # a merge join keeps the rows partitioned and sorted by (key, segment) as the window left them;
     # left alone, adaptive execution may broadcast the rows and leave the carry's few partitions
     return (
         df.withColumns(running)
-        .join(carry.hint("merge"), [*keys, "_seg"])
+        .join(carry.hint("merge"), "_cell")
         .withColumns(merged)
-        .drop("_seg", *running, *extra, *[f"_c_{o}" for o in specs])
+        .drop("_cell", *running, *extra, *[f"_c_{o}" for o in specs])
     )
 
 

@@ -1,10 +1,12 @@
 """Pair statistics over many series (Q-A to Q-M).
 
-Two layouts, both without joining all rows of all series:
+Three layouts:
 
 * Second moments over any history (``pair_correlations``): rows are grouped by time slice and by a
   pair of symbol blocks; a group is a dense matrix whose product gives the partial sums of all its
   pairs, and the partial sums are added per pair.
+* Statistics of lagged pairs over any history (``aligned_pairs``): pairs are joined by time, laid out in pieces with
+  a halo of the lags, and sums or counts of the pieces are added up per pair.
 * Tests over a bounded look-back (``analyse_pairs``): each series is cut to its last N rows, symbols
   are hashed to blocks of about ``per_block``, and a group holds the rows of two blocks, so a task
   sees at most 2 * per_block * N rows however many symbols there are. A row is copied once per block.
@@ -16,14 +18,14 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from tickloom.functions import kernels as N
 from tickloom.functions.columns import epoch_micros, ratio
 from tickloom.functions.stats import normal_tail
 from tickloom.operators.joins import group_pairs, latest_rows
-from tickloom.operators.layout import SERIES, prefix_scan
+from tickloom.operators.layout import OWN, PIECE, POS, SEGMENT_ROWS, SERIES, own_rows, prefix_scan, segment_width, segmented, time_segment
 from tickloom.plans.screeners import top_per_group
 from tickloom.session import ensure_checkpoint_dir
 
@@ -79,19 +81,22 @@ def _pairs_in(blocks: dict[str, int], lo: int, hi: int) -> Iterable[tuple[str, s
                 yield a, b
 
 
-def pair_correlations(values: DataFrame, x: str, min_points: int = 100, slice_seconds: int = 30 * 86400,
+def pair_correlations(values: DataFrame, x: str, min_points: int = 100, slice_rows: int = 2048,
                       per_block: int = 128) -> DataFrame:
-    """Q-J: correlation of every pair over the times both have a value, in long form.
+    """Q-J: correlation of every pair of a venue over the times both have a value, in long form.
 
-    Values are centred per series first, so the partial sums keep their digits.
+    Values are centred per series first, so the partial sums keep their digits. A group holds the rows of two
+    symbol blocks in a time slice of about ``slice_rows`` bars per symbol.
     """
-    v = values.select("trading_pair", "ts", F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    mean = v.groupBy("trading_pair").agg(F.avg("x").alias("_m"))
-    v = v.join(mean, "trading_pair").withColumn("x", F.col("x") - F.col("_m")).drop("_m")
-    v = v.withColumns({"t": epoch_micros("ts"), "_slice": F.floor(epoch_micros("ts") / (slice_seconds * 1_000_000))}).drop("ts")
+    v = values.select(*SERIES, "ts", F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull() & F.col("ts").isNotNull())
+    v = v.withColumn("_of", F.struct(*SERIES))  # never NULL: a NULL venue is joined like any other
+    mean = v.groupBy("_of").agg(F.avg("x").alias("_m"))
+    v = v.join(mean, "_of").withColumn("x", F.col("x") - F.col("_m")).drop("_m", "_of")
+    width = segment_width(values, "ts") * slice_rows // SEGMENT_ROWS
+    v = v.withColumns({"t": epoch_micros("ts"), "_slice": time_segment("ts", max(1, width))}).drop("ts")
 
     def moments(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, lo, hi = key
+        venue, _, lo, hi = key
         blocks = dict(zip(pdf["trading_pair"], pdf["_b"]))
         wide = pdf.pivot_table(index="t", columns="trading_pair", values="x", aggfunc="last")
         names = list(wide.columns)
@@ -100,17 +105,17 @@ def pair_correlations(values: DataFrame, x: str, min_points: int = 100, slice_se
         has = (~np.isnan(raw)).astype(float)
         z = np.nan_to_num(raw)
         n, sx, sxx, sxy = has.T @ has, z.T @ has, (z * z).T @ has, z.T @ z
-        out = [(a, b, n[at[a], at[b]], sx[at[a], at[b]], sx[at[b], at[a]], sxx[at[a], at[b]], sxx[at[b], at[a]], sxy[at[a], at[b]])
+        out = [(venue, a, b, n[at[a], at[b]], sx[at[a], at[b]], sx[at[b], at[a]], sxx[at[a], at[b]], sxx[at[b], at[a]], sxy[at[a], at[b]])
                for a, b in _pairs_in(blocks, lo, hi) if n[at[a], at[b]] > 0]
-        return pd.DataFrame(out, columns=["pair1", "pair2", "n", "sx", "sy", "sxx", "syy", "sxy"])
+        return pd.DataFrame(out, columns=["connector", "pair1", "pair2", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
-    part = _cells(v, symbol_blocks(v, per_block)).groupBy("_slice", "_lo", "_hi").applyInPandas(
-        moments, "pair1 string, pair2 string, n double, sx double, sy double, sxx double, syy double, sxy double")
-    s = part.groupBy("pair1", "pair2").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    part = _cells(v, symbol_blocks(v, per_block)).groupBy("connector", "_slice", "_lo", "_hi").applyInPandas(
+        moments, "connector string, pair1 string, pair2 string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    s = part.groupBy("connector", "pair1", "pair2").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     var = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
-    return s.filter(n >= min_points).select("pair1", "pair2", n.cast("bigint").alias("points"),
+    return s.filter(n >= min_points).select("connector", "pair1", "pair2", n.cast("bigint").alias("points"),
                                             ratio(cov, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("correlation"))
 
 
@@ -118,14 +123,16 @@ def pair_correlations(values: DataFrame, x: str, min_points: int = 100, slice_se
 PairFunction = Callable[[str, str, np.ndarray, np.ndarray, np.ndarray], list[tuple]]
 
 
-def analyse_pairs(values: DataFrame, x: str, lookback: int, fn: PairFunction, schema: str, align: str = "ts",
+def analyse_pairs(values: DataFrame, x: str, lookback: int | None, fn: PairFunction, schema: str, align: str = "ts",
                   min_points: int = 30, cuts: tuple[int, ...] = (0,), per_block: int = 16) -> DataFrame:
-    """Runs ``fn`` on every pair (name1 < name2) over the last ``lookback`` rows of each series.
+    """Runs ``fn`` on every pair (name1 < name2) over the last ``lookback`` rows of each series (None: all).
 
     ``align``: by time, or by position from the end ("tail"). ``cuts`` repeats the analysis after
     dropping the first c common rows (Q-I) and adds the column ``cut``.
     """
-    v = tail(values.select(*SERIES, "ts", F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull()), lookback)
+    v = values.select(*SERIES, "ts", F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull() & F.col("ts").isNotNull())
+    if lookback is not None:
+        v = tail(v, lookback)
     v = v.withColumn("t", epoch_micros("ts") if align == "ts" else -F.col("rank").cast("bigint"))
     v = v.select("connector", "trading_pair", "t", "x")
     names = StructType.fromDDL(schema).fieldNames()
@@ -186,9 +193,9 @@ def grid_levels(analysis: DataFrame, prices: DataFrame, entry: float = 1.5, stop
                 limit_hours: int = 24) -> DataFrame:
     """Q-C: entry, end and limit price, equal steps and z-score targets from the spread signal.
 
-    ``prices``: trading_pair, price of the base leg.
+    ``prices``: connector, trading_pair, price of the base leg.
     """
-    d = analysis.join(prices.select(F.col("trading_pair").alias("base"), "price"), "base")
+    d = analysis.join(prices.select("connector", F.col("trading_pair").alias("base"), "price"), ["connector", "base"])
     z, move = F.col("current_z_score"), F.col("z_std") * F.col("beta")
     live, short = F.abs(z) > entry, z > 0
     way = F.when(short, -1).otherwise(1)
@@ -215,62 +222,124 @@ def pair_ratings(grids: DataFrame, p_threshold: float = 0.05) -> DataFrame:
         "risk_ratio": F.when(off, 0.0).otherwise(ratio(gain, F.abs(F.col("limit_price") - F.col("entry_price"))))})
 
 
-def lead_lag(values: DataFrame, x: str, lookback: int, max_lag: int = 6, **kw) -> DataFrame:
-    """Q-E: correlation per lag; a positive best lag means the second symbol is shifted forward, so
-    the first one leads."""
-
-    def one(a, b, x1, x2, t):
-        c = N.lagged_correlations(x1, x2, max_lag)
-        best = int(np.nanargmax(c)) if not np.all(np.isnan(c)) else max_lag
-        lag = best - max_lag
-        lead, follow = (None, None) if lag == 0 else (b, a) if lag < 0 else (a, b)
-        return [(a, b, lag, c[best], lead, follow, c)]
-
-    return analyse_pairs(values, x, lookback, one,
-                         "pair1 string, pair2 string, best_lag int, best_lag_corr double, dominant string, follower string, correlations array<double>", **kw)
-
-
-def granger(values: DataFrame, x: str, lookback: int, max_lag: int = 6, significance: float = 0.05, **kw) -> DataFrame:
-    """Q-F: F-test p-values per lag for both directions, rounded to 4 digits."""
-
-    def one(a, b, x1, x2, t):
-        out = []
-        for predictor, response, px, py in ((a, b, x1, x2), (b, a, x2, x1)):
-            p = [round(v, 4) for v in N.granger_p(py, px, max_lag)]
-            ok = {i + 1: v for i, v in enumerate(p) if v < significance}
-            best = min(ok, key=ok.get) if ok else None
-            out.append((predictor, response, p, sorted(ok), bool(ok), best, ok.get(best),
-                        predictor if ok else None, response if ok else None))
-        return out
-
-    return analyse_pairs(values, x, lookback, one,
-                         "predictor string, response string, p_values array<double>, significant_lags array<int>, causal boolean, "
-                         "best_lag int, best_p_value double, dominant string, follower string", **kw)
-
-
-def time_warping(values: DataFrame, x: str, lookback: int, band: int | None = None, **kw) -> DataFrame:
-    """Q-G: warped distance; the calmer series counts as the leader."""
+PAIR = ("connector", "pair1", "pair2")
+
+
+def aligned_pairs(values: DataFrame, x: str, align: str = "ts", min_points: int = 30) -> DataFrame:
+    """Every pair of a venue (pair1 < pair2) at every time both have a value: t, x1, x2 and ``_pos``, the row's
+    number in its pair. ``align``: by time, or by position from the end ("tail"). Pairs with fewer than
+    ``min_points`` common rows are left out. The whole history takes part."""
+    v = values.select(*SERIES, "ts", F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull() & F.col("ts").isNotNull())
+    width = segment_width(values, "ts") * 1_000_000
+    if align == "ts":
+        v = v.withColumn("t", epoch_micros("ts"))
+    else:
+        one = F.lit(1)
+        v = prefix_scan(v, {"_n": ("count", one), "_all": ("series_sum", one)}).withColumn("t", F.col("_n") - F.col("_all") - 1)
+        width = SEGMENT_ROWS
+    a = v.select("connector", "t", F.col("trading_pair").alias("pair1"), F.col("x").alias("x1"))
+    b = v.select(F.col("connector").alias("_venue"), F.col("t").alias("_t"), F.col("trading_pair").alias("pair2"), F.col("x").alias("x2"))
+    both = a.join(b, F.col("connector").eqNullSafe(F.col("_venue")) & (F.col("t") == F.col("_t")) & (F.col("pair1") < F.col("pair2")))
+    both = both.select(*PAIR, "t", "x1", "x2")
+    one = F.lit(1)
+    d = prefix_scan(both, {POS: ("count", one), "points": ("series_sum", one)}, PAIR, ["t"], segment=F.floor(F.col("t") / width))
+    return d.withColumn(POS, F.col(POS) - 1).filter(F.col("points") >= min_points)
+
+
+def lead_lag(values: DataFrame, x: str, max_lag: int = 6, align: str = "ts", min_points: int = 30) -> DataFrame:
+    """Q-E: correlation per lag over the whole history; a positive best lag means the second symbol is shifted
+    forward, so the first one leads. Lagged rows come from pieces with a halo, their co-moments are added up per pair."""
+    d, pieces = segmented(aligned_pairs(values, x, align, min_points), max_lag, PAIR, ["t"])
+    lags = range(-max_lag, max_lag + 1)
+    sides = {}
+    for n in lags:
+        moved = F.lag("x2" if n >= 0 else "x1", abs(n)).over(pieces.whole)
+        sides[f"_c{n + max_lag}"] = moved
+    d = own_rows(d.withColumns(sides))
+    c = d.groupBy(*PAIR).agg(F.array(*[F.corr("x1" if n >= 0 else "x2", f"_c{n + max_lag}") for n in lags]).alias("correlations"))
+    known = F.filter(F.transform("correlations", lambda v, i: F.struct(v.alias("c"), (-i).alias("i"))), lambda v: v["c"].isNotNull() & ~F.isnan(v["c"]))
+    best = F.array_max(known)
+    lag = F.coalesce(-best["i"] - max_lag, F.lit(0)).cast("int")
+    c = c.withColumns({"best_lag": lag, "best_lag_corr": best["c"]})
+    side = F.when(F.col("best_lag") < 0, "pair2").when(F.col("best_lag") > 0, "pair1")
+    return c.withColumns({"dominant": F.when(side == "pair2", F.col("pair2")).when(side == "pair1", F.col("pair1")),
+                          "follower": F.when(side == "pair2", F.col("pair1")).when(side == "pair1", F.col("pair2"))})
+
+
+def granger(values: DataFrame, x: str, max_lag: int = 6, significance: float = 0.05, align: str = "ts",
+            min_points: int = 30) -> DataFrame:
+    """Q-F: F-test p-values per lag for both directions over the whole history, rounded to 4 digits.
+
+    A regression needs only sums of products of lagged values: each piece gives one such matrix, the matrices of a
+    pair are added up, and only the small solve per pair is left."""
+    d, pieces = segmented(aligned_pairs(values, x, align, min_points), max_lag, PAIR, ["t"])
+    size = (2 * (max_lag + 1) + 1) ** 2
+
+    def gram(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(POS)
+        full, head = N.lagged_products(pdf["x1"].to_numpy(), pdf["x2"].to_numpy(), pdf[POS].to_numpy(), pdf[OWN].to_numpy(), max_lag)
+        return pd.DataFrame([(*key[:3], len(pdf), full.ravel().tolist(), head)], columns=[*PAIR, "n", "products", "head"])
+
+    parts = d.select(*PAIR, PIECE, POS, OWN, "x1", "x2").groupBy(*PAIR, PIECE).applyInPandas(
+        gram, "connector string, pair1 string, pair2 string, n long, products array<double>, head array<double>")
+    sums = parts.groupBy(*PAIR).agg(F.array(*[F.sum(F.col("products")[i]) for i in range(size)]).alias("products"),
+                                    F.max("head").alias("head"))
+
+    @F.pandas_udf("array<array<double>>")
+    def solve(products: pd.Series, head: pd.Series) -> pd.Series:
+        return pd.Series([N.granger_from_products(np.asarray(p), np.asarray(h), max_lag) for p, h in zip(products, head)])
+
+    p = sums.select(*PAIR, solve("products", "head").alias("_p"))
+    sides = F.array(F.struct(F.col("pair1").alias("predictor"), F.col("pair2").alias("response"), F.col("_p")[0].alias("p_values")),
+                    F.struct(F.col("pair2").alias("predictor"), F.col("pair1").alias("response"), F.col("_p")[1].alias("p_values")))
+    out = p.select("connector", F.inline(sides))
+    out = out.withColumn("p_values", F.transform("p_values", lambda v: F.round(v, 4)))
+    low = F.filter(F.transform("p_values", lambda v, i: F.struct(v.alias("p"), (i + 1).alias("lag"))), lambda v: v["p"] < significance)
+    best = F.array_min(low)
+    out = out.withColumns({"significant_lags": F.transform(low, lambda v: v["lag"]), "causal": F.size(low) > 0,
+                           "best_lag": best["lag"].cast("int"), "best_p_value": best["p"]})
+    return out.withColumns({"dominant": F.when(F.col("causal"), F.col("predictor")), "follower": F.when(F.col("causal"), F.col("response"))})
+
+
+def time_warping(values: DataFrame, x: str, band: int | None = None, **kw) -> DataFrame:
+    """Q-G: warped distance of whole series; the calmer one counts as the leader. A warping path runs through both
+    series from end to end, so a group holds the two series of about one pair; ``band`` bounds its work."""
 
     def one(a, b, x1, x2, t):
         s1, s2 = x1.std(ddof=1), x2.std(ddof=1)
         lead, follow = (a, b) if s1 < s2 else (b, a) if s2 < s1 else (None, None)
         return [(a, b, round(N.dtw_distance(x1, x2, band), 6), lead, follow)]
 
-    return analyse_pairs(values, x, lookback, one, "pair1 string, pair2 string, dtw_distance double, dominant string, follower string", **kw)
-
-
-def information_flow(values: DataFrame, x: str, lookback: int, bins: int = 3, **kw) -> DataFrame:
-    """Q-H: transfer entropy in both directions, rounded to 6 digits."""
-
-    def one(a, b, x1, x2, t):
-        out = []
-        for p, r, px, py in ((a, b, x1, x2), (b, a, x2, x1)):
-            te = round(N.transfer_entropy(px, py, bins), 6)
-            out.append((p, r, te, p if te > 0 else None, r if te > 0 else None))
-        return out
-
-    return analyse_pairs(values, x, lookback, one,
-                         "predictor string, response string, transfer_entropy double, dominant string, follower string", **kw)
+    return analyse_pairs(values, x, None, one, per_block=1, schema="pair1 string, pair2 string, dtw_distance double, dominant string, follower string", **kw)
+
+
+def information_flow(values: DataFrame, x: str, bins: int = 3, align: str = "ts", min_points: int = 30) -> DataFrame:
+    """Q-H: transfer entropy in both directions over the whole history, rounded to 6 digits: counts of state
+    changes per pair, added up in Spark. States are equal-width bins by lower edges; the maximum has its own."""
+    d = aligned_pairs(values, x, align, min_points)
+    d = d.withColumn("_of", F.struct(*PAIR))
+    ends = d.groupBy("_of").agg(F.min("x1").alias("_a1"), F.max("x1").alias("_b1"), F.min("x2").alias("_a2"), F.max("x2").alias("_b2"))
+    d = d.join(ends, "_of").drop("_of")
+
+    def state(i: int) -> Column:
+        low, high, v = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"x{i}")
+        steps = [F.when(v >= low + (high - low) / bins * k, 1).otherwise(0) for k in range(1, bins)]
+        return F.when(v >= high, bins).otherwise(sum(steps, F.lit(0)))
+
+    d = d.select(*PAIR, "t", POS, state(1).alias("s1"), state(2).alias("s2"))
+    d, pieces = segmented(d, 1, PAIR, ["t"])
+    d = own_rows(d.withColumns({"p1": F.lag("s1").over(pieces.whole), "p2": F.lag("s2").over(pieces.whole)})).filter(F.col("p1").isNotNull())
+    n = d.groupBy(*PAIR, "s1", "s2", "p1", "p2").agg(F.count(F.lit(1)).alias("n"))
+    sides = F.array(*[F.struct(F.col(f"pair{i}").alias("predictor"), F.col(f"pair{j}").alias("response"), F.col(f"s{j}").alias("sn"),
+                               F.col(f"p{j}").alias("sy"), F.col(f"p{i}").alias("sx")) for i, j in ((1, 2), (2, 1))])
+    key = ["connector", "predictor", "response"]
+    j = n.select("connector", "n", F.inline(sides)).groupBy(*key, "sn", "sy", "sx").agg(F.sum("n").alias("n"))
+    over = lambda *c: F.sum("n").over(Window.partitionBy(*key, *c))  # noqa: E731  at most (bins + 1) ** 3 rows per pair
+    j = j.withColumns({"_tot": over(), "_past": over("sy", "sx"), "_moves": over("sn", "sy"), "_here": over("sy")})
+    term = F.col("n") / F.col("_tot") * F.log2((F.col("n") / F.col("_past")) / (F.col("_moves") / F.col("_here")))
+    te = j.groupBy(*key).agg(F.round(F.sum(term), 6).alias("transfer_entropy"))
+    live = F.col("transfer_entropy") > 0
+    return te.withColumns({"dominant": F.when(live, F.col("predictor")), "follower": F.when(live, F.col("response"))})
 
 
 def distances(p_values: DataFrame, similarity: bool = False) -> DataFrame:
@@ -301,23 +370,5 @@ def clusters_at(edges: DataFrame, height: float) -> DataFrame:
             return labels.withColumnRenamed("a", "trading_pair")
 
 
-def ward_clusters(edges: DataFrame, k: int, max_symbols: int = 2000) -> DataFrame:
-    """Q-K: Ward clusters per connector. The distance table of one connector is one group; its symbol
-    count is bounded and checked, beyond it use ``clusters_at``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["pair1"]) | set(pdf["pair2"]))
-        if len(names) > max_symbols:
-            raise ValueError(f"{len(names)} symbols exceed the bound of {max_symbols}; use clusters_at")
-        at = {n: i for i, n in enumerate(names)}
-        d = np.ones((len(names), len(names)))
-        i, j = pdf["pair1"].map(at).to_numpy(), pdf["pair2"].map(at).to_numpy()
-        d[i, j] = d[j, i] = pdf["distance"].to_numpy()
-        np.fill_diagonal(d, 0.0)
-        return pd.DataFrame({"connector": pdf["connector"].iloc[0], "trading_pair": names, "cluster": N.ward_labels(d, k)})
-
-    return edges.groupBy("connector").applyInPandas(run, "connector string, trading_pair string, cluster int")
-
-
 def last_prices(bars: DataFrame) -> DataFrame:
-    return latest_rows(bars.select(*SERIES, "ts", F.col("close").alias("price"))).select("trading_pair", "price")
+    return latest_rows(bars.select(*SERIES, "ts", F.col("close").alias("price")))

@@ -28,9 +28,10 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]],
     )
     series = [*keys, "_name"]
     cuts = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    shape = counts.groupBy(*series).agg(
+    counts = counts.withColumn("_of", F.struct(*series))  # never NULL, so a NULL key is joined like any other
+    shape = counts.groupBy("_of").agg(
         F.percentile_approx("_value", cuts, 2000).alias("_cuts"), F.sum("_n").alias("_total"))
-    placed = counts.join(shape, series).withColumn(
+    placed = counts.join(shape, "_of").drop("_of").withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_value"))))
     ranked = prefix_scan(placed.drop("_cuts"), {"_cum": ("sum", "_n")}, series, ["_value"],
                          segment=F.col("_slice"))

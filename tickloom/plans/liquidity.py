@@ -1,6 +1,6 @@
 """Order books, AMM bins and swap quotes.
 
-A book side may be deep, so running depth is a two-level scan over price slices, best price first.
+A book side may be deep, so running depth is a two-level scan over slices of relative price, best price first.
 """
 
 from __future__ import annotations
@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.columns import ratio
-from tickloom.operators.layout import prefix_scan
+from tickloom.operators.layout import magnitude_slice, prefix_scan
 
 BOOK = ("trading_pair", "side")
-PRICE_SLICE = 5.0
 
 
 def _away() -> Column:
@@ -19,13 +18,14 @@ def _away() -> Column:
     return F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
 
 
-def with_depth(book: DataFrame, slice_width: float = PRICE_SLICE) -> DataFrame:
-    """Levels with running amount, running quote value and position from the best price."""
+def with_depth(book: DataFrame) -> DataFrame:
+    """Levels with running amount, running quote value and position from the best price; levels of one
+    price are ordered by amount."""
     df = book.withColumn("_away", _away())
     return prefix_scan(
         df, {"cum_amount": ("sum", "amount"), "cum_quote": ("sum", F.col("price") * F.col("amount")),
              "level": ("count", F.lit(1))},
-        BOOK, ["_away"], segment=F.floor(F.col("_away") / slice_width)).drop("_away")
+        BOOK, ["_away", "amount"], segment=magnitude_slice("_away")).drop("_away")
 
 
 def depth_snapshot(book: DataFrame, depth: int) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 from tickloom.operators.joins import latest_rows
-from tickloom.operators.layout import prefix_scan
+from tickloom.operators.layout import magnitude_slice, prefix_scan
 from tickloom.plans.screeners import top_per_group
 
 LEDGER_KEYS = ("config_file_path", "market", "symbol")
 
 
 def fill_ledger(fills: DataFrame, order: Sequence[str], keys: Sequence[str] = LEDGER_KEYS,
-                segment_seconds: int = 90 * 86400) -> DataFrame:
+                segment_seconds: int = 86400) -> DataFrame:
     """Running inventory, fees and PnL of each market in time order.
 
     The first fill has no previous one, so its per-fill columns are NULL.
@@ -117,11 +117,14 @@ def bot_rollup(perf: DataFrame) -> DataFrame:
                                         F.sum("volume_traded").alias("volume"))
 
 
-def winners_and_losers(perf: DataFrame, n: int = 10) -> DataFrame:
-    """Best winners and worst losers first."""
+def winners_and_losers(perf: DataFrame) -> DataFrame:
+    """All winners and all losers with their rank by size within each side (a two-level count over
+    slices of magnitude, so a side is not sorted in one task)."""
     side = F.when(F.col("global_pnl_quote") > 0, "winner").when(F.col("global_pnl_quote") < 0, "loser")
     p = perf.withColumn("outcome", side).filter(F.col("outcome").isNotNull())
-    return top_per_group(p, ["outcome"], [F.desc(F.abs("global_pnl_quote")), F.asc("controller_id")], n)
+    p = p.withColumn("_down", -F.abs("global_pnl_quote"))
+    ranked = prefix_scan(p, {"rank": ("count", F.lit(1))}, ["outcome"], ["_down", "controller_id"], segment=magnitude_slice("_down"))
+    return ranked.drop("_down")
 
 
 def portfolio(balances: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def portfolio(balances: DataFrame) -> DataFrame:
     """
     b = balances.filter((F.col("units") > 0) & (F.col("value") >= 1))
     b = b.withColumn("_down", -F.col("value"))
-    b = prefix_scan(b, {"_n": ("count", F.lit(1))}, ["exchange"], ["_down", "token"], segment=F.floor(F.col("_down") / 500))
+    b = prefix_scan(b, {"_n": ("count", F.lit(1))}, ["exchange"], ["_down", "token"], segment=magnitude_slice("_down"))
     totals = b.groupBy("exchange").agg(F.sum("value").alias("exchange_total"), F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy(F.desc("exchange_total"), "exchange").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))

@@ -16,17 +16,18 @@ from tickloom.operators.layout import SERIES, prefix_scan
 from tickloom.plans.features import Volatility, Volume
 
 
+#: Parts a key's rows are ranked in before its first rows are merged.
+SALTS = 64
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first n rows per key. Spark cuts every map task to n rows per key before the shuffle
-    (group limit below ``spark.sql.optimizer.windowGroupLimitThreshold``), so a hot key costs no more
-    than n rows per map task; for larger n the cut is made per (key, salt) first."""
+    """The first n rows per key. Rows are cut to n per (key, salt) first and per key then, so a hot key's
+    rows are ranked in many tasks whatever n is."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    cut = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= n).drop("_salt", "_r")
     final = Window.partitionBy(*keys).orderBy(*order)
-    if n >= 1000:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(256))
-        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(first)).filter(
-            F.col("_r") <= n).drop("_salt", "_r")
-    return df.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= n)
+    return cut.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= n)
 
 
 def rank_rows(report: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -43,8 +44,8 @@ def across(aggregate: Column) -> Column:
 # --- selection -----------------------------------------------------------------------------------
 
 def liquid_pairs(bars: DataFrame, quantile: float = 0.75) -> DataFrame:
-    """Pairs whose total quote volume reaches the quantile over pairs."""
-    totals = bars.groupBy("trading_pair").agg(F.sum("quote_asset_volume").alias("quote_asset_volume"))
+    """Markets whose total quote volume reaches the quantile over markets."""
+    totals = bars.groupBy(*SERIES).agg(F.sum("quote_asset_volume").alias("quote_asset_volume"))
     totals = totals.withColumn("_cut", across(F.percentile("quote_asset_volume", quantile)))
     return totals.filter(F.col("quote_asset_volume") >= F.col("_cut")).drop("_cut")
 
@@ -235,10 +236,10 @@ def funding_metrics(history: DataFrame, as_of: Column, hours: int = 72, n: int =
 
 def cluster_metrics(clusters: DataFrame, bars: DataFrame, top: int = 3) -> DataFrame:
     """Mean volume and std/mean stability per market, top markets per cluster by volume."""
-    m = bars.groupBy("trading_pair").agg(
+    m = bars.groupBy(*SERIES).agg(
         F.avg("volume").alias("avg_volume"), ratio(F.stddev_samp("volume"), F.avg("volume")).alias("volume_stability"))
-    df = clusters.join(m, "trading_pair", "left").fillna(0.0, ["avg_volume"])
-    return top_per_group(df, ["cluster"], [F.desc("avg_volume"), F.asc("trading_pair")], top)
+    df = clusters.join(m, [*SERIES], "left").fillna(0.0, ["avg_volume"])
+    return top_per_group(df, ["cluster"], [F.desc("avg_volume"), F.asc("trading_pair"), F.asc("connector")], top)
 
 
 def representative_markets(clusters: DataFrame, bars: DataFrame, top: int = 1) -> DataFrame:
@@ -246,29 +247,29 @@ def representative_markets(clusters: DataFrame, bars: DataFrame, top: int = 1) -
     markets per cluster."""
     b = prefix_scan(bars, {"_p": ("prev", "close")})
     usd = F.col("volume") * F.col("close")
-    m = b.groupBy("trading_pair").agg(
+    m = b.groupBy(*SERIES).agg(
         F.avg(usd).alias("avg_usd_volume"), ratio(F.stddev_samp(usd), F.avg(usd)).alias("volume_stability"),
         F.stddev_samp(ratio("close", "_p") - 1).alias("volatility"), F.avg("close").alias("price_mean"),
         F.count(F.lit(1)).alias("n_trades"),
         ratio(F.max("high") - F.min("low"), F.avg("close")).alias("price_range"))
     m = m.withColumn("liquidity_score", F.col("avg_usd_volume") / (F.col("volatility") + 1e-10))
-    df = clusters.join(m, "trading_pair", "left")
+    df = clusters.join(m, [*SERIES], "left")
     scaled = {}
     for c in ("avg_usd_volume", "volatility", "liquidity_score"):
         lo, hi = across(F.min(c)), across(F.max(c))
         scaled[c] = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
     df = df.withColumn("composite_score", scaled["avg_usd_volume"] * 0.6 + (1 - scaled["volatility"]) * 0.2
                        + scaled["liquidity_score"] * 0.2)
-    return top_per_group(df, ["cluster"], [F.desc("composite_score"), F.asc("trading_pair")], top)
+    return top_per_group(df, ["cluster"], [F.desc("composite_score"), F.asc("trading_pair"), F.asc("connector")], top)
 
 
 def cluster_return_stats(clusters: DataFrame, bars: DataFrame) -> DataFrame:
     """Normalised price (close / first close) statistics per cluster."""
     b = prefix_scan(bars.select(*SERIES, "ts", "close"), {"_f": ("first", "close")})
-    b = b.withColumn("normalised", ratio("close", "_f")).join(clusters, "trading_pair")
+    b = b.withColumn("normalised", ratio("close", "_f")).join(clusters, [*SERIES])
     return b.groupBy("cluster").agg(
         F.avg("normalised").alias("mean"), F.stddev_samp("normalised").alias("std"),
-        F.count(F.lit(1)).alias("count"), F.countDistinct("trading_pair").alias("pairs"))
+        F.count(F.lit(1)).alias("count"), F.countDistinct(*SERIES).alias("pairs"))
 
 
 def relationship_counts(pairs: DataFrame) -> DataFrame:
@@ -283,8 +284,9 @@ def relationship_counts(pairs: DataFrame) -> DataFrame:
 
 
 def accepted_pairs(directed: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Pairs whose both directions pass, with the mean p-value."""
-    return directed.groupBy(F.least("base", "quote").alias("pair1"), F.greatest("base", "quote").alias("pair2")).agg(
+    """Pairs of a venue whose both directions pass, with the mean p-value; with cuts, per cut."""
+    return directed.groupBy("connector", *(["cut"] if "cut" in directed.columns else []),
+                            F.least("base", "quote").alias("pair1"), F.greatest("base", "quote").alias("pair2")).agg(
         F.bool_and(F.col("p_value") < threshold).alias("_ok"), F.count(F.lit(1)).alias("_n"),
         F.avg("p_value").alias("coint_value")).filter(F.col("_ok") & (F.col("_n") == 2)).drop("_ok", "_n")
 
