@@ -116,7 +116,9 @@ def b07(view):
     return B.live_versus_backtest(live, t, ["trading_pair"])
 
 
-EMA_TRIALS = B.parameter_grid(B.TripleEmaTrial, short=(8,), medium=(20, 29), long=(50,), take_profit=(0.3,), stop_loss=(0.2, 0.4))
+# 50 runs per market
+EMA_TRIALS = B.parameter_grid(B.TripleEmaTrial, short=(8,), medium=(20, 29), long=(50,), take_profit=(0.1, 0.2, 0.3, 0.4, 0.5),
+                              stop_loss=(0.1, 0.2, 0.3, 0.4, 0.5))
 SWEEP = {
     **NB, **O.ema("ema_8", 8), **O.ema("ema_20", 20), **O.ema("ema_29", 29), **O.ema("ema_50", 50),
     "ind": O.joined("nb", "ema_8", "ema_20", "ema_29", "ema_50"),
@@ -150,8 +152,8 @@ def b10(view):
 @query("b09_macd_bb_config_list", "trial:i trading_pair net_pnl:6 sharpe_ratio:5 total_executors:i", "bars_1h")
 def b09(view):
     b = view("bars_1h")
-    configs = [B.MacdBollingerTrial(0, 9, 21, 10, 20, 1.5, 0.3, 0.2), B.MacdBollingerTrial(1, 19, 41, 10, 30, 2.0, 0.3, 0.3),
-               B.MacdBollingerTrial(2, 9, 21, 20, 50, 2.0, 0.5, 0.3)]
+    configs = B.parameter_sample(B.MacdBollingerTrial, 50, 42, fast=(9, 19), slow=(21, 41), signal=(10, 20), length=(20, 30, 50), width=(1.5, 2.0),
+                                 take_profit=(0.3, 0.5), stop_loss=(0.2, 0.3))
     return B.sweep(B.macd_bollinger_signals(b, configs), b, 12 * 3600)
 
 

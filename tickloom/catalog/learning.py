@@ -56,7 +56,7 @@ def m04(view):
     ensure_checkpoint_dir(d.sparkSession)
     d = d.checkpoint()
     train, test = M.split(d, ["trading_pair", "ts"])
-    model = M.train_forest(train, LearningSet.columns(), trees=20)
+    model = M.train_forest(M.balance_classes(train, [*SERIES, "ts"]), LearningSet.columns())
     return M.classification_report(M.score(model, test))
 
 
