@@ -8,7 +8,7 @@ from tickloom.catalog.registry import Query, all_queries
 
 GROUPS = (
     "ingest", "lake", "rolling", "recursive", "features", "signals", "joins", "screeners",
-    "pairs", "labels", "liquidity", "portfolio", "learning", "live",
+    "pairs", "labels", "liquidity", "portfolio", "learning", "live", "user",
 )
 
 

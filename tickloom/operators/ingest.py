@@ -145,14 +145,16 @@ def interior_gaps(bars: DataFrame, interval: str) -> DataFrame:
 
 
 def merge_bars(cached: DataFrame, fresh: DataFrame, mode: str = "key",
-               keys: tuple[str, ...] = (*SERIES, "ts")) -> DataFrame:
+               keys: tuple[str, ...] = (*SERIES, "ts"), version: str | None = None) -> DataFrame:
     """``row`` drops exact duplicate rows (a revised bar keeps both versions); ``key`` keeps the
-    newest version per key. Both combine map-side."""
+    newest version per key: fresh before cached, then the highest ``version`` (an arrival time or number).
+    Without one, revisions within a batch have no order, and the largest values win, so that a rerun
+    gives the same rows. Both combine map-side."""
     if mode == "row":
         return cached.unionByName(fresh).dropDuplicates()
     if mode != "key":
         raise ValueError(f"unknown merge mode {mode!r}")
     rest = [c for c in cached.columns if c not in keys]
     both = cached.withColumn("_batch", F.lit(0)).unionByName(fresh.withColumn("_batch", F.lit(1)))
-    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_batch", *rest)).alias("_v"))
+    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_batch", *([version] if version else []), *rest)).alias("_v"))
     return newest.select(*keys, "_v.*").select(*cached.columns)

@@ -14,6 +14,10 @@ from tickloom.operators.layout import SERIES, prefix_scan
 BAR_NUMBERS = ("open", "high", "low", "close", "volume", "quote_asset_volume", "n_trades", "taker_buy_base_volume", "taker_buy_quote_volume")
 
 
+#: Files of one folder in one write, at most.
+WRITERS = 8
+
+
 def typed_bars(df: DataFrame) -> DataFrame:
     """Numeric columns cast strictly (a bad number is an error), NaN to NULL."""
     return df.withColumns({c: F.col(c).cast("bigint") if c == "n_trades" else no_nan(F.col(c).cast("double"))
@@ -51,9 +55,11 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_daily(df: DataFrame, path: str, keys: tuple[str, ...] = ("connector",), mode: str = "append", ts: str = "ts") -> None:
-    """Append to a table partitioned by ``keys`` and day."""
+    """Append to a table partitioned by ``keys`` and day. The rows of one folder are dealt to
+    up to ``WRITERS`` tasks by the hash of the row, so a hot venue's day has no single writer."""
     df = df.withColumn("day", F.to_date(ts))
-    df.repartition(*keys, "day").write.mode(mode).partitionBy(*keys, "day").option("compression", "snappy").parquet(path)
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(WRITERS))
+    df.repartition(*keys, "day", part).write.mode(mode).partitionBy(*keys, "day").option("compression", "snappy").parquet(path)
 
 
 def read_daily(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
@@ -71,6 +77,11 @@ def write_features(features: DataFrame, path: str) -> None:
     write_daily(features, path, ("feature_name",))
 
 
+def write_learning_set(features: DataFrame, path: str) -> None:
+    """The classifier's feature table, by venue and day."""
+    write_daily(features, path, ("connector",), "overwrite")
+
+
 def write_signals(signals: DataFrame, path: str) -> None:
     write_daily(signals, path, ("signal_name",))
 
