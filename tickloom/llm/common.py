@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of whole texts that go to Python together; a batch and what is made of it must fit beside the JVM.
+TEXT_ROWS = 512
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """Let Arrow hand whole texts over in small batches, for the rest of the session."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, TEXT_ROWS)
+    return docs
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

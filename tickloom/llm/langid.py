@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import portions
+from tickloom.llm.common import portions, text_batches
 
 BITS = 15
 PENALTY = 24.0
@@ -214,7 +214,7 @@ def held_out(doc_id: Column | str, folds: int = 5) -> Column:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
           docs_per_language: int = DOCS_PER_LANGUAGE, seed: int = 5) -> LanguageModel:
     """Trigram counts of a hash sample of about ``docs_per_language`` rows per language."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
+    rows = text_batches(labelled).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
     rows = rows.filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)

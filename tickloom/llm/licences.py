@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import utf8
+from tickloom.llm.common import text_batches, utf8
 
 # Base phrases and their labels.
 BASE = (
@@ -194,4 +194,4 @@ def licence_scan(docs: DataFrame, base: tuple = BASE, notices: tuple = NOTICES)
     def scanned(text: pa.Array) -> pa.Array:
         return pa.array([scan(t, base, notices) for t in utf8(text)], type=_RESULT)
 
-    return docs.select("doc_id", scanned("text").alias("_s")).select("doc_id", "_s.*")
+    return text_batches(docs).select("doc_id", scanned("text").alias("_s")).select("doc_id", "_s.*")

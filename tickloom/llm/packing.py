@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import portions, written
+from tickloom.llm.common import portions, text_batches, written
 
 LENGTH = 2048
 MIN_SHARE = 1 / 256
@@ -71,7 +71,7 @@ def _tokens(docs: DataFrame, vocabulary: str, pattern: str, end: int) -> DataFra
                      pa.array(n, pa.int64()), pa.array([part] * (b - a), pa.int64()), pa.array(before, pa.int64()),
                      pa.array(ids, pa.binary())], names=["doc_id", "source", "n_tokens", "part", "ahead", "ids"])
 
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(
+    return text_batches(docs).select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(
         encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, n_tokens long, part long, ahead long, ids binary")
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import portions, utf8
+from tickloom.llm.common import portions, text_batches, utf8
 
 # The base patterns; the group whose length counts, and its least length.
 BASE = (
@@ -267,7 +267,7 @@ def scan(texts: pa.Array, field: Field | None) -> list[list[tuple[int, int, int,
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, reach: int = REACH,
           seed: int = 11) -> Field:
     """Train on at most ``windows`` windows of 2 * reach + 1 tokens of the sample, those around pattern matches first."""
-    rows = docs.select("text").filter("text is not null")
+    rows = text_batches(docs).select("text").filter("text is not null")
     n = rows.count()
     chance = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(chance < min(1.0, sample_docs / max(n, 1)))
@@ -331,7 +331,7 @@ def found_spans(field: Field, text: Column | str = "text") -> Column:
 def secret_scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_field, base_sha256 and spans
     (kind:start:end by start, then kind as listed in ``KINDS``, comma-joined)."""
-    rows = docs.select("doc_id", found_spans(field or learn(docs)).alias("found"))
+    rows = text_batches(docs).select("doc_id", found_spans(field or learn(docs)).alias("found"))
     listed = F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
     base = F.filter(listed, lambda x: ~x.startswith(KINDS[-1]))
     kinds = F.transform("found", lambda x: x["kind"])
@@ -358,7 +358,7 @@ def redacted(docs: DataFrame, field: Field | None = None, mark: str = "[REDACTED
             out.append(text)
         return pa.array(out, pa.string())
 
-    cleaned = docs.withColumn("text", clean("text"))
+    cleaned = text_batches(docs).withColumn("text", clean("text"))
     if "n_chars" in docs.columns:
         n = F.when(docs["n_chars"].isNotNull(), F.char_length(F.col("text")).cast(docs.schema["n_chars"].dataType))
         cleaned = cleaned.withColumn("n_chars", n)
