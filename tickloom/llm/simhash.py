@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, utf8
+from tickloom.llm.common import cut, text_batches, utf8, written
 from tickloom.llm.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 2
@@ -103,7 +103,7 @@ def _components(marked: DataFrame, radius: int) -> DataFrame:
 def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id
     reachable by links, its own included)."""
-    marked = cut(docs.select("doc_id", fingerprinted().alias("fp")))
+    marked = cut(text_batches(docs).select("doc_id", fingerprinted().alias("fp")))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = _components(marked, radius).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -117,15 +117,13 @@ def first_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null ids last; of rows that
     share it, the one of the smallest fingerprint, and of full repeats any one). All columns are kept."""
     own = docs.columns
-    holder = f"_row_{len(own)}"  # all columns in one struct: no name can clash
-    keyed = docs.select(F.struct(*(docs[c] for c in own)).alias(holder), F.col("doc_id").alias("id"),
-                        fingerprinted().alias("fp"))
-    marked = cut(docs.select(F.col("doc_id").alias("id"), fingerprinted().alias("fp")))
+    # all columns in one struct, so no name can clash; the key is a struct, so a null id equals a null id
+    key = F.struct(F.col("doc_id").alias("id"), fingerprinted().alias("fp")).alias("key")
+    keyed = written(text_batches(docs).select(F.struct(*(docs[c] for c in own)).alias("row"), key), "fingerprints")
+    marked = keyed.select("key.id", "key.fp")
     roots = _components(marked, radius).select(F.col("node").alias("fp"), "root")
-    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("best")
-    classes = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id")).alias("f"))
-    classes = classes.select("fp", "f.id").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    keep = classes.groupBy("root").agg(best).select("best.id", "best.fp")
-    same = [keyed["fp"] == keep["fp"], keyed["id"].eqNullSafe(keep["id"])]
-    kept = keyed.join(keep, same, "left_semi").dropDuplicates(["fp", "id"])
-    return kept.select(*(F.col(holder)[c].alias(c) for c in own))
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "fp")
+    classes = marked.groupBy("fp").agg(F.min(rank).alias("first")).join(roots, "fp", "left")
+    keep = classes.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("best")).select(F.struct("best.id", "best.fp").alias("key"))
+    kept = keyed.join(keep, "key", "left_semi").dropDuplicates(["key"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in own))
