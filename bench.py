@@ -17,6 +17,7 @@ HEADLINE = (
     "f01_ema_trend", "f07_volatility", "f08_volume_daily", "f12_learning_set", "g03_macd_bb", "g09_triple_ema",
     "j01_asof", "j08_band", "a02_report", "a05_screener_24", "a08_regression", "b02_barrier", "b04_summary", "b08_sweep",
     "l06_vwap", "l13_quotes", "p01_fill_ledger", "p03_decision", "qj_correlation", "qa_cointegration", "qe_lead_lag",
+    "f04_series_peaks", "g11_xgrid", "r08_supertrend", "m04_forest_report", "qk_clusters_at_height",
 )
 
 
@@ -25,6 +26,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus))
     registry = load()
+    # start-up of the JVM's and Python's workers is not a query's time
+    registry["u03_row_function"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         if name not in registry:

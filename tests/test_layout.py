@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import kernels as N
+from tickloom.operators import peaks as P
 from tickloom.operators import recursive as C
 from tickloom.operators import rolling as R
 from tickloom.operators.fold import fold_series, reset_cumsum, supertrend
@@ -119,3 +120,23 @@ def test_series_peaks_against_one_pass(spark, monkeypatch):
     nominal = 0.1 * (pdf.high.max() - pdf.low.min())
     for kind, x in (("high", pdf.high.to_numpy()), ("low", -pdf.low.to_numpy())):
         assert sorted(got[got.kind == kind]["_pos"]) == N.find_peaks(x, nominal, 7).tolist()
+
+
+def test_thin_ends_in_few_rounds_on_rising_chains(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [("x", "up", "high", float(i), 3 * i) for i in range(10_000)] + [("x", "down", "high", float(-i), 3 * i) for i in range(3000)]
+    rows += [(None, "any", "high", float(v), int(p)) for p, v in zip(np.cumsum(rng.integers(1, 9, 4000)), rng.integers(0, 50, 4000))]
+    d = spark.createDataFrame(rows, "connector string, trading_pair string, kind string, x double, p long")
+    monkeypatch.setattr(P, "ROWS", 8000)
+    got = {(r.trading_pair, r.p) for r in P.thin(d, 7).collect()}
+    want = set()
+    for name in ("up", "down", "any"):
+        own = [(x, p) for _, n, _, x, p in rows if n == name]
+        open_ = sorted(own, reverse=True)
+        gone = set()
+        at = {p for _, p in own}
+        for _, p in open_:
+            if p not in gone:
+                want.add((name, p))
+                gone |= {q for q in range(p - 6, p + 7) if q in at and q != p}
+    assert got == want

@@ -110,31 +110,55 @@ def local_maxima(sides: DataFrame) -> DataFrame:
     return top.select(*KEYS, "x", F.floor((F.col("_a") + F.col("_b")) / 2).alias("p"))
 
 
+# what is known of a peak while it is thinned
+NEW, OPEN, KEPT, DROPPED = range(4)
+
+
 def thin(peaks: DataFrame, distance: int) -> DataFrame:
     """Keep peaks by height while dropping lower ones closer than ``distance``.
 
-    Each round keeps every undecided peak that is the highest within its reach and drops its
-    neighbours; the result is the one-by-one rule, in a handful of rounds. Chunks of positions with
-    a margin on both sides keep every window bounded.
+    A chunk of positions, seen with a margin on both sides, decides its peaks from the highest down in one pass.
+    Only a peak that hangs on one beyond the margin stays open, and only chunks with open peaks run again, so a
+    chain of ever higher peaks takes one round per chunk it crosses. In each round the highest open peak of every
+    series is decided.
     """
-    from pyspark.sql import Window
     ensure_checkpoint_dir(peaks.sparkSession)
-    chunk = max(ROWS, 4 * distance)
-    spread = F.explode(F.sequence(F.floor((F.col("p") - distance) / chunk), F.floor((F.col("p") + distance) / chunk)))
-    reach = Window.partitionBy(*KEYS, "_c").orderBy("p").rangeBetween(-(distance - 1), distance - 1)
-    kept, open_ = None, peaks.checkpoint()
+    chunk, margin = max(ROWS, 4 * distance), 2 * distance
+    spread = F.explode(F.sequence(F.floor((F.col("p") - margin) / chunk), F.floor((F.col("p") + margin) / chunk)))
+
+    def decide(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", ignore_index=True)
+        low, high = key[-1] * chunk - margin, (key[-1] + 1) * chunk + margin
+        pos, status = pdf["p"].to_numpy(), np.where(pdf["settled"].to_numpy(dtype=bool), KEPT, NEW)
+        left, right = np.searchsorted(pos, pos - distance, side="right"), np.searchsorted(pos, pos + distance, side="left")
+        for i in np.lexsort((pos, pdf["x"].to_numpy()))[::-1]:
+            if status[i] == KEPT:
+                continue
+            near = status[left[i]:right[i]]  # lower peaks near by are still NEW
+            if (near == KEPT).any():
+                status[i] = DROPPED
+            elif (near == OPEN).any() or pos[i] - low < distance or high - pos[i] <= distance:
+                status[i] = OPEN
+            else:
+                status[i] = KEPT
+        home = (pos // chunk == key[-1]) & ~pdf["settled"].to_numpy(dtype=bool) & (status != DROPPED)
+        return pdf.loc[home, [*KEYS, "x", "p"]].assign(kept=status[home] == KEPT)
+
+    cell = F.struct(*KEYS, "_c")
+    kept, open_ = None, peaks.select(*KEYS, "x", "p")
     while True:
-        d = open_.withColumns({"_c": spread, "_home": F.floor(F.col("p") / chunk)})
-        best = F.max(F.struct("x", "p")).over(reach)
-        d = d.withColumn("_keep", best["p"] == F.col("p"))
-        # a copy in a foreign chunk may see too little to one side; its verdict is taken from its home chunk
-        verdict = d.filter(F.col("_c") == F.col("_home")).select(*KEYS, "x", "p", "_keep").checkpoint()
-        now = verdict.filter("_keep").select(*KEYS, "x", "p")
+        rows = open_.withColumn("settled", F.lit(False))
+        if kept is not None:
+            rows = rows.unionByName(kept.withColumn("settled", F.lit(True)))
+        seen = rows.withColumn("_c", spread)
+        if kept is not None:
+            touched = open_.withColumn("_c", spread).select(cell.alias("_cell")).distinct()
+            seen = seen.withColumn("_cell", cell).join(touched, "_cell", "left_semi").drop("_cell")
+        verdict = seen.groupBy(*KEYS, "_c").applyInPandas(
+            decide, "connector string, trading_pair string, kind string, x double, p long, kept boolean").checkpoint()
+        now = verdict.filter("kept").drop("kept")
         kept = now if kept is None else kept.unionByName(now)
-        d = verdict.withColumns({"_c": spread, "_home": F.floor(F.col("p") / chunk)})
-        near = F.max(F.col("_keep")).over(reach)
-        left = d.withColumn("_near", near).filter((F.col("_c") == F.col("_home")) & ~F.col("_near"))
-        open_ = left.select(*KEYS, "x", "p").checkpoint()
+        open_ = verdict.filter("not kept").drop("kept")
         if open_.isEmpty():
             return kept
 
