@@ -154,7 +154,19 @@ def distance_table(view):
     return c.select("connector", "pair1", "pair2", (1 - F.col("correlation")).alias("distance"))
 
 
-@query("qk_clusters_at_height", "trading_pair label", "bars_1d")
+NEAR = {
+    "nb": O.numbered("bars_1d"),
+    "liq": "SELECT connector, trading_pair FROM (SELECT connector, trading_pair, sum(quote_asset_volume) AS q FROM bars_1d GROUP BY 1, 2) QUALIFY q >= quantile_cont(q, 0.75) OVER ()",
+    "r": "SELECT connector, trading_pair, ts, close / nullif(prev_close, 0) - 1 AS ret FROM nb JOIN liq USING (connector, trading_pair) WHERE prev_close IS NOT NULL",
+    "c": """SELECT a.connector, a.trading_pair AS pair1, b.trading_pair AS pair2, 1 - corr(a.ret, b.ret) AS distance FROM r a JOIN r b
+ON a.connector = b.connector AND a.ts = b.ts AND a.trading_pair < b.trading_pair GROUP BY 1, 2, 3 HAVING count(*) >= 50""",
+    "e": "SELECT connector, pair1 AS a, pair2 AS b FROM c WHERE distance < 0.75 UNION SELECT connector, pair2, pair1 FROM c WHERE distance < 0.75",
+    "reach(connector, node, l) AS (": """SELECT connector, pair1, pair1 FROM c UNION SELECT connector, pair2, pair2 FROM c
+UNION SELECT e.connector, e.b, reach.l FROM reach JOIN e ON e.connector = reach.connector AND e.a = reach.node""",
+}
+
+
+@query("qk_clusters_at_height", "trading_pair label", "bars_1d", ctes=NEAR, sql="SELECT node AS trading_pair, min(l) AS label FROM reach GROUP BY connector, node")
 def qk_height(view):
     return Q.clusters_at(distance_table(view), 0.75)
 
