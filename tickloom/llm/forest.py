@@ -73,9 +73,8 @@ class Forest:
             yield np.flatnonzero(hit)
 
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int, trees: int, least: int):
+def search(forest: Forest, x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int, least: int):
     """(query number, row id, distance) of the k nearest candidates of each query."""
-    forest = Forest(x, trees)
     of, found, score = [], [], []
     for i, rows in enumerate(forest.candidates(q, least)):
         rows = rows[ids[rows] != query_ids[i]]
@@ -97,15 +96,20 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, trees: int = TREES,
     vectors = valid.select(F.col("embedding").alias("vector"), F.col("vec_id").cast("long").alias("id"),
                            F.lit(1).cast("long").alias("n"), is_query.alias("q"))
     data, per_dim = packed_blocks(vectors.drop("q"), block, "rows")
-    queries, query_blocks = packed_blocks(vectors.filter("q").drop("q"), QUERY_BLOCK, "queries")
-    visits = paired(queries, data, F.lit(0).cast("long"), F.lit(per_dim - 1).cast("long"), per_dim * query_blocks)
+    queries, _ = packed_blocks(vectors.filter("q").drop("q"), QUERY_BLOCK, "queries")
+    visits = paired(queries, data, F.lit(0).cast("long"), F.lit(per_dim - 1).cast("long"))
+    # the visits of a block of rows follow each other in one task, so its forest is built once
+    visits = visits.repartition(per_dim, "dim", "b_block").sortWithinPartitions("dim", "b_block")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, forest = None, None
         for batch in batches:
             for v in batch.to_pylist():
                 own, _, q = unpack(v["dim"], v["a_ids"], v["a_ns"], v["a_data"])
                 ids, _, x = unpack(v["dim"], v["b_ids"], v["b_ns"], v["b_data"])
-                of, found, score = search(x, ids, q, own, k, trees, candidates)
+                if now != (v["dim"], v["b_block"]):
+                    now, forest = (v["dim"], v["b_block"]), Forest(x, trees)
+                of, found, score = search(forest, x, ids, q, own, k, candidates)
                 yield pa.RecordBatch.from_pydict({"query_id": own[of], "vec_id": found, "score": score})
 
     met = visits.mapInArrow(visit, "query_id long, vec_id long, score double")

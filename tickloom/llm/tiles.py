@@ -117,7 +117,8 @@ def cosine_links(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLO
                   .agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")))
     blocks, per_dim = packed_blocks(classes.select(F.col("embedding").alias("vector"), F.col("h1").alias("id"), "n"),
                                     block, "vectors")
-    units = paired(blocks, blocks, F.col("a_block"), F.lit(per_dim - 1).cast("long"), max(1, per_dim * (per_dim + 1) // 2))
+    units = paired(blocks, blocks, F.col("a_block"), F.lit(per_dim - 1).cast("long"))
+    units = units.repartition(max(1, per_dim * (per_dim + 1) // 2), "dim", "a_block", "b_block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -47,10 +47,10 @@ def unpack(dim: int, ids: bytes, ns: bytes, data: bytes) -> tuple[np.ndarray, np
     return np.frombuffer(ids, "<i8"), np.frombuffer(ns, "<i8"), np.frombuffer(data, "<f8").reshape(-1, dim)
 
 
-def paired(left: DataFrame, right: DataFrame, first: Column, last: Column, tasks: int) -> DataFrame:
+def paired(left: DataFrame, right: DataFrame, first: Column, last: Column) -> DataFrame:
     """Every left block beside each right block numbered ``first`` to ``last``: dim, then a_ and b_ columns."""
     a = left.select("dim", *(F.col(c).alias(f"a_{c}") for c in ("block", "ids", "ns", "data")))
     wanted = a.withColumn("b_block", F.explode(F.sequence(first, last)))
     b = right.select(F.col("dim").alias("b_dim"), *(F.col(c).alias(f"b_{c}") for c in ("block", "ids", "ns", "data")))
     both = wanted.join(b.withColumnRenamed("b_block", "own"), (F.col("dim") == F.col("b_dim")) & (F.col("b_block") == F.col("own")))
-    return both.drop("own", "b_dim").repartition(tasks, "dim", "a_block", "b_block")
+    return both.drop("own", "b_dim")
