@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, utf8, written
+from tickloom.llm.common import cut, text_batches, utf8, written
 from tickloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -201,18 +201,22 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
              rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per paragraph to remove: doc_id, paragraph, start, end, n_words, exact (equal words to the one kept),
     kept_doc_id and kept_paragraph (the occurrence that stays; together they name the component)."""
+    docs = text_batches(docs)
     found = written(occurrences(docs, min_words, bands, rows), "paragraphs")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
-    classes = cut(found.groupBy("key", "bands").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")))
-    band = F.posexplode("bands").alias("band", "value")
-    banded = classes.select("key", band)
-    stars = banded.groupBy("band", "value").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = banded.join(stars.select("band", "value", "centre"), ["band", "value"]).filter("key <> centre")
-    groups = components(met, "key", "centre")
+    # candidate groups are found on short names; should two paragraphs share one, they are compared as well
+    short = F.xxhash64("key").alias("short")
+    classes = cut(found.groupBy("key", "bands").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
+                  .select("*", short))
+    banded = classes.select("short", F.explode("bands").alias("band"))
+    stars = banded.groupBy("band").agg(F.min("short").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = banded.join(stars.select("band", "centre"), "band").filter("short <> centre")
+    groups = components(met, "short", "centre")
     groups = groups.union(groups.select("root", "root").distinct())
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    wanted = groups.join(sizes, "root").join(classes.withColumnRenamed("key", "node"), "node").select(
-        F.col("root").alias("group"), F.col("node").alias("key"), "size", "first.doc_id", "first.paragraph")
+    members = groups.join(classes, F.col("node") == F.col("short")).select(
+        F.col("root").alias("group"), "key", "first.doc_id", "first.paragraph")
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    wanted = members.join(sizes, "group")
     texts = _texts(docs, min_words)
     members = texts.join(cut(wanted), texts["own_doc"].eqNullSafe(F.col("doc_id"))
                          & (texts["own_paragraph"] == F.col("paragraph")))
@@ -232,7 +236,7 @@ def cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the paragraphs of ``found`` (the result of ``removals``) cut out of the texts; all rows stay."""
     spans = found.groupBy(F.col("doc_id").alias("_own")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut"))
     own = docs.columns
-    rows = docs.select(F.struct(*(docs[c] for c in own)).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    rows = text_batches(docs).select(F.struct(*(docs[c] for c in own)).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     both = rows.join(spans, F.col("_id").eqNullSafe(F.col("_own")), "left")
 
     @F.arrow_udf("string")

@@ -37,24 +37,6 @@ def trades_to_bars(trades: DataFrame, interval: str) -> DataFrame:
     )
 
 
-def time_grid(bars: DataFrame, interval: str) -> DataFrame:
-    """Every bar time from the first to the last bar of each series.
-
-    The range is first cut in slices of ``GRID_SLICE`` bars and each slice expanded on its own, so
-    no row ever holds the grid of a whole series.
-    """
-    step = interval_seconds(interval)
-    span = bars.groupBy(*SERIES).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
-    span = span.withColumn("_n", ((epoch_micros("_b") - epoch_micros("_a")) / (step * 1_000_000)).cast("bigint"))
-    slices = span.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / GRID_SLICE))))
-    slices = slices.repartition(*SERIES, "_slice")
-    first = F.col("_slice") * GRID_SLICE
-    last = F.least(F.col("_n"), first + GRID_SLICE - 1)
-    k = slices.withColumn("_k", F.explode(F.sequence(first, last)))
-    seconds = (F.col("_k") * step).cast("double")
-    return k.select(*SERIES, (F.col("_a") + F.make_dt_interval(secs=seconds)).alias("ts"))
-
-
 def fill_forward(df: DataFrame, columns: list[str], **kw) -> DataFrame:
     """Last known value of each column."""
     order = df.columns
@@ -64,10 +46,25 @@ def fill_forward(df: DataFrame, columns: list[str], **kw) -> DataFrame:
 
 def resample_ohlcv(trades: DataFrame, interval: str) -> DataFrame:
     """Bars on the dense grid; an empty bucket has volume 0 and each price column carries its
-    own previous value (open from open, close from close)."""
-    bars = trades_to_bars(trades, interval).select(*SERIES, "ts", "open", "high", "low", "close", "volume")
-    dense = time_grid(bars, interval).join(bars, [*SERIES, "ts"], "left").fillna(0.0, ["volume"])
-    return fill_forward(mark_bars(dense, interval_seconds(interval)), ["open", "high", "low", "close"])
+    own previous value (open from open, close from close).
+
+    Every bar fills the gap before it, from the values and the time one scan brings it; a long gap is
+    cut in slices first, so no row holds all of it. A bar without a time stays as it is.
+    """
+    step, prices = interval_seconds(interval), ["open", "high", "low", "close"]
+    bars = trades_to_bars(trades, interval).select(*SERIES, "ts", *prices, "volume")
+    d = prefix_scan(bars, {"_at": ("last", "ts")} | {f"_f_{c}": ("last", c) for c in prices}, inclusive=False)
+    gap = ((epoch_micros("ts") - epoch_micros("_at")) / (step * 1_000_000)).cast("bigint")
+    d = d.withColumn("_gap", F.coalesce(gap, F.lit(1)))
+    d = d.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("_gap") - 1) / GRID_SLICE))))
+    first = F.col("_slice") * GRID_SLICE
+    d = d.withColumn("_k", F.explode(F.sequence(first, F.least(F.col("_gap") - 1, first + GRID_SLICE - 1))))
+    own = F.col("_k") == 0
+    back = F.make_dt_interval(secs=(F.col("_k") * step).cast("double"))
+    dense = d.select(*SERIES, (F.col("ts") - back).alias("ts"),
+                     *[F.when(own, F.coalesce(c, f"_f_{c}")).otherwise(F.col(f"_f_{c}")).alias(c) for c in prices],
+                     F.when(own, F.coalesce("volume", F.lit(0.0))).otherwise(0.0).alias("volume"))
+    return mark_bars(dense, step)
 
 
 def coarser_bars(bars: DataFrame, interval: str) -> DataFrame:

@@ -55,14 +55,13 @@ def volume_volatility_report(bars: DataFrame, volatility: Volatility, volume: Vo
     in the close range and a score normalised by the best pair."""
     newest = ["buy_pressure_divergence", "buy_momentum", "volume_surge", "volume_buy_signal",
               "accumulation_score", "distribution_score", "close"]
-    vol = volatility.calculate(bars).select(*SERIES, "ts", "volatility", "natr", "bb_width")
-    vlm = volume.calculate(bars)
-    a = vol.groupBy(*SERIES).agg(F.avg("volatility").alias("mean_volatility"), F.avg("natr").alias("mean_natr"),
-                                 F.avg("bb_width").alias("mean_bb_width"))
-    b = vlm.groupBy(*SERIES).agg(
+    # chained, so that the series are numbered once, and one aggregate per market
+    both = volume.calculate(volatility.calculate(bars))
+    r = both.groupBy(*SERIES).agg(
+        F.avg("volatility").alias("mean_volatility"), F.avg("natr").alias("mean_natr"), F.avg("bb_width").alias("mean_bb_width"),
         F.max_by(F.struct(*newest), "ts").alias("_n"), F.sum("volume_usd").alias("_usd"),
         F.min("ts").alias("_t0"), F.max("ts").alias("_t1"), F.max("close").alias("_hi"), F.min("close").alias("_lo"))
-    r = a.join(b, [*SERIES]).select("*", "_n.*").drop("_n")
+    r = r.select("*", "_n.*").drop("_n")
     hours = (F.unix_micros(F.col("_t1").cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / 3.6e9
     span = F.col("_hi") - F.col("_lo")
     r = r.withColumns({
