@@ -140,7 +140,7 @@ def plain_removals(rows, similarity=0.8):
 @pytest.mark.parametrize("block", [2, 256])
 def test_paragraph_removals_against_all_pairs(spark, block):
     rows = fixtures.documents()
-    got = paragraphs.removals(fixtures.table(spark, rows), block=block).collect()
+    got = paragraphs.removals(fixtures.table(spark, rows), block=block).filter("paragraph is not null").collect()
     found = {(r.doc_id is None, r.doc_id or 0, r.paragraph): (r.kept_doc_id is None, r.kept_doc_id or 0, r.kept_paragraph) for r in got}
     assert found == plain_removals(rows) and any(not r.exact for r in got)
     texts = {d: t for d, t, *_ in rows if d is not None}
@@ -151,11 +151,41 @@ def test_paragraph_removals_against_all_pairs(spark, block):
 
 def test_paragraphs_of_the_shared_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {(False, r.doc_id, r.paragraph) for r in paragraphs.removals(docs).collect()}
+    got = {(False, r.doc_id, r.paragraph) for r in paragraphs.removals(docs).filter("paragraph is not null").collect()}
     want = plain_removals([tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert got == set(want)
 
 
+def windows(text, n):
+    w = words(text)
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1) if len(set(w[i:i + n])) > 1}
+
+
+def test_passages_inside_lines_are_found_and_nothing_else(spark):
+    draw = random.Random(12)
+    passages = [fixtures.sentence(draw, "aa", n) for n in (50, 51, 60, 130)]
+    rows = []
+    for i in range(60):
+        parts = [fixtures.sentence(draw, draw.choice("ab") * 2, draw.randint(1, 300)) for _ in range(2)]
+        if i % 2:
+            parts.insert(1, draw.choice(passages).upper() if i % 5 == 0 else draw.choice(passages))
+        rows.append((i, draw.choice([" ", "  \t", "\n"]).join(parts)))
+    rows += [(100, "the " * 300), (101, "the " * 300), (102, None), (103, ""), (None, passages[3] + " end")]
+    got = defaultdict(list)
+    for r in paragraphs.repeated_segments(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append(r)
+    texts = dict(rows)
+    whole, part = {d: windows(t, 50) for d, t in rows}, {d: windows(t, 25) for d, t in rows}
+    for d in texts:
+        before = [e for e in texts if e is not None and (d is None or e < d)]
+        assert (d in got) == any(part[d] & part[e] for e in before) or not any(whole[d] & whole[e] for e in before), d
+        for r in got.get(d, []):
+            stretch = texts[d][r.start:r.end]
+            assert len(words(stretch)) == r.n_words >= 25 and stretch == stretch.strip()
+            assert any(windows(stretch, 25) & part[e] for e in before)
+    assert {i for i in range(60) if i % 2} - set(got) <= {1, 3, 5, 7, 9, 11, 13, 15, 17, 19, 21}
+
+
 def test_cleaned_texts_lose_their_repeats_only(spark):
     docs = fixtures.table(spark)
     found = paragraphs.removals(docs)

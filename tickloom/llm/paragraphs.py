@@ -6,11 +6,18 @@ each band's smallest paragraph and so to candidate groups; within a group all pa
 Jaccard similarity of their shingles, and paragraphs at ``similarity`` or more are linked. Of every connected
 component the first occurrence (smallest doc_id, then place) stays and the others are removals.
 
+A passage may also lie inside longer lines or run over several. For these every window of ``window`` words counts as
+a paragraph of its own, with the smallest hash of its five-word shingles as MinHash. Neighbouring windows mostly share
+that shingle, so about 2 / ``window`` of the shingles are anchors. A passage of ``window`` words or more holds the
+anchor of a window of its own, and ``segment`` words from the anchor on or up to its end; two documents that share
+the passage share such a segment word for word. Segments that occur in several documents are removals in all but the
+document of the smallest id; overlapping ones are joined. Runs of one repeated word are no passage.
+
 With 12 bands of 4 a pair at similarity 0.8 collides with probability 0.998, one at 0.2 with 0.02.
 
 Distinct paragraphs are compared once, whatever the number of copies. A candidate group of many paragraphs is
 split into blocks, and each pair of blocks is a unit of work of bounded size that returns a spanning forest, never
-its pairs. Texts are read twice: once for signatures, once for the texts of colliding paragraphs.
+its pairs. Texts are read three times: for signatures, for the texts of colliding paragraphs, and for segments.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. Null or empty text has no paragraph.
 A null doc_id comes last among occurrences. Rows that repeat a document in full count as that document: their
@@ -19,12 +26,13 @@ paragraphs stay or go together. Paragraphs are named by a 128-bit hash of their
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, text_batches, utf8, written
@@ -33,6 +41,7 @@ from tickloom.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 MIN_WORDS = 20
+WINDOW, SEGMENT = 50, 25
 BLOCK = 256
 #: Columns of an incidence matrix worked on together.
 COLUMNS = 4096
@@ -119,6 +128,94 @@ def _texts(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(find, f"own_doc {kind}, own_paragraph long, words binary")
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+
+
+@functools.lru_cache(maxsize=8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the hash's base and of its inverse, modulo 2 ** 64."""
+    power, back = np.ones(n, np.uint64), np.ones(n, np.uint64)
+    power[1:], back[1:] = _ODD, _INVERSE
+    return np.multiply.accumulate(power), np.multiply.accumulate(back)
+
+
+def _hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the stretches [first, end) of a sequence, from one running sum."""
+    power, back = _powers(1 << max(16, len(values).bit_length()))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[:len(values)], out=total[1:])
+    x = (total[end] - total[first]) * back[first]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def segments_of(raw: bytes, window: int, segment: int) -> tuple[np.ndarray, ...]:
+    """Anchored segments of one text: first word, start and end (code points), key (a polynomial hash of its words)."""
+    none = np.zeros(0, np.int64)
+    low = raw.lower()
+    b = np.frombuffer(low, np.uint8)
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[b]
+    edge = np.diff(inside)
+    ws, we = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    n = len(ws)
+    if n < window:
+        return none, none, none, none
+    with np.errstate(over="ignore"):
+        h = _hashes(b.astype(np.uint64) + np.uint64(1), ws, we)
+        at = np.arange(n - SHINGLE + 1)
+        grams = _hashes(h, at, at + SHINGLE)
+        view = np.lib.stride_tricks.sliding_window_view(grams, window - SHINGLE + 1)
+        anchor = np.concatenate([view[a:a + 65536].argmin(axis=1) + np.arange(a, min(a + 65536, len(view)))
+                                 for a in range(0, len(view), 65536)])
+        anchor = anchor[np.append(True, anchor[1:] != anchor[:-1])]
+        up_to = segment - SHINGLE
+        first = np.unique(np.concatenate([anchor[anchor + segment <= n], anchor[anchor >= up_to] - up_to]))
+        turns = np.cumsum(np.append(False, h[1:] != h[:-1]))
+        first = first[turns[first + segment - 1] > turns[first]]
+        keys = _hashes(h, first, first + segment).view(np.int64)
+    chars = np.cumsum((b & 0xC0) != 0x80)  # characters up to and with a byte
+    return first, chars[ws[first]] - 1, chars[we[first + segment - 1] - 1], keys
+
+
+def _segments(docs: DataFrame, window: int, segment: int) -> DataFrame:
+    """doc_id, word, start, end, key of every anchored segment."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [segments_of(raw or b"", window, segment) for raw in utf8(batch.column("text"))]
+            if not found:
+                continue
+            of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            word, start, end, key = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(4))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(of)), "word": word,
+                                              "start": start, "end": end, "key": key})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, word long, start long, end long, key long")
+
+
+def repeated_segments(docs: DataFrame, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
+    """Stretches that an earlier document has as well: doc_id, start, end, n_words, kept_doc_id. Documents without
+    an id count as one, the last."""
+    found = written(_segments(text_batches(docs), window, segment), "segments")
+    own = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+                                   F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    shared = own.filter((F.col("low") < F.col("high")) | F.col("unnamed") & F.col("low").isNotNull())
+    later = found.join(shared.select("key", "low"), "key").filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("low")))
+    later = later.select("doc_id", "word", "start", "end", "low").distinct()
+    order = Window.partitionBy("doc_id").orderBy("word", "end")
+    fresh = F.col("word") > F.lag("word").over(order) + segment
+    joined = later.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("long")).withColumn("_stretch", F.sum("_new").over(order))
+    return joined.groupBy("doc_id", "_stretch").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + segment).alias("n_words"),
+        F.min("low").alias("kept_doc_id")).drop("_stretch")
+
+
 def similar(texts: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i < j, of texts whose five-word shingle sets have that Jaccard similarity or more."""
     sets = [set(shingles(t.split())) for t in texts]
@@ -198,18 +295,18 @@ def _verified(members: DataFrame, similarity: float, block: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, bands: int = BANDS,
-             rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """One row per paragraph to remove: doc_id, paragraph, start, end, n_words, exact (equal words to the one kept),
-    kept_doc_id and kept_paragraph (the occurrence that stays; together they name the component)."""
+             rows: int = ROWS, block: int = BLOCK, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
+    """One row per paragraph or stretch to remove: doc_id, paragraph (line number; null for a stretch), start, end,
+    n_words, exact (equal words to the one kept), kept_doc_id and kept_paragraph (the occurrence that stays; together
+    they name the component). A stretch may lie within or across removed lines."""
     docs = text_batches(docs)
     found = written(occurrences(docs, min_words, bands, rows), "paragraphs")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
     # candidate groups are found on short names; should two paragraphs share one, they are compared as well
     short = F.xxhash64("key").alias("short")
-    classes = cut(found.groupBy("key", "bands").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
-                  .select("*", short))
-    banded = classes.select("short", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("short").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    classes = cut(found.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).select("*", short))
+    banded = found.select(short, F.explode("bands").alias("band"))
+    stars = banded.groupBy("band").agg(F.min("short").alias("centre"), F.max("short").alias("other")).filter("centre <> other")
     met = banded.join(stars.select("band", "centre"), "band").filter("short <> centre")
     groups = components(met, "short", "centre")
     groups = groups.union(groups.select("root", "root").distinct())
@@ -228,13 +325,19 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
     removed = cut(rooted.join(heads, "root").select("key", "kept", (F.col("key") == F.col("kept_key")).alias("exact")))
     out = found.join(removed, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))
                                               & (F.col("paragraph") == F.col("kept.paragraph"))))
-    return out.select("doc_id", "paragraph", "start", "end", "n_words", "exact",
-                      F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph"))
+    lines = out.select("doc_id", "paragraph", "start", "end", "n_words", "exact",
+                       F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph"))
+    none = F.lit(None).cast("long")
+    stretches = repeated_segments(docs, window, segment).select(
+        "doc_id", none.alias("paragraph"), "start", "end", "n_words", F.lit(True).alias("exact"), "kept_doc_id",
+        none.alias("kept_paragraph"))
+    return lines.unionByName(stretches)
 
 
 def cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the paragraphs of ``found`` (the result of ``removals``) cut out of the texts; all rows stay."""
-    spans = found.groupBy(F.col("doc_id").alias("_own")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut"))
+    spans = found.groupBy(F.col("doc_id").alias("_own")).agg(F.array_sort(F.collect_set(
+        F.struct("start", (F.col("end") + F.col("paragraph").isNotNull().cast("long")).alias("end")))).alias("_cut"))
     own = docs.columns
     rows = text_batches(docs).select(F.struct(*(docs[c] for c in own)).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     both = rows.join(spans, F.col("_id").eqNullSafe(F.col("_own")), "left")
@@ -245,9 +348,9 @@ def cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:
         for t, spans_ in zip(text.to_pylist(), cuts.to_pylist()):
             if t is not None and spans_:
                 parts, at = [], 0
-                for s in spans_:
-                    parts.append(t[at:s["start"]])
-                    at = s["end"] + 1  # with its line end
+                for s in spans_:  # a line goes with its line end
+                    parts.append(t[at:max(at, s["start"])])
+                    at = max(at, s["end"])
                 t = "".join(parts) + t[at:]
             out.append(t)
         return pa.array(out, pa.string())
