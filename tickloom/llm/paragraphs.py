@@ -27,7 +27,7 @@ paragraphs stay or go together. Paragraphs are named by a 128-bit hash of their
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ BLOCK = 256
 COLUMNS = 4096
 
 
+@functools.lru_cache(maxsize=4)
 def _multipliers(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(23)
     n = bands * rows
@@ -63,6 +64,10 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> list[bytes]:
 def signature(words: list[bytes], mult: np.ndarray, add: np.ndarray, rows: int) -> np.ndarray:
     """One hash per band."""
     h = np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles(words)), np.uint64)
+    return _band_hashes(h, mult, add, rows)
+
+
+def _band_hashes(h: np.ndarray, mult: np.ndarray, add: np.ndarray, rows: int) -> np.ndarray:
     low = np.empty(len(mult), np.uint64)
     for a in range(0, len(h), 4096):  # a long paragraph in bounded memory
         m = (h[a:a + 4096, None] * mult + add).min(axis=0)
@@ -71,6 +76,11 @@ def signature(words: list[bytes], mult: np.ndarray, add: np.ndarray, rows: int)
                     np.uint64).view(np.int64)
 
 
+def banded_hashes(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One hash per band of a set of shingle hashes."""
+    return _band_hashes(h, *_multipliers(bands, rows), rows)
+
+
 def paragraphs_of(raw: bytes | None, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
     """(number, first byte, end, lower-case words) of the long lines of a text."""
     at = 0
@@ -224,11 +234,16 @@ def similar(texts: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarr
         for x in s:
             shared[x] = shared.get(x, 0) + 1
     number = {x: i for i, x in enumerate(x for x, n in shared.items() if n > 1)}
-    size = np.array([len(s) for s in sets])
     own = [np.array([number[x] for x in s if x in number], np.intp) for s in sets]
-    common = np.zeros((len(texts), len(texts)), np.float32)
-    for a in range(0, len(number), COLUMNS):
-        part = np.zeros((len(texts), min(COLUMNS, len(number) - a)), np.float32)
+    return close(np.array([len(s) for s in sets]), own, len(number), similarity)
+
+
+def close(size: np.ndarray, own: list[np.ndarray], shared: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of similar sets of ``size`` members, ``own`` being the numbers of those members (of
+    ``shared`` in all) that several sets hold."""
+    common = np.zeros((len(size), len(size)), np.float32)
+    for a in range(0, shared, COLUMNS):
+        part = np.zeros((len(size), min(COLUMNS, shared - a)), np.float32)
         for i, x in enumerate(own):
             part[i, x[(x >= a) & (x < a + COLUMNS)] - a] = 1
         common += part @ part.T
@@ -236,9 +251,9 @@ def similar(texts: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarr
     return np.nonzero(np.triu(common >= similarity * union - 1e-9, 1))
 
 
-def _forest(keys: list[bytes], texts: list[bytes], similarity: float) -> Iterator[tuple[bytes, bytes]]:
+def _forest(keys: list[bytes], texts: list[bytes], similarity: float, pairs: Callable) -> Iterator[tuple[bytes, bytes]]:
     """(key, smallest key it hangs together with) of the paragraphs of one unit."""
-    i, j = similar(texts, similarity)
+    i, j = pairs(texts, similarity)
     if not len(i):
         return
     order = np.argsort(np.array(keys, object), kind="stable")
@@ -256,8 +271,8 @@ def _forest(keys: list[bytes], texts: list[bytes], similarity: float) -> Iterato
         yield keys[order[k]], keys[order[label[k]]]
 
 
-def _verified(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Spanning edges (a, b) of the links among ``members`` (group, key, words, size)."""
+def verified(members: DataFrame, similarity: float, block: int, pairs: Callable = similar) -> DataFrame:
+    """Spanning edges (a, b) of the links that ``pairs`` finds among ``members`` (group, key, words, size)."""
     n = F.ceil(F.col("size") / block).cast("long")
     dealt = members.select("group", "key", "words", n.alias("n"), F.pmod(F.xxhash64("key"), n).alias("x"))
     units = dealt.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(
@@ -270,7 +285,7 @@ def _verified(members: DataFrame, similarity: float, block: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(keys) > 1:
-                out.extend(_forest(keys, texts, similarity))
+                out.extend(_forest(keys, texts, similarity, pairs))
             keys.clear()
             texts.clear()
             if len(out) >= 10_000 or now is None:
@@ -317,7 +332,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
     texts = _texts(docs, min_words)
     members = texts.join(cut(wanted), texts["own_doc"].eqNullSafe(F.col("doc_id"))
                          & (texts["own_paragraph"] == F.col("paragraph")))
-    links = components(_verified(members, similarity, block), "a", "b")
+    links = components(verified(members, similarity, block), "a", "b")
     rooted = classes.select("key", "first", "copies").join(links, F.col("key") == F.col("node"), "left").select(
         "key", F.coalesce("root", "key").alias("root"), "first", "copies", F.col("root").isNotNull().alias("linked"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.min_by("key", "first").alias("kept_key"),
