@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -44,7 +46,23 @@ def _encoding(vocabulary: str, pattern: str) -> tiktoken.Encoding:
     """Byte-level BPE of a ranks file; gives the ids of the same vocabulary's ``tokenizers`` file."""
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(vocabulary))
+
+
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of the ``tokenizers`` file beside a ranks file; none if there is no such file."""
+    beside = os.path.splitext(vocabulary)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
+def encoded(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text, added tokens as the ``tokenizers`` file takes them."""
+    if any(t in text for t in enc.special_tokens_set):
+        return enc.encode(text, allowed_special="all")
+    return enc.encode_ordinary(text)
 
 
 def _tokens(docs: DataFrame, vocabulary: str, pattern: str, end: int) -> DataFrame:
@@ -60,7 +78,7 @@ def _tokens(docs: DataFrame, vocabulary: str, pattern: str, end: int) -> DataFra
             for a, b in portions([len(t or "") for t in texts], PORTION):
                 rows = []
                 for source, text in zip(sources[a:b], texts[a:b]):
-                    ids = enc.encode_ordinary(text or "")
+                    ids = encoded(enc, text or "")
                     ids.append(end)
                     done = ahead.get(source, 0)
                     ahead[source] = done + len(ids)
