@@ -7,8 +7,11 @@ round, are one stream that is cut into windows of 2048. Each window therefore ho
 few tokens of its share (the rounding of its two rounds, and 2048 / R tokens by which a round is short of a window), all queues run dry together, and the deficit before any round is known in closed
 form: partitions of the data need no state from each other.
 
-Sources with less than ``min_share`` of all tokens share one queue, so there are at most 1 / min_share + 1
-queues, and only their sizes come to the driver.
+Sources with less than ``min_share`` of all tokens are grouped, ``fan`` at a time by size, where there are more than
+``fan`` of them, and groups again until ``fan`` are left. A group is one queue of the rounds; its own stream is made
+by the same rounds over its members, so a window holds every source in proportion, within a few rounds' tokens of the
+source for each level. At most 1 / min_share + fan queues and their sizes come to the driver; the members of a group
+go with the rows of its sources.
 
 The last, incomplete window is cut into sequences whose lengths are powers of two, so nothing is padded.
 
@@ -32,13 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import portions, text_batches, written
+from tickloom.llm.common import cut, portions, text_batches, written
 
 LENGTH = 2048
-MIN_SHARE = 1 / 256
+MIN_SHARE, FAN = 1 / 256, 256
 END = 1
 #: Characters encoded, and tokens cut, together.
 PORTION, CUT_TOKENS = 1 << 21, 1 << 20
+#: Rows of a matrix rounds x queues worked on together.
+ROUNDS_TOGETHER = 4096
 
 
 @functools.lru_cache(maxsize=2)
@@ -109,13 +114,38 @@ def _cuts(queue: int, start: int, n: int, sizes: np.ndarray, total_rounds: int)
     def round_of(x: int) -> int:  # the last r with r * size // total_rounds <= x
         return min(((x + 1) * total_rounds - 1) // size, total_rounds - 1)
 
-    r = np.arange(round_of(start), round_of(start + n - 1) + 1)
-    matrix = served(r[:, None], sizes[None, :], total_rounds)
-    following = served(r[:, None] + 1, sizes[None, :queue], total_rounds)
-    base = matrix.sum(axis=1) + (following - matrix[:, :queue]).sum(axis=1)
-    first = np.maximum(matrix[:, queue], start)
-    keep = np.append(first[1:] > first[:-1], True) if len(r) > 1 else np.ones(1, bool)
-    return (first - start)[keep], (base + first - matrix[:, queue])[keep]
+    low, high = round_of(start), round_of(start + n - 1)
+    if high - low < n:
+        rounds = np.arange(low, high + 1)
+    else:  # most rounds take nothing: those that take each token
+        rounds = np.unique(np.fromiter(map(round_of, range(start, start + n)), np.int64, n))
+    base, own = [], []
+    for a in range(0, len(rounds), ROUNDS_TOGETHER):
+        r = rounds[a:a + ROUNDS_TOGETHER]
+        matrix = served(r[:, None], sizes[None, :], total_rounds)
+        following = served(r[:, None] + 1, sizes[None, :queue], total_rounds)
+        base.append(matrix.sum(axis=1) + (following - matrix[:, :queue]).sum(axis=1))
+        own.append(matrix[:, queue])
+    base, own = np.concatenate(base), np.concatenate(own)
+    first = np.maximum(own, start)
+    keep = np.append(first[1:] > first[:-1], True) if len(first) > 1 else np.ones(1, bool)
+    return (first - start)[keep], (base + first - own)[keep]
+
+
+def _nested(levels: list[tuple[int, np.ndarray]], start: int, n: int, total_rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_cuts`` through the groups of a source, innermost first; the last level is the whole stream."""
+    (queue, sizes), *outer = levels
+    doc_at, at = _cuts(queue, start, n, sizes, total_rounds)
+    for queue, sizes in outer:
+        size = np.diff(np.append(doc_at, n))
+        # stretches that follow each other in a group's stream are one
+        new = np.append(True, at[1:] != at[:-1] + size[:-1])
+        doc_at, at = doc_at[new], at[new]
+        size = np.diff(np.append(doc_at, n))
+        found = [_cuts(queue, int(a), int(m), sizes, total_rounds) for a, m in zip(at, size)]
+        doc_at = np.concatenate([d + inner for d, (inner, _) in zip(doc_at, found)])
+        at = np.concatenate([x for _, x in found])
+    return doc_at, at
 
 
 def _bounds(total: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +157,10 @@ def _bounds(total: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(starts, np.int64), np.array([*starts[1:], total] if starts else [], np.int64)
 
 
-def place(queue: int, start: int, n: int, sizes: np.ndarray, total_rounds: int, total: int, length: int):
-    """Pieces of one document: start, length, sequence_id, offset (arrays)."""
-    doc_at, stream_at = _cuts(queue, start, n, sizes, total_rounds)
+def place(levels: list[tuple[int, np.ndarray]], start: int, n: int, total_rounds: int, total: int, length: int):
+    """Pieces of one document: start, length, sequence_id, offset (arrays). ``levels``: (queue, sizes) from the source's
+    group to the whole stream."""
+    doc_at, stream_at = _nested(levels, start, n, total_rounds)
     size = np.diff(np.append(doc_at, n))
     tail_start, tail_end = _bounds(total, length)
     full = total // length
@@ -149,8 +180,30 @@ def place(queue: int, start: int, n: int, sizes: np.ndarray, total_rounds: int,
     return doc_at[own] + a - stream_at[own], b - a, seq, a - low
 
 
+def _grouped(small: DataFrame, fan: int, above: int) -> tuple[DataFrame, list[int]]:
+    """(own, queue, groups) of the sources in ``small`` (source, n), with groups from the innermost to the outermost, and
+    the sizes of the at most ``fan`` queues they end in, which are numbered from ``above``."""
+    by_size = Window.orderBy(F.desc("n"), "source")
+    nodes = cut(small.select(F.col("source").alias("own"), (F.row_number().over(by_size) - 1).alias("node"), "n"))
+    out = nodes.select("own", "node", F.expr("cast(array() as array<struct<queue:int,sizes:array<bigint>>>)").alias("groups"))
+    nodes = nodes.drop("own")
+    count = nodes.count()
+    while count > fan:
+        member = F.struct(F.expr(f"node % {fan}").alias("queue"), "n")
+        nodes = cut(nodes.groupBy(F.expr(f"node div {fan}").cast("int").alias("node")).agg(
+            F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list(member)), lambda x: x["n"]).alias("sizes")))
+        inner = nodes.select(F.col("node").alias("outer"), "sizes")
+        out = out.join(inner, F.expr(f"node div {fan}") == F.col("outer")).select(
+            "own", F.col("outer").alias("node"),
+            F.concat("groups", F.array(F.struct(F.expr(f"node % {fan}").cast("int").alias("queue"), "sizes"))).alias("groups"))
+        nodes = nodes.drop("sizes")
+        count = -(-count // fan)
+    tops = [r["n"] for r in nodes.orderBy("node").collect()]
+    return out.select("own", (F.col("node") + above).cast("int").alias("queue"), "groups"), tops
+
+
 def pack(docs: DataFrame, vocabulary: str, pattern: str, end: int = END, length: int = LENGTH,
-         min_share: float = MIN_SHARE, with_ids: bool = True) -> DataFrame:
+         min_share: float = MIN_SHARE, with_ids: bool = True, fan: int = FAN) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, and, if
     asked for, ids (little-endian 16-bit).
 
@@ -161,29 +214,33 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, end: int = END, length:
     totals = parts.groupBy("source").agg(F.sum("n").alias("n"))
     total = totals.agg(F.sum("n")).first()[0] or 0
     large = totals.filter(F.col("n") >= min_share * total).orderBy(F.desc("n"), "source").collect()
-    queues = {r["source"]: i for i, r in enumerate(large)}
-    rest = total - sum(r["n"] for r in large)
-    sizes = np.array([r["n"] for r in large] + [rest] * (rest > 0), np.int64)
+    small = totals.filter(F.col("n") < min_share * total)
+    small, tops = _grouped(small, fan, len(large))
+    sizes = np.array([r["n"] for r in large] + tops, np.int64)
     rounds = max(1, -(-total // length))
+    inner = "array<struct<queue:int,sizes:array<bigint>>>"
+    queues = small
+    if large:
+        kind = "own string, queue int, groups " + inner
+        direct = tokens.sparkSession.createDataFrame([(r["source"], i, []) for i, r in enumerate(large)], kind)
+        queues = direct.unionByName(small)
     # where each partition's share of a queue begins
-    number = F.lit(len(queues))
-    for source, i in queues.items():
-        number = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(i)).otherwise(number)
-    ordered = Window.partitionBy("queue").orderBy("part", "source")
-    begins = parts.withColumn("queue", number).select(
-        F.col("source").alias("own"), F.col("part").alias("own_part"), "queue",
-        (F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("begin"))
+    ordered = Window.partitionBy("source").orderBy("part")
+    begins = parts.select("source", F.col("part").alias("own_part"),
+                          (F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("begin"))
+    begins = begins.join(queues, begins["source"].eqNullSafe(queues["own"])).drop("source")
     begins = written(begins, "begins")  # its size is known then, and Spark joins it without a shuffle if it is small
     placed = tokens.join(begins, (tokens["part"] == begins["own_part"]) & tokens["source"].eqNullSafe(begins["own"]))
-    placed = placed.select("doc_id", "source", "n_tokens", "queue", (F.col("begin") + F.col("ahead")).alias("at"), "ids")
+    placed = placed.select("doc_id", "source", "n_tokens", "queue", "groups", (F.col("begin") + F.col("ahead")).alias("at"), "ids")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_tokens, queue, at, ids = (batch.column(c).to_pylist() for c in ("n_tokens", "queue", "at", "ids"))
+            n_tokens, queue, groups, at, ids = (batch.column(c).to_pylist() for c in ("n_tokens", "queue", "groups", "at", "ids"))
             for a, b in portions(n_tokens, CUT_TOKENS):
                 of, out, crcs, raws = [], [], [], []
                 for i in range(a, b):
-                    cols = place(queue[i], at[i], n_tokens[i], sizes, rounds, total, length)
+                    levels = [(g["queue"], np.array(g["sizes"], np.int64)) for g in groups[i]] + [(queue[i], sizes)]
+                    cols = place(levels, at[i], n_tokens[i], rounds, total, length)
                     wide = np.frombuffer(ids[i], "<u2").astype("<u4")
                     of.append(np.full(len(cols[0]), i))
                     out.append(np.stack(cols))
