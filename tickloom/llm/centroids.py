@@ -216,16 +216,16 @@ def oracle_sql(k: int = 16, dim: int = 64, scale: int = 64, rounds: int = 3, see
     """The same clusters as one statement, every vector against every centroid."""
     steps = [f"""
         kept AS (SELECT row_number() OVER () AS rid, vec_id,
-                        list_transform(embedding, x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                        [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
                  FROM embeddings WHERE len(embedding) = {dim}
-                   AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {dim}),
+                   AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {dim}),
         c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS centroid
                FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {k}))"""]
     for r in range(rounds + 1):
         steps.append(f"""
         a{r} AS (SELECT rid, min(d) AS d, arg_min(c, d * {k} + c) AS c
-                 FROM (SELECT rid, c, list_sum(list_transform(range(1, {dim + 1}),
-                                                  i -> (v[i] - centroid[i]) * (v[i] - centroid[i]))) AS d FROM kept, c{r})
+                 FROM (SELECT rid, c, list_sum([(v[i] - centroid[i]) * (v[i] - centroid[i])
+                                                for i in range(1, {dim + 1})]) AS d FROM kept, c{r})
                  GROUP BY rid)""")
         if r < rounds:
             steps.append(f"""
