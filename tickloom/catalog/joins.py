@@ -8,6 +8,7 @@ from tickloom.catalog.ingest import as_of
 from tickloom.catalog.registry import query
 from tickloom.functions.columns import ratio
 from tickloom.operators import joins as J
+from tickloom.operators.blocks import band_aggregates
 from tickloom.operators.layout import SERIES
 from tickloom.plans import portfolio as Po
 from tickloom.plans.screeners import liquid_pairs
@@ -69,8 +70,16 @@ FROM events a JOIN events b ON a.event_type = b.event_type AND b.ts BETWEEN a.ts
 def j08(view):
     e = view("events")
     start = e.select("event_id", "event_type", F.col("ts").alias("t0"), (F.col("ts") + F.make_dt_interval(hours=F.lit(6))).alias("t1"))
-    hits = J.band_join(start, e.select("event_type", "ts", "value"), "t0", "t1", 6 * 3600, ["event_type"])
-    return hits.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value"), F.sum("value").alias("value_sum"))
+    hits = band_aggregates(start, e.select("event_type", "ts", "value"), "value", "t0", "t1", 6 * 3600, ["event_id"], ["event_type"])
+    return hits.select("event_id", "n", F.col("highest").alias("max_value"), F.col("sum").alias("value_sum"))
+
+
+@query("j08_band_rows", "event_id:i other_id:i value:4", sql="""SELECT a.event_id, b.event_id AS other_id, b.value FROM events a JOIN events b
+ON a.event_type = b.event_type AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 5 MINUTE""")
+def j08_rows(view):
+    e = view("events")
+    start = e.select("event_id", "event_type", F.col("ts").alias("t0"), (F.col("ts") + F.make_dt_interval(mins=F.lit(5))).alias("t1"))
+    return J.band_join(start, e.select("event_type", "ts", "value", F.col("event_id").alias("other_id")), "t0", "t1", 300, ["event_type"])
 
 
 @query("j10_anti_running", "controller_id:i bot_name", "bot_performance",

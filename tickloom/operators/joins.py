@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.columns import epoch_micros
-from tickloom.operators.layout import SERIES, prefix_scan
+from tickloom.operators.layout import SERIES, join_series, prefix_scan
 
 
 def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], keys: Sequence[str] = SERIES,
@@ -31,14 +31,15 @@ def band_join(events: DataFrame, bars: DataFrame, start: str, end: str, width_se
     """Bars with start <= ts <= end of the event, through an equi-join on time buckets.
 
     An event is copied to the buckets its band touches (two when the width is the band length), so
-    tasks are bounded by bucket, not by symbol. Apart from ``keys`` the two sides share no names.
+    tasks are bounded by bucket, not by symbol. The result is one row per (event, bar); ``blocks`` answers
+    questions about a band (first touch, sums, extremes) without them. Apart from ``keys`` the two sides share no names.
     """
     unit = width_seconds * 1_000_000
     first = F.floor(epoch_micros(start) / unit)
     last = F.floor(epoch_micros(end) / unit)
     e = events.withColumn("_bucket", F.explode(F.sequence(first, last)))
     b = bars.withColumn("_bucket", F.floor(epoch_micros(ts) / unit))
-    return e.join(b, [*keys, "_bucket"]).filter(F.col(ts).between(F.col(start), F.col(end))).drop("_bucket")
+    return join_series(e, b, [*keys, "_bucket"]).filter(F.col(ts).between(F.col(start), F.col(end))).drop("_bucket")
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str] = SERIES, order: Column | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -56,6 +57,17 @@ def segment_width(df: DataFrame, ts: str | Column) -> int:
     return 6 * 3600
 
 
+def join_series(left: DataFrame, right: DataFrame, on: Sequence[str] = SERIES, how: str = "inner") -> DataFrame:
+    """Join on key columns in which NULL equals NULL, so a series with a NULL key or venue stays a series.
+
+    Spark plans it as an equi-join. The key columns are the left side's; other columns must differ in name."""
+    names = {c: f"_right_{c}" for c in on}
+    r = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(names[c])) for c in on])
+    out = left.join(r, same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
+
+
 def prefix_scan(
     df: DataFrame,
     specs: dict[str, tuple[str, str | Column]],

@@ -13,7 +13,7 @@ from tickloom.functions.columns import direction, ratio
 from tickloom.operators import recursive as C
 from tickloom.operators import rolling as R
 from tickloom.operators.labels import first_touch
-from tickloom.operators.layout import SERIES, own_rows, prefix_scan, segmented
+from tickloom.operators.layout import POS, SERIES, join_series, own_rows, prefix_scan, segmented
 
 CLOSE_TYPES = {1: "TAKE_PROFIT", -1: "STOP_LOSS", 0: "TIME_LIMIT"}
 
@@ -59,7 +59,7 @@ def live_versus_backtest(live: DataFrame, backtest: DataFrame, keys: Sequence[st
     """Both summaries side by side, the backtest cut to the live period +- a buffer."""
     pad = F.make_dt_interval(secs=F.lit(buffer_seconds))
     period = live.groupBy(*keys).agg(F.min("ts_close").alias("_a"), F.max("ts_close").alias("_b"))
-    cut = backtest.join(period, [*keys]).filter(F.col("ts_close").between(F.col("_a") - pad, F.col("_b") + pad)).drop("_a", "_b")
+    cut = join_series(backtest, period, keys).filter(F.col("ts_close").between(F.col("_a") - pad, F.col("_b") + pad)).drop("_a", "_b")
     a = backtest_summary(live, keys).withColumn("source", F.lit("live"))
     return a.unionByName(backtest_summary(cut, keys).withColumn("source", F.lit("backtest")))
 
@@ -134,7 +134,8 @@ def _entry(t, signal: Column) -> Column:
 
 def _explode_trials(df: DataFrame, entries: list[Column]) -> DataFrame:
     live = F.filter(F.array(*entries), lambda e: e["side"] != 0)
-    return df.withColumn("_t", F.explode(live)).select(*SERIES, "ts", "close", "_t.*")
+    # the place among all bars goes along: first touches start from it
+    return df.withColumn("_t", F.explode(live)).select(*SERIES, "ts", "close", POS, "_t.*")
 
 
 def sweep(signals: DataFrame, bars: DataFrame, limit_seconds: int, amount: float = 1000.0, cost: float = 0.0006) -> DataFrame:
