@@ -149,11 +149,35 @@ def b10(view):
     return B.study_names(s, "ema", as_of())
 
 
-@query("b09_macd_bb_config_list", "trial:i trading_pair net_pnl:6 sharpe_ratio:5 total_executors:i", "bars_1h")
+BB_TRIALS = B.parameter_sample(B.MacdBollingerTrial, 50, 42, fast=(9, 19), slow=(21, 41), signal=(10, 20), length=(20, 30, 50), width=(1.5, 2.0),
+                               take_profit=(0.3, 0.5), stop_loss=(0.2, 0.3))
+
+
+def config_list_ctes() -> dict[str, str]:
+    """Every distinct average, MACD and band once, then one branch per trial."""
+    macds = sorted({(t.fast, t.slow, t.signal) for t in BB_TRIALS})
+    bands = sorted({(t.length, t.width) for t in BB_TRIALS})
+    lengths = sorted({n for f, s, _ in macds for n in (f, s)})
+    ctes = {**NB}
+    for n in lengths:
+        ctes |= O.ema(f"ema_{n}", n)
+    columns = [f"ema_{f} - ema_{s} AS line_{i}" for i, (f, s, _) in enumerate(macds)]
+    columns += [f"CASE WHEN i >= {n - 1} THEN (close - avg(close) OVER {O.w(n)} + {k} * stddev_pop(close) OVER {O.w(n)}) "
+                f"/ nullif({2 * k} * stddev_pop(close) OVER {O.w(n)}, 0) END AS bbp_{i}" for i, (n, k) in enumerate(bands)]
+    ctes["lines"] = f"SELECT *, {', '.join(columns)} FROM ({O.joined('nb', *[f'ema_{n}' for n in lengths])})"
+    for i, (_, slow, signal) in enumerate(macds):
+        ctes |= O.ema(f"sig_{i}", signal, "lines", f"line_{i}", slow - 1)
+    ctes["ind"] = O.joined("lines", *[f"sig_{i}" for i in range(len(macds))])
+    branches = []
+    for t in BB_TRIALS:
+        i, bbp = macds.index((t.fast, t.slow, t.signal)), f"bbp_{bands.index((t.length, t.width))}"
+        hist = f"line_{i} - sig_{i}"
+        branches.append(f"""SELECT connector, trading_pair, ts, close, {t.trial} AS trial, {t.take_profit!r} AS tp, {t.stop_loss!r} AS sl,
+CASE WHEN {bbp} > 0.8 AND {hist} < 0 AND line_{i} > 0 THEN -1 WHEN {bbp} < 0.2 AND {hist} > 0 AND line_{i} < 0 THEN 1 ELSE 0 END AS side FROM ind""")
+    return {**ctes, "ev": " UNION ALL ".join(branches), **{k: SWEEP[k] for k in ("path", "touch", "tr", "eq", "dd", "summary")}}
+
+
+@query("b09_macd_bb_config_list", "trial:i trading_pair net_pnl:6 sharpe_ratio:5 total_executors:i", "bars_1h", ctes=config_list_ctes(), sql="SELECT * FROM summary")
 def b09(view):
     b = view("bars_1h")
-    configs = B.parameter_sample(B.MacdBollingerTrial, 50, 42, fast=(9, 19), slow=(21, 41), signal=(10, 20), length=(20, 30, 50), width=(1.5, 2.0),
-                                 take_profit=(0.3, 0.5), stop_loss=(0.2, 0.3))
-    return B.sweep(B.macd_bollinger_signals(b, configs), b, 12 * 3600)
-
-
+    return B.sweep(B.macd_bollinger_signals(b, BB_TRIALS), b, 12 * 3600)

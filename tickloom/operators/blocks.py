@@ -133,7 +133,10 @@ def first_crossings(events: DataFrame, bars: DataFrame, value: str, until: str,
             overflow = (F.size("kids") == 2 * RADIX) & inside(F.element_at("kids", -1))
             rows = rows.withColumn("kids", F.when(F.coalesce(overflow, F.lit(False)), F.raise_error(
                 F.lit(f"a band of {seconds} s holds more than {span} bars"))).otherwise(F.col("kids")))
-        rows = rows.withColumn("kids", F.filter("kids", lambda k: (k["i"] >= start) & inside(k)))
+        # children lie by place without gaps, so those a band can reach are a slice
+        reach = min(2 * RADIX, span // RADIX ** level + 2)
+        rows = rows.withColumn("kids", F.slice("kids", (start + 1).cast("int"), F.lit(reach)))
+        rows = rows.withColumn("kids", F.filter("kids", inside))
         found = {n: spot(F.get(F.filter("kids", holds[n]), F.lit(0)), level, block) for n in crosses}
         found["last"] = spot(F.try_element_at("kids", F.lit(-1)), level, block)
         for n in names:
@@ -157,7 +160,8 @@ def band_aggregates(events: DataFrame, bars: DataFrame, value: str, start: str,
                     keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
     """J08 without the joined rows: n (bars of start <= ts <= end), count, sum, lowest and highest ``value`` per event.
 
-    ``event_keys`` (with ``keys``) name an event. Events without a bar in their band are kept with n = 0."""
+    ``event_keys`` (with ``keys``) name an event. Events without a bar in their band are kept with n = 0, those
+    without a value in it with a NULL sum."""
     depth = depth_for(longest_band(bars, seconds, keys, ts))
     width = segment_width(bars, ts)
     levels = block_levels(number_rows(bars, keys, [ts], width), value, depth, keys, ts)
@@ -189,10 +193,9 @@ def band_aggregates(events: DataFrame, bars: DataFrame, value: str, start: str,
         table = t if table is None else table.unionByName(t)
     hits = e.join(table, (F.col(OF) == F.col("_r_of")) & (F.col("_piece.level") == F.col("_r_level"))
                   & (F.col("_piece.block") == F.col("_r_block")), "left")
-    kids = F.filter("kids", lambda k: k["i"].between(F.col("_piece.i"), F.col("_piece.j")))
-    hits = hits.withColumn("kids", kids)
+    hits = hits.withColumn("kids", F.slice("kids", F.col("_piece.i") + 1, F.col("_piece.j") - F.col("_piece.i") + 1))
+    count = F.coalesce(F.sum(_total("kids.n", 0)), F.lit(0))
     return hits.groupBy(*keys, *event_keys).agg(
-        F.sum(F.when(F.col("_some") & F.col("kids").isNotNull(), 1).otherwise(0)).alias("_pieces"),
-        F.first(F.when(F.col("_some"), F.col("_p1") - F.col("_p0") + 1).otherwise(0)).alias("n"), F.sum(_total("kids.n", 0)).alias("count"),
-        F.sum(_total("kids.s", 0.0)).alias("sum"), F.min(F.array_min("kids.lo")).alias("lowest"), F.max(F.array_max("kids.hi")).alias("highest")
-    ).drop("_pieces")
+        F.first(F.when(F.col("_some"), F.col("_p1") - F.col("_p0") + 1).otherwise(0)).alias("n"), count.alias("count"),
+        F.when(count > 0, F.sum(_total("kids.s", 0.0))).alias("sum"), F.min(F.array_min("kids.lo")).alias("lowest"),
+        F.max(F.array_max("kids.hi")).alias("highest"))
