@@ -2,14 +2,12 @@
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import kernels as N
 from tickloom.operators import peaks as P
 from tickloom.operators import recursive as C
 from tickloom.operators import rolling as R
-from tickloom.operators.fold import fold_series, reset_cumsum, supertrend
 from tickloom.operators.layout import mark_bars, own_rows, prefix_scan, segmented
 from tickloom.operators.quantiles import exact_quantiles
 
@@ -85,18 +83,6 @@ def test_prefix_scan_small_segments(spark):
     np.testing.assert_allclose(in_order(out, "t"), np.full(len(x), x.sum()))
 
 
-@pytest.mark.parametrize("halo", [0, 5])
-def test_fold_repairs_wrong_guesses(spark, halo):
-    _, df = bars(spark, 200)
-    d0, p0 = segmented(df.withColumn("chg", F.col("volume") - 0.5), 0)
-    d1, p1 = segmented(df.withColumn("chg", F.col("volume") - 0.5), halo, rows=30)
-    kernel = reset_cumsum("cum", "chg", 0.3)
-    whole, cut = fold_series(d0, p0, *kernel), fold_series(d1, p1, *kernel)
-    np.testing.assert_allclose(in_order(cut, "cum"), in_order(whole, "cum"), atol=1e-12)
-    st = supertrend(2.0, "quote_asset_volume")
-    np.testing.assert_allclose(in_order(fold_series(d1, p1, *st), "supertrend"), in_order(fold_series(d0, p0, *st), "supertrend"))
-
-
 def test_exact_quantiles_with_repeats(spark):
     pdf, df = bars(spark)
     q = exact_quantiles(df.withColumn("v", F.round("volume", 1)), {"a": (F.col("v"), 0.4), "b": (F.col("close"), 0.9)}).toPandas().set_index("trading_pair")

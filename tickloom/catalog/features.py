@@ -173,7 +173,7 @@ FROM (SELECT *, d IS NOT NULL AND ((trend > 0 AND t <= hi1 * {keep!r}) OR (trend
 def r09(view):
     df, p = segmented(view("bars_1h"), 200)
     df = df.withColumn("chg", R.diff("close", 1, p))
-    return own_rows(fold_series(df, p, *reset_cumsum("cum", "chg", 0.3)))
+    return own_rows(fold_series(df, p, reset_cumsum("cum", "chg", 0.3)))
 
 
 def supertrend_ctes(n: int, mult: float) -> dict[str, str]:

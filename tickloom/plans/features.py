@@ -229,8 +229,7 @@ class TrendFury:
         df = df.withColumn("slope", R.weighted_slope("price_series", "volume_weight", self.window, p)
                            if self.use_volume_weighting else R.slope("price_series", self.window, p))
         df = df.withColumn("slope_diff", R.diff("slope", 1, p))
-        kernel, state, out = reset_cumsum("cumulative_slope_diff", "slope_diff", self.reversal_sensitivity)
-        df = own_rows(fold_series(df, p, kernel, state, out))
+        df = own_rows(fold_series(df, p, reset_cumsum("cumulative_slope_diff", "slope_diff", self.reversal_sensitivity)))
         df = prefix_scan(df, {"cum_volume": ("sum", quote), "cum_volume_price": ("sum", paid),
                               "_prev_cum": ("prev", "cumulative_slope_diff")})
         df = df.withColumns({

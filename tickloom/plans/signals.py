@@ -156,7 +156,7 @@ class SmugPlug:
 def supertrend_columns(bars: DataFrame, length: int, multiplier: float) -> DataFrame:
     df, p = segmented(bars, C.rma_memory(length) + 200)
     df = C.atr(df, p, "_atr", length)
-    return own_rows(fold_series(df, p, *supertrend(multiplier))).drop("_atr")
+    return own_rows(fold_series(df, p, supertrend(multiplier))).drop("_atr")
 
 
 @dataclass(frozen=True)
