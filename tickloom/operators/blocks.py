@@ -7,6 +7,7 @@ above. A stretch of n bars touches a few rows per level, about log n in all, wha
 * ``first_crossings`` looks for the first bar from an event on that lies beyond an upper or lower bound of its own:
   it climbs from the event's bar until a child crosses, then descends into that child.
 * ``band_aggregates`` adds up the children that cover the stretch.
+* ``nearest_item`` looks from a place, forwards or backwards, without a limit.
 
 Every step is an equi-join on (series, block) with one row per event, so neither a long band nor a dense one
 makes rows per (event, bar).
@@ -48,27 +49,29 @@ def depth_for(bars_in_band: int) -> int:
     return depth
 
 
-def block_levels(numbered: DataFrame, value: str, depth: int, keys: Sequence[str] = SERIES, ts: str = "ts") -> list[DataFrame]:
-    """Levels 0 to depth - 1: ``_of``, ``_block`` and ``kids`` (i, t, lo, hi, s, n).
-
-    Rows of the top level also hold the children of the block after theirs (i from RADIX on)."""
+def bar_rows(numbered: DataFrame, value: str, keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
+    """The bars as rows to be summarised."""
     x = F.col(value).cast("double")
-    rows = numbered.select(series_of(keys).alias(OF), F.col(POS).alias("_at"), F.col(ts).alias("t"), x.alias("lo"), x.alias("hi"),
+    return numbered.select(series_of(keys).alias(OF), F.col(POS).alias("_at"), F.col(ts).alias("t"), x.alias("lo"), x.alias("hi"),
                            x.alias("s"), F.when(x.isNotNull(), 1).otherwise(0).cast("long").alias("n"))
+
+
+def block_levels(rows: DataFrame, depth: int, overlap: bool = True) -> list[DataFrame]:
+    """Levels 0 to depth - 1 over ``rows`` (``_of``, ``_at`` from 0 without gaps, t, lo, hi, s, n): ``_of``, ``_block``
+    and ``kids`` (i, t, lo, hi, s, n) in order.
+
+    With ``overlap`` rows of the top level also hold the children of the block after theirs (i from RADIX on)."""
+    kid = lambda i: F.struct(i.cast("int").alias("i"), "t", "lo", "hi", "s", "n")
+    own, slot = F.floor(F.col("_at") / RADIX), F.pmod("_at", F.lit(RADIX))
     levels = []
     for k in range(depth):
-        # order by place, so the children of a block come as they lie
-        kid = lambda i: F.struct(i.cast("int").alias("i"), "t", "lo", "hi", "s", "n")
-        own, slot = F.floor(F.col("_at") / RADIX), F.pmod("_at", F.lit(RADIX))
         grouped = rows.select(OF, own.alias("_block"), kid(slot).alias("kid"))
-        base = grouped.groupBy(OF, "_block").agg(F.array_sort(F.collect_list("kid")).alias("kids"))
-        if k == depth - 1:
-            before = rows.filter(own > 0).select(OF, (own - 1).alias("_block"), kid(slot + RADIX).alias("kid"))
-            grouped = grouped.unionByName(before)
-            base = grouped.groupBy(OF, "_block").agg(F.array_sort(F.collect_list("kid")).alias("kids"))
-        levels.append(base)
-        rows = base.select(OF, F.col("_block").alias("_at"), F.col("kids")[0]["t"].alias("t"), F.array_min("kids.lo").alias("lo"),
-                           F.array_max("kids.hi").alias("hi"), _total("kids.s", 0.0).alias("s"), _total("kids.n", 0).alias("n"))
+        if overlap and k == depth - 1:
+            grouped = grouped.unionByName(rows.filter(own > 0).select(OF, (own - 1).alias("_block"), kid(slot + RADIX).alias("kid")))
+        level = grouped.groupBy(OF, "_block").agg(F.array_sort(F.collect_list("kid")).alias("kids"))
+        levels.append(level)
+        rows = level.select(OF, F.col("_block").alias("_at"), F.col("kids")[0]["t"].alias("t"), F.array_min("kids.lo").alias("lo"),
+                            F.array_max("kids.hi").alias("hi"), _total("kids.s", 0.0).alias("s"), _total("kids.n", 0).alias("n"))
     return levels
 
 
@@ -103,7 +106,7 @@ def first_crossings(events: DataFrame, bars: DataFrame, value: str, until: str,
     span = longest_band(bars, seconds, keys, ts)
     depth = depth_for(span)
     numbered = bars if POS in bars.columns else number_rows(bars, keys, [ts])
-    levels = block_levels(numbered, value, depth, keys, ts)
+    levels = block_levels(bar_rows(numbered, value, keys, ts), depth)
     if POS in events.columns:
         rows = events.withColumnRenamed(POS, "_p0")
     else:
@@ -156,6 +159,51 @@ def first_crossings(events: DataFrame, bars: DataFrame, value: str, until: str,
                             ).drop(OF, "_p0")
 
 
+#: Copies of the rows of a block table that all questions about a series meet at.
+SALTS = 64
+
+
+def nearest_item(asks: DataFrame, items: DataFrame, holds: Callable[[Column, Column], Column], longest: int, backwards: bool, out: str) -> DataFrame:
+    """Per ask the nearest item after (or before) its own place in which something holds, however far away.
+
+    ``items``: ``_of``, ``_at`` (from 0 without gaps, at most ``longest`` per series), lo and hi; ``holds(lo, hi)`` says
+    whether it holds somewhere between an item's lowest and highest value. ``asks``: ``_of``, ``_p0`` and ``_salt`` (any number that
+    differs among the asks of a place). Adds the item's place, NULL where there is none. Asks of one series share the upper
+    rows of its table, so these are copied and the asks dealt to the copies."""
+    depth = 1
+    while RADIX ** depth < longest:
+        depth += 1
+    blank = {"t": "timestamp_ntz", "s": "double", "n": "long"}
+    rows = items.select(OF, "_at", "lo", "hi", *[F.lit(None).cast(kind).alias(c) for c, kind in blank.items()])
+    levels = block_levels(rows, depth, overlap=False)
+    found = lambda k: F.coalesce(holds(k["lo"], k["hi"]), F.lit(False))
+
+    def looked_up(asks: DataFrame, level: int, block: Column) -> DataFrame:
+        salt = F.pmod(F.xxhash64("_salt"), F.lit(SALTS))
+        table = levels[level].select(F.col(OF).alias("_r_of"), F.col("_block").alias("_r_block"), "kids",
+                                     F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_r_salt"))
+        wanted = asks.withColumns({"_want": F.coalesce(block, -1 - F.pmod(F.xxhash64("_salt"), F.lit(1 << 20))), "_mine": salt})
+        same = (F.col(OF) == F.col("_r_of")) & (F.col("_want") == F.col("_r_block")) & (F.col("_mine") == F.col("_r_salt"))
+        return wanted.join(table, same, "left").drop("_want", "_mine", "_r_of", "_r_block", "_r_salt")
+
+    pick = lambda kids: F.try_element_at(kids, F.lit(-1 if backwards else 1))
+    for level in range(depth):
+        place = F.floor(F.col("_p0") / RADIX ** level).cast("long")
+        mine = F.pmod(place, F.lit(RADIX))
+        block = F.floor(place / RADIX).cast("long")
+        asks = looked_up(asks, level, block if level == 0 else F.when(F.col("_spot").isNull(), block))
+        hit = pick(F.filter("kids", lambda k: (k["i"] < mine if backwards else k["i"] > mine) & found(k)))
+        spot = F.when(hit.isNotNull(), F.struct(F.lit(level).alias("level"), (block * RADIX + hit["i"]).cast("long").alias("at")))
+        asks = asks.withColumn("_spot", spot if level == 0 else F.coalesce("_spot", spot)).drop("kids")
+    for level in range(depth - 1, 0, -1):
+        here = F.col("_spot.level") == level
+        asks = looked_up(asks, level - 1, F.when(here, F.col("_spot.at")))
+        hit = pick(F.filter("kids", found))
+        spot = F.struct(F.lit(level - 1).alias("level"), (F.col("_spot.at") * RADIX + hit["i"]).cast("long").alias("at"))
+        asks = asks.withColumn("_spot", F.when(here, spot).otherwise(F.col("_spot"))).drop("kids")
+    return asks.withColumn(out, F.col("_spot.at")).drop("_spot")
+
+
 def band_aggregates(events: DataFrame, bars: DataFrame, value: str, start: str, end: str, seconds: int, event_keys: Sequence[str],
                     keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
     """J08 without the joined rows: n (bars of start <= ts <= end), count, sum, lowest and highest ``value`` per event.
@@ -164,7 +212,7 @@ def band_aggregates(events: DataFrame, bars: DataFrame, value: str, start: str,
     without a value in it with a NULL sum."""
     depth = depth_for(longest_band(bars, seconds, keys, ts))
     width = segment_width(bars, ts)
-    levels = block_levels(number_rows(bars, keys, [ts], width), value, depth, keys, ts)
+    levels = block_levels(bar_rows(number_rows(bars, keys, [ts], width), value, keys, ts), depth)
     e = events.select(*keys, *event_keys, start, end)
     e = first_bars(e.withColumn(ts, F.col(start)), bars, keys, ts).drop(ts)
     # bars at or before the end: they come before the mark

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.columns import bucket, epoch_micros, interval_seconds
-from tickloom.operators.layout import BAR_SECONDS, SERIES, mark_bars, own_rows, prefix_scan, renumber, segmented
+from tickloom.operators.layout import BAR_SECONDS, SERIES, join_series, mark_bars, own_rows, prefix_scan, renumber, segmented
 from tickloom.operators.rolling import shift
 
 GRID_SLICE = 4096
@@ -119,7 +119,7 @@ def missing_ranges(requests: DataFrame, bars: DataFrame) -> DataFrame:
     """
     one = F.make_dt_interval(secs=F.lit(1.0))
     have = bars.groupBy(*SERIES).agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
-    r = requests.join(have, [*SERIES], "left")
+    r = join_series(requests, have, how="left")
     gap = lambda side, a, b: F.struct(F.lit(side).alias("side"), a.alias("gap_start"), b.alias("gap_end"))
     start, end, lo, hi = (F.col(c) for c in ("start", "end", "_lo", "_hi"))
     gaps = F.array(

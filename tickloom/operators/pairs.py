@@ -25,7 +25,7 @@ from tickloom.functions import kernels as N
 from tickloom.functions.columns import epoch_micros, ratio
 from tickloom.functions.stats import normal_tail
 from tickloom.operators.joins import group_pairs, latest_rows
-from tickloom.operators.layout import OWN, PIECE, POS, SEGMENT_ROWS, SERIES, own_rows, prefix_scan, segment_width, segmented, time_segment
+from tickloom.operators.layout import OWN, PIECE, POS, SEGMENT_ROWS, SERIES, join_series, own_rows, prefix_scan, segment_width, segmented, time_segment
 from tickloom.plans.screeners import top_per_group
 from tickloom.session import ensure_checkpoint_dir
 
@@ -195,7 +195,7 @@ def grid_levels(analysis: DataFrame, prices: DataFrame, entry: float = 1.5, stop
 
     ``prices``: connector, trading_pair, price of the base leg.
     """
-    d = analysis.join(prices.select("connector", F.col("trading_pair").alias("base"), "price"), ["connector", "base"])
+    d = join_series(analysis, prices.select("connector", F.col("trading_pair").alias("base"), "price"), ["connector", "base"])
     z, move = F.col("current_z_score"), F.col("z_std") * F.col("beta")
     live, short = F.abs(z) > entry, z > 0
     way = F.when(short, -1).otherwise(1)

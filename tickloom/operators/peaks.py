@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions import kernels as N
-from tickloom.operators.layout import OWN, PIECE, POS, SERIES, number_rows, own_rows, prefix_scan, segmented
+from tickloom.functions.columns import no_nan
+from tickloom.operators.blocks import OF, SALTS, nearest_item, series_of
+from tickloom.operators.layout import OWN, PIECE, POS, SERIES, join_series, number_rows, own_rows, prefix_scan, segmented
 from tickloom.session import ensure_checkpoint_dir
 
 ROWS = 8192
@@ -32,7 +34,7 @@ def level_windows(bars: DataFrame, prominence: float = 0.01, distance: int = 5,
     A bar is copied to the windows it belongs to (window / step of them) and each window, a group of
     at most ``window`` rows, is analysed on its own.
     """
-    df = _named(bars).join(series_shape(bars, prominence), [*SERIES]).filter(F.col("_n") >= window)
+    df = join_series(_named(bars), series_shape(bars, prominence)).filter(F.col("_n") >= window)
     first = F.floor(F.col(POS) / step)
     last = F.least(F.floor((F.col(POS) + window - step) / step), F.floor(F.col("_n") / step) - 1)
     df = df.filter(first <= last).withColumn("_w", F.explode(F.sequence(first, last)))
@@ -66,7 +68,7 @@ def nearest_levels(windows: DataFrame, bars: DataFrame) -> DataFrame:
     """newest window per series with the nearest level above and below the last close."""
     w = windows.groupBy(*SERIES).agg(F.max_by(F.struct("high_clusters", "low_clusters"), "window").alias("_v")).select(*SERIES, "_v.*")
     last = bars.groupBy(*SERIES).agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("close"))
-    d = last.join(w, [*SERIES], "left")
+    d = join_series(last, w, how="left")
     close = F.col("close")
     return d.withColumns({
         "nearest_resistance": F.array_min(F.filter("high_clusters", lambda v: v > close)),
@@ -167,32 +169,43 @@ def prominent(peaks: DataFrame, sides: DataFrame, prominence: DataFrame) -> Data
     """Peaks that stand out by the series' nominal prominence on both sides.
 
     A side passes when, walking outwards, the price falls to ``x - prominence`` before it exceeds x.
-    Most peaks see that inside their own piece of ROWS bars. The rest look at one (min, max) row per
-    piece to find the piece that decides, and then only at that piece.
+    Most peaks see that inside their own piece of ROWS bars. The rest ask a block table over the pieces' lowest and highest
+    prices for the nearest piece that decides, and then look at that piece only.
     """
     rows = sides.withColumnRenamed(POS, "p").withColumn(PIECE, F.floor(F.col("p") / ROWS))
     peaks = peaks.checkpoint()
-    cand = peaks.join(prominence.select(*SERIES, "_prominence"), [*SERIES]).withColumn(PIECE, F.floor(F.col("p") / ROWS))
-    shape = rows.groupBy(*KEYS, PIECE).agg(F.max("x").alias("hi"), F.min("x").alias("lo"))
+    cand = join_series(peaks, prominence.select(*SERIES, "_prominence")).withColumn(PIECE, F.floor(F.col("p") / ROWS))
+    shape = rows.groupBy(*KEYS, PIECE).agg(F.max("x").alias("hi"), F.min("x").alias("lo")).checkpoint()
+    pieces = (shape.agg(F.max(PIECE)).first()[0] or 0) + 1
+    items = shape.select(series_of(KEYS).alias(OF), F.col(PIECE).alias("_at"), "lo", "hi")
     out = None
     for side in ("left", "right"):
         first = _search(rows, cand.withColumn("at", F.col(PIECE)), side).checkpoint()
-        open_ = first.filter(F.col("passed").isNull())
-        later = _deciding_piece(shape, open_, side)
-        second = _search(rows, later.filter(F.col("at").isNotNull()), side)
-        good = first.filter("passed").unionByName(second.filter("passed")).select(*KEYS, "p")
-        out = good if out is None else out.join(good, [*KEYS, "p"], "left_semi")
-    return peaks.join(out, [*KEYS, "p"], "left_semi")
+        good = first.filter("passed").select(*KEYS, "p")
+        if pieces > 1:
+            open_ = first.filter(F.col("passed").isNull()).withColumns(
+                {OF: series_of(KEYS), "_p0": F.floor(F.col("p") / ROWS), "_salt": F.col("p")})
+            decides = lambda lo, hi: (hi > F.col("x")) | (lo <= F.col("x") - F.col("_prominence"))
+            later = nearest_item(open_, items, decides, pieces, side == "left", "at").filter(F.col("at").isNotNull())
+            good = good.unionByName(_search(rows, later, side).filter("passed").select(*KEYS, "p"))
+        out = good if out is None else join_series(out, good, [*KEYS, "p"], "left_semi")
+    return join_series(peaks, out, [*KEYS, "p"], "left_semi")
 
 
 _FOUND = "connector string, trading_pair string, kind string, p long, x double, _prominence double, passed boolean"
+#: Peaks that look at one piece together; a piece that decides for more is handed out again.
+ASKS = 4096
 
 
 def _search(rows: DataFrame, cand: DataFrame, side: str) -> DataFrame:
-    """passed = true/false where piece ``at`` decides, NULL where it shows neither a fall nor a rise."""
+    """passed = true/false where piece ``at`` decides, NULL where it shows neither a fall nor a rise.
+
+    Peaks far away may all look at one piece, so they meet it in groups of near ones."""
     r = rows.select(*KEYS, F.col(PIECE).alias("at"), "p", "x", F.lit(None).cast("double").alias("_prominence"), F.lit(False).alias("is_peak"))
-    c = cand.select(*KEYS, "at", "p", "x", "_prominence", F.lit(True).alias("is_peak"))
-    r = r.join(cand.select(*KEYS, "at").distinct(), [*KEYS, "at"], "left_semi")
+    c = cand.select(*KEYS, "at", "p", "x", "_prominence", F.lit(True).alias("is_peak"), F.floor(F.col("p") / (2 * ASKS)).alias("_group"))
+    groups = c.select(*[F.col(k).alias(f"_g_{k}") for k in (*KEYS, "at")], "_group").distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in (*KEYS, "at")])
+    r = r.join(groups, same).drop(*[f"_g_{k}" for k in (*KEYS, "at")])
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         body = pdf[~pdf["is_peak"]].sort_values("p")
@@ -207,30 +220,7 @@ def _search(rows: DataFrame, cand: DataFrame, side: str) -> DataFrame:
             out.append((*key[:3], int(p), float(x), float(nominal), passed))
         return pd.DataFrame(out, columns=["connector", "trading_pair", "kind", "p", "x", "_prominence", "passed"])
 
-    return r.unionByName(c).groupBy(*KEYS, "at").applyInPandas(run, _FOUND)
-
-
-def _deciding_piece(shape: DataFrame, open_: DataFrame, side: str) -> DataFrame:
-    """The nearest other piece that rises above the peak or falls far enough; one row per piece of
-    ROWS bars and the undecided peaks of a series meet here."""
-    s = shape.select(*KEYS, F.col(PIECE).alias("at"), "hi", "lo", F.lit(None).cast("long").alias("p"), F.lit(None).cast("double").alias("x"),
-                     F.lit(None).cast("double").alias("_prominence"))
-    c = open_.select(*KEYS, F.floor(F.col("p") / ROWS).alias("at"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("lo"), "p", "x", "_prominence")
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = pdf[pdf["p"].isna()].sort_values("at")
-        at, hi, lo = pieces["at"].to_numpy(), pieces["hi"].to_numpy(dtype=float), pieces["lo"].to_numpy(dtype=float)
-        out = []
-        for own, p, x, nominal in pdf[pdf["p"].notna()][["at", "p", "x", "_prominence"]].itertuples(index=False):
-            beyond = at < own if side == "left" else at > own
-            hit = at[beyond & ((hi > x) | (lo <= x - nominal))]
-            out.append((*key[:3], int(p), float(x), float(nominal), None if not len(hit) else int(hit[-1] if side == "left" else hit[0])))
-        d = pd.DataFrame(out, columns=["connector", "trading_pair", "kind", "p", "x", "_prominence", "at"])
-        d["at"] = d["at"].astype("Int64")
-        return d
-
-    return s.unionByName(c).groupBy(*KEYS).applyInPandas(
-        run, "connector string, trading_pair string, kind string, p long, x double, _prominence double, at long")
+    return r.unionByName(c).groupBy(*KEYS, "at", "_group").applyInPandas(run, _FOUND)
 
 
 def series_peaks(bars: DataFrame, share: float = 0.01, distance: int = 5) -> DataFrame:
@@ -242,7 +232,7 @@ def series_peaks(bars: DataFrame, share: float = 0.01, distance: int = 5) -> Dat
     found = prominent(thin(local_maxima(sides), distance), sides, series_shape(bars, share))
     price = F.when(F.col("kind") == "low", -F.col("x")).otherwise(F.col("x"))
     out = found.select(*SERIES, F.col("p").alias(POS), price.alias("price"), "kind")
-    return out.join(bars.select(*SERIES, POS, "ts"), [*SERIES, POS]).checkpoint()
+    return join_series(out, bars.select(*SERIES, POS, "ts"), [*SERIES, POS]).checkpoint()
 
 
 # --- J09: latest earlier peak beyond the price ---------------------------------------------------
@@ -251,61 +241,56 @@ def earlier_peak(bars: DataFrame, peaks: DataFrame, out: str, above: bool, defau
     """Price of the latest peak strictly before the bar that lies above (below) its price, else
     ``default``.
 
-    Seen from a piece, only the earlier peaks that no later one hides matter. Each piece finds its
-    own; one row per piece carries them forward; each piece then answers for its bars.
+    Most bars find theirs in their own piece of ROWS bars. The others ask a block table over the highest peak of each
+    piece for the nearest earlier piece that has one, and take the latest of its peaks that no later one hides. No task sees more than a
+    piece, and a piece that many bars ask for is only its visible peaks, a short array.
     """
     sign = 1.0 if above else -1.0
+    ensure_checkpoint_dir(bars.sparkSession)
     b = _named(bars).withColumn(PIECE, F.floor(F.col(POS) / ROWS))
     pk = peaks.select(*SERIES, F.col(POS), (F.col("price") * sign).alias("_v")).withColumn(PIECE, F.floor(F.col(POS) / ROWS))
-
-    def visible(values: Sequence[float]) -> list[float]:
-        """Running maxima from the newest to the oldest."""
-        seen: list[float] = []
-        for v in values:
-            if not seen or v > seen[-1]:
-                seen.append(float(v))
-        return seen
-
-    own = pk.groupBy(*SERIES, PIECE).applyInPandas(
-        lambda key, pdf: pd.DataFrame({"connector": [key[0]], "trading_pair": [key[1]], PIECE: [int(key[2])],
-                                       "_stairs": [visible(pdf.sort_values(POS, ascending=False)["_v"].tolist())]}),
-        f"connector string, trading_pair string, {PIECE} long, _stairs array<double>")
-    pieces = b.select(*SERIES, PIECE).distinct().join(own, [*SERIES, PIECE], "left")
-
-    def carry(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        now: list[float] = []
-        rows = []
-        for piece, stairs in pdf.sort_values(PIECE)[[PIECE, "_stairs"]].itertuples(index=False):
-            rows.append((key[0], key[1], int(piece), list(now)))
-            if stairs is not None and len(stairs):
-                top = stairs[-1]
-                now = list(stairs) + [v for v in now if v > top]
-        return pd.DataFrame(rows, columns=["connector", "trading_pair", PIECE, "_stairs"])
-
-    before = pieces.groupBy(*SERIES).applyInPandas(carry, f"connector string, trading_pair string, {PIECE} long, _stairs array<double>")
+    place = [*SERIES, PIECE]
 
     def answer(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(POS)
-        peak_rows = right[right["_v"].notna()].sort_values(POS)
-        stairs_row = right[right["_v"].isna()]["_stairs"]
-        carried = list(stairs_row.iloc[0]) if len(stairs_row) and stairs_row.iloc[0] is not None else []
-        stack = carried[::-1]                      # oldest and highest first
-        at, values = peak_rows[POS].tolist(), peak_rows["_v"].tolist()
+        left, right = left.sort_values(POS), right.sort_values("_at")
+        at, values = right["_at"].tolist(), right["_v"].tolist()
+        stack: list[float] = []  # oldest and highest first
         k, found = 0, []
-        for pos, px in zip(left[POS].tolist(), (left["_px"] * sign).tolist()):
+        for pos, px in zip(left[POS].tolist(), left["_px"].tolist()):
             while k < len(at) and at[k] < pos:
                 while stack and stack[-1] <= values[k]:
                     stack.pop()
                 stack.append(values[k])
                 k += 1
-            found.append(next((v * sign for v in reversed(stack) if v > px), None))
-        return pd.DataFrame({"connector": key[0], "trading_pair": key[1], POS: left[POS].to_numpy(), "_found": pd.Series(found, dtype=float).to_numpy()})
-
-    facts = pk.select(*SERIES, PIECE, POS, "_v", F.lit(None).cast("array<double>").alias("_stairs")).unionByName(
-        before.select(*SERIES, PIECE, F.lit(None).cast("long").alias(POS), F.lit(None).cast("double").alias("_v"), "_stairs"))
-    asks = b.select(*SERIES, PIECE, POS, F.col(price).alias("_px"))
-    place = {c: f"_k_{c}" for c in (*SERIES, PIECE)}   # own names: both sides stem from the same bars
-    facts = facts.select(*[F.col(c).alias(place.get(c, c)) for c in facts.columns])
-    hits = asks.groupBy(*SERIES, PIECE).cogroup(facts.groupBy(*place.values())).applyInPandas(
-        answer, f"connector string, trading_pair string, {POS} long, _found double")
-    return b.drop(PIECE).join(hits, [*SERIES, POS], "left").withColumn(out, F.coalesce("_found", default)).drop("_found")
+            found.append(next((v for v in reversed(stack) if v > px), None))
+        return pd.DataFrame({"connector": key[0], "trading_pair": key[1], POS: left[POS].to_numpy(), "_px": left["_px"].to_numpy(),
+                             "_found": pd.Series(found, dtype=float).to_numpy()})
+
+    asks = b.select(*place, POS, (F.col(price) * sign).cast("double").alias("_px"))
+    facts = pk.select(*[F.col(c).alias(f"_k_{c}") for c in place], F.col(POS).alias("_at"), F.col("_v").alias("_v"))  # own names: both sides stem from the same bars
+    own = asks.groupBy(*place).cogroup(facts.groupBy(*[f"_k_{c}" for c in place])).applyInPandas(
+        answer, f"connector string, trading_pair string, {POS} long, _px double, _found double")
+    own = own.withColumn("_found", no_nan("_found")).checkpoint()  # read for both kinds of bars
+    home = F.floor(F.col(POS) / ROWS)
+    pieces = (own.agg(F.max(home)).first()[0] or 0) + 1
+    answers = own.select(*SERIES, POS, "_found")
+    if pieces > 1:
+        # visible peaks of a piece: from its end backwards, those above all later ones
+        later = Window.partitionBy(*place).orderBy(F.col(POS).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        seen = pk.withColumn("_top", F.max("_v").over(later)).filter(F.col("_top").isNull() | (F.col("_v") > F.col("_top")))
+        stairs = seen.groupBy(*place).agg(F.sort_array(F.collect_list("_v")).alias("_stairs"))
+        every = own.select(*SERIES, home.alias(PIECE)).distinct()
+        items = join_series(every, stairs, place, "left").select(
+            series_of(SERIES).alias(OF), F.col(PIECE).alias("_at"), F.array_max("_stairs").alias("hi"), F.array_max("_stairs").alias("lo"))
+        open_ = own.filter(F.col("_found").isNull() & F.col("_px").isNotNull()).withColumns(
+            {OF: series_of(SERIES), "_p0": home, "_salt": F.col(POS)})
+        far = nearest_item(open_, items, lambda lo, hi: hi > F.col("_px"), pieces, True, PIECE).filter(F.col(PIECE).isNotNull())
+        # bars of one series may all ask for one piece: its array is copied, the bars are dealt
+        salt = F.pmod(F.xxhash64(POS), F.lit(SALTS))
+        copies = stairs.withColumn("_mine", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        far = join_series(far.withColumn("_mine", salt.cast("int")), copies, [*place, "_mine"])
+        px = F.col("_px")
+        far = far.select(*SERIES, POS, F.get(F.filter("_stairs", lambda v: v > px), F.lit(0)).alias("_far"))
+        answers = join_series(answers, far, [*SERIES, POS], "left").withColumn("_found", F.coalesce("_found", "_far")).drop("_far")
+    answers = answers.withColumn("_found", F.col("_found") * sign)
+    return join_series(b.drop(PIECE), answers, [*SERIES, POS], "left").withColumn(out, F.coalesce("_found", default)).drop("_found")

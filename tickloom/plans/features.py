@@ -17,7 +17,7 @@ from tickloom.operators import recursive as C
 from tickloom.operators import rolling as R
 from tickloom.operators.fold import fold_series, reset_cumsum
 from tickloom.operators.joins import latest_rows
-from tickloom.operators.layout import POS, SERIES, own_rows, prefix_scan, segmented
+from tickloom.operators.layout import POS, SERIES, join_series, own_rows, prefix_scan, segmented
 from tickloom.operators.quantiles import exact_quantiles
 
 
@@ -244,7 +244,7 @@ class TrendFury:
             "_cum_up": (F.when(total > 0, total), self.cum_diff_quantile_threshold),
             "_cum_down": (F.when(total < 0, total), 1 - self.cum_diff_quantile_threshold),
         })
-        df = df.join(cuts, [*SERIES], "left")
+        df = join_series(df, cuts, how="left")
         jump = total - F.col("_prev_cum")
         yes = F.lit(True)
         long_rule = (total == 0) & (jump > F.col("_cum_up")) & (
@@ -375,7 +375,7 @@ def feature_rows(calculated: DataFrame, feature) -> DataFrame:
     if hasattr(feature, "summary"):
         whole = calculated.groupBy(*SERIES).agg(*feature.summary())
         names += [c for c in whole.columns if c not in SERIES]
-        last = last.join(whole, [*SERIES])
+        last = join_series(last, whole)
     info = {k: str(v) for k, v in asdict(feature).items() if k not in ("name", "category", "columns")}
     return last.select(
         "ts", F.lit(feature.name).alias("feature_name"), "trading_pair", F.col("connector").alias("connector_name"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.columns import ratio
 from tickloom.operators.joins import latest_rows
-from tickloom.operators.layout import SERIES, prefix_scan
+from tickloom.operators.layout import SERIES, join_series, prefix_scan
 from tickloom.plans.features import Volatility, Volume
 
 
@@ -110,7 +110,7 @@ def screener_24(bars: DataFrame, n: int = 24, recent: int = 6) -> DataFrame:
         F.sum("volume").alias("volume_24h_base"), F.stddev_samp("close").alias("_sd"),
         F.max("high").alias("high_24h"), F.min("low").alias("low_24h"),
         F.avg(F.when(new, F.col("volume"))).alias("_rv"), F.avg(F.when(old, F.col("volume"))).alias("_ev"))
-    t = t.join(count, [*SERIES]).filter(F.col("data_points") >= n)
+    t = join_series(t, count).filter(F.col("data_points") >= n)
     price, span = F.col("price"), F.col("high_24h") - F.col("low_24h")
     t = t.withColumns({
         "volume_24h_usd": F.col("volume_24h_base") * price,
@@ -175,7 +175,7 @@ def histogram(df: DataFrame, x: str, bins: int = 50, keys: Sequence[str] = SERIE
     ends = d.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     pos = ratio(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     b = F.least(F.lit(bins - 1), F.floor(F.coalesce(pos, F.lit(0.0)) * bins)).cast("int")
-    return d.join(ends, [*keys]).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return join_series(d, ends, keys).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -207,7 +207,7 @@ def range_today_and_week(bars: DataFrame, as_of: Column) -> DataFrame:
     week = F.col("ts") >= F.col("_last") - F.make_dt_interval(days=F.lit(7))
     hi = lambda c: F.max(F.when(c, F.col("high")))
     lo = lambda c: F.min(F.when(c, F.col("low")))
-    out = bars.join(last, [*SERIES]).groupBy(*SERIES).agg(
+    out = join_series(bars, last).groupBy(*SERIES).agg(
         hi(today).alias("_th"), lo(today).alias("_tl"), hi(week).alias("week_high"), lo(week).alias("week_low"))
     return out.select(
         *SERIES, F.coalesce("_th", F.lit(0.0)).alias("today_high"), F.coalesce("_tl", F.lit(0.0)).alias("today_low"),
@@ -237,7 +237,7 @@ def cluster_metrics(clusters: DataFrame, bars: DataFrame, top: int = 3) -> DataF
     """Mean volume and std/mean stability per market, top markets per cluster by volume."""
     m = bars.groupBy(*SERIES).agg(
         F.avg("volume").alias("avg_volume"), ratio(F.stddev_samp("volume"), F.avg("volume")).alias("volume_stability"))
-    df = clusters.join(m, [*SERIES], "left").fillna(0.0, ["avg_volume"])
+    df = join_series(clusters, m, how="left").fillna(0.0, ["avg_volume"])
     return top_per_group(df, ["cluster"], [F.desc("avg_volume"), F.asc("trading_pair"), F.asc("connector")], top)
 
 
@@ -252,7 +252,7 @@ def representative_markets(clusters: DataFrame, bars: DataFrame, top: int = 1) -
         F.count(F.lit(1)).alias("n_trades"),
         ratio(F.max("high") - F.min("low"), F.avg("close")).alias("price_range"))
     m = m.withColumn("liquidity_score", F.col("avg_usd_volume") / (F.col("volatility") + 1e-10))
-    df = clusters.join(m, [*SERIES], "left")
+    df = join_series(clusters, m, how="left")
     scaled = {}
     for c in ("avg_usd_volume", "volatility", "liquidity_score"):
         lo, hi = across(F.min(c)), across(F.max(c))
@@ -265,7 +265,7 @@ def representative_markets(clusters: DataFrame, bars: DataFrame, top: int = 1) -
 def cluster_return_stats(clusters: DataFrame, bars: DataFrame) -> DataFrame:
     """Normalised price (close / first close) statistics per cluster."""
     b = prefix_scan(bars.select(*SERIES, "ts", "close"), {"_f": ("first", "close")})
-    b = b.withColumn("normalised", ratio("close", "_f")).join(clusters, [*SERIES])
+    b = join_series(b.withColumn("normalised", ratio("close", "_f")), clusters)
     return b.groupBy("cluster").agg(
         F.avg("normalised").alias("mean"), F.stddev_samp("normalised").alias("std"),
         F.count(F.lit(1)).alias("count"), F.countDistinct(*SERIES).alias("pairs"))
@@ -465,6 +465,7 @@ def with_open_interest(bars: DataFrame, scale_over: DataFrame, oi: DataFrame, sh
     """Open interest on the bar's time, min-max scaled into ``share`` of the price range."""
     price = bars.groupBy(*SERIES).agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
     reach = scale_over.groupBy(*SERIES).agg(F.min("sum_open_interest").alias("_a"), F.max("sum_open_interest").alias("_b"))
-    d = bars.join(price, [*SERIES]).join(reach, [*SERIES]).join(oi.select(*SERIES, "ts", "sum_open_interest"), [*SERIES, "ts"], "left")
+    d = join_series(join_series(bars, price), reach)
+    d = join_series(d, oi.select(*SERIES, "ts", "sum_open_interest"), [*SERIES, "ts"], "left")
     unit = (F.col("sum_open_interest") - F.col("_a")) / (F.col("_b") - F.col("_a") + 1e-8)
     return d.withColumn("oi_scaled", unit * (F.col("_hi") - F.col("_lo")) * share + F.col("_lo")).drop("_a", "_b", "_lo", "_hi")

@@ -15,7 +15,7 @@ from tickloom.operators import recursive as C
 from tickloom.operators import rolling as R
 from tickloom.operators.fold import fold_series, supertrend
 from tickloom.operators.joins import asof_join, latest_rows
-from tickloom.operators.layout import POS, SERIES, own_rows, prefix_scan, segmented
+from tickloom.operators.layout import POS, SERIES, join_series, own_rows, prefix_scan, segmented
 from tickloom.plans.features import MeanReversionChannel
 from tickloom.session import ensure_checkpoint_dir
 
@@ -69,7 +69,7 @@ class OpeningRangeFade:
         morning = bars.filter(F.hour("ts").between(8, 11)).groupBy(
             *SERIES, F.to_date("ts").alias("day"), F.hour("ts").alias("_h")).agg(F.min_by("open", "ts").alias("_o"))
         facts = morning.groupBy(*SERIES, "day").agg(F.min("_o").alias("min_open"), F.max("_o").alias("max_open"))
-        df = df.join(facts, [*SERIES, "day"], "left")
+        df = join_series(df, facts, [*SERIES, "day"], "left")
         trading = F.col("_sec").between(12 * 3600, 15 * 3600)
         buy = (F.col("low") <= F.col("loband2")) & (F.col("close") < F.col("min_open"))
         sell = (F.col("high") >= F.col("upband2")) & (F.col("close") > F.col("max_open"))
@@ -209,7 +209,7 @@ class PmmDynamic:
             df = df.withColumns({"_mean": mean, "_sd": sd}).drop("_n", "_s", "_q")
         else:
             stats = df.groupBy(*SERIES).agg(F.avg("macd").alias("_mean"), F.stddev_samp("macd").alias("_sd"))
-            df = df.join(stats, [*SERIES])
+            df = join_series(df, stats)
         z = ratio(F.col("macd") - F.col("_mean"), "_sd")
         turn = F.when(F.col("macd_hist") > 0, 1).otherwise(-1)
         df = df.withColumn("_shift", (-0.5 * z + 0.5 * turn) * F.col("natr") / 2)
@@ -217,7 +217,7 @@ class PmmDynamic:
             return df.withColumn("reference_price", F.col("close") * (1 + F.col("_shift"))).withColumn(
                 "spread_multiplier", F.col("natr")).drop("_mean", "_sd", "_shift")
         last = df.groupBy(*SERIES).agg(F.max_by(F.struct("_shift"), "ts").alias("_m"))
-        df = df.drop("_shift").join(last, [*SERIES])
+        df = join_series(df.drop("_shift"), last)
         return df.withColumn("reference_price", F.col("close") * (1 + F.col("_m._shift"))).withColumn(
             "spread_multiplier", F.col("natr")).drop("_mean", "_sd", "_m")
 
@@ -242,14 +242,14 @@ def opposite_positions(signals: DataFrame, positions: DataFrame) -> DataFrame:
     """Active positions (side BUY/SELL) against the newest signal of their market."""
     s = signals.filter(F.col("signal") != 0).select(
         *SERIES, F.when(F.col("signal") == 1, "SELL").otherwise("BUY").alias("side"))
-    return positions.join(s, [*SERIES, "side"], "left_semi")
+    return join_series(positions, s, [*SERIES, "side"], "left_semi")
 
 
 def allowed_entries(signals: DataFrame, closed: DataFrame) -> DataFrame:
     """No new entry on the side of a stop-loss if that was the last closed position."""
     last = closed.groupBy(*SERIES).agg(
         F.max_by(F.struct("close_type", "side"), F.struct("close_ts", "executor_id")).alias("_last"))
-    s = signals.join(last, [*SERIES], "left")
+    s = join_series(signals, last, how="left")
     side = F.when(F.col("signal") > 0, "BUY").when(F.col("signal") < 0, "SELL")
     barred = (F.col("_last.close_type") == "STOP_LOSS") & (F.col("_last.side") == side)
     return s.withColumn("can_create", (F.col("signal") != 0) & ~F.coalesce(barred, F.lit(False))).drop("_last")
@@ -318,7 +318,7 @@ class XGrid:
             mine = peaks.filter(F.col("kind") == kind)
             df = df.checkpoint()  # the steps below read the bars several times
             df = earlier_peak(df, mine, "_open", way > 0, F.col("close") * (1 + way * self.tp_default))
-            df = df.join(mine.select(*SERIES, POS, F.col("price").alias("_peak")), [*SERIES, POS], "left").checkpoint()
+            df = join_series(df, mine.select(*SERIES, POS, F.col("price").alias("_peak")), [*SERIES, POS], "left").checkpoint()
             df = prefix_scan(df, {"_last": ("last", "_peak")})
             beyond = F.col("_last") > F.col(edge) if way > 0 else F.col("_last") < F.col(edge)
             df = df.withColumn(f"tp_{side}", F.when(beyond, F.col("_last")).otherwise(F.col("_open"))).drop("_peak", "_last", "_open")
