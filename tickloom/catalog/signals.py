@@ -292,7 +292,34 @@ def f11_levels(view):
     return level_signal(nearest_levels(level_windows(b), b), 0.5)
 
 
-@query("f04_series_peaks", "trading_pair kind ts price:4", "bars_1h")
+def peak_ctes(share: float, distance: int) -> dict[str, str]:
+    """Local maxima of highs and mirrored lows, thinned from the highest down one by one, then by prominence."""
+    side = "connector, trading_pair, kind"
+    same = " AND ".join(f"a.{c} = b.{c}" for c in side.split(", "))
+    return {
+        "nb": O.numbered(),
+        "sides": "SELECT connector, trading_pair, 'high' AS kind, i, high AS x FROM nb UNION ALL SELECT connector, trading_pair, 'low', i, -low FROM nb",
+        "marked": f"SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY {side} ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM sides",
+        "flat": f"SELECT *, sum(fresh) OVER (PARTITION BY {side} ORDER BY i) AS run FROM marked",
+        "runs": f"SELECT {side}, run, any_value(x) AS x, (min(i) + max(i)) // 2 AS p FROM flat GROUP BY {side}, run",
+        "tops": f"""SELECT *, row_number() OVER (PARTITION BY {side} ORDER BY x DESC, p DESC) AS k FROM (SELECT * FROM runs
+QUALIFY x > lag(x) OVER (PARTITION BY {side} ORDER BY run) AND x > lead(x) OVER (PARTITION BY {side} ORDER BY run))""",
+        "thin": f"""SELECT {side}, CAST(1 AS BIGINT) AS k, [p] AS kept FROM tops WHERE k = 1
+UNION ALL SELECT a.connector, a.trading_pair, a.kind, b.k, CASE WHEN len([q FOR q IN kept IF abs(q - b.p) < {distance}]) = 0
+THEN list_append(kept, b.p) ELSE kept END FROM thin a JOIN tops b ON {same} AND b.k = a.k + 1""",
+        "kept": f"SELECT {side}, unnest(arg_max(kept, k)) AS p FROM thin GROUP BY {side}",
+        "tall": f"""SELECT a.*, t.x, n.nominal FROM kept a JOIN tops t ON a.connector = t.connector AND a.trading_pair = t.trading_pair AND a.kind = t.kind
+AND a.p = t.p JOIN (SELECT connector, trading_pair, (max(high) - min(low)) * {share} AS nominal FROM nb GROUP BY ALL) n
+ON a.connector = n.connector AND a.trading_pair = n.trading_pair""",
+        "walls": f"""SELECT a.connector, a.trading_pair, a.kind, a.p, a.x, min(b.i) FILTER (WHERE b.i > p AND b.x > a.x) AS rise_r, max(b.i) FILTER (WHERE b.i < p AND b.x > a.x) AS rise_l,
+min(b.i) FILTER (WHERE b.i > p AND b.x <= a.x - nominal) AS fall_r, max(b.i) FILTER (WHERE b.i < p AND b.x <= a.x - nominal) AS fall_l
+FROM tall a JOIN sides b ON {same} GROUP BY ALL""",
+        "peaks": """SELECT w.connector, w.trading_pair, w.kind, w.p, n.ts, CASE WHEN kind = 'low' THEN -x ELSE x END AS price FROM walls w JOIN nb n ON n.connector = w.connector
+AND n.trading_pair = w.trading_pair AND n.i = w.p WHERE fall_r IS NOT NULL AND fall_l IS NOT NULL AND coalesce(fall_r < rise_r, TRUE) AND coalesce(fall_l > rise_l, TRUE)""",
+    }
+
+
+@query("f04_series_peaks", "trading_pair kind ts price:4", "bars_1h", ctes=peak_ctes(0.05, 20), sql="SELECT * FROM peaks")
 def f04(view):
     from tickloom.operators.peaks import series_peaks
     return series_peaks(view("bars_1h"), 0.05, 20)
@@ -315,6 +342,26 @@ def j09(view):
     return earlier_peak(df, peaks, "target", True, F.col("close") * 1.05)
 
 
-@query("g11_xgrid", K + "signal:i tp_long:4 tp_short:4 sl_long:4 sl_short:4 limit_long:4 tp_pct:6 sl_pct:6 trailing_delta:6", "bars_1h")
+def xgrid_ctes() -> dict[str, str]:
+    """Averages, channels and both targets: the newest peak if it lies beyond the bar, else an older one beyond the close, else 5 %."""
+    key = lambda a, b: f"{a}.connector = {b}.connector AND {a}.trading_pair = {b}.trading_pair"
+    ctes = {**peak_ctes(0.05, 20), "tr": f"SELECT *, {O.TRUE_RANGE} AS tr FROM nb", **O.rma("atr_100", 100, "tr", "tr", 1),
+            **O.ema("ema_8", 8, "tr"), **O.ema("ema_29", 29, "tr"), **O.ema("ema_31", 31, "tr"),
+            "ind": f"""SELECT *, 100 * atr_100 / nullif(close, 0) AS natr, CASE WHEN i >= 49 THEN min(low) OVER {O.w(50)} END AS sl_long,
+CASE WHEN i >= 49 THEN max(high) OVER {O.w(50)} END AS sl_short, CASE WHEN ema_8 < ema_29 AND ema_29 < ema_31 AND ema_8 < ema_31 THEN -1
+WHEN ema_8 > ema_29 AND ema_29 > ema_31 AND ema_8 > ema_31 THEN 1 ELSE 0 END AS signal FROM ({O.joined('tr', 'ema_8', 'ema_29', 'ema_31', 'atr_100')})"""}
+    for kind, name, sign, edge in (("high", "long", ">", "high"), ("low", "short", "<", "low")):
+        ctes[f"seen_{name}"] = f"""SELECT b.connector, b.trading_pair, b.i, arg_max(p.price, p.p) AS newest,
+arg_max(p.price, p.p) FILTER (WHERE p.p < b.i AND p.price {sign} b.close) AS older FROM nb b JOIN peaks p ON {key('b', 'p')} AND p.kind = '{kind}' AND p.p <= b.i GROUP BY ALL"""
+    ctes["xgrid"] = f"""SELECT b.*, CASE WHEN l.newest > high THEN l.newest ELSE coalesce(l.older, close * 1.05) END AS tp_long,
+CASE WHEN s.newest < low THEN s.newest ELSE coalesce(s.older, close * 0.95) END AS tp_short, sl_long * (1 + 2.0 * natr) AS limit_long
+FROM ind b LEFT JOIN seen_long l ON {key('b', 'l')} AND l.i = b.i LEFT JOIN seen_short s ON {key('b', 's')} AND s.i = b.i"""
+    ctes["targets"] = """SELECT *, abs(CASE WHEN signal > 0 THEN tp_long ELSE tp_short END - close) / nullif(close, 0) AS tp_pct,
+abs(CASE WHEN signal > 0 THEN sl_long ELSE sl_short END - close) / nullif(close, 0) AS sl_pct FROM xgrid"""
+    return ctes
+
+
+@query("g11_xgrid", K + "signal:i tp_long:4 tp_short:4 sl_long:4 sl_short:4 limit_long:4 tp_pct:6 sl_pct:6 trailing_delta:6", "bars_1h",
+       ctes=xgrid_ctes(), sql="SELECT *, tp_pct * 0.5 * 0.2 AS trailing_delta FROM targets")
 def g11(view):
     return G.xgrid_targets(G.XGrid(distance=20).calculate(view("bars_1h")))
