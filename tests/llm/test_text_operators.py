@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import fixtures  # noqa: E402
@@ -247,24 +248,82 @@ def test_shards_do_not_depend_on_slices(spark):
 # --- mixing ---------------------------------------------------------------------------------------------------
 
 def test_mixing_against_sql(spark):
+    sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
     want = con.execute(mixing.oracle_sql()).fetchall()
-    got = mixing.mixed(spark.read.parquet(f"{SF}/documents.parquet")).selectExpr(
+    got = mixing.mixed(spark.read.parquet(f"{sf}/documents.parquet")).selectExpr(
         "row.doc_id", "source", "lang", "topic", "tokens", "round(probability, 6)", "kept").collect()
     same_rows([tuple(r) for r in got], want)
 
 
-def test_raked_weights_meet_the_targets(spark):
-    docs = fixtures.table(spark, [r for r in fixtures.documents(n=400) if r[0] is not None and r[0] < 400 and r[3]])
+def raked(spark, docs, **options):
+    rows = docs.select("source", "lang", mixing.topic_of("text").alias("topic"), mixing.tokens_of("text").alias("tokens"))
+    cells = rows.groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    return mixing.rake(cells, **options)
+
+
+def test_expected_tokens_meet_the_targets(spark):
+    docs = fixtures.table(spark, [r for r in fixtures.documents(n=400) if r[0] is not None and r[3] and 100 < len(r[1] or "") < 20_000])
     targets = {"source": {"hot": 0.1, "s0": 0.2, "s1": 0.2, "s2": 0.2, "s3": 0.2, "s4": 0.1}}
-    rows = mixing.mixed(docs, targets=targets, rounds=30).collect()
-    cells = {(r.source, r.lang, r.topic): (r.weight, r.probability) for r in rows}
-    total = sum(w for w, _ in cells.values())
-    for source, share in targets["source"].items():
-        own = sum(w for (s, _, _), (w, _) in cells.items() if s == source)
-        assert own / total == pytest.approx(share, rel=0.15)
-    assert total == pytest.approx(sum(r.tokens for r in rows), rel=0.01)
+    out = mixing.report(raked(spark, docs, targets=targets, rate=0.2)).collect()
+    own = {r.value: r for r in out if r.dimension == "source"}
+    total = sum(r.expected for r in own.values())
+    assert {v: r.expected / total for v, r in own.items()} == pytest.approx(targets["source"], rel=1e-6)
+    assert all(abs(r.error) < 1e-6 for r in out) and len({r.dimension for r in out}) == 3
+
+
+def skewed():
+    """One source with half of all tokens, ten with a thousandth each; rare languages inside rare sources."""
+    draw = random.Random(4)
+    rows = []
+    for i in range(900):
+        big = i % 2 == 0
+        source = "hot" if big else ("big", "wide", f"tiny{i % 10}")[draw.choice([0, 0, 0, 1, 1, 2])]
+        n = 400 if big else 8 if source.startswith("tiny") else 300
+        lang = draw.choice(["aa"] * 12 + ["bb"] * 3 + ["cc"])
+        rows.append((i, draw.choice(["", "a@b ", "!! ", "x | y "]) + "w " * n, lang, source, 1, *fixtures.EXTRA))
+    return rows
+
+
+def test_full_cells_leave_their_rest_to_the_others(spark):
+    cells = raked(spark, fixtures.table(spark, skewed()), rate=0.6).collect()
+    assert all(0 <= r.expected <= r.tokens * (1 + 1e-12) for r in cells)
+    assert sum(r.expected > r.tokens * (1 - 1e-9) for r in cells) > 3  # some are full
+    for i, d in enumerate(mixing.DIMENSIONS):
+        tokens, expected, target = defaultdict(float), defaultdict(float), {}
+        for r in cells:
+            tokens[r[d]] += r.tokens
+            expected[r[d]] += r.expected
+            target[r[d]] = r[f"target_{d}"]
+        # the feasible target by bisection on the common factor
+        wanted = {v: (n / sum(tokens.values())) ** mixing.FLATNESS[d] for v, n in tokens.items()}
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(tokens[v], mid * w) for v, w in wanted.items()) < 0.6 * sum(tokens.values()) else (low, mid)
+        feasible = {v: min(tokens[v], high * w) for v, w in wanted.items()}
+        assert target == pytest.approx(feasible, rel=1e-6)
+        assert dict(expected) == pytest.approx(feasible, rel=1e-3)
+
+
+def test_sampled_tokens_come_near_the_expected_ones(spark):
+    docs = fixtures.table(spark, skewed())
+    rows = mixing.mixed(docs).collect()
+    want = defaultdict(float)
+    for r in rows:
+        want[r.source] += r.tokens * r.probability
+    for source in ("hot", "big", "wide"):
+        got = sum(r.tokens for r in rows if r.source == source and r.kept)
+        assert got == pytest.approx(want[source], rel=0.25)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    docs = fixtures.table(spark, skewed())
+    out = mixing.report(raked(spark, docs, targets={"source": {"tiny1": 1.0}})).collect()
+    own = {r.value: r for r in out if r.dimension == "source"}
+    assert own["tiny1"].full and own["hot"].expected == 0 and own["hot"].target == 0
+    assert any(r.error is not None and abs(r.error) > 1e-3 for r in out if r.dimension == "lang")  # contradicts one source
 
 
 def test_sampling_keeps_columns_and_every_awkward_row(spark):
