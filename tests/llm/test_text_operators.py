@@ -286,7 +286,9 @@ def skewed():
     return rows
 
 
-def test_full_cells_leave_their_rest_to_the_others(spark):
+@pytest.mark.parametrize("together", [100_000, 0])
+def test_full_cells_leave_their_rest_to_the_others(spark, monkeypatch, together):
+    monkeypatch.setattr(mixing, "TOGETHER", together)
     cells = raked(spark, fixtures.table(spark, skewed()), rate=0.6).collect()
     assert all(0 <= r.expected <= r.tokens * (1 + 1e-12) for r in cells)
     assert sum(r.expected > r.tokens * (1 - 1e-9) for r in cells) > 3  # some are full
