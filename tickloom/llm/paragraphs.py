@@ -1,27 +1,32 @@
 """Substring deduplication by paragraph MinHash banding.
 
-A paragraph is a line of at least ``min_words`` words. Each distinct paragraph gets a MinHash signature over its
-five-word shingles, cut into bands; paragraphs that agree in a band collide. Collisions are joined to stars around
-each band's smallest paragraph and so to candidate groups; within a group all paragraphs are compared by exact
-Jaccard similarity of their shingles, and paragraphs at ``similarity`` or more are linked. Of every connected
-component the first occurrence (smallest doc_id, then place) stays and the others are removals.
+Every line that holds a word is a paragraph; so is a block of wrapped lines (between blank lines or the text's ends, all but
+the last at most ``WRAPPED`` bytes long), whose near copies may be wrapped elsewhere. Each distinct paragraph gets a
+MinHash signature over its five-word shingles, cut into bands; paragraphs that agree in a band collide. Collisions are
+joined to stars around each band's smallest paragraph and so to candidate groups; within a group all paragraphs are
+compared by exact Jaccard similarity of their shingles, and paragraphs at ``similarity`` or more are linked. Of every
+connected component the first occurrence (smallest doc_id, then place) stays and the others are removals.
 
 A passage may also lie inside longer lines or run over several. For these every window of ``window`` words counts as
 a paragraph of its own, with the smallest hash of its five-word shingles as MinHash. Neighbouring windows mostly share
 that shingle, so about 2 / ``window`` of the shingles are anchors. A passage of ``window`` words or more holds the
-anchor of a window of its own, and ``segment`` words from the anchor on or up to its end; two documents that share
-the passage share such a segment word for word. Segments that occur in several documents are removals in all but the
-document of the smallest id; overlapping ones are joined. Runs of one repeated word are no passage.
+anchor of a window of its own, and ``segment`` words from the anchor on or up to its end; two places that share
+the passage share such a segment word for word. Occurrences of a segment after its first are repeats, overlapping ones are
+joined to stretches. A stretch may end inside a passage, so around the segments at its ends all windows are compared
+as well: every word of a window that stands at an earlier place too is a removal. Runs of one repeated word are no passage.
 
 With 12 bands of 4 a pair at similarity 0.8 collides with probability 0.998, one at 0.2 with 0.02.
 
-Distinct paragraphs are compared once, whatever the number of copies. A candidate group of many paragraphs is
+Distinct paragraphs are banded and compared once, whatever the number of copies. A candidate group of many paragraphs is
 split into blocks, and each pair of blocks is a unit of work of bounded size that returns a spanning forest, never
-its pairs. Texts are read three times: for signatures, for the texts of colliding paragraphs, and for segments.
+its pairs. Texts are read three times: for signatures, for the texts of colliding paragraphs, and for segments; those with
+stretches once more.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. Null or empty text has no paragraph.
-A null doc_id comes last among occurrences. Rows that repeat a document in full count as that document: their
-paragraphs stay or go together. Paragraphs are named by a 128-bit hash of their words.
+Places are ordered by doc_id (null last), text and word. A row is named by its doc_id and a hash of its text, so rows with a
+null doc_id, or that share one, are rows of their own; rows that repeat in full count as one, their paragraphs stay or go
+together. A passage repeated inside a text goes as well, unless it overlaps its first occurrence. Very long texts are
+taken whole. Paragraphs are named by a 128-bit hash of their words.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, text_batches, utf8, written
@@ -40,7 +45,8 @@ from tickloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
-MIN_WORDS = 20
+#: The longest line, in bytes, after which a text may have been wrapped.
+WRAPPED = 120
 WINDOW, SEGMENT = 50, 25
 BLOCK = 256
 #: Columns of an incidence matrix worked on together.
@@ -81,61 +87,90 @@ def banded_hashes(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _band_hashes(h, *_multipliers(bands, rows), rows)
 
 
-def paragraphs_of(raw: bytes | None, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(number, first byte, end, lower-case words) of the long lines of a text."""
-    at = 0
-    for number, line in enumerate((raw or b"").split(b"\n")):
+def paragraphs_of(raw: bytes | None) -> Iterator[tuple[int, bool, int, int, list[bytes]]]:
+    """(line number, is a block, first byte, end, lower-case words) of the lines and wrapped blocks of a text."""
+    at, block = 0, []
+    lines = (raw or b"").split(b"\n")
+    for number, line in enumerate([*lines, b""]):
         words = line.lower().split()
-        if len(words) >= min_words:
-            yield number, at, at + len(line), words
+        if words:
+            yield number, False, at, at + len(line), words
+            block.append((number, at, at + len(line), words))
+        else:
+            if len(block) > 1 and all(end - start <= WRAPPED for _, start, end, _ in block[:-1]):
+                yield block[0][0], True, block[0][1], block[-1][2], [w for *_, own in block for w in own]
+            block = []
         at += len(line) + 1
 
 
-def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Every paragraph: doc_id, paragraph (line number), start, end (code points), n_words, key, bands."""
+def row_name(doc_id: str, text: str) -> Column:
+    """Tells rows of one doc_id, or without one, apart."""
+    return F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, row and text."""
+    return docs.select("doc_id", row_name("doc_id", "text").alias("row"), "text")
+
+
+def occurrences(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Every paragraph: doc_id, row, paragraph (line number), block, start, end (code points), n_words, key, bands."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult, add = _multipliers(bands, rows)
         for batch in batches:
-            of, out, keys, bands_ = [], [], [], []
+            of, out, keys, bands_, blocks = [], [], [], [], []
+            known: dict[bytes, np.ndarray] = {}
             for i, raw in enumerate(utf8(batch.column("text"))):
-                done, chars = 0, 0
-                for number, a, b, words in paragraphs_of(raw, min_words):
-                    chars += len(raw[done:a].decode())
-                    start, done = chars, b
-                    chars += len(raw[a:b].decode())
+                chars = _characters(raw or b"")
+                for number, is_block, a, b, words in paragraphs_of(raw):
                     of.append(i)
-                    out.append((number, start, chars, len(words)))
-                    keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    bands_.append(signature(words, mult, add, rows))
+                    blocks.append(is_block)
+                    out.append((number, chars[a], chars[b], len(words)))
+                    key = xxhash.xxh3_128_digest(b" ".join(words))
+                    if key not in known:
+                        known[key] = signature(words, mult, add, rows)
+                    keys.append(key)
+                    bands_.append(known[key])
             number, start, end, n = np.array(out, np.int64).reshape(-1, 4).T
+            take = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(pa.array(of, pa.int64())), "paragraph": number, "start": start,
-                "end": end, "n_words": n, "key": pa.array(keys, pa.binary()),
-                "bands": pa.array(bands_, pa.list_(pa.int64()))})
+                "doc_id": batch.column("doc_id").take(take), "row": batch.column("row").take(take), "paragraph": number,
+                "block": pa.array(blocks, pa.bool_()), "start": start, "end": end, "n_words": n,
+                "key": pa.array(keys, pa.binary()), "bands": pa.array(bands_, pa.list_(pa.int64()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        find, f"doc_id {kind}, paragraph long, start long, end long, n_words long, key binary, bands array<bigint>")
+    return named(docs).mapInArrow(find, f"doc_id {kind}, row long, paragraph long, block boolean, start long, end long, "
+                                        "n_words long, key binary, bands array<bigint>")
 
 
-def _texts(docs: DataFrame, min_words: int) -> DataFrame:
-    """own_doc, own_paragraph, words (normal text) of every paragraph."""
+def _characters(raw: bytes) -> np.ndarray:
+    """Characters before each byte, and in all."""
+    out = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """own_doc, own_row, own_paragraph, own_block, words (normal text) of every paragraph."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, numbers, texts = [], [], []
+            of, numbers, blocks, texts = [], [], [], []
             for i, raw in enumerate(utf8(batch.column("text"))):
-                for number, _, _, words in paragraphs_of(raw, min_words):
+                for number, is_block, _, _, words in paragraphs_of(raw):
                     of.append(i)
                     numbers.append(number)
+                    blocks.append(is_block)
                     texts.append(b" ".join(words))
+            take = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_pydict({
-                "own_doc": batch.column("doc_id").take(pa.array(of, pa.int64())),
-                "own_paragraph": pa.array(numbers, pa.int64()), "words": pa.array(texts, pa.binary())})
+                "own_doc": batch.column("doc_id").take(take), "own_row": batch.column("row").take(take),
+                "own_paragraph": pa.array(numbers, pa.int64()), "own_block": pa.array(blocks, pa.bool_()),
+                "words": pa.array(texts, pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(find, f"own_doc {kind}, own_paragraph long, words binary")
+    return named(docs).mapInArrow(find, f"own_doc {kind}, own_row long, own_paragraph long, own_block boolean, words binary")
 
 
 _SPACE = np.zeros(256, bool)
@@ -163,67 +198,128 @@ def _hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarra
     return x ^ (x >> np.uint64(29))
 
 
-def segments_of(raw: bytes, window: int, segment: int) -> tuple[np.ndarray, ...]:
-    """Anchored segments of one text: first word, start and end (code points), key (a polynomial hash of its words)."""
-    none = np.zeros(0, np.int64)
-    low = raw.lower()
-    b = np.frombuffer(low, np.uint8)
+def words_of(raw: bytes) -> tuple[np.ndarray, ...]:
+    """First byte, end and hash of every word of a text."""
+    b = np.frombuffer(raw.lower(), np.uint8)
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~_SPACE[b]
     edge = np.diff(inside)
     ws, we = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    with np.errstate(over="ignore"):
+        return ws, we, _hashes(b.astype(np.uint64) + np.uint64(1), ws, we)
+
+
+def _places(raw: bytes, ws: np.ndarray, we: np.ndarray, h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """``size`` words from each of the words ``first`` on: first word, start and end (code points), key; runs of one word left out."""
+    turns = np.cumsum(np.append(False, h[1:] != h[:-1]))
+    first = first[turns[first + size - 1] > turns[first]]
+    with np.errstate(over="ignore"):
+        keys = _hashes(h, first, first + size).view(np.int64)
+    chars = _characters(raw)
+    return first, chars[ws[first]], chars[we[first + size - 1]], keys
+
+
+_NO_PLACES = (np.zeros(0, np.int64),) * 4
+
+
+def segments_of(raw: bytes, window: int, segment: int) -> tuple[np.ndarray, ...]:
+    """Anchored segments of one text: first word, start and end (code points), key (a polynomial hash of its words)."""
+    ws, we, h = words_of(raw)
     n = len(ws)
     if n < window:
-        return none, none, none, none
+        return _NO_PLACES
     with np.errstate(over="ignore"):
-        h = _hashes(b.astype(np.uint64) + np.uint64(1), ws, we)
         at = np.arange(n - SHINGLE + 1)
         grams = _hashes(h, at, at + SHINGLE)
-        view = np.lib.stride_tricks.sliding_window_view(grams, window - SHINGLE + 1)
-        anchor = np.concatenate([view[a:a + 65536].argmin(axis=1) + np.arange(a, min(a + 65536, len(view)))
-                                 for a in range(0, len(view), 65536)])
-        anchor = anchor[np.append(True, anchor[1:] != anchor[:-1])]
-        up_to = segment - SHINGLE
-        first = np.unique(np.concatenate([anchor[anchor + segment <= n], anchor[anchor >= up_to] - up_to]))
-        turns = np.cumsum(np.append(False, h[1:] != h[:-1]))
-        first = first[turns[first + segment - 1] > turns[first]]
-        keys = _hashes(h, first, first + segment).view(np.int64)
-    chars = np.cumsum((b & 0xC0) != 0x80)  # characters up to and with a byte
-    return first, chars[ws[first]] - 1, chars[we[first + segment - 1] - 1], keys
+    view = np.lib.stride_tricks.sliding_window_view(grams, window - SHINGLE + 1)
+    anchor = np.concatenate([view[a:a + 65536].argmin(axis=1) + np.arange(a, min(a + 65536, len(view)))
+                             for a in range(0, len(view), 65536)])
+    anchor = anchor[np.append(True, anchor[1:] != anchor[:-1])]
+    up_to = segment - SHINGLE
+    first = np.unique(np.concatenate([anchor[anchor + segment <= n], anchor[anchor >= up_to] - up_to]))
+    return _places(raw, ws, we, h, first, segment)
 
 
-def _segments(docs: DataFrame, window: int, segment: int) -> DataFrame:
-    """doc_id, word, start, end, key of every anchored segment."""
+def windows_of(raw: bytes, spans: list[dict], window: int) -> tuple[np.ndarray, ...]:
+    """All windows of one text whose first word lies in one of ``spans`` (low and high, inclusive), as segments_of."""
+    ws, we, h = words_of(raw)
+    last = len(ws) - window
+    ranges = [np.arange(max(0, s["low"]), min(last, s["high"]) + 1) for s in spans]
+    first = np.unique(np.concatenate(ranges)) if ranges else np.zeros(0, np.int64)
+    return _places(raw, ws, we, h, first, window) if len(first) else _NO_PLACES
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [segments_of(raw or b"", window, segment) for raw in utf8(batch.column("text"))]
-            if not found:
-                continue
-            of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            word, start, end, key = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(4))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(of)), "word": word,
-                                              "start": start, "end": end, "key": key})
 
+_PLACES = "row long, word long, start long, end long, key long"
+
+
+def _place_batches(batches: Iterator[pa.RecordBatch], places: Callable[..., tuple], *columns: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        inputs = [utf8(batch.column("text")), *(batch.column(c).to_pylist() for c in columns)]
+        found = [places(raw or b"", *rest) for raw, *rest in zip(*inputs)]
+        if not found:
+            continue
+        take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+        word, start, end, key = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(4))
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(take), "row": batch.column("row").take(take),
+                                          "word": word, "start": start, "end": end, "key": key})
+
+
+def _segments(docs: DataFrame, window: int, segment: int) -> DataFrame:
+    """doc_id, row, word, start, end, key of every anchored segment."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, word long, start long, end long, key long")
+    return named(docs).mapInArrow(
+        lambda batches: _place_batches(batches, lambda raw: segments_of(raw, window, segment)), f"doc_id {kind}, {_PLACES}")
+
+
+def _repeated(places: DataFrame, size: int, name: str) -> DataFrame:
+    """The places whose words stand at several, with ``low``, the first of them, and ``later``: not the first, nor
+    overlapping it."""
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "word")
+    own = places.groupBy("key").agg(F.min(at).alias("low"), F.max(at).alias("high")).filter("low < high")
+    # written first: a key that very many places share can then be dealt out by the join
+    shared = written(own.select("key", "low"), f"{name}-keys")
+    same = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("row") == F.col("low.row"))
+    later = (at > F.col("low")) & ~(same & (F.col("word") < F.col("low.word") + size))
+    return places.join(shared, "key").withColumn("later", later)
+
+
+def _joined(later: DataFrame, gap: int) -> DataFrame:
+    """Stretches of a row's places: doc_id, row, first and last (words, end exclusive), start, end, low."""
+    order = Window.partitionBy("doc_id", "row").orderBy("word", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("word") > before + gap, F.lit(True)).cast("long")
+    marked = later.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(order))
+    return marked.groupBy("doc_id", "row", "_stretch").agg(
+        F.min("word").alias("first"), F.max("stop").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min("low").alias("low")).drop("_stretch")
 
 
 def repeated_segments(docs: DataFrame, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
-    """Stretches that an earlier document has as well: doc_id, start, end, n_words, kept_doc_id. Documents without
-    an id count as one, the last."""
-    found = written(_segments(text_batches(docs), window, segment), "segments")
-    own = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-                                   F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    shared = own.filter((F.col("low") < F.col("high")) | F.col("unnamed") & F.col("low").isNotNull())
-    later = found.join(shared.select("key", "low"), "key").filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("low")))
-    later = later.select("doc_id", "word", "start", "end", "low").distinct()
-    order = Window.partitionBy("doc_id").orderBy("word", "end")
-    fresh = F.col("word") > F.lag("word").over(order) + segment
-    joined = later.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("long")).withColumn("_stretch", F.sum("_new").over(order))
-    return joined.groupBy("doc_id", "_stretch").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + segment).alias("n_words"),
-        F.min("low").alias("kept_doc_id")).drop("_stretch")
+    """Stretches that stand at an earlier place as well: doc_id, row, start, end, n_words, kept_doc_id."""
+    docs = text_batches(docs)
+    found = written(_segments(docs, window, segment), "segments")
+    hits = written(_repeated(found, segment, "segments").distinct(), "repeated")
+    later = hits.filter("later").select("doc_id", "row", "word", (F.col("word") + segment).alias("stop"), "start", "end", "low", "key")
+    stretches = written(_joined(later, 0), "stretches")
+
+    # segments by the ends of stretches; a window that reaches beyond a stretch holds one of them
+    reach = window - segment
+    ends = stretches.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("first").alias("_first"), F.col("last").alias("_last"))
+    near = later.join(ends, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")) & (F.col("word") >= F.col("_first"))
+                      & (F.col("stop") <= F.col("_last")) & ((F.col("word") <= F.col("_first") + reach) | (F.col("stop") >= F.col("_last") - reach)))
+    keys = near.select("key").distinct()
+    spans = hits.join(keys, "key", "left_semi").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(
+        F.struct((F.col("word") - reach).alias("low"), F.col("word").alias("high")))).alias("spans"))
+    spans = written(spans.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "spans"), "spans")
+    rows = named(docs).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).drop("_d", "_r")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    around = rows.mapInArrow(lambda batches: _place_batches(batches, lambda raw, spans: windows_of(raw, spans, window), "spans"),
+                             f"doc_id {kind}, {_PLACES}")
+    around = _repeated(written(around, "windows"), window, "windows").filter("later").distinct()
+    wide = around.select("doc_id", "row", "word", (F.col("word") + window).alias("stop"), "start", "end", "low")
+    both = wide.unionByName(stretches.withColumnsRenamed({"first": "word", "last": "stop"}))
+    return _joined(both, 0).select("doc_id", "row", "start", "end", (F.col("last") - F.col("first")).alias("n_words"),
+                                   F.col("low.doc_id").alias("kept_doc_id"))
 
 
 def similar(texts: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -309,53 +405,54 @@ def verified(members: DataFrame, similarity: float, block: int, pairs: Callable
     return units.mapInArrow(compare, "a binary, b binary")
 
 
-def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, bands: int = BANDS,
-             rows: int = ROWS, block: int = BLOCK, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
-    """One row per paragraph or stretch to remove: doc_id, paragraph (line number; null for a stretch), start, end,
+def removals(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
+             window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
+    """One row per paragraph or stretch to remove: doc_id, row, paragraph (its first line; null for a stretch), start, end,
     n_words, exact (equal words to the one kept), kept_doc_id and kept_paragraph (the occurrence that stays; together
-    they name the component). A stretch may lie within or across removed lines."""
+    they name the component). A stretch may lie within or across removed lines, a line within a removed block."""
     docs = text_batches(docs)
-    found = written(occurrences(docs, min_words, bands, rows), "paragraphs")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
+    found = written(occurrences(docs, bands, rows), "paragraphs")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "paragraph", "block")
     # candidate groups are found on short names; should two paragraphs share one, they are compared as well
     short = F.xxhash64("key").alias("short")
-    classes = cut(found.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).select("*", short))
-    banded = found.select(short, F.explode("bands").alias("band"))
+    classes = written(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"),
+                                               F.any_value("bands").alias("bands")).select("*", short), "classes")
+    banded = classes.select("short", F.explode("bands").alias("band"))
     stars = banded.groupBy("band").agg(F.min("short").alias("centre"), F.max("short").alias("other")).filter("centre <> other")
     met = banded.join(stars.select("band", "centre"), "band").filter("short <> centre")
     groups = components(met, "short", "centre")
     groups = groups.union(groups.select("root", "root").distinct())
-    members = groups.join(classes, F.col("node") == F.col("short")).select(
-        F.col("root").alias("group"), "key", "first.doc_id", "first.paragraph")
+    members = groups.join(classes, F.col("node") == F.col("short")).select(F.col("root").alias("group"), "key", "first")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     wanted = members.join(sizes, "group")
-    texts = _texts(docs, min_words)
-    members = texts.join(cut(wanted), texts["own_doc"].eqNullSafe(F.col("doc_id"))
-                         & (texts["own_paragraph"] == F.col("paragraph")))
+    texts = _texts(docs)
+    members = texts.join(cut(wanted), texts["own_doc"].eqNullSafe(F.col("first.doc_id")) & (texts["own_row"] == F.col("first.row"))
+                         & (texts["own_paragraph"] == F.col("first.paragraph")) & (texts["own_block"] == F.col("first.block")))
     links = components(verified(members, similarity, block), "a", "b")
     rooted = classes.select("key", "first", "copies").join(links, F.col("key") == F.col("node"), "left").select(
         "key", F.coalesce("root", "key").alias("root"), "first", "copies", F.col("root").isNotNull().alias("linked"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.min_by("key", "first").alias("kept_key"),
                                        F.sum("copies").alias("n")).filter("n > 1")
     removed = cut(rooted.join(heads, "root").select("key", "kept", (F.col("key") == F.col("kept_key")).alias("exact")))
-    out = found.join(removed, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))
-                                              & (F.col("paragraph") == F.col("kept.paragraph"))))
-    lines = out.select("doc_id", "paragraph", "start", "end", "n_words", "exact",
+    out = found.drop("bands").join(removed, "key").filter(~place.eqNullSafe(F.col("kept")))
+    lines = out.select("doc_id", "row", "paragraph", "start", "end", "n_words", "exact",
                        F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph"))
     none = F.lit(None).cast("long")
     stretches = repeated_segments(docs, window, segment).select(
-        "doc_id", none.alias("paragraph"), "start", "end", "n_words", F.lit(True).alias("exact"), "kept_doc_id",
+        "doc_id", "row", none.alias("paragraph"), "start", "end", "n_words", F.lit(True).alias("exact"), "kept_doc_id",
         none.alias("kept_paragraph"))
     return lines.unionByName(stretches)
 
 
 def cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the paragraphs of ``found`` (the result of ``removals``) cut out of the texts; all rows stay."""
-    spans = found.groupBy(F.col("doc_id").alias("_own")).agg(F.array_sort(F.collect_set(
+    spans = found.groupBy(F.col("doc_id").alias("_own"), F.col("row").alias("_own_row")).agg(F.array_sort(F.collect_set(
         F.struct("start", (F.col("end") + F.col("paragraph").isNotNull().cast("long")).alias("end")))).alias("_cut"))
     own = docs.columns
-    rows = text_batches(docs).select(F.struct(*(docs[c] for c in own)).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    both = rows.join(spans, F.col("_id").eqNullSafe(F.col("_own")), "left")
+    # all columns in one struct, so no name can clash
+    rows = text_batches(docs).select(F.struct(*(docs[c] for c in own)).alias("_row"), F.struct("doc_id", "text").alias("_of"))
+    both = rows.withColumn("_mark", row_name("_of.doc_id", "_of.text")).join(
+        spans, F.col("_of.doc_id").eqNullSafe(F.col("_own")) & (F.col("_mark") == F.col("_own_row")), "left")
 
     @F.arrow_udf("string")
     def without(text: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -370,5 +467,5 @@ def cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:
             out.append(t)
         return pa.array(out, pa.string())
 
-    text = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(without("_text", "_cut"))
+    text = F.when(F.col("_cut").isNull(), F.col("_of.text")).otherwise(without("_of.text", "_cut"))
     return both.select(*((text if c == "text" else F.col("_row")[c]).alias(c) for c in own))
