@@ -67,12 +67,6 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> list[bytes]:
     return [b" ".join(words[i:i + n]) for i in range(len(words) - n + 1)]
 
 
-def signature(words: list[bytes], mult: np.ndarray, add: np.ndarray, rows: int) -> np.ndarray:
-    """One hash per band."""
-    h = np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles(words)), np.uint64)
-    return _band_hashes(h, mult, add, rows)
-
-
 def _band_hashes(h: np.ndarray, mult: np.ndarray, add: np.ndarray, rows: int) -> np.ndarray:
     low = np.empty(len(mult), np.uint64)
     for a in range(0, len(h), 4096):  # a long paragraph in bounded memory
@@ -87,22 +81,55 @@ def banded_hashes(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _band_hashes(h, *_multipliers(bands, rows), rows)
 
 
-def paragraphs_of(raw: bytes | None) -> Iterator[tuple[int, bool, int, int, list[bytes]]]:
-    """(line number, is a block, first byte, end, lower-case words) of the lines and wrapped blocks of a text."""
+def paragraphs_of(raw: bytes) -> Iterator[tuple[int, bool, int, int]]:
+    """(line number, is a block, first byte, end) of the lines with words and the wrapped blocks of a text."""
     at, block = 0, []
-    lines = (raw or b"").split(b"\n")
-    for number, line in enumerate([*lines, b""]):
-        words = line.lower().split()
-        if words:
-            yield number, False, at, at + len(line), words
-            block.append((number, at, at + len(line), words))
+    for number, line in enumerate([*raw.split(b"\n"), b""]):
+        if line and not line.isspace():
+            yield number, False, at, at + len(line)
+            block.append((number, at, at + len(line)))
         else:
-            if len(block) > 1 and all(end - start <= WRAPPED for _, start, end, _ in block[:-1]):
-                yield block[0][0], True, block[0][1], block[-1][2], [w for *_, own in block for w in own]
+            if len(block) > 1 and all(end - start <= WRAPPED for _, start, end in block[:-1]):
+                yield block[0][0], True, block[0][1], block[-1][2]
             block = []
         at += len(line) + 1
 
 
+def signatures(h: np.ndarray, first: np.ndarray, end: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One hash per band of every paragraph: words ``first`` to ``end`` of a text whose words' hashes are ``h``."""
+    mult, add = _multipliers(bands, rows)
+    low = np.full((len(first), bands * rows), np.uint64(2**64 - 1))
+    with np.errstate(over="ignore"):
+        short = end - first <= SHINGLE
+        low[short] = _hashes(h, first[short], end[short])[:, None] * mult + add
+        at = np.arange(max(0, len(h) - SHINGLE + 1))
+        grams = _hashes(h, at, at + SHINGLE)
+        # paragraphs in order that do not overlap: all at once; shingles across two of them fall between
+        rest = np.flatnonzero(~short)
+        step, done = 1 << 14, 0
+        while done < len(rest):
+            last = done + 1
+            while last < len(rest) and first[rest[last]] >= end[rest[last - 1]] and end[rest[last]] - first[rest[done]] <= step:
+                last += 1
+            own = rest[done:last]
+            a, b = first[own[0]], end[own[-1]] - SHINGLE + 1
+            if last == done + 1:  # perhaps very long
+                for c in range(a, b, step):
+                    low[own[0]] = np.minimum(low[own[0]], (grams[c:min(b, c + step), None] * mult + add).min(axis=0))
+            else:
+                hashed = np.full((b - a + 1, len(mult)), np.uint64(2**64 - 1))
+                hashed[:-1] = grams[a:b, None] * mult + add
+                edges = np.column_stack([first[own], end[own] - SHINGLE + 1]).reshape(-1) - a
+                low[own] = np.minimum.reduceat(hashed, edges, axis=0)[::2]
+            done = last
+        out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD, (len(first), bands)).copy()
+        for r in range(rows):
+            out ^= low[:, r::rows]
+            out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (out ^ (out >> np.uint64(31))).view(np.int64)
+
+
 def row_name(doc_id: str, text: str) -> Column:
     """Tells rows of one doc_id, or without one, apart."""
     return F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
@@ -114,26 +141,31 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Every paragraph: doc_id, row, paragraph (line number), block, start, end (code points), n_words, key, bands."""
+    """Every paragraph: doc_id, row, paragraph (line number), block, start, end (code points), n_words, key, bands (null
+    where an equal paragraph has them)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mult, add = _multipliers(bands, rows)
         for batch in batches:
-            of, out, keys, bands_, blocks = [], [], [], [], []
-            known: dict[bytes, np.ndarray] = {}
+            of, out, keys, bands_, blocks, known = [], [], [], [], [], set()
             for i, raw in enumerate(utf8(batch.column("text"))):
-                chars = _characters(raw or b"")
-                for number, is_block, a, b, words in paragraphs_of(raw):
-                    of.append(i)
+                parts = list(paragraphs_of(raw or b""))
+                if not parts:
+                    continue
+                chars, low = _characters(raw), raw.lower()
+                ws, _, h = words_of(raw)
+                first = np.searchsorted(ws, [a for *_, a, _ in parts])
+                end = np.searchsorted(ws, [b for *_, b in parts])
+                marks = signatures(h, first, end, bands, rows)
+                for (number, is_block, a, b), n, mark in zip(parts, (end - first).tolist(), marks):
+                    key = xxhash.xxh3_128_digest(b" ".join(low[a:b].split()))
+                    out.append((i, number, chars[a], chars[b], n))
                     blocks.append(is_block)
-                    out.append((number, chars[a], chars[b], len(words)))
-                    key = xxhash.xxh3_128_digest(b" ".join(words))
-                    if key not in known:
-                        known[key] = signature(words, mult, add, rows)
                     keys.append(key)
-                    bands_.append(known[key])
-            number, start, end, n = np.array(out, np.int64).reshape(-1, 4).T
-            take = pa.array(of, pa.int64())
+                    # equal words have equal bands: said once a batch
+                    bands_.append(None if key in known else mark)
+                    known.add(key)
+            of, number, start, end, n = np.array(out, np.int64).reshape(-1, 5).T
+            take = pa.array(of)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").take(take), "row": batch.column("row").take(take), "paragraph": number,
                 "block": pa.array(blocks, pa.bool_()), "start": start, "end": end, "n_words": n,
@@ -158,11 +190,12 @@ def _texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             of, numbers, blocks, texts = [], [], [], []
             for i, raw in enumerate(utf8(batch.column("text"))):
-                for number, is_block, _, _, words in paragraphs_of(raw):
+                low = (raw or b"").lower()
+                for number, is_block, a, b in paragraphs_of(low):
                     of.append(i)
                     numbers.append(number)
                     blocks.append(is_block)
-                    texts.append(b" ".join(words))
+                    texts.append(b" ".join(low[a:b].split()))
             take = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_pydict({
                 "own_doc": batch.column("doc_id").take(take), "own_row": batch.column("row").take(take),
@@ -249,7 +282,7 @@ def windows_of(raw: bytes, spans: list[dict], window: int) -> tuple[np.ndarray,
     return _places(raw, ws, we, h, first, window) if len(first) else _NO_PLACES
 
 
-_PLACES = "row long, word long, start long, end long, key long"
+_PLACES = "row long, word int, start int, end int, key long"
 
 
 def _place_batches(batches: Iterator[pa.RecordBatch], places: Callable[..., tuple], *columns: str) -> Iterator[pa.RecordBatch]:
@@ -259,7 +292,8 @@ def _place_batches(batches: Iterator[pa.RecordBatch], places: Callable[..., tupl
         if not found:
             continue
         take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-        word, start, end, key = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(4))
+        word, start, end = (np.concatenate([f[i] for f in found]).astype(np.int32) for i in range(3))
+        key = np.concatenate([f[3] for f in found]).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(take), "row": batch.column("row").take(take),
                                           "word": word, "start": start, "end": end, "key": key})
 
@@ -302,14 +336,19 @@ def repeated_segments(docs: DataFrame, window: int = WINDOW, segment: int = SEGM
     later = hits.filter("later").select("doc_id", "row", "word", (F.col("word") + segment).alias("stop"), "start", "end", "low", "key")
     stretches = written(_joined(later, 0), "stretches")
 
-    # segments by the ends of stretches; a window that reaches beyond a stretch holds one of them
+    # A window that reaches beyond a stretch holds a segment of it by that end. With that segment ``o`` words from the start
+    # of the stretch, it starts more than o words before the segment; with ``r`` words to the stretch's end, less than window - r.
     reach = window - segment
     ends = stretches.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("first").alias("_first"), F.col("last").alias("_last"))
     near = later.join(ends, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")) & (F.col("word") >= F.col("_first"))
-                      & (F.col("stop") <= F.col("_last")) & ((F.col("word") <= F.col("_first") + reach) | (F.col("stop") >= F.col("_last") - reach)))
-    keys = near.select("key").distinct()
-    spans = hits.join(keys, "key", "left_semi").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(
-        F.struct((F.col("word") - reach).alias("low"), F.col("word").alias("high")))).alias("spans"))
+                      & (F.col("stop") <= F.col("_last")))
+    near = near.groupBy("key").agg(F.min(F.col("word") - F.col("_first")).alias("_o"), F.min(F.col("_last") - F.col("word")).alias("_r"))
+    near = near.filter((F.col("_o") < reach) | (F.col("_r") < window))
+    word = F.col("word")
+    sides = F.array(F.struct((word - reach).alias("low"), (word - F.col("_o") - 1).alias("high")),
+                    F.struct((word - window + F.col("_r") + 1).alias("low"), word.alias("high")))
+    spans = hits.join(near, "key").withColumn("span", F.explode(F.filter(sides, lambda x: x["low"] <= x["high"])))
+    spans = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     spans = written(spans.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "spans"), "spans")
     rows = named(docs).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).drop("_d", "_r")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -318,7 +357,7 @@ def repeated_segments(docs: DataFrame, window: int = WINDOW, segment: int = SEGM
     around = _repeated(written(around, "windows"), window, "windows").filter("later").distinct()
     wide = around.select("doc_id", "row", "word", (F.col("word") + window).alias("stop"), "start", "end", "low")
     both = wide.unionByName(stretches.withColumnsRenamed({"first": "word", "last": "stop"}))
-    return _joined(both, 0).select("doc_id", "row", "start", "end", (F.col("last") - F.col("first")).alias("n_words"),
+    return _joined(both, 0).select("doc_id", "row", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("last") - F.col("first")).cast("long").alias("n_words"),
                                    F.col("low.doc_id").alias("kept_doc_id"))
 
 
@@ -416,7 +455,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     # candidate groups are found on short names; should two paragraphs share one, they are compared as well
     short = F.xxhash64("key").alias("short")
     classes = written(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"),
-                                               F.any_value("bands").alias("bands")).select("*", short), "classes")
+                                               F.any_value("bands", F.lit(True)).alias("bands")).select("*", short), "classes")
     banded = classes.select("short", F.explode("bands").alias("band"))
     stars = banded.groupBy("band").agg(F.min("short").alias("centre"), F.max("short").alias("other")).filter("centre <> other")
     met = banded.join(stars.select("band", "centre"), "band").filter("short <> centre")
