@@ -17,7 +17,7 @@ as well: every word of a window that stands at an earlier place too is a removal
 
 With 12 bands of 4 a pair at similarity 0.8 collides with probability 0.998, one at 0.2 with 0.02.
 
-Distinct paragraphs are banded and compared once, whatever the number of copies. A candidate group of many paragraphs is
+Equal paragraphs are banded once a batch of texts and compared once, whatever the number of copies. A candidate group of many paragraphs is
 split into blocks, and each pair of blocks is a unit of work of bounded size that returns a spanning forest, never
 its pairs. Texts are read three times: for signatures, for the texts of colliding paragraphs, and for segments; those with
 stretches once more.
@@ -454,9 +454,9 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "paragraph", "block")
     # candidate groups are found on short names; should two paragraphs share one, they are compared as well
     short = F.xxhash64("key").alias("short")
-    classes = written(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"),
-                                               F.any_value("bands", F.lit(True)).alias("bands")).select("*", short), "classes")
-    banded = classes.select("short", F.explode("bands").alias("band"))
+    classes = cut(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).select("*", short))
+    # dealt by band once, for the stars and for the join with them
+    banded = found.filter(F.col("bands").isNotNull()).select(short, F.explode("bands").alias("band")).repartition("band")
     stars = banded.groupBy("band").agg(F.min("short").alias("centre"), F.max("short").alias("other")).filter("centre <> other")
     met = banded.join(stars.select("band", "centre"), "band").filter("short <> centre")
     groups = components(met, "short", "centre")
