@@ -12,15 +12,14 @@ a paragraph of its own, with the smallest hash of its five-word shingles as MinH
 that shingle, so about 2 / ``window`` of the shingles are anchors. A passage of ``window`` words or more holds the
 anchor of a window of its own, and ``segment`` words from the anchor on or up to its end; two places that share
 the passage share such a segment word for word. Occurrences of a segment after its first are repeats, overlapping ones are
-joined to stretches. A stretch may end inside a passage, so around the segments at its ends all windows are compared
-as well: every word of a window that stands at an earlier place too is a removal. Runs of one repeated word are no passage.
+joined to stretches. A stretch may end inside a passage, so both ends are extended while the words agree with those around
+the first place of the segment there. Runs of one repeated word are no passage.
 
 With 12 bands of 4 a pair at similarity 0.8 collides with probability 0.998, one at 0.2 with 0.02.
 
 Equal paragraphs are banded once a batch of texts and compared once, whatever the number of copies. A candidate group of many paragraphs is
 split into blocks, and each pair of blocks is a unit of work of bounded size that returns a spanning forest, never
-its pairs. Texts are read three times: for signatures, for the texts of colliding paragraphs, and for segments; those with
-stretches once more.
+its pairs. Texts are read three times: for signatures, for segments, and for the words of colliding paragraphs and around stretches.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. Null or empty text has no paragraph.
 Places are ordered by doc_id (null last), text and word. A row is named by its doc_id and a hash of its text, so rows with a
@@ -183,29 +182,6 @@ def _characters(raw: bytes) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """own_doc, own_row, own_paragraph, own_block, words (normal text) of every paragraph."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, numbers, blocks, texts = [], [], [], []
-            for i, raw in enumerate(utf8(batch.column("text"))):
-                low = (raw or b"").lower()
-                for number, is_block, a, b in paragraphs_of(low):
-                    of.append(i)
-                    numbers.append(number)
-                    blocks.append(is_block)
-                    texts.append(b" ".join(low[a:b].split()))
-            take = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_pydict({
-                "own_doc": batch.column("doc_id").take(take), "own_row": batch.column("row").take(take),
-                "own_paragraph": pa.array(numbers, pa.int64()), "own_block": pa.array(blocks, pa.bool_()),
-                "words": pa.array(texts, pa.binary())})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return named(docs).mapInArrow(find, f"own_doc {kind}, own_row long, own_paragraph long, own_block boolean, words binary")
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -255,6 +231,76 @@ def _places(raw: bytes, ws: np.ndarray, we: np.ndarray, h: np.ndarray, first: np
 _NO_PLACES = (np.zeros(0, np.int64),) * 4
 
 
+def segments_of(raw: bytes, window: int, segment: int) -> tuple[np.ndarray, ...]:
+    """Anchored segments of one text: first word, start and end (code points), key (a polynomial hash of its words)."""
+    ws, we, h = words_of(raw)
+    n = len(ws)
+    if n < window:
+        return _NO_PLACES
+    with np.errstate(over="ignore"):
+        at = np.arange(n - SHINGLE + 1)
+        grams = _hashes(h, at, at + SHINGLE)
+    view = np.lib.stride_tricks.sliding_window_view(grams, window - SHINGLE + 1)
+    anchor = np.concatenate([view[a:a + 65536].argmin(axis=1) + np.arange(a, min(a + 65536, len(view)))
+                             for a in range(0, len(view), 65536)])
+    anchor = anchor[np.append(True, anchor[1:] != anchor[:-1])]
+    up_to = segment - SHINGLE
+    first = np.unique(np.concatenate([anchor[anchor + segment <= n], anchor[anchor >= up_to] - up_to]))
+    return _places(raw, ws, we, h, first, segment)
+
+
+#: What is asked of a row: the words of a paragraph, or the words before or after a place.
+PARAGRAPH, BEFORE, AFTER = range(3)
+
+
+def read(docs: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
+    """Answers to ``asked`` (doc_id, row, kind, at, block) from the texts, each read once for all that is asked of it: these
+    columns, ``words`` (a paragraph's words; or hashes of up to ``reach`` words, outwards from a place) and ``edges`` (the
+    start, or end, of those in code points)."""
+    lists = asked.distinct().groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(
+        F.collect_list(F.struct("kind", "at", "block")).alias("asked"))
+    rows = named(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).drop("_d", "_r")
+
+    def answer(raw: bytes, asked: list[dict]) -> Iterator[tuple]:
+        low, own = raw.lower(), {}
+        if any(q["kind"] == PARAGRAPH for q in asked):
+            own = {(number, is_block): (a, b) for number, is_block, a, b in paragraphs_of(low)}
+        if any(q["kind"] != PARAGRAPH for q in asked):
+            (ws, we, h), chars = words_of(raw), _characters(raw)
+        for q in asked:
+            at = q["at"]
+            if q["kind"] == PARAGRAPH:
+                a, b = own[at, q["block"]]
+                yield q["kind"], at, q["block"], b" ".join(low[a:b].split()), None
+            elif q["kind"] == BEFORE:
+                words = np.arange(at - 1, max(-1, at - 1 - reach), -1)
+                yield q["kind"], at, False, h[words].tobytes(), chars[ws[words]].astype(np.int32).tobytes()
+            else:
+                words = np.arange(at, min(len(ws), at + reach))
+                yield q["kind"], at, False, h[words].tobytes(), chars[we[words]].astype(np.int32).tobytes()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, of = [], []
+            for i, (raw, questions) in enumerate(zip(utf8(batch.column("text")), batch.column("asked").to_pylist())):
+                answers = list(answer(raw or b"", questions))
+                out += answers
+                of += [i] * len(answers)
+            kinds, at, block, words, edges = zip(*out) if out else ((),) * 5
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id").take(take), "row": batch.column("row").take(take), "kind": pa.array(kinds, pa.int32()),
+                "at": pa.array(at, pa.int64()), "block": pa.array(block, pa.bool_()), "words": pa.array(words, pa.binary()),
+                "edges": pa.array(edges, pa.binary())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    answers = rows.mapInArrow(find, f"doc_id {kind}, row long, kind int, at long, block boolean, words binary, edges binary")
+    return written(answers.dropDuplicates(["doc_id", "row", "kind", "at", "block"]), "answers")
+
+
+_PLACES = (np.zeros(0, np.int64),) * 4
+
+
 def segments_of(raw: bytes, window: int, segment: int) -> tuple[np.ndarray, ...]:
     """Anchored segments of one text: first word, start and end (code points), key (a polynomial hash of its words)."""
     ws, we, h = words_of(raw)
@@ -317,48 +363,77 @@ def _repeated(places: DataFrame, size: int, name: str) -> DataFrame:
     return places.join(shared, "key").withColumn("later", later)
 
 
-def _joined(later: DataFrame, gap: int) -> DataFrame:
-    """Stretches of a row's places: doc_id, row, first and last (words, end exclusive), start, end, low."""
+def _islands(places: DataFrame) -> DataFrame:
+    """``places`` (doc_id, row, word, stop) with a number for each stretch of overlapping or touching ones of a row."""
     order = Window.partitionBy("doc_id", "row").orderBy("word", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce(F.col("word") > before + gap, F.lit(True)).cast("long")
-    marked = later.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(order))
-    return marked.groupBy("doc_id", "row", "_stretch").agg(
+    fresh = F.coalesce(F.col("word") > before, F.lit(True)).cast("long")
+    return places.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(order)).drop("_fresh")
+
+
+def stretches_of(docs: DataFrame, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
+    """Joined segments that stand at an earlier place: doc_id, row, first and last (words, end exclusive), start, end, low
+    (the first place of any of them), head and tail (where the first and the last of them stand first)."""
+    found = written(_segments(text_batches(docs), window, segment), "segments")
+    later = _repeated(found, segment, "segments").filter("later").distinct().withColumn("stop", F.col("word") + segment)
+    end = F.col("low").withField("word", F.col("low.word") + segment)
+    return written(_islands(later).groupBy("doc_id", "row", "_stretch").agg(
         F.min("word").alias("first"), F.max("stop").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.min("low").alias("low")).drop("_stretch")
+        F.min("low").alias("low"), F.min_by("low", "word").alias("head"), F.max_by(end, "word").alias("tail")).drop("_stretch"), "stretches")
+
+
+def around(stretches: DataFrame) -> DataFrame:
+    """What has to be read to extend ``stretches``: the words by both ends, of the stretch and of its first places."""
+    sides = [("doc_id", "row", "first", BEFORE), ("head.doc_id", "head.row", "head.word", BEFORE),
+             ("doc_id", "row", "last", AFTER), ("tail.doc_id", "tail.row", "tail.word", AFTER)]
+    out = None
+    for doc, row, at, kind in sides:
+        one = stretches.select(F.col(doc).alias("doc_id"), F.col(row).alias("row"), F.lit(kind).alias("kind"),
+                               F.col(at).cast("long").alias("at"), F.lit(False).alias("block"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def extended(stretches: DataFrame, answers: DataFrame) -> DataFrame:
+    """``stretches`` up to where the words part from those of their first places: doc_id, row, start, end, n_words, kept_doc_id."""
+    def read_at(rows: DataFrame, doc: str, row: str, at: str, kind: int, name: str) -> DataFrame:
+        a = answers.filter(F.col("kind") == kind).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("at").alias("_a"),
+                                                         F.struct("words", "edges").alias(name))
+        same = F.col(doc).eqNullSafe(F.col("_d")) & (F.col(row) == F.col("_r")) & (F.col(at).cast("long") == F.col("_a"))
+        return rows.join(a, same, "left").drop("_d", "_r", "_a")
+
+    @F.arrow_udf("struct<n:int,edge:int>")
+    def agreeing(mine: pa.Array, edges: pa.Array, other: pa.Array) -> pa.Array:
+        out = []
+        for a, e, b in zip(mine.to_pylist(), edges.to_pylist(), other.to_pylist()):
+            x, y = np.frombuffer(a or b"", np.uint64), np.frombuffer(b or b"", np.uint64)
+            m = min(len(x), len(y))
+            parts = np.flatnonzero(x[:m] != y[:m])
+            n = int(parts[0]) if len(parts) else m
+            out.append({"n": n, "edge": int(np.frombuffer(e, np.int32)[n - 1]) if n else None})
+        return pa.array(out, pa.struct([("n", pa.int32()), ("edge", pa.int32())]))
+
+    rows = stretches
+    for doc, row, at, kind, name in (("doc_id", "row", "first", BEFORE, "b1"), ("head.doc_id", "head.row", "head.word", BEFORE, "b2"),
+                                     ("doc_id", "row", "last", AFTER, "a1"), ("tail.doc_id", "tail.row", "tail.word", AFTER, "a2")):
+        rows = read_at(rows, doc, row, at, kind, name)
+    rows = rows.withColumns({"before": agreeing("b1.words", "b1.edges", "b2.words"), "after": agreeing("a1.words", "a1.edges", "a2.words")})
+    # within one text the words before a repeat may be the first occurrence itself
+    own = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row") == F.col("head.row"))
+    n = F.when(own, 0).otherwise(F.col("before.n"))
+    wide = rows.select("doc_id", "row", (F.col("first") - n).alias("word"), (F.col("last") + F.col("after.n")).alias("stop"),
+                       F.when(n > 0, F.col("before.edge")).otherwise(F.col("start")).alias("start"),
+                       F.when(F.col("after.n") > 0, F.col("after.edge")).otherwise(F.col("end")).alias("end"), "low")
+    return _islands(wide).groupBy("doc_id", "row", "_stretch").agg(
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"),
+        (F.max("stop") - F.min("word")).cast("long").alias("n_words"), F.min("low").alias("low")).select(
+        "doc_id", "row", "start", "end", "n_words", F.col("low.doc_id").alias("kept_doc_id"))
 
 
 def repeated_segments(docs: DataFrame, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
     """Stretches that stand at an earlier place as well: doc_id, row, start, end, n_words, kept_doc_id."""
-    docs = text_batches(docs)
-    found = written(_segments(docs, window, segment), "segments")
-    hits = written(_repeated(found, segment, "segments").distinct(), "repeated")
-    later = hits.filter("later").select("doc_id", "row", "word", (F.col("word") + segment).alias("stop"), "start", "end", "low", "key")
-    stretches = written(_joined(later, 0), "stretches")
-
-    # A window that reaches beyond a stretch holds a segment of it by that end. With that segment ``o`` words from the start
-    # of the stretch, it starts more than o words before the segment; with ``r`` words to the stretch's end, less than window - r.
-    reach = window - segment
-    ends = stretches.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("first").alias("_first"), F.col("last").alias("_last"))
-    near = later.join(ends, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")) & (F.col("word") >= F.col("_first"))
-                      & (F.col("stop") <= F.col("_last")))
-    near = near.groupBy("key").agg(F.min(F.col("word") - F.col("_first")).alias("_o"), F.min(F.col("_last") - F.col("word")).alias("_r"))
-    near = near.filter((F.col("_o") < reach) | (F.col("_r") < window))
-    word = F.col("word")
-    sides = F.array(F.struct((word - reach).alias("low"), (word - F.col("_o") - 1).alias("high")),
-                    F.struct((word - window + F.col("_r") + 1).alias("low"), word.alias("high")))
-    spans = hits.join(near, "key").withColumn("span", F.explode(F.filter(sides, lambda x: x["low"] <= x["high"])))
-    spans = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    spans = written(spans.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "spans"), "spans")
-    rows = named(docs).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))).drop("_d", "_r")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    around = rows.mapInArrow(lambda batches: _place_batches(batches, lambda raw, spans: windows_of(raw, spans, window), "spans"),
-                             f"doc_id {kind}, {_PLACES}")
-    around = _repeated(written(around, "windows"), window, "windows").filter("later").distinct()
-    wide = around.select("doc_id", "row", "word", (F.col("word") + window).alias("stop"), "start", "end", "low")
-    both = wide.unionByName(stretches.withColumnsRenamed({"first": "word", "last": "stop"}))
-    return _joined(both, 0).select("doc_id", "row", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("last") - F.col("first")).cast("long").alias("n_words"),
-                                   F.col("low.doc_id").alias("kept_doc_id"))
+    stretches = stretches_of(docs, window, segment)
+    return extended(stretches, read(text_batches(docs), around(stretches), window))
 
 
 def similar(texts: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -464,9 +539,14 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     members = groups.join(classes, F.col("node") == F.col("short")).select(F.col("root").alias("group"), "key", "first")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     wanted = members.join(sizes, "group")
-    texts = _texts(docs)
-    members = texts.join(cut(wanted), texts["own_doc"].eqNullSafe(F.col("first.doc_id")) & (texts["own_row"] == F.col("first.row"))
-                         & (texts["own_paragraph"] == F.col("first.paragraph")) & (texts["own_block"] == F.col("first.block")))
+    wanted = cut(wanted)
+    stretches = stretches_of(docs, window, segment)
+    asked = wanted.select("first.doc_id", "first.row", F.lit(PARAGRAPH).alias("kind"), F.col("first.paragraph").alias("at"), "first.block")
+    answers = read(docs, asked.unionByName(around(stretches)), window)
+    texts = answers.filter(F.col("kind") == PARAGRAPH).select(
+        F.col("doc_id").alias("own_doc"), F.col("row").alias("own_row"), "at", F.col("block").alias("own_block"), "words")
+    members = wanted.join(texts, texts["own_doc"].eqNullSafe(F.col("first.doc_id")) & (texts["own_row"] == F.col("first.row"))
+                          & (texts["at"] == F.col("first.paragraph")) & (texts["own_block"] == F.col("first.block")))
     links = components(verified(members, similarity, block), "a", "b")
     rooted = classes.select("key", "first", "copies").join(links, F.col("key") == F.col("node"), "left").select(
         "key", F.coalesce("root", "key").alias("root"), "first", "copies", F.col("root").isNotNull().alias("linked"))
@@ -477,10 +557,10 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     lines = out.select("doc_id", "row", "paragraph", "start", "end", "n_words", "exact",
                        F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph"))
     none = F.lit(None).cast("long")
-    stretches = repeated_segments(docs, window, segment).select(
+    longer = extended(stretches, answers).select(
         "doc_id", "row", none.alias("paragraph"), "start", "end", "n_words", F.lit(True).alias("exact"), "kept_doc_id",
         none.alias("kept_paragraph"))
-    return lines.unionByName(stretches)
+    return lines.unionByName(longer)
 
 
 def cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:
