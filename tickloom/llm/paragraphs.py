@@ -156,6 +156,8 @@ def occurrences(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
                 end = np.searchsorted(ws, [b for *_, b in parts])
                 marks = signatures(h, first, end, bands, rows)
                 for (number, is_block, a, b), n, mark in zip(parts, (end - first).tolist(), marks):
+                    if n < SHINGLE + 3:  # up to three shingles: 0.8 asks for equal sets, which agree in any band
+                        mark = mark[:1]
                     key = xxhash.xxh3_128_digest(b" ".join(low[a:b].split()))
                     out.append((i, number, chars[a], chars[b], n))
                     blocks.append(is_block)
@@ -433,7 +435,7 @@ def extended(stretches: DataFrame, answers: DataFrame) -> DataFrame:
 def repeated_segments(docs: DataFrame, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
     """Stretches that stand at an earlier place as well: doc_id, row, start, end, n_words, kept_doc_id."""
     stretches = stretches_of(docs, window, segment)
-    return extended(stretches, read(text_batches(docs), around(stretches), window))
+    return extended(stretches, read(text_batches(docs), around(stretches), window - segment + 1))
 
 
 def similar(texts: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -542,7 +544,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     wanted = cut(wanted)
     stretches = stretches_of(docs, window, segment)
     asked = wanted.select("first.doc_id", "first.row", F.lit(PARAGRAPH).alias("kind"), F.col("first.paragraph").alias("at"), "first.block")
-    answers = read(docs, asked.unionByName(around(stretches)), window)
+    answers = read(docs, asked.unionByName(around(stretches)), window - segment + 1)
     texts = answers.filter(F.col("kind") == PARAGRAPH).select(
         F.col("doc_id").alias("own_doc"), F.col("row").alias("own_row"), "at", F.col("block").alias("own_block"), "words")
     members = wanted.join(texts, texts["own_doc"].eqNullSafe(F.col("first.doc_id")) & (texts["own_row"] == F.col("first.row"))
