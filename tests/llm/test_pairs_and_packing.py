@@ -435,12 +435,15 @@ def test_forest_takes_all_candidates_and_handles_awkward_rows(spark):
     got = defaultdict(list)
     for r in forest.nearest(vector_table(spark, rows), F.col("vec_id") % 100 == 0, candidates=10_000).orderBy("query_id", "rank").collect():
         got[r.query_id].append((round(r.score, 9), r.vec_id))
-    rank = defaultdict(list)
+    rank = {}  # a query is an id and a vector
     for q, v, _ in rows:
         if q is not None and q % 100 == 0 and good(v):
-            rank[q] += [(round(float(np.sqrt(((np.array(v, float) - np.array(x, float)) ** 2).sum())), 9), d) for d, x, _ in rows
-                        if d is not None and good(x) and len(x) == len(v) and d != q]
-    assert set(got) == set(rank) and all(got[q] == sorted(rank[q])[:10] for q in rank)
+            rank[q, tuple(v)] = sorted((round(float(np.sqrt(((np.array(v, float) - np.array(x, float)) ** 2).sum())), 9), d)
+                                       for d, x, _ in rows if d is not None and good(x) and len(x) == len(v) and d != q)[:10]
+    want = defaultdict(list)
+    for (q, _), near in rank.items():
+        want[q] += near
+    assert set(got) == set(want) and all(sorted(got[q]) == sorted(want[q]) for q in want)
     assert forest.nearest(vector_table(spark, []), F.col("vec_id") % 100 == 0).collect() == []
     few = forest.nearest(vector_table(spark, [(100, [1.0, 0.0], 0), (1, [0.0, 1.0], 0)]), F.col("vec_id") % 100 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(100, 1, 1)]
@@ -472,3 +475,20 @@ def test_pipeline_runs_over_the_shared_table(spark):
     out = corpus_pipeline.run(spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0 < out.select("doc_id").distinct().count() < n
+
+
+def test_repeated_query_rows_keep_all_their_neighbours(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(60, 8)).astype(np.float32).astype(float)
+    rows = [(i + 1, x[i].tolist()) for i in range(58)] + [(100, x[58].tolist())] * 2 + [(200, x[58].tolist()), (200, x[59].tolist())]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in forest.nearest(docs, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 9)))
+
+    def plain(own, q):
+        d = sorted((float(np.sqrt(((np.array(v) - q) ** 2).sum())), i) for i, v in rows if i != own)
+        return [(k + 1, i, round(s, 9)) for k, (s, i) in enumerate(d[:10])]
+
+    assert sorted(got[100]) == sorted(plain(100, x[58]))
+    assert sorted(got[200]) == sorted(plain(200, x[58]) + plain(200, x[59]))

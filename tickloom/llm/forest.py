@@ -13,7 +13,8 @@ Projections are drawn from a fixed seed; their centre is the mean of the block's
 on a sample. Recall against brute force is measured in the tests.
 
 Null, zero and non-finite vectors and rows with a null vec_id take no part. A query never meets rows of its own
-vec_id. Vectors of different lengths do not meet. With fewer candidates than ``k``, all are returned.
+vec_id. Query rows that repeat in full are one query; rows that share a vec_id with other vectors are queries of their own, each with
+its ranks from 1. Vectors of different lengths do not meet. With fewer candidates than ``k``, all are returned.
 """
 
 from __future__ import annotations
@@ -96,7 +97,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, trees: int = TREES,
     vectors = valid.select(F.col("embedding").alias("vector"), F.col("vec_id").cast("long").alias("id"),
                            F.lit(1).cast("long").alias("n"), is_query.alias("q"))
     data, per_dim = packed_blocks(vectors.drop("q"), block, "rows")
-    queries, _ = packed_blocks(vectors.filter("q").drop("q"), QUERY_BLOCK, "queries")
+    # a query is named by its id and vector
+    asked = vectors.filter("q").drop("q").withColumn("n", F.xxhash64("vector")).dropDuplicates(["id", "n"])
+    queries, _ = packed_blocks(asked, QUERY_BLOCK, "queries")
     visits = paired(queries, data, F.lit(0).cast("long"), F.lit(per_dim - 1).cast("long"))
     # the visits of a block of rows follow each other in one task, so its forest is built once
     visits = visits.repartition(per_dim, "dim", "b_block").sortWithinPartitions("dim", "b_block")
@@ -105,13 +108,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, trees: int = TREES,
         now, forest = None, None
         for batch in batches:
             for v in batch.to_pylist():
-                own, _, q = unpack(v["dim"], v["a_ids"], v["a_ns"], v["a_data"])
+                own, key, q = unpack(v["dim"], v["a_ids"], v["a_ns"], v["a_data"])
                 ids, _, x = unpack(v["dim"], v["b_ids"], v["b_ns"], v["b_data"])
                 if now != (v["dim"], v["b_block"]):
                     now, forest = (v["dim"], v["b_block"]), Forest(x, trees)
                 of, found, score = search(forest, x, ids, q, own, k, candidates)
-                yield pa.RecordBatch.from_pydict({"query_id": own[of], "vec_id": found, "score": score})
+                yield pa.RecordBatch.from_pydict({"query_id": own[of], "key": key[of], "vec_id": found, "score": score})
 
-    met = visits.mapInArrow(visit, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    met = visits.mapInArrow(visit, "query_id long, key long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
