@@ -8,6 +8,7 @@ import os
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,6 +78,19 @@ def test_licence_expressions():
         assert value(text)[1] == eval(plain)  # noqa: S307
 
 
+def test_licences_of_very_long_texts():
+    """200,000 notices and operands in one text: quadratic work would take minutes."""
+    n = 200_000
+    begun = time.perf_counter()
+    found = licences.scan(b"x the mit license " * n)
+    assert (found["n_words"], found["n_base"], found["first_word"], found["last_word"]) == (4 * n, n, 2, 4 * n - 2)
+    flat = licences.scan(b"SPDX-License-Identifier: " + b" or ".join(b"a%d" % i for i in range(n)) + b" and")
+    assert flat["expressions"] == [" or ".join(f"a{i}" for i in range(n))] and flat["labels"].count(",") == n - 1
+    deep = licences.scan(b"SPDX-License-Identifier: " + b" and (".join([b"mit or isc"] * n) + b")" * (n - 1))
+    assert deep["expressions"][0].count("mit") == n and deep["permissive"]
+    assert time.perf_counter() - begun < 60
+
+
 def test_licences_empty_table(spark):
     assert licences.licence_scan(fixtures.table(spark, [])).collect() == []
 

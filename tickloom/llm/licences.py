@@ -8,13 +8,15 @@ Words: the text's UTF-8 with A-Z lower-cased, runs of digits, a-z and non-ASCII
 occurs where its words stand consecutively, whatever separates them; overlapping places all count.
 
 Null or empty text: no words, no labels, score 0. Expressions that do not parse are cut to the longest
-prefix that does; none is ignored. Rows are independent, so repeated rows give repeated results.
+prefix that does; none is ignored. Rows are independent, so repeated rows give repeated results. Time grows
+linearly with a text, its hits and the operands of a tag, however many there are.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections import deque
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -69,21 +71,28 @@ def postfix(text: str) -> list[str]:
 
     ``with`` takes identifiers on both sides and binds tightest, then ``and``, then ``or``."""
     tokens = _TOKEN.findall(text)
-    best: list[str] = []
+    out, valid = _yard(tokens)
+    return out if valid == len(tokens) else _yard(tokens[:valid])[0]
+
+
+def _yard(tokens: list[str]) -> tuple[list[str], int]:
+    """The postfix form of the tokens read until one does not fit, and how many of them make a valid expression."""
     out: list[str] = []
     ops: list[str] = []
-    operand = True  # what may come next
-    for tok in tokens:
+    operand, still_open, valid = True, 0, 0  # operand: what may come next
+    for n, tok in enumerate(tokens, 1):
         if tok == "(":
             if not operand or ops and ops[-1] == "with":
                 break
             ops.append(tok)
+            still_open += 1
         elif tok == ")":
-            if operand or "(" not in ops:
+            if operand or not still_open:
                 break
             while ops[-1] != "(":
                 out.append(ops.pop())
             ops.pop()
+            still_open -= 1
         elif tok in _BINDS:
             if operand or tok == "with" and (out[-1] in _BINDS or ops and ops[-1] == "with"):
                 break
@@ -97,33 +106,54 @@ def postfix(text: str) -> list[str]:
             operand = False
         else:
             break
-        if not operand and "(" not in ops:
-            best = out + ops[::-1]
-    return best
+        if not operand and not still_open:
+            valid = n
+    return out + ops[::-1], valid
 
 
 @dataclass
 class Terms:
-    """An evaluated expression: a normal text, its identifiers, whether some choice is permissive."""
+    """An evaluated expression: the parts of its normal text, its identifiers, whether some choice is permissive."""
 
-    text: str
+    parts: deque[str]
     ids: set[str] = field(default_factory=set)
     permissive: bool = False
     binds: int = 4
 
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+    def inside(self, level: int) -> deque[str]:
+        """The parts as an operand of an operator that binds by ``level``."""
+        if self.binds < level:
+            self.parts.appendleft("(")
+            self.parts.append(")")
+        return self.parts
+
 
 def evaluate(rpn: list[str]) -> Terms | None:
-    """``or`` lets the reader choose, ``and`` demands both, ``with`` keeps the licence and names an exception."""
+    """``or`` lets the reader choose, ``and`` demands both, ``with`` keeps the licence and names an exception.
+
+    The shorter operand is always added to the longer one, so long expressions take no quadratic time."""
     stack: list[Terms] = []
     for tok in rpn:
         if tok not in _BINDS:
-            stack.append(Terms(tok, {tok}, tok.rstrip("+") in PERMISSIVE))
+            stack.append(Terms(deque([tok]), {tok}, tok.rstrip("+") in PERMISSIVE))
             continue
         b, a = stack.pop(), stack.pop()
         level = _BINDS[tok]
-        left, right = (f"({x.text})" if x.binds < level else x.text for x in (a, b))
+        left, right = a.inside(level), b.inside(level)
+        if len(left) >= len(right):
+            left.append(f" {tok} ")
+            left.extend(right)
+        else:
+            right.appendleft(f" {tok} ")
+            right.extendleft(reversed(left))
+        few, many = sorted((a.ids, b.ids if tok != "with" else set()), key=len)
+        many |= few
         ok = {"or": a.permissive or b.permissive, "and": a.permissive and b.permissive, "with": a.permissive}[tok]
-        stack.append(Terms(f"{left} {tok} {right}", a.ids | (b.ids if tok != "with" else set()), ok, level))
+        stack.append(Terms(left if len(left) > len(right) else right, many, ok, level))
     return stack[0] if stack else None
 
 
@@ -136,7 +166,7 @@ def _automaton(base: tuple, notices: tuple) -> ahocorasick.Automaton:
     found.setdefault(TAG, [])
     auto = ahocorasick.Automaton()
     for phrase, labels in found.items():
-        auto.add_word(f" {phrase} ", (len(phrase) + 2, phrase == TAG, tuple(labels)))
+        auto.add_word(f" {phrase} ", (len(phrase.split()), phrase == TAG, tuple(labels)))
     auto.make_automaton()
     return auto
 
@@ -146,20 +176,22 @@ def scan(raw: bytes | None, base: tuple = BASE, notices: tuple = NOTICES) -> dic
     lower = (raw or b"").lower()
     words = lower.translate(_SPACED).split()
     line = f" {b' '.join(words).decode()} "
-    base_labels, labels, starts, hits, tagged = set(), set(), [], 0, False
-    n_base = 0
+    base_labels, labels, hits, tagged = set(), set(), 0, False
+    n_base, first_word, last_word = 0, None, None
+    seen, ended = 0, 0  # characters behind the last hit, words ended there; hits come in order of their ends
     for end, (length, is_tag, found) in _automaton(base, notices).iter(line):
         tagged |= is_tag
-        first = None
+        hits += len(found)
+        ended += line.count(" ", seen, end)
+        seen = end
         for label, is_base in found:
-            hits += 1
             labels.add(label)
             if is_base:
+                first = ended - length
                 base_labels.add(label)
-                if first is None:
-                    first = line.count(" ", 0, end - length + 1)
                 n_base += 1
-                starts.append(first)
+                first_word = first if first_word is None else min(first_word, first)
+                last_word = first if last_word is None else max(last_word, first)
     expressions: list[str] = []
     permissive = None
     if tagged:
@@ -170,8 +202,8 @@ def scan(raw: bytes | None, base: tuple = BASE, notices: tuple = NOTICES) -> dic
                 permissive = terms.permissive if permissive is None else permissive and terms.permissive
     score = 1.0 if expressions else 1.0 - 0.5 ** min(hits, 50)
     return {
-        "n_words": len(words), "n_base": n_base, "first_word": min(starts, default=None),
-        "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base_labels)),
+        "n_words": len(words), "n_base": n_base, "first_word": first_word, "last_word": last_word,
+        "base_labels": ",".join(sorted(base_labels)),
         "labels": ",".join(sorted(labels)), "score": score, "expressions": expressions, "permissive": permissive,
     }
 
