@@ -10,7 +10,8 @@ language to the leading one by more than half the penalty, no switch can pay.
 Learning takes text and lang only, from a hash sample of about ``docs_per_language`` rows of each language
 (the documented bound); all texts are read whole. Null or empty text, or one without letters, is ``und``
 with score 0 and no spans. With nothing to learn from, everything is ``und``. A language's name is never
-split or joined; a null lang teaches nothing. Repeated rows give repeated results.
+split or joined; a null lang teaches nothing. Repeated rows give repeated results. A very long text is scored and
+decoded in blocks of words; only a bit per word and language is kept of it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ PENALTY = 24.0
 #: A word's evidence against a language is at most this many nats, so one odd word decides nothing.
 FLOOR = -8.0
 DOCS_PER_LANGUAGE = 1500
-#: Characters worked on together.
+#: Characters worked on together, with up to four languages; fewer with more.
 PORTION = 1 << 20
+#: Word scores (words x languages) held at a time; longer texts are worked on in blocks.
+CELLS = 1 << 22
 UNKNOWN = "und"
 
 # First and last code point of each script's main blocks; everything else is "other".
@@ -130,43 +133,104 @@ def _switch_gain(scores: np.ndarray, lead: np.ndarray, text: np.ndarray) -> np.n
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
-    """The best label sequence of each text (scores: words x languages), all texts stepped together."""
-    order = np.argsort([-len(s) for s in scores], kind="stable")
-    lens = np.array([len(scores[i]) for i in order])
-    steps, n, k = int(lens[0]), len(order), scores[0].shape[1]
+    """The best label sequence of each text (scores: words x languages); texts of like length are stepped together."""
+    order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
+    out: list[np.ndarray] = [np.empty(0, np.intp)] * len(scores)
+    while order:
+        longest, k = scores[order[0]].shape
+        n = min(max(1, CELLS // max(1, longest * k)), len(order))
+        together = [i for i in order[:n] if 2 * len(scores[i]) >= longest]
+        order = order[len(together):]
+        for i, path in zip(together, _stepped([scores[i] for i in together], penalty)):
+            out[i] = path
+    return out
+
+
+def _stepped(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """Viterbi over texts in descending length, padded to the first."""
+    lens = np.array([len(s) for s in scores])
+    steps, n, k = int(lens[0]), len(scores), scores[0].shape[1]
     padded = np.zeros((steps, n, k))
-    for row, i in enumerate(order):
-        padded[:lens[row], row] = scores[i]
-    v, stay, best = padded[0].copy(), np.ones((steps, n, k), bool), np.zeros((steps, n), np.intp)
+    for row, s in enumerate(scores):
+        padded[:lens[row], row] = s
+    v, stay, best = np.zeros((n, k)), np.ones((steps, n, k), bool), np.zeros((steps, n), np.int32)
     active = np.searchsorted(-lens, -np.arange(steps), side="left")  # texts longer than the step
-    for t in range(1, steps):
+    for t in range(steps):
         a = active[t]
-        lead = v[:a].argmax(axis=1)
-        jump = v[np.arange(a), lead][:, None] - penalty
-        stay[t, :a] = v[:a] >= jump
-        best[t, :a] = lead
-        v[:a] = np.maximum(v[:a], jump) + padded[t, :a]
+        if t:
+            lead = v[:a].argmax(axis=1)
+            jump = v[np.arange(a), lead][:, None] - penalty
+            stay[t, :a] = v[:a] >= jump
+            best[t, :a] = lead
+            v[:a] = np.maximum(v[:a], jump)
+        v[:a] += padded[t, :a]
     label = v.argmax(axis=1)
-    path = np.zeros((steps, n), np.intp)
+    path = np.zeros((steps, n), np.int32)
     rows = np.arange(n)
     for t in range(steps - 1, -1, -1):
         a = active[t]
         path[t, :a] = label[:a]
         if t:
             label[:a] = np.where(stay[t, rows[:a], label[:a]], label[:a], best[t, :a])
-    out: list[np.ndarray] = [np.empty(0, np.intp)] * n
-    for row, i in enumerate(order):
-        out[i] = path[:lens[row], row]
-    return out
+    return [path[:lens[row], row] for row in range(n)]
+
+
+def _blocks(model: LanguageModel, w: Words, x: int, y: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The scores of words x to y, some words at a time."""
+    step = max(1, CELLS // max(1, len(model.languages)))
+    for p in range(x, y, step):
+        q = min(p + step, y)
+        low, high = w.first[p], w.first[q] if q < len(w.first) else len(w.buckets)
+        yield p, model.word_scores(replace(w, buckets=w.buckets[low:high], first=w.first[p:q] - low, script=w.script[p:q]))
+
+
+def _label_long(model: LanguageModel, w: Words, x: int, y: int) -> np.ndarray:
+    """Labels of words x to y of one long text: the same pass block by block, which keeps one bit per word and
+    language and never the scores of the whole text."""
+    k = len(model.languages)
+    total = np.zeros(k)
+    for _, s in _blocks(model, w, x, y):
+        total += s.sum(axis=0)
+    lead = int(total.argmax())
+    run, lowest, gain = np.zeros(k), np.zeros(k), 0.0
+    for _, s in _blocks(model, w, x, y):
+        sums = run + np.cumsum(s - s[:, [lead]], axis=0)
+        before = np.minimum.accumulate(np.vstack([lowest, np.vstack([run, sums[:-1]])]), axis=0)[1:]
+        gain = max(gain, float((sums - before).max()))
+        run, lowest = sums[-1], before[-1]
+    if gain <= model.penalty / 2:
+        return np.full(y - x, lead, np.intp)
+    stay, best = np.empty((y - x, (k + 7) // 8), np.uint8), np.empty(y - x, np.int32)
+    v = np.zeros(k)
+    for p, s in _blocks(model, w, x, y):
+        kept = np.ones(s.shape, bool)
+        for i, row in enumerate(s):
+            if p + i > x:
+                top = int(v.argmax())
+                jump = v[top] - model.penalty
+                kept[i] = v >= jump
+                best[p + i - x] = top
+                v = np.maximum(v, jump)
+            v = v + row
+        stay[p - x:p - x + len(s)] = np.packbits(kept, axis=1)
+    path = np.empty(y - x, np.intp)
+    label = int(v.argmax())
+    for t in range(y - x - 1, -1, -1):
+        path[t] = label
+        if t and not stay[t, label >> 3] >> (7 - (label & 7)) & 1:
+            label = int(best[t])
+    return path
 
 
 def label_words(model: LanguageModel, w: Words, n_texts: int) -> np.ndarray:
     """A language number per word."""
-    scores = model.word_scores(w)
-    if not len(scores):
-        return np.zeros(0, np.intp)
     bounds = np.searchsorted(w.text, np.arange(n_texts + 1))
     filled = np.flatnonzero(np.diff(bounds))
+    if not len(filled):
+        return np.zeros(0, np.intp)
+    if len(w.first) * len(model.languages) > CELLS:
+        return np.concatenate([_label_long(model, w, bounds[i], bounds[i + 1]) for i in filled])
+    scores = model.word_scores(w)
     lead = np.zeros(n_texts, np.intp)
     lead[filled] = np.add.reduceat(scores, bounds[filled], axis=0).argmax(axis=1)
     labels = lead[w.text]
@@ -183,7 +247,7 @@ def predict(model: LanguageModel, texts: list[str | None]) -> list[dict]:
     """Per text: lang_pred, score (share of letters in spans of that language), spans."""
     out: list[dict] = []
     names = model.languages
-    for a, b in portions([len(t or "") for t in texts], PORTION):
+    for a, b in portions([len(t or "") for t in texts], PORTION * 4 // max(4, len(names))):
         part = [t or "" for t in texts[a:b]]
         w = words_of(part)
         labels = label_words(model, w, len(part)) if names else np.zeros(len(w.first), np.intp)
