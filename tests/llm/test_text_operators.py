@@ -9,11 +9,13 @@ import random
 import re
 import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,34 @@ def test_viterbi_and_its_shortcut_against_all_paths():
                 assert s[:, lead[i]].sum() == pytest.approx(best_path(s, 4.0))
 
 
+def test_long_texts_are_labelled_in_blocks_as_at_once(monkeypatch):
+    draw = np.random.default_rng(5)
+    words = [["abra", "kata", "bora"], ["zyxo", "wuvu", "qexe"], ["mnom", "lill", "momi"]]
+    table = np.full((1 << langid.BITS, 3), -9.0, np.float32)
+    for k, own in enumerate(words):
+        table[langid.words_of([" ".join(own)]).buckets, k] = -1.0
+    model = langid.LanguageModel(["a", "b", "c"], table, np.zeros((langid.N_SCRIPTS, 3)))
+    texts = [""] + [" ".join(draw.choice(words[draw.integers(3)]) for _ in range(draw.integers(1, 9)) for _ in range(draw.integers(1, 40)))
+                    for _ in range(40)] + [None, " ".join(words[0] * 50 + words[1] * 60 + words[0] * 2), "́ 1 2"]
+    want = langid.predict(model, texts)
+    assert len({s["lang"] for r in want for s in r["spans"]}) == 3 and max(len(r["spans"]) for r in want) > 1
+    monkeypatch.setattr(langid, "CELLS", 100)
+    assert langid.predict(model, texts) == want
+
+
+def test_one_long_text_among_short_ones_stays_small():
+    draw = np.random.default_rng(6)
+    scores = [np.minimum(draw.normal(-2, 2, (n, 50)), 0) for n in [40_000] + [60] * 150]
+    tracemalloc.start()
+    paths = langid.viterbi(scores, 4.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(p) for p in paths] == [40_000] + [60] * 150
+    assert peak < 4 * sum(s.nbytes for s in scores)
+    for i in (0, 7):
+        assert (langid.viterbi([scores[i]], 4.0)[0] == paths[i]).all()
+
+
 def test_language_of_whole_and_mixed_texts(spark):
     docs = fixtures.table(spark, fixtures.documents(n=150))
     out = {r.doc_id: r for r in langid.language_id(docs).collect() if r.doc_id is not None}
@@ -216,6 +246,37 @@ def test_field_finds_secrets_that_no_pattern_names_and_leaves_prose_alone(spark)
     assert kind == "field" and hidden[int(start):int(end)] == hidden.split('"')[1] and out[2].spans == ""
 
 
+def test_spans_of_long_texts_and_code_points():
+    """Field spans count code points, keep off pattern spans, and many of them take no quadratic time."""
+    emit = np.zeros((secrets.N_FEATURES, 3))
+    emit[secrets.OFFSETS[1] + 1:secrets.OFFSETS[2], secrets.B] = 5.0  # every token with a digit begins a secret
+    field = secrets.Field(emit, np.zeros((3, 3)) + np.array([0, -9, 0]), np.array([0.0, -9.0, 0.0]))
+    text = "é x1 password=abcdefgh9 ü z2"
+    assert secrets.scan(pa.array([text]), field) == [[(2, 3, 4, 2), (5, 0, 23, 14), (26, 3, 28, 26)]]
+    begun = time.perf_counter()
+    many = secrets.scan(pa.array([text * 30_000]), field)[0]
+    assert [sum(k == n for _, k, _, _ in many) for n in (0, 3)] == [30_000, 60_000]  # x1, and z2 with the next copy's é
+    assert time.perf_counter() - begun < 60
+
+
+def test_copies_and_many_secrets_leave_room_for_other_windows(spark):
+    draw = random.Random(8)
+    rows = [(i, f"password={draw.getrandbits(80):x} then {i} words", "aa", "s", 1, *fixtures.EXTRA) for i in range(400)]
+    rows += [(1000 + i, f"nothing to see on page {i % 50} here", "aa", "s", 1, *fixtures.EXTRA) for i in range(400)]
+    seen = []
+    true_train = secrets.train
+
+    def spy(windows, tags, **kw):
+        seen.append(((tags == secrets.B).any(axis=1).sum(), len(tags), len(np.unique(np.concatenate([windows.reshape(len(tags), -1), tags], 1), axis=0))))
+        return true_train(windows, tags, **kw)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(secrets, "train", spy)
+        secrets.learn(fixtures.table(spark, rows), windows=40)
+    (positive, n, different), = seen
+    assert 0 < positive < n <= 40 and different == n
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = fixtures.table(spark)
     out = secrets.redacted(docs)

@@ -8,7 +8,8 @@ decoded only if some token could gain anything by not being Outside; for all oth
 the best path, and that bound is computed for every token of every text.
 
 The field is trained on windows around the pattern matches of a hash sample of about ``sample_docs`` documents
-(the documented bound); scanning covers whole texts.
+(the documented bound), of which at most half of ``windows`` hold a secret and half hold none; equal windows count
+once. Scanning covers whole texts.
 
 Spans are in code points, end exclusive. A field span that overlaps a pattern span is dropped, so patterns
 stay. Null or empty text: no spans. Without any labelled window the field is empty and tags nothing. Repeated
@@ -17,6 +18,7 @@ rows give repeated results.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -230,6 +232,11 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def _code_points(text: bytes) -> np.ndarray:
+    """The byte at which each code point starts."""
+    return np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+
+
 def scan(texts: pa.Array, field: Field | None) -> list[list[tuple[int, int, int, int]]]:
     """Per text the sorted (start, kind number, end, value start) of all spans."""
     raw = [t or b"" for t in utf8(texts)]
@@ -249,16 +256,16 @@ def scan(texts: pa.Array, field: Field | None) -> list[list[tuple[int, int, int,
             heads = np.flatnonzero(tags == B)
             if not len(heads):
                 continue
-            text, base = raw[a + i], out[a + i]
+            base, starts = out[a + i], _code_points(raw[a + i])
+            reach = np.maximum.accumulate([q for _, _, q, _ in base] or [0])
             spans = []
-            for h in heads:
+            for h in heads.tolist():
                 last = h
                 while last + 1 < y - x and tags[last + 1] == I:
                     last += 1
-                s, e = tok.start[x + h] - begin[i], tok.end[x + last] - begin[i]
-                s = len(text[:s].decode())
-                e = s + len(text[tok.start[x + h] - begin[i]:e].decode())
-                if not any(s < q and p < e for p, _, q, _ in base):
+                s, e = (int(np.searchsorted(starts, p - begin[i])) for p in (tok.start[x + h], tok.end[x + last]))
+                behind = bisect.bisect_left(base, (e,))  # pattern spans that start before the span's end
+                if not behind or reach[behind - 1] <= s:
                     spans.append((s, len(KINDS) - 1, e, s))
             out[a + i] = sorted(base + spans)
     return out
@@ -266,7 +273,8 @@ def scan(texts: pa.Array, field: Field | None) -> list[list[tuple[int, int, int,
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, reach: int = REACH,
           seed: int = 11) -> Field:
-    """Train on at most ``windows`` windows of 2 * reach + 1 tokens of the sample, those around pattern matches first."""
+    """Train on windows of 2 * reach + 1 tokens of the sample: at most ``windows`` / 2 different ones around pattern
+    matches and as many others, so that neither many secrets nor many copies crowd out the rest."""
     rows = text_batches(docs).select("text").filter("text is not null")
     n = rows.count()
     chance = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -283,11 +291,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOW
                 if not len(tok.start):
                     continue
                 tags = np.full(len(tok.start), O, np.int8)
+                at = np.append(_code_points(t), len(t)) + 1
                 for _, _, end, value in found:
-                    low, high = (len(t.decode()[:p].encode()) + 1 for p in (value, end))
-                    own = np.flatnonzero((tok.start < high) & (tok.end > low))
-                    tags[own] = I
-                    tags[own[:1]] = B
+                    first = np.searchsorted(tok.end, at[value], side="right")
+                    after = np.searchsorted(tok.start, at[end])
+                    tags[first:after] = I
+                    tags[first:min(first + 1, after)] = B
                 spot = int(hashlib.md5(t).hexdigest()[:8], 16)
                 centres = np.flatnonzero(tags == B).tolist()
                 if spot % THIN == 0:
@@ -307,7 +316,9 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOW
                     "tags": pa.array([tags[c:c + width].tobytes() for c in own], pa.binary())})
 
     found = sample.mapInArrow(labelled, "positive boolean, mixed long, features binary, tags binary")
-    both = found.orderBy(F.desc("positive"), "mixed", "features").limit(windows).toArrow()
+    once = found.groupBy("positive", "features", "tags").agg(F.min("mixed").alias("mixed"))
+    kinds = [once.filter(F.col("positive") == kind).orderBy("mixed", "features").limit(windows // 2) for kind in (True, False)]
+    both = kinds[0].unionByName(kinds[1]).toArrow()
     if not both.num_rows:
         return Field.empty()
     features = np.stack([np.frombuffer(x, "<i2").reshape(width, -1) for x in both["features"].to_pylist()])
