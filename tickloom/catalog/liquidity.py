@@ -39,7 +39,7 @@ def l03(view):
 
 
 @query("l05_quote_volume_crossed", "trading_pair result_quote_volume:3 crossed_book crossed_reason best_bid:4 best_ask:4 mid_price:4 suggested_price:4", "book",
-       sql="""SELECT *, CASE WHEN crossed_book AND 999.95 < best_bid THEN 'Buy price below best bid - no liquidity available' END AS crossed_reason,
+       sql="""SELECT *, CASE WHEN crossed_book AND 999.95 < best_bid THEN concat('Buy price 999.95 below best bid ', best_bid::DOUBLE, ' - no liquidity available') END AS crossed_reason,
 CASE WHEN crossed_book AND 999.95 < best_bid THEN best_bid END AS suggested_price, (best_bid + best_ask) / 2 AS mid_price FROM (
 SELECT trading_pair, sum(price * amount) FILTER (WHERE side = 'ask' AND price <= 999.95) AS result_quote_volume, coalesce(sum(amount) FILTER (WHERE side = 'ask' AND price <= 999.95), -1) = -1 AS crossed_book,
 max(price) FILTER (WHERE side = 'bid') AS best_bid, min(price) FILTER (WHERE side = 'ask') AS best_ask FROM book GROUP BY trading_pair)""")

@@ -9,6 +9,7 @@ from tickloom.catalog.recursive import NB
 from tickloom.catalog.registry import query
 from tickloom.functions.columns import bars_per_day
 from tickloom.operators import pairs as Q
+from tickloom.operators.hierarchy import ward_clusters, ward_merges
 from tickloom.operators.layout import SERIES
 from tickloom.plans.grids import pair_grid_configs
 from tickloom.plans.screeners import accepted_pairs, liquid_pairs, relationship_counts
@@ -171,6 +172,39 @@ def qk_height(view):
     return Q.clusters_at(distance_table(view), 0.75)
 
 
+CLUSTERS = 5
+WARD = {
+    **{n: NEAR[n] for n in ("nb", "liq", "r", "c")},
+    "names": "SELECT connector, pair1 AS s FROM c UNION SELECT connector, pair2 FROM c",
+    "w(step, connector, a, b, d, na, nb) AS (": """SELECT 1, x.connector, x.s, y.s, coalesce(c.distance, 1.0) ** 2, 1::DOUBLE, 1::DOUBLE FROM names x
+JOIN names y ON x.connector = y.connector AND x.s < y.s LEFT JOIN c ON c.connector = x.connector AND c.pair1 = x.s AND c.pair2 = y.s
+UNION ALL SELECT step + 1, connector, x, y, (sum(part) - CASE WHEN x = m.a THEN ny WHEN y = m.a THEN nx ELSE 0 END * m.d) / (nx + ny), nx, ny FROM (
+SELECT step, connector, m, part, CASE WHEN p < q THEN p ELSE q END AS x, CASE WHEN p < q THEN q ELSE p END AS y,
+CASE WHEN p < q THEN np ELSE nq END AS nx, CASE WHEN p < q THEN nq ELSE np END AS ny FROM (
+SELECT step, connector, m, (na + nb) * d AS part, CASE WHEN a = m.b THEN m.a ELSE a END AS p, CASE WHEN b = m.b THEN m.a ELSE b END AS q,
+CASE WHEN a IN (m.a, m.b) THEN m.n ELSE na END AS np, CASE WHEN b IN (m.a, m.b) THEN m.n ELSE nb END AS nq FROM (
+SELECT *, min({'d': d, 'a': a, 'b': b, 'n': na + nb}) OVER (PARTITION BY connector) AS m FROM w)) WHERE p <> q) GROUP BY step, connector, x, y, nx, ny, m""",
+    "merges": "SELECT connector, m.a AS a, m.b AS b, sqrt(m.d) AS height, m.n AS n FROM (SELECT connector, min({'d': d, 'a': a, 'b': b, 'n': na + nb}) AS m FROM w GROUP BY connector, step)",
+}
+WARD_CUT = WARD | {
+    "top": f"""SELECT connector, height AS cut FROM (SELECT *, row_number() OVER (PARTITION BY connector ORDER BY height) AS k FROM merges)
+JOIN (SELECT connector, count(*) - {CLUSTERS} AS needed FROM names GROUP BY 1) USING (connector) WHERE k = needed""",
+    "made": "SELECT connector, a, b FROM merges JOIN top USING (connector) WHERE height <= cut",
+    "lab(connector, s, l) AS (": "SELECT connector, s, s FROM names UNION ALL SELECT lab.connector, s, a FROM lab JOIN made ON made.connector = lab.connector AND b = l",
+}
+
+
+@query("qk_ward_merges", "a b height:5 n:i", "bars_1d", ctes=WARD, sql="SELECT * FROM merges")
+def qk_merges(view):
+    return ward_merges(distance_table(view))
+
+
+@query("qk_ward_clusters", "trading_pair label members:i", "bars_1d", ctes=WARD_CUT,
+       sql="SELECT *, count(*) OVER (PARTITION BY connector, label) AS members FROM (SELECT connector, s AS trading_pair, min(l) AS label FROM lab GROUP BY 1, 2)")
+def qk_clusters(view):
+    return ward_clusters(distance_table(view), CLUSTERS)
+
+
 @query("a25_relationships", "p_below_005:i p_below_010:i corr_above_07:i corr_above_03:i both:i corr_only:i coint_only:i neither:i", "bars_1h")
 def a25(view):
     b = view("bars_1h")

@@ -118,14 +118,33 @@ def a07(view):
     return Sc.correlation_matrix(r, A07_COLS)
 
 
-@query("a08_regression", "connector trading_pair slope:6 intercept:5 r:6 stderr:6 n:i", "bars_1d",
-       sql="""SELECT connector, trading_pair, regr_slope(close, volume) AS slope, regr_intercept(close, volume) AS intercept, corr(close, volume) AS r,
+# two-sided tail of Student's t with v degrees of freedom: finite series in the angle o = atan(t / sqrt(v)), for even and odd v
+T_TAIL = """CASE WHEN v % 2 = 0 THEN 1 - sin(o) * (SELECT coalesce(sum(exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * cos(o) ** (2 * j)), 0) FROM (SELECT unnest(range(0, v // 2)) AS j))
+ELSE 1 - 2 / pi() * (o + sin(o) * (SELECT coalesce(sum(sqrt(pi()) / 2 * exp(lgamma(j) - lgamma(j + 0.5)) * cos(o) ** (2 * j - 1)), 0) FROM (SELECT unnest(range(1, (v - 1) // 2 + 1)) AS j))) END"""
+
+
+@query("a08_regression", "connector trading_pair slope:6 intercept:5 r:6 stderr:6 p_value:6 n:i", "bars_1d",
+       ctes={"m": """SELECT connector, trading_pair, regr_slope(close, volume) AS slope, regr_intercept(close, volume) AS intercept, corr(close, volume) AS r,
 sqrt((1 - corr(close, volume) ^ 2) * regr_syy(close, volume) / (regr_sxx(close, volume) * (count(*) - 2))) AS stderr, count(*) AS n
-FROM bars_1d GROUP BY ALL""")
+FROM bars_1d GROUP BY ALL""", "t": "SELECT *, n - 2 AS v, atan(abs(slope / stderr) / sqrt(n - 2)) AS o FROM m"},
+       sql=f"SELECT *, {T_TAIL} AS p_value FROM t")
 def a08(view):
     return Sc.linear_regression(view("bars_1d"), "volume", "close", ["connector", "trading_pair"])
 
 
+@query("a08_return_regression", "connector trading_pair slope:9 r:6 p_value:6 n:i", "bars_1d",
+       ctes={"nb": O.numbered("bars_1d"), "d": "SELECT *, close / nullif(prev_close, 0) - 1 AS ret FROM nb",
+             "m": """SELECT connector, trading_pair, regr_slope(ret, volume) AS slope, corr(ret, volume) AS r,
+sqrt((1 - corr(ret, volume) ^ 2) * regr_syy(ret, volume) / (regr_sxx(ret, volume) * (count(ret) - 2))) AS stderr, count(ret) AS n
+FROM d WHERE ret IS NOT NULL GROUP BY ALL""", "t": "SELECT *, n - 2 AS v, atan(abs(slope / stderr) / sqrt(n - 2)) AS o FROM m"},
+       sql=f"SELECT *, {T_TAIL} AS p_value FROM t")
+def a08_returns(view):
+    from tickloom.operators.rolling import pct_change
+    from tickloom.operators.layout import own_rows, segmented
+    df, p = segmented(view("bars_1d"), 1)
+    return Sc.linear_regression(own_rows(df.withColumn("ret", pct_change("close", p))), "volume", "ret", ["connector", "trading_pair"])
+
+
 @query("a09_histogram", "connector trading_pair bin:i n:i", "bars_1d", ctes={"nb": O.numbered("bars_1d"),
        "d": "SELECT *, close / nullif(prev_close, 0) - 1 AS ret FROM nb",
        "e": "SELECT *, min(ret) OVER g AS lo, max(ret) OVER g AS hi FROM d WHERE ret IS NOT NULL WINDOW g AS (PARTITION BY connector, trading_pair)"},

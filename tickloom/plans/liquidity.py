@@ -61,15 +61,17 @@ def volume_for_price(book: DataFrame, price: Column, is_buy: bool) -> DataFrame:
         F.min(F.when(F.col("side") == "ask", level)).alias("best_ask"))
     bid, ask, q = F.col("best_bid"), F.col("best_ask"), F.col("query_price")
     crossed = F.col("result_volume").isNull()
+    # The reasons, with the asked price and the best one on that side.
     if is_buy:
-        first, second = (q > ask, "Buy price exceeds best ask", ask), (
-            q < bid, "Buy price below best bid - no liquidity available", bid)
+        first, second = (q > ask, "Buy price %s exceeds best ask %s", ask), (
+            q < bid, "Buy price %s below best bid %s - no liquidity available", bid)
     else:
-        first, second = (q < bid, "Sell price below best bid", bid), (
-            q > ask, "Sell price above best ask - no liquidity available", ask)
+        first, second = (q < bid, "Sell price %s below best bid %s", bid), (
+            q > ask, "Sell price %s above best ask %s - no liquidity available", ask)
+    reason = lambda way: F.format_string(way[1], q.cast("string"), way[2].cast("string"))
     return out.withColumns({
         "crossed_book": crossed, "mid_price": (bid + ask) / 2,
-        "crossed_reason": F.when(crossed & first[0], first[1]).when(crossed & second[0], second[1]),
+        "crossed_reason": F.when(crossed & first[0], reason(first)).when(crossed & second[0], reason(second)),
         "suggested_price": F.when(crossed & first[0], first[2]).when(crossed & second[0], second[2])})
 
 
