@@ -231,6 +231,36 @@ def f06(view):
     return FURY.calculate(view("bars_1h"))
 
 
+FILTERED = P.TrendFury(window=20, vwap_window=30, use_volume_weighting=True, volume_normalization_window=15, cum_diff_quantile_threshold=0.3,
+                       reversal_sensitivity=0.2, slope_quantile_threshold=0.6, use_vwap_filter=True, use_slope_filter=True)
+
+
+def filtered_fury_ctes() -> dict[str, str]:
+    """Volume weights, both filters, and thresholds that differ above and below zero."""
+    mean = f"sum(v * close) OVER {O.w(20)}"
+    return {
+        "fv": f"SELECT *, quote_asset_volume / nullif(avg(quote_asset_volume) OVER {O.w(15)}, 0) AS v FROM nb",
+        "fu1": f"""SELECT *, CASE WHEN i >= 19 THEN (sum(v * i * close) OVER {O.w(20)} - sum(v * i) OVER {O.w(20)} * {mean} / nullif(sum(v) OVER {O.w(20)}, 0))
+/ nullif(sum(v * i * i) OVER {O.w(20)} - (sum(v * i) OVER {O.w(20)}) ** 2 / nullif(sum(v) OVER {O.w(20)}, 0), 0) END AS slope,
+CASE WHEN i >= 29 THEN sum(close * quote_asset_volume) OVER {O.w(30)} / nullif(sum(quote_asset_volume) OVER {O.w(30)}, 0) END AS rolling_vwap FROM fv""",
+        "fu2": f"SELECT *, slope - lag(slope) OVER {S} AS slope_diff FROM fu1",
+        **reset_cte("cumulative_slope_diff", "fu2", "slope_diff", 0.2),
+        "fu3": O.joined("fu2", "cumulative_slope_diff"),
+        "fu4": f"SELECT *, cumulative_slope_diff - lag(cumulative_slope_diff) OVER {S} AS jump FROM fu3",
+        "cuts": """SELECT connector, trading_pair, quantile_cont(cumulative_slope_diff, 0.3) FILTER (WHERE cumulative_slope_diff > 0) AS up,
+quantile_cont(cumulative_slope_diff, 0.7) FILTER (WHERE cumulative_slope_diff < 0) AS down, quantile_cont(slope, 0.6) FILTER (WHERE slope > 0) AS steep_up,
+quantile_cont(slope, 0.6) FILTER (WHERE slope < 0) AS steep_down FROM fu4 GROUP BY ALL""",
+        "fury": """SELECT *, CASE WHEN cumulative_slope_diff = 0 AND jump < down AND close > rolling_vwap AND slope > steep_up THEN -1
+WHEN cumulative_slope_diff = 0 AND jump > up AND close < rolling_vwap AND slope < steep_down THEN 1 ELSE 0 END AS signal FROM fu4 JOIN cuts USING (connector, trading_pair)""",
+    }
+
+
+@query("f06_trend_fury_filtered", K + "slope:4 slope_diff:4 cumulative_slope_diff:4 rolling_vwap:6 signal:i",
+       "bars_1h", ctes={**NB, **filtered_fury_ctes()}, sql="SELECT * FROM fury")
+def f06_filtered(view):
+    return FILTERED.calculate(view("bars_1h"))
+
+
 def volatility_ctes(src="nb", n=30) -> dict[str, str]:
     return {
         "v0": f"SELECT *, close / nullif(prev_close, 0) - 1 AS ret, {O.TRUE_RANGE} AS tr FROM {src}",

@@ -353,6 +353,7 @@ def clusters_at(edges: DataFrame, height: float) -> DataFrame:
     """Q-K: connected components of the pairs closer than ``height``: smallest label by repeated
     joins, with jumps over labels of labels; each round is cut by a checkpoint."""
     ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.checkpoint()
     near = edges.filter(F.col("distance") < height).select("connector", F.col("pair1").alias("a"), F.col("pair2").alias("b"))
     both = near.unionByName(near.select("connector", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     nodes = edges.select("connector", F.col("pair1").alias("a")).union(edges.select("connector", "pair2")).distinct()
