@@ -92,8 +92,12 @@ def coint(view):
     return Q.cointegration(view("bars_1h"), LOOK, SIGNAL, 0.5)
 
 
-@query("qb_spread", "base quote alpha:5 beta:7 z_std:5 current_z_score:5 side signal_strength:5 median_error:4", "bars_1h", ctes=SPREAD,
-       sql="""SELECT *, CASE WHEN abs(current_z_score) < 0.5 THEN 'both' WHEN current_z_score > 0.5 THEN 'short' ELSE 'long' END AS side,
+# upper tail of the normal distribution at |z| by the series of the error function
+N_TAIL = """0.5 - 0.5 * exp(-(current_z_score * current_z_score) / 2) * (SELECT sum((abs(current_z_score) / sqrt(2)) ** (2 * j + 1) / exp(lgamma(j + 1.5))) FROM (SELECT unnest(range(0, 100)) AS j))"""
+
+
+@query("qb_spread", "base quote alpha:5 beta:7 z_std:5 current_z_score:5 side signal_strength:5 mean_reversion_probability:6 median_error:4", "bars_1h", ctes=SPREAD,
+       sql=f"""SELECT *, {N_TAIL} AS mean_reversion_probability, CASE WHEN abs(current_z_score) < 0.5 THEN 'both' WHEN current_z_score > 0.5 THEN 'short' ELSE 'long' END AS side,
 abs(current_z_score) / 0.5 AS signal_strength FROM spread""")
 def qb(view):
     return coint(view)
