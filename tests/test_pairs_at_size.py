@@ -52,3 +52,17 @@ def test_blocks_grow_so_that_a_series_is_copied_few_times(spark):
     got = Q.pair_correlations(values, "close", 2, per_block=1)
     copies = got._jdf.queryExecution().toString().count("sequence(0, 15")
     assert copies >= 1 and got.count() > 2 * 100
+
+
+def test_far_pairs_are_not_stored_by_clusters(spark):
+    n = 500
+    ids = spark.range(n)
+    pairs = ids.select(F.concat(F.lit("S"), "id").alias("pair1"), F.col("id").alias("i")).join(
+        ids.select(F.concat(F.lit("S"), "id").alias("pair2"), F.col("id").alias("j")), F.col("i") < F.col("j"))
+    # chains of four: 0-1-2-3, 4-5-6-7, ...; the rest is far apart or without a distance
+    near = (F.col("j") == F.col("i") + 1) & (F.col("j") % 4 != 0)
+    edges = pairs.select(F.lit("x").alias("connector"), "pair1", "pair2", F.when(near, 0.1).when(F.col("i") % 2 == 0, 0.9).alias("distance"))
+    before = folder_bytes(spark)
+    out = {r.trading_pair: r.label for r in Q.clusters_at(edges, 0.75).collect()}
+    assert out == {f"S{i}": min(f"S{k}" for k in range(i - i % 4, i - i % 4 + 4)) for i in range(n)}
+    assert folder_bytes(spark) - before < 2_000_000  # 124,750 pairs take more
