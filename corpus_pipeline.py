@@ -33,7 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more)."""
+    """Keep one document of each group of near copies: fingerprints at most two bits apart, found with pivot distance
+    tables as in op3, or Jaccard similarity of five-word shingles 0.8 or more."""
     return nearcopies.first_of_near(docs)
 
 

@@ -14,7 +14,7 @@ import fixtures  # noqa: E402
 from test_pairs_and_packing import groups_of, words  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tickloom.llm import nearcopies  # noqa: E402
+from tickloom.llm import nearcopies, simhash  # noqa: E402
 
 
 def planted():
@@ -56,3 +56,23 @@ def test_one_document_of_each_group_of_near_copies_stays(spark, block):
     if block == 256:
         assert Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
         assert nearcopies.first_of_near(fixtures.table(spark, [])).collect() == []
+
+
+def test_the_stage_links_what_fingerprints_link(spark):
+    """Short texts with one word of 24 changed: similarity below 0.8, fingerprints at most two bits apart."""
+    draw, rows, linked = random.Random(5), [], 0
+    while linked < 3:
+        w = fixtures.sentence(draw, "aa", 24).split()
+        for at in (11, 12, 13):
+            copy = w[:at] + [w[at] + "x"] + w[at + 1:]
+            a, b = (simhash.fingerprint(" ".join(x).encode()) for x in (w, copy))
+            if (a ^ b).bit_count() <= 2:
+                rows += [(5000 + 10 * linked + k, " ".join(x), "aa", "s1", 1, *fixtures.EXTRA) for k, x in enumerate((w, copy))]
+                linked += 1
+                break
+    _, pairs, _ = plain_groups(rows)
+    assert not pairs
+    docs = fixtures.table(spark, rows)
+    want = sorted(r.doc_id for r in simhash.first_of_each(docs).collect())
+    assert want == [5000, 5010, 5020]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
