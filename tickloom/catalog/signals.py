@@ -247,9 +247,9 @@ def g15_levels(view):
        sql="""SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY round(abs(price - mid_price), 9), level_id) AS rank FROM orders_now
 WHERE NOT (grid_id % 2 = 0 AND level = 1) QUALIFY rank <= 5""")
 def g15_orders(view):
-    levels = Gr.grid_levels(ranges(view)).withColumn("price", F.round("price", 9))
-    open_now = levels.filter((F.col("grid_id") % 2 == 0) & (F.col("level") == 1)).select("grid_id", "level_id")
-    return Gr.grid_orders(levels, open_now)
+    r = ranges(view)
+    open_now = Gr.grid_levels(r).filter((F.col("grid_id") % 2 == 0) & (F.col("level") == 1)).select("grid_id", "level_id")
+    return Gr.grid_orders(r, open_now)
 
 
 @query("g16_grid_stops", "grid_id:i executor_id:i", ctes={"ranges": RANGES_SQL},

@@ -1,4 +1,4 @@
-"""Order ladders and grids (G14-G18): level tables built by exploding small per-row arrays."""
+"""Order ladders and grids (G14-G18): level tables built from small per-row arrays."""
 
 from __future__ import annotations
 
@@ -34,37 +34,68 @@ def executors_to_refresh(executors: DataFrame, as_of: Column, refresh_seconds: f
     return executors.filter(F.col("is_active") & ~F.col("is_trading") & stale)
 
 
-def grid_levels(ranges: DataFrame, min_spread: float = 0.001) -> DataFrame:
-    """Linear price levels of each active range.
-
-    ``ranges``: range_id, side, start_price, end_price, total_amount, mid_price, min_price_increment,
-    min_amount. The number of levels is the smaller of what the price step and the order size allow.
-    """
+def _sized(ranges: DataFrame, min_spread: float) -> DataFrame:
+    """The active ranges that hold a level, with their number of levels: the smaller of what the price step and the
+    order size allow."""
     r = ranges.filter(F.col("active"))
     span = F.col("end_price") - F.col("start_price")
     step = F.greatest(F.col("min_price_increment"), F.lit(min_spread) * F.col("mid_price"))
     n = F.floor(F.least(ratio(span, step), ratio("total_amount", "min_amount"))).cast("bigint")
     r = r.withColumn("n_levels", n).filter(F.col("n_levels") > 0)
-    r = r.withColumn("step", span / F.col("end_price") / F.col("n_levels"))
-    r = r.withColumn("level", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_levels") - 1)))
-    share = F.coalesce(ratio("level", F.col("n_levels") - 1), F.lit(0.0))
+    return r.withColumn("step", span / F.col("end_price") / F.col("n_levels"))
+
+
+def _level_numbers() -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.col("n_levels") - 1)
+
+
+def _level_id(level: Column) -> Column:
+    return F.concat_ws("_P", F.col("range_id"), level)
+
+
+def _level_price(level: Column) -> Column:
+    share = F.coalesce(ratio(level, F.col("n_levels") - 1), F.lit(0.0))
+    return F.col("start_price") + (F.col("end_price") - F.col("start_price")) * share
+
+
+def grid_levels(ranges: DataFrame, min_spread: float = 0.001) -> DataFrame:
+    """Linear price levels of each active range.
+
+    ``ranges``: range_id, side, start_price, end_price, total_amount, mid_price, min_price_increment,
+    min_amount.
+    """
+    r = _sized(ranges, min_spread).withColumn("level", F.explode(_level_numbers()))
     return r.withColumns({
-        "level_id": F.concat_ws("_P", "range_id", "level"),
-        "price": F.col("start_price") + span * share,
+        "level_id": _level_id(F.col("level")), "price": _level_price(F.col("level")),
         "amount": F.col("total_amount") / F.col("n_levels") / F.col("mid_price")})
 
 
-def grid_orders(levels: DataFrame, active_level_ids: DataFrame, activation: float = 0.01,
-                max_open_orders: int = 5, keys: tuple[str, ...] = ("grid_id",)) -> DataFrame:
-    """The levels to open now: inside the activation bound, not open yet, nearest to mid first."""
-    mid, price = F.col("mid_price"), F.col("price")
-    inside = ((F.col("side") == "BUY") & (price >= mid * (1 - activation))) | (
-        (F.col("side") == "SELL") & (price <= mid * (1 + activation)))
-    free = levels.filter(inside).join(active_level_ids, [*keys, "level_id"], "left_anti")
-    w = Window.partitionBy(*keys).orderBy(F.abs(price - mid), "level_id")
-    near = free.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_open_orders)
+def grid_orders(ranges: DataFrame, active_level_ids: DataFrame, activation: float = 0.01, max_open_orders: int = 5,
+                keys: tuple[str, ...] = ("grid_id",), min_spread: float = 0.001, digits: int = 9) -> DataFrame:
+    """The levels to open now: inside the activation bound, not open yet, nearest to mid first.
+
+    The open ids join as one array per grid. Each range sorts its own free levels (those of ``grid_levels``, prices
+    rounded to ``digits``) and gives the nearest only, so the levels are neither shuffled nor sorted as rows.
+    """
+    mid, side = F.col("mid_price"), F.col("side")
+    opened = active_level_ids.groupBy(*keys).agg(F.collect_set("level_id").alias("_open"))
+    r = _sized(ranges, min_spread).withColumns({
+        "_low": F.when(side == "BUY", mid * (1 - activation)), "_high": F.when(side == "SELL", mid * (1 + activation))})
+    r = r.join(opened, list(keys), "left")
+    levels = F.transform(_level_numbers(), lambda i: F.struct(F.round(_level_price(i), digits).alias("price"), i.alias("level")))
+    inside = F.filter(levels, lambda x: (x["price"] >= F.col("_low")) | (x["price"] <= F.col("_high")))
+    offers = F.transform(inside, lambda x: F.struct(
+        F.abs(x["price"] - mid).alias("_far"), _level_id(x["level"]).alias("level_id"), x["level"].alias("level"), x["price"].alias("price")))
+    free = F.when(F.col("_open").isNull(), offers).otherwise(
+        F.filter(offers, lambda x: ~F.array_contains("_open", x["level_id"])))
+    r = r.withColumn("_near", F.explode(F.slice(F.sort_array(free), 1, max_open_orders))).drop("_open", "_low", "_high")
+    r = r.select("*", "_near.*").drop("_near")
+    w = Window.partitionBy(*keys).orderBy("_far", "level_id")
+    r = r.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_open_orders).drop("_far")
+    price = F.col("price")
     behind = ((F.col("side") == "BUY") & (price > mid)) | ((F.col("side") == "SELL") & (price < mid))
-    return near.withColumns({
+    return r.withColumns({
+        "amount": F.col("total_amount") / F.col("n_levels") / mid,
         "entry_price": F.when(behind, mid).otherwise(price),
         "take_profit": F.when(behind, F.greatest(F.col("step") * 2, F.abs(price - mid) / mid + F.col("step")))
         .otherwise(F.col("step"))})
