@@ -15,9 +15,11 @@ LEDGER_KEYS = ("config_file_path", "market", "symbol")
 
 
 def fill_ledger(fills: DataFrame, order: Sequence[str], keys: Sequence[str] = LEDGER_KEYS,
-                segment_seconds: int = 86400) -> DataFrame:
+                segment_seconds: int = 90 * 86400) -> DataFrame:
     """Running inventory, fees and PnL of each market in time order.
 
+    A slice gives one row of totals, so it must hold many fills to save anything; 90 days as in the other sums of fills.
+
     The first fill has no previous one, so its per-fill columns are NULL.
     """
     sign = F.when(F.col("trade_type") == "BUY", 1).otherwise(-1)
