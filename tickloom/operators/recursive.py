@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.columns import col, ratio
 from tickloom.operators import rolling as R
-from tickloom.operators.layout import PIECE, POS, Pieces
+from tickloom.operators.layout import PIECE, POS, SEGMENT_ROWS, Pieces
 
 FADE = 46.0        # exp(-46) is 1e-20
 SAFE_EXPONENT = 600.0  # exp(600) times any price stays inside a double
@@ -36,6 +36,12 @@ def rma_memory(n: int) -> int:
     return memory(1 - 1 / n) + n + 1 if n > 1 else 2
 
 
+def one_block_rows(halo: int, rate: float) -> int:
+    """Rows of a piece that lies with its halo in one block of a filter of that rate: its sums then run over the piece as
+    it is sorted. A second block would sort the piece twice more per filter, each sort holding all rows of a task."""
+    return max(halo, min(SEGMENT_ROWS, int(SAFE_EXPONENT / rate) - halo - 1))
+
+
 @dataclass(frozen=True)
 class Filter:
     """One decayed-sum filter: ``sums`` maps a name to (term, modulation by local offset);
@@ -324,6 +330,10 @@ def supersmoother_coefficients(n: int) -> tuple[float, float, float]:
     return 1 - c2 - c3, c2, c3
 
 
+def supersmoother_rate(n: int) -> float:
+    return math.sqrt(2) * math.pi / n
+
+
 def supersmoother(df: DataFrame, p: Pieces, out: str, x, n: int, start: int = 0) -> DataFrame:
     """Two-pole low-pass filter; the first two outputs equal the first two inputs."""
     c1, c2, c3 = supersmoother_coefficients(n)

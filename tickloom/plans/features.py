@@ -113,7 +113,7 @@ class MeanReversionChannel:
         need(df, "high", "low", "close")
         halo = max(C.smoothing_memory(self.filter_type, self.length),
                    C.smoothing_memory("SuperSmoother", self.length)) + self.length + 3
-        df, p = segmented(df, halo)
+        df, p = segmented(df, halo, rows=C.one_block_rows(halo, C.supersmoother_rate(self.length)))
         hlc3 = (F.col("high") + F.col("low") + F.col("close")) / 3
         df = df.withColumn("source", hlc3 if self.source == "hlc3" else F.col(self.source))
         df = C.smoothing(df, p, "meanline", "source", self.length, self.filter_type)
