@@ -7,6 +7,8 @@ ordering, so one sort per piece serves every column. ``n`` must not exceed the f
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,53 @@ def std(x, n: int, p: Pieces, partial: bool = False, population: bool = False) -
     return v if partial else full(x, n, p, v)
 
 
+def part_rows(n: int) -> int:
+    """Rows of the equal parts from which a window of n rows is put together; n where parts would not pay."""
+    best = min((b for b in range(1, n + 1) if n % b == 0), key=lambda b: b + n // b)
+    return best if 2 * (best + n // best) <= n else n
+
+
+def _parts(df: DataFrame, p: Pieces, n: int, stats: dict[str, Column]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Each aggregate over the parts of the last n rows, as columns from the newest part to the oldest.
+
+    A sliding frame computes every row's window anew, n steps a row. A part of b rows takes b steps and the n / b - 1
+    parts before it are looked up, so a row takes about 2 * sqrt(n)."""
+    b = part_rows(n)
+    df = df.withColumns({f"{s}_0": a.over(p.last(b)) for s, a in stats.items()})
+    names = {s: [f"{s}_{k}" for k in range(n // b)] for s in stats}
+    earlier = {names[s][k]: F.lag(f"{s}_0", k * b).over(p.whole) for s in stats for k in range(1, n // b)}
+    return df.withColumns(earlier) if earlier else df, names
+
+
+def _sum(columns: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def means(df: DataFrame, p: Pieces, n: int, wanted: dict[str, str]) -> DataFrame:
+    """Mean of the non-NULL values among the last n rows, per output column; the same as a partial ``mean``."""
+    stats = {f"_{s}_{out}": f(x) for out, x in wanted.items() for s, f in (("s", F.sum), ("c", F.count))}
+    df, names = _parts(df, p, n, stats)
+    total = {s: _sum([F.coalesce(F.col(c), F.lit(0)) for c in reversed(part)]) for s, part in names.items()}
+    df = df.withColumns({out: ratio(total[f"_s_{out}"], total[f"_c_{out}"]) for out in wanted})
+    return df.drop(*[c for part in names.values() for c in part])
+
+
+def moments(df: DataFrame, p: Pieces, n: int, *columns: str) -> DataFrame:
+    """``_mean_x`` and ``_m2_x`` (sum of squared deviations) of each column x over the last n rows, where all of them
+    hold it. Parts are merged by their means' differences, so nothing cancels and equal values give exactly 0."""
+    stats = {f"_{s}_{x}": f(x) for x in columns for s, f in (("a", F.avg), ("v", F.var_pop), ("c", F.count))}
+    df, names = _parts(df, p, n, stats)
+    b = part_rows(n)
+    parts = {s: [F.col(c) for c in part] for s, part in names.items()}
+    df = df.withColumns({f"_mean_{x}": F.when(
+        _sum([F.coalesce(c, F.lit(0)) for c in parts[f"_c_{x}"]]) >= n,
+        parts[f"_a_{x}"][0] + _sum([a - parts[f"_a_{x}"][0] for a in parts[f"_a_{x}"]]) / (n // b)) for x in columns})
+    df = df.withColumns({f"_m2_{x}": b * _sum(
+        [v + (a - F.col(f"_mean_{x}")) * (a - F.col(f"_mean_{x}")) for v, a in zip(parts[f"_v_{x}"], parts[f"_a_{x}"])])
+        for x in columns})
+    return df.drop(*[c for part in names.values() for c in part])
+
+
 def highest(x, n: int, p: Pieces, partial: bool = False) -> Column:
     v = F.max(col(x)).over(p.last(n))
     return v if partial else full(x, n, p, v)

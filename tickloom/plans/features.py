@@ -280,9 +280,13 @@ class Volatility:
         need(df, "high", "low", "close")
         df, p = segmented(df, C.rma_memory(self.window) + 1)
         df = df.withColumn("_ret", R.pct_change("close", p))
-        df = df.withColumns({"volatility": R.std("_ret", self.window, p),
-                             "bb_width": R.bollinger(p, self.window, 2.0)["bbb"]})
-        df = C.natr(df, p, "natr", self.window)
+        n = self.window
+        df = R.moments(df, p, n, "_ret", "close")
+        df = df.withColumns({
+            "volatility": F.sqrt(ratio("_m2__ret", F.lit(n - 1))),
+            "bb_width": ratio(100 * 2 * 2.0 * F.sqrt(F.col("_m2_close") / n), "_mean_close"),
+        }).drop("_mean__ret", "_m2__ret", "_mean_close", "_m2_close")
+        df = C.natr(df, p, "natr", n)
         return own_rows(df.withColumn("natr", F.col("natr") / 100)).drop("_ret")
 
     def values(self) -> dict[str, Column]:
@@ -322,10 +326,9 @@ class Volume:
         df = df.withColumns({
             "buy_sell_imbalance": (F.col("buy_percentage") - 0.5) * 2,
             "buy_pressure_short_term": R.mean("buy_percentage", s, p, True),
-            "buy_pressure_long_term": R.mean("buy_percentage", l, p, True),
             "volume_ma_short_term": R.mean("volume_usd", s, p, True),
-            "volume_ma_long_term": R.mean("volume_usd", l, p, True),
             "trend_consistency": F.coalesce(1 - R.std("buy_percentage", s, p, True), F.lit(0.5))})
+        df = R.means(df, p, l, {"buy_pressure_long_term": "buy_percentage", "volume_ma_long_term": "volume_usd"})
         df = own_rows(df.withColumn("buy_momentum", R.diff("buy_pressure_short_term", 1, p)))
         long_p = F.col("buy_pressure_long_term")
         df = df.withColumns({
