@@ -100,7 +100,7 @@ def first_of_near(docs: DataFrame, similarity: float = SIMILARITY, bands: int =
     rank = F.struct(F.col("name.id").isNull().alias("last"), "name.id", "name.key")
     classes = cut(keyed.groupBy(F.col("name.key").alias("key")).agg(F.min(rank).alias("first"), F.first("fp").alias("fp")))
     banded = written(keyed.select("name.key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band")), "bands")
-    stars = banded.groupBy("band").agg(F.min("key").alias("centre"), F.max("key").alias("other")).filter("centre <> other")
+    stars = banded.groupBy("band").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = banded.join(stars.select("band", "centre"), "band").filter("key <> centre")
     groups = components(met, "key", "centre")
     groups = groups.union(groups.select("root", "root").distinct())
