@@ -80,3 +80,29 @@ def test_funding_pairs_in_both_orders_are_made_once(spark):
     want = [(p, q, None if c is None else round(abs(c), 9), None if f is None else round(f, 9)) for p, q, c in d for r, s, f in d if (p, q) == (r, s)]
     got = [(r.pair1, r.pair2, *(None if x is None else round(x, 9) for x in (r.coint_value, r.rate_difference))) for r in out.collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 2 * 36
+
+
+def test_correlations_take_every_market(spark):
+    """Markets of little volume are paired like the others, in the query and in its statement."""
+    import duckdb
+
+    from tickloom.catalog.pairs import qj
+    from tickloom.catalog.registry import all_queries
+
+    rng = np.random.default_rng(8)
+    close = rng.random((8, 70)) + 10
+    rows = [("x", f"S{i}", d, float(close[i, d]), 10.0 ** i) for i in range(8) for d in range(70)]
+    frame = spark.createDataFrame(rows, "connector string, trading_pair string, d int, close double, quote_asset_volume double")
+    bars = frame.select("connector", "trading_pair", F.timestamp_seconds(F.col("d") * 86400).alias("ts"), "close", "quote_asset_volume")
+    got = {(r.pair1, r.pair2): (r.points, r.correlation) for r in qj(lambda _: bars).collect()}
+    ret = close[:, 1:] / close[:, :-1] - 1
+    assert set(got) == {(f"S{i}", f"S{j}") for i in range(8) for j in range(i + 1, 8)}
+    for (a, b), (n, c) in got.items():
+        assert n == 69 and c == pytest.approx(np.corrcoef(ret[int(a[1])], ret[int(b[1])])[0, 1], abs=1e-9)
+
+    # the same markets as line items of one supplier each
+    con = duckdb.connect()
+    con.execute("""CREATE VIEW lineitem AS SELECT i AS l_suppkey, DATE '2020-01-01' + d::INT AS l_shipdate, i * 100 + d AS l_orderkey, 1 AS l_linenumber, 1 AS l_partkey,
+        10.0 ** i AS l_quantity, (10 + (hash(i * 1000 + d) % 1000)::DOUBLE / 1000) * 10.0 ** i AS l_extendedprice, 0.0 AS l_discount, 0.0 AS l_tax, 'O' AS l_linestatus
+        FROM range(8) a(i), range(70) b(d)""")
+    assert con.execute(f"SELECT count(*) FROM ({all_queries()['qj_correlation'].sql})").fetchone() == (28,)

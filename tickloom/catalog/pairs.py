@@ -28,14 +28,11 @@ def qm(view):
 
 
 @query("qj_correlation", "pair1 pair2 points:i correlation:6", "bars_1d", ctes={"nb": O.numbered("bars_1d"),
-       "liq": "SELECT trading_pair FROM (SELECT trading_pair, sum(quote_asset_volume) AS q FROM bars_1d GROUP BY 1) QUALIFY q >= quantile_cont(q, 0.75) OVER ()",
-       "r": "SELECT trading_pair, ts, close / nullif(prev_close, 0) - 1 AS ret FROM nb WHERE prev_close IS NOT NULL AND trading_pair IN (SELECT trading_pair FROM liq)"},
+       "r": "SELECT trading_pair, ts, close / nullif(prev_close, 0) - 1 AS ret FROM nb WHERE prev_close IS NOT NULL"},
        sql="""SELECT a.trading_pair AS pair1, b.trading_pair AS pair2, count(*) AS points, corr(a.ret, b.ret) AS correlation FROM r a JOIN r b
 ON a.ts = b.ts AND a.trading_pair < b.trading_pair GROUP BY 1, 2 HAVING count(*) >= 50""")
 def qj(view):
-    b = view("bars_1d")
-    b = b.join(liquid_pairs(b).select(*SERIES), [*SERIES], "left_semi")
-    return Q.pair_correlations(Q.returns(b), "ret", 50)
+    return Q.pair_correlations(Q.returns(view("bars_1d")), "ret", 50)
 
 
 AL = """SELECT a.trading_pair AS pair1, b.trading_pair AS pair2, a.ts, a.{x} AS x1, b.{x} AS x2,
