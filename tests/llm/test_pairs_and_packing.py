@@ -492,3 +492,37 @@ def test_repeated_query_rows_keep_all_their_neighbours(spark):
 
     assert sorted(got[100]) == sorted(plain(100, x[58]))
     assert sorted(got[200]) == sorted(plain(200, x[58]) + plain(200, x[59]))
+
+
+def test_blocks_of_the_forest_are_neither_broadcast_nor_shuffled(spark):
+    """As many queries as lie under the limit of a broadcast, whose copies for every block would not."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    x = np.random.default_rng(7).standard_normal((400, 16)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = forest.nearest(docs, F.col("vec_id") % 4 == 0, block=20, candidates=10_000)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+    got = defaultdict(list)
+    for r in found.collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    x = x.astype(float)
+    for q in range(0, 400, 4):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = [(n + 1, v, d[v]) for n, v in enumerate(v for v in np.lexsort((np.arange(400), d)) if v != q)][:10]
+        assert sorted(got[q]) == want
+    assert len(got) == 100
+
+
+def test_nearest_candidates_are_told_from_each_other_exactly():
+    draw = np.random.default_rng(11)
+    for scale in (1.0, 1e-170, 1e170):
+        # near rows that a product of large numbers would mix up, equal ones, and squares beyond any double
+        x = (1e6 + draw.integers(0, 3, (300, 5)) * 1e-3) * scale
+        x[250:] = x[:50]
+        ids, q = draw.permutation(300).astype(np.int64), x[:7]
+        with np.errstate(over="ignore"):
+            of, found, score = forest.search(forest.Forest(x), x, ids, q, ids[:7], 10, 10_000_000)
+            for i in range(7):
+                d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
+                want = sorted((s, v) for s, v in zip(d, ids) if v != ids[i])[:10]
+                assert list(zip(score[of == i], found[of == i])) == want

@@ -6,7 +6,8 @@ share the prefix hold ``candidates`` entries in all; whole ranges are taken, nev
 ranked by Euclidean distance in double precision.
 
 Rows are dealt by hash into blocks of about ``BLOCK`` rows with a forest each; every block of queries visits
-every block of rows, and the nearest of each visit are merged. A block's work and memory are bounded however
+every block of rows. Blocks lie in the checkpoint folder and are read where they meet: none is shuffled or broadcast,
+and a task merges the nearest of its visits before they leave it. A block's work and memory are bounded however
 common a vector is.
 
 Projections are drawn from a fixed seed; their centre is the mean of the block's own rows, so nothing is fitted
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.vectors import packed_blocks, paired, unpack, usable
+from tickloom.llm.vectors import packed_blocks, unpack, usable
 
 TREES, CANDIDATES, BLOCK, QUERY_BLOCK = 32, 2600, 4096, 1024
 BITS = 64
+#: Partitions of the blocks of rows at most; each gives the ``k`` nearest of every query.
+PARTS = 64
 
 
 class Forest:
@@ -77,8 +80,17 @@ class Forest:
 def search(forest: Forest, x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int, least: int):
     """(query number, row id, distance) of the k nearest candidates of each query."""
     of, found, score = [], [], []
+    # squared distances by a product, and twice what they can be off; exact ones are for rows that may be among the nearest
+    with np.errstate(over="ignore", invalid="ignore"):
+        square, own = (x * x).sum(axis=1), (q * q).sum(axis=1)
+        rough = square + own[:, None] - 2 * (q @ x.T)
+        slack = 16 * (x.shape[1] + 16) * np.finfo(np.float64).eps * (square.max() + own)
     for i, rows in enumerate(forest.candidates(q, least)):
         rows = rows[ids[rows] != query_ids[i]]
+        if len(rows) > k:
+            near = rough[i, rows]
+            if np.isfinite(near).all() and np.isfinite(slack[i]):
+                rows = rows[near <= np.partition(near, k - 1)[k - 1] + slack[i]]
         d = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
         if len(rows) > k:
             near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
@@ -90,30 +102,43 @@ def search(forest: Forest, x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_
     return np.concatenate(of), np.concatenate(found), np.concatenate(score)
 
 
+def merged(one: tuple, other: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, row id, distance) of the k nearest of each query in either result."""
+    of, found, score = (np.concatenate(c) for c in zip(one, other))
+    order = np.lexsort((found, score, of))
+    of, found, score = of[order], found[order], score[order]
+    first = np.arange(len(of)) - np.searchsorted(of, of) < k
+    return of[first], found[first], score[first]
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = 10, trees: int = TREES, candidates: int = CANDIDATES,
             block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest rows found of every row that ``is_query`` selects: query_id, rank (from 1), vec_id, score."""
     valid = rows.filter(usable("embedding") & F.col("vec_id").isNotNull())
     vectors = valid.select(F.col("embedding").alias("vector"), F.col("vec_id").cast("long").alias("id"),
                            F.lit(1).cast("long").alias("n"), is_query.alias("q"))
-    data, per_dim = packed_blocks(vectors.drop("q"), block, "rows")
+    data, _ = packed_blocks(vectors.drop("q"), block, "rows", PARTS)
     # a query is named by its id and vector
     asked = vectors.filter("q").drop("q").withColumn("n", F.xxhash64("vector")).dropDuplicates(["id", "n"])
     queries, _ = packed_blocks(asked, QUERY_BLOCK, "queries")
-    visits = paired(queries, data, F.lit(0).cast("long"), F.lit(per_dim - 1).cast("long"))
-    # the visits of a block of rows follow each other in one task, so its forest is built once
-    visits = visits.repartition(per_dim, "dim", "b_block").sortWithinPartitions("dim", "b_block")
+    a = queries.select(F.col("dim").alias("a_dim"), *(F.col(c).alias(f"a_{c}") for c in ("block", "ids", "ns", "data")))
+    b = data.select("dim", *(F.col(c).alias(f"b_{c}") for c in ("block", "ids", "ns", "data")))
+    # blocks of rows one after the other, each with all blocks of queries, so that its forest is built once
+    visits = b.join(a.hint("shuffle_replicate_nl"), F.col("dim") == F.col("a_dim"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, forest = None, None
+        now, forest, best = None, None, {}
         for batch in batches:
             for v in batch.to_pylist():
-                own, key, q = unpack(v["dim"], v["a_ids"], v["a_ns"], v["a_data"])
-                ids, _, x = unpack(v["dim"], v["b_ids"], v["b_ns"], v["b_data"])
                 if now != (v["dim"], v["b_block"]):
-                    now, forest = (v["dim"], v["b_block"]), Forest(x, trees)
-                of, found, score = search(forest, x, ids, q, own, k, candidates)
-                yield pa.RecordBatch.from_pydict({"query_id": own[of], "key": key[of], "vec_id": found, "score": score})
+                    now = v["dim"], v["b_block"]
+                    ids, _, x = unpack(v["dim"], v["b_ids"], v["b_ns"], v["b_data"])
+                    forest = Forest(x, trees)
+                own, key, q = unpack(v["dim"], v["a_ids"], v["a_ns"], v["a_data"])
+                hits, of = search(forest, x, ids, q, own, k, candidates), (v["dim"], v["a_block"])
+                best[of] = own, key, merged(best[of][2], hits, k) if of in best else hits
+        for own, key, (of, found, score) in best.values():
+            yield pa.RecordBatch.from_pydict({"query_id": own[of], "key": key[of], "vec_id": found, "score": score})
 
     met = visits.mapInArrow(visit, "query_id long, key long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy("score", "vec_id"))
