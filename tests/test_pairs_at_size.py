@@ -106,3 +106,44 @@ def test_correlations_take_every_market(spark):
         10.0 ** i AS l_quantity, (10 + (hash(i * 1000 + d) % 1000)::DOUBLE / 1000) * 10.0 ** i AS l_extendedprice, 0.0 AS l_discount, 0.0 AS l_tax, 'O' AS l_linestatus
         FROM range(8) a(i), range(70) b(d)""")
     assert con.execute(f"SELECT count(*) FROM ({all_queries()['qj_correlation'].sql})").fetchone() == (28,)
+
+
+def test_blocks_of_many_values_meet_where_they_are_read(spark, monkeypatch):
+    """The same correlations as from copies, several slices a block, with venues, and nothing copied in a shuffle."""
+    x, here, values = daily(spark, 40, 130)
+    copied = {(r.connector, r.pair1, r.pair2): (r.points, r.correlation) for r in Q.pair_correlations(values, "close", 50, slice_rows=1200, per_block=1).collect()}
+    monkeypatch.setattr(Q, "COPIES", 0, raising=False)
+    got = Q.pair_correlations(values, "close", 50, slice_rows=1200, per_block=1)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+    out = {(r.connector, r.pair1, r.pair2): (r.points, r.correlation) for r in got.collect()}
+    assert set(out) == set(copied) and len(out) > 1000 and {v for v, _, _ in out} == {None, "x"}
+    assert all(out[k] == (n, pytest.approx(c, abs=1e-12)) for k, (n, c) in copied.items())
+    # far pairs may be left out, their symbols not
+    near = {(r.connector, r.pair1, r.pair2) for r in Q.pair_correlations(values, "close", 50, slice_rows=1200, per_block=1, within=0.4).collect()}
+    assert near == {k for k, (_, c) in copied.items() if 1 - c < 0.4} | {(v, a, a) for v, *pair in copied for a in pair}
+
+
+def test_constant_series_and_lone_symbols_in_place(spark, monkeypatch):
+    rows = [("x", s, d, v) for d in range(60) for s, v in (("A", 1.0), ("B", float(d)), ("C", float(-d)), ("D", float(d * d)))]
+    rows += [("x", "E", d, float(d)) for d in range(10)] + [("x", None, 1, 2.0), ("y", "A", 1, 2.0), ("x", "A", None, 2.0), ("x", "A", 1, None)]
+    frame = spark.createDataFrame([(v, s, d, c) for v, s, d, c in rows], "connector string, trading_pair string, d int, close double")
+    values = frame.select("connector", "trading_pair", F.timestamp_seconds(F.col("d") * 86400).alias("ts"), "close")
+    want = {(r.pair1, r.pair2): (r.points, r.correlation and round(r.correlation, 9)) for r in Q.pair_correlations(values, "close", 20).collect()}
+    monkeypatch.setattr(Q, "COPIES", 0, raising=False)
+    got = {(r.pair1, r.pair2): (r.points, r.correlation and round(r.correlation, 9)) for r in Q.pair_correlations(values, "close", 20).collect()}
+    assert got == want and got["A", "B"] == (60, None) and got["B", "C"] == (60, -1.0) and len(got) == 6
+    assert Q.pair_correlations(values.limit(0), "close", 20).collect() == []
+    clusters = lambda within: sorted(Q.clusters_at(
+        Q.pair_correlations(values, "close", 20, within=within).select("connector", "pair1", "pair2", (1 - F.col("correlation")).alias("distance")), 0.75).collect())
+    assert clusters(0.75) == clusters(None) == [("x", "A", "A"), ("x", "B", "B"), ("x", "C", "C"), ("x", "D", "B")]
+
+
+def test_tasks_send_on_a_star_per_component(spark):
+    """All 4,950 pairs of 100 symbols are near; what is kept of them follows the symbols."""
+    names = [f"S{i:03d}" for i in range(100)]
+    edges = spark.createDataFrame([(v, a, b, 0.1) for v in ("x", None) for a in names for b in names if a < b], "connector string, pair1 string, pair2 string, distance double").coalesce(1)
+    before = folder_bytes(spark)
+    out = {(r.connector, r.trading_pair): r.label for r in Q.clusters_at(edges, 0.75).collect()}
+    assert {k: v for k, v in out.items() if k[0]} == {("x", n): "S000" for n in names} and len(out) == 200
+    assert folder_bytes(spark) - before < 150_000

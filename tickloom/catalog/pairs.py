@@ -148,11 +148,13 @@ def qg(view):
     return Q.time_warping(Q.returns(view("bars_1h")), "ret")
 
 
-def distance_table(view):
-    """Distances of the liquid daily markets from correlations, which SQL can state as well."""
+def distance_table(view, within=None):
+    """Distances of the liquid daily markets from correlations, which SQL can state as well. With ``within``, of the pairs
+    further apart there may be the symbols only."""
     b = view("bars_1d")
-    b = b.join(liquid_pairs(b).select(*SERIES), [*SERIES], "left_semi")
-    c = Q.pair_correlations(Q.returns(b), "ret", 50)
+    # a row per liquid market, so no bar is shuffled for it
+    b = b.join(F.broadcast(liquid_pairs(b).select(*SERIES)), [*SERIES], "left_semi")
+    c = Q.pair_correlations(Q.returns(b), "ret", 50, within=within)
     return c.select("connector", "pair1", "pair2", (1 - F.col("correlation")).alias("distance"))
 
 
@@ -170,7 +172,7 @@ UNION SELECT e.connector, e.b, reach.l FROM reach JOIN e ON e.connector = reach.
 
 @query("qk_clusters_at_height", "trading_pair label", "bars_1d", ctes=NEAR, sql="SELECT node AS trading_pair, min(l) AS label FROM reach GROUP BY connector, node")
 def qk_height(view):
-    return Q.clusters_at(distance_table(view), 0.75)
+    return Q.clusters_at(distance_table(view, 0.75), 0.75)
 
 
 CLUSTERS = 5

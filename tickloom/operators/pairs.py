@@ -2,9 +2,10 @@
 
 Three layouts:
 
-* Second moments over any history (``pair_correlations``): a series is packed to one row per time slice and copied
-  once per symbol block; each pair of blocks runs through its slices one by one, dense products of a slice
-  being added to the sums of all its pairs, so no pair is shuffled. Many symbols get larger, not many more blocks.
+* Second moments over any history (``pair_correlations``): each pair of symbol blocks runs through its time slices one
+  by one, dense products of a slice being added to the sums of all its pairs, so no pair is shuffled. Many symbols get
+  larger, not many more blocks. Few values are copied once per block in a shuffle; blocks of many values lie in the
+  checkpoint folder, one a partition, and two meet where they are read.
 * Statistics of lagged pairs over any history (``aligned_pairs``): pairs are joined by time, laid out in pieces with
   a halo of the lags, and sums or counts of the pieces are added up per pair.
 * Tests over a bounded look-back (``analyse_pairs``): each series is cut to its last N rows, symbols
@@ -158,33 +159,151 @@ def _block_moments(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of a partition as one row per venue, block and slice: the venue's symbols in the block, its times in the
+    slice, and for every value, centred on its series' mean, the places of its symbol and of its time."""
+    rows = pa.Table.from_batches(list(batches), VALUES)
+    if not len(rows):
+        return
+    t, x, part = (rows[c].to_numpy() for c in ("t", "x", "_slice"))
+    venue = rows["connector"].combine_chunks().dictionary_encode(null_encoding="encode")
+    name = rows["trading_pair"].combine_chunks().dictionary_encode()
+    symbol, block = name.indices.to_numpy(), rows["_b"].to_numpy()
+    of = block * np.int64(len(venue.dictionary)) + venue.indices.to_numpy()
+    for cell in np.unique(of):
+        mine = np.flatnonzero(of == cell)
+        found, place = np.unique(symbol[mine], return_inverse=True)
+        names = name.dictionary.take(pa.array(found)).to_pylist()
+        connector = venue.dictionary[int(cell) % len(venue.dictionary)].as_py()
+        mean = np.bincount(place, x[mine]) / np.bincount(place)
+        for now in np.unique(part[mine]):
+            here = np.flatnonzero(part[mine] == now)
+            times, at = np.unique(t[mine[here]], return_inverse=True)
+            centred = x[mine[here]] - mean[place[here]]
+            packed = [times.astype("<i8"), at.astype("<i4"), place[here].astype("<i4"), centred.astype("<f8")]
+            yield pa.RecordBatch.from_pylist([dict(zip(BLOCK.names, (
+                connector, int(block[mine[0]]), int(now), names, *(c.tobytes() for c in packed))))], BLOCK)
+
+
+VALUES = pa.schema([("connector", pa.string()), ("trading_pair", pa.string()), ("_slice", pa.int64()), ("_b", pa.int32()), ("t", pa.int64()), ("x", pa.float64())])
+BLOCK = pa.schema([("connector", pa.string()), ("block", pa.int32()), ("slice", pa.int64()), ("names", pa.list_(pa.string())),
+                   *((c, pa.binary()) for c in ("times", "at", "place", "x"))])
+CORRELATIONS = pa.schema([*((c, pa.string()) for c in PAIR), ("points", pa.int64()), ("correlation", pa.float64())])
+
+
+def _correlations(venue: str | None, names: tuple[list, list], same: bool, sums: list[np.ndarray], least: float, within: float | None) -> Iterator[pa.RecordBatch]:
+    """A row per pair (pair1 < pair2) with at least ``least`` common points, some symbols of the first block at a time."""
+    every, codes = np.unique(np.array([*names[0], *names[1]], dtype=object), return_inverse=True)
+    left, right, every = codes[:len(names[0])], codes[len(names[0]):], pa.array(every, pa.string())
+    alone = np.zeros(len(every), bool)
+
+    def batch(first, second, points, c) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([venue] * len(first), pa.string()), every.take(pa.array(first)), every.take(pa.array(second)), points, c], schema=CORRELATIONS)
+
+    for start in range(0, len(left), step := max(1, (1 << 17) // len(right))):
+        n, sx, sy, sxx, syy, sxy = (m[start:start + step] for m in sums)
+        keep = n >= least
+        if same:
+            keep &= left[start:start + step, None] < right[None, :]
+        with np.errstate(all="ignore"):
+            var = (sxx - sx * sx / n) * (syy - sy * sy / n)
+            root = np.sqrt(np.where(var < 0, 0.0, var))
+            c = (sxy - sx * sy / n) / root
+            if within is not None:
+                near = keep & (root != 0) & (1 - c < within)
+                alone[left[start:start + step][keep.any(axis=1)]] = alone[right[keep.any(axis=0)]] = True
+                keep = near
+        i, j = np.nonzero(keep)
+        a, b = left[start + i], right[j]
+        yield batch(np.minimum(a, b), np.maximum(a, b), pa.array(n[i, j].astype(np.int64)), pa.array(c[i, j], mask=root[i, j] == 0))
+    if within is not None:
+        own = np.flatnonzero(alone)
+        yield batch(own, own, pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.float64()))
+
+
+def _dense(side: dict, times: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a block at the common times (0 where there is none), and whether there is one."""
+    at, place, x = (np.frombuffer(side[c], k) for c, k in (("at", "<i4"), ("place", "<i4"), ("x", "<f8")))
+    where = np.searchsorted(common, times)
+    where[~np.isin(times, common, assume_unique=True)] = len(common)
+    d = np.full((len(common) + 1, len(side["names"])), np.nan)
+    d[where[at], place] = x
+    d = d[:-1]
+    has = ~np.isnan(d)
+    d[~has] = 0.0
+    return d, has
+
+
+def _met_blocks(least: float, within: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Correlations of the pairs of blocks that meet, slice by slice; the slices of a venue and first block follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, cells = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for other, (names, sums) in cells.items():
+                yield from _correlations(first[0], names, first[1] == other, sums, least, within)
+            cells.clear()
+
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            if (row["connector"], row["block"]) != first:
+                yield from done()
+                first = row["connector"], row["block"]
+            if row["o_block"] not in cells:
+                names = row["names"], row["o_names"]
+                cells[row["o_block"]] = names, [np.zeros((len(names[0]), len(names[1]))) for _ in range(6)]
+            sums = cells[row["o_block"]][1]
+            sides = row, {c: row[f"o_{c}"] for c in ("names", "times", "at", "place", "x")}
+            times = [np.frombuffer(side["times"], "<i8") for side in sides]
+            common = np.intersect1d(*times, assume_unique=True)
+            if len(common):
+                (x, hx), (y, hy) = (_dense(side, t, common) for side, t in zip(sides, times))
+                sums[0] += hx.astype(np.float32).T @ hy.astype(np.float32)  # counts below 2 ** 24 are exact
+                hx, hy = hx.astype(float), hy.astype(float)
+                for total, (p, q) in zip(sums[1:], ((x, hy), (hx, y), (x * x, hy), (hx, y * y), (x, y))):
+                    total += p.T @ q
+        yield from done()
+
+    return run
+
+
 #: Cells (pairs of blocks, times groups of slices) that keep a cluster busy, blocks that do, and how much larger blocks may get.
 CELLS, BLOCKS, LARGER = 32, 16, 16
+#: Bytes that copies of the values may take in a shuffle, bytes of a block and of a symbol's values that may lie in one partition.
+COPIES, WHOLE, LONGEST = 1 << 28, 1 << 26, 1 << 25
 
 
 def pair_correlations(values: DataFrame, x: str, min_points: int = 100, slice_rows: int = 1024,
-                      per_block: int = 128) -> DataFrame:
+                      per_block: int = 128, within: float | None = None) -> DataFrame:
     """Q-J: correlation of every pair of a venue over the times both have a value, in long form.
 
     Values are centred per series first, so the partial sums keep their digits. Beyond BLOCKS blocks of ``per_block``
-    symbols blocks grow, up to LARGER times, so that a series is copied few times. A task holds the sums of two blocks'
-    pairs and one time slice of about ``slice_rows`` bars per symbol. Few symbols have their slices in several
-    groups, whose sums are added per pair. The packed series are stored while the plan is built. A symbol is not NULL.
+    symbols blocks grow, up to LARGER times. A task holds the sums of two blocks' pairs and one time slice of about
+    ``slice_rows`` bars per symbol. Up to COPIES bytes (and for symbols of more than LONGEST bytes) the values are copied
+    once per block, and few symbols have their slices in several groups, whose sums are added per pair. Beyond, a block is
+    packed in a partition of its own, and two partitions are read where they meet. The values are stored while the plan
+    is built. A symbol is not NULL. With ``within``, pairs whose correlation is not above 1 - ``within`` may be left out;
+    each of their symbols then stands beside itself, without a correlation.
     """
     v = values.select(*SERIES, "ts", F.col(x).cast("double").alias("x"))
     v = v.filter(F.col("x").isNotNull() & F.col("ts").isNotNull() & F.col("trading_pair").isNotNull())
     width = segment_width(values, "ts") * slice_rows // SEGMENT_ROWS
-    v = v.withColumns({"t": epoch_micros("ts"), "_slice": time_segment("ts", max(1, width))})
-    packed = stored(v.groupBy(*SERIES, "_slice").agg(F.collect_list(F.struct("t", "x")).alias("_rows"), F.sum("x").alias("_sum")), "packed")
-    seen = packed.agg(F.count_distinct("trading_pair").alias("m"), F.count_distinct("_slice").alias("slices")).first()
+    v = stored(v.select(*SERIES, time_segment("ts", max(1, width)).alias("_slice"), epoch_micros("ts").alias("t"), "x"), "values")
+    sizes = v.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"))
+    seen = sizes.agg(F.count_distinct("trading_pair").alias("m"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
     blocks = max(1, -(-seen["m"] // per_block))
     if blocks > BLOCKS:
         blocks = max(BLOCKS, -(-blocks // LARGER))
+    size = 16 * (seen["n"] or 0)
+    if blocks * size > COPIES and 16 * seen["most"] <= LONGEST and -(-size // WHOLE) <= seen["m"]:
+        return _read_in_place(v, max(blocks, -(-size // WHOLE)), min_points, within)
+    slices = v.agg(F.count_distinct("_slice")).first()[0]
     cells = blocks * (blocks + 1) // 2
-    groups = max(1, min(seen["slices"], -(-CELLS // cells)))
-    mean = packed.groupBy(*SERIES).agg((F.sum("_sum") / F.sum(F.size("_rows"))).alias("_m"))
+    groups = max(1, min(slices, -(-CELLS // cells)))
+    packed = v.groupBy(*SERIES, "_slice").agg(F.collect_list(F.struct("t", "x")).alias("_rows"))
+    mean = v.groupBy(*SERIES).agg((F.sum("x") / F.count(F.lit(1))).alias("_m"))
     # never shuffled by symbol: the copies are
-    spread = _cells(join_series(packed.drop("_sum"), mean), blocks).withColumn("_g", F.pmod("_slice", F.lit(groups)))
+    spread = _cells(join_series(packed, mean), blocks).withColumn("_g", F.pmod("_slice", F.lit(groups)))
     cell = ["connector", "_lo", "_hi", "_g"]
     spread = spread.repartition(min(2 * cells * groups, 2000), *cell).sortWithinPartitions(*cell, "_slice")
     s = spread.mapInArrow(_block_moments(min_points if groups == 1 else 1), "connector string, pair1 string, pair2 string, "
@@ -198,6 +317,16 @@ def pair_correlations(values: DataFrame, x: str, min_points: int = 100, slice_ro
                                             ratio(cov, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("correlation"))
 
 
+def _read_in_place(v: DataFrame, blocks: int, min_points: int, within: float | None) -> DataFrame:
+    """The correlations of ``pair_correlations`` from blocks that lie in the checkpoint folder, a partition each."""
+    v = v.select(*SERIES, "_slice", F.pmod(F.hash("trading_pair"), F.lit(blocks)).alias("_b"), "t", "x").repartitionById(blocks, F.col("_b"))
+    one = v.mapInArrow(_block_rows, "connector string, block int, slice bigint, names array<string>, times binary, at binary, place binary, x binary").checkpoint()
+    other = one.select(*(F.col(c).alias(f"o_{c}") for c in one.columns)).hint("shuffle_replicate_nl")
+    same = F.col("connector").eqNullSafe(F.col("o_connector")) & (F.col("slice") == F.col("o_slice"))
+    met = one.join(other, same & (F.col("block") <= F.col("o_block")))
+    return met.mapInArrow(_met_blocks(min_points, within), "connector string, pair1 string, pair2 string, points bigint, correlation double")
+
+
 # f(name1, name2, x1, x2, times) -> rows
 PairFunction = Callable[[str, str, np.ndarray, np.ndarray, np.ndarray], list[tuple]]
 
@@ -425,6 +554,29 @@ def distances(p_values: DataFrame, similarity: bool = False) -> DataFrame:
         F.greatest(F.avg(d), F.lit(0.0)).alias("distance"))
 
 
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the links of a partition those that hold its components together, and every symbol beside itself."""
+    root: dict[tuple, tuple] = {}
+
+    def top(k: tuple) -> tuple:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = root[up]
+            k = up
+        return k
+
+    for batch in batches:
+        pairs = pa.Table.from_batches([batch]).group_by(["connector", "a", "b"]).aggregate([]).to_pydict()
+        for venue, a, b in zip(pairs["connector"], pairs["a"], pairs["b"]):
+            p, q = top((venue, a)), top((venue, b))
+            if p != q and a is not None and b is not None:
+                root[max(p, q, key=lambda k: k[1])] = min(p, q, key=lambda k: k[1])
+    nodes = list(root)
+    for start in range(0, len(nodes), 10_000):
+        some = nodes[start:start + 10_000]
+        yield pa.RecordBatch.from_pydict({"connector": pa.array([k[0] for k in some], pa.string()), "a": pa.array([top(k)[1] for k in some], pa.string()),
+                                          "b": pa.array([k[1] for k in some], pa.string())})
+
+
 def clusters_at(edges: DataFrame, height: float) -> DataFrame:
     """Q-K: connected components of the pairs closer than ``height``: smallest label by repeated
     joins, with jumps over labels of labels; each round is cut by a checkpoint."""
@@ -432,8 +584,9 @@ def clusters_at(edges: DataFrame, height: float) -> DataFrame:
     loop = lambda c: F.struct(F.col(c).alias("a"), F.col(c).alias("b"))
     near = F.array(F.struct(F.col("pair1").alias("a"), F.col("pair2").alias("b")))
     ends = F.when(F.col("distance") < height, near).otherwise(F.array(loop("pair1"), loop("pair2")))
-    # far pairs only tell that their symbols exist: they are dropped before the first shuffle, and no pair is stored
-    kept = edges.select("connector", F.inline(ends)).distinct().checkpoint()
+    # far pairs only tell that their symbols exist, and of the near ones a task sends on a star per component: both are
+    # dropped before the first shuffle, and no pair is stored
+    kept = edges.select("connector", F.inline(ends)).mapInArrow(_spanning, "connector string, a string, b string").distinct().checkpoint()
     near = kept.filter("a <> b")
     both = near.unionByName(near.select("connector", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     nodes = kept.select("connector", "a").union(kept.select("connector", "b")).distinct()
